@@ -17,15 +17,16 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- F-JSONL
 def conv_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Each user turn with the assistant turn right after it.
+    """Each user turn with the assistant turn right after it; ``turn`` is
+    the assistant's.
 
     A self equi-join on ``(conv_id, turn + 1)`` instead of ``lead`` over a
     conversation: a very long conversation is spread by the join's hash of
     both keys instead of being sorted in one task."""
     c = t(spark, sf, "conversations")
-    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("user"))
-    a = c.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("assistant"))
+    u = c.filter(F.col("role") == "user").select(
+        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("user"))
+    a = c.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("assistant"))
     return u.join(a, ["conv_id", "turn"])
 
 
@@ -116,3 +117,95 @@ def f_train(spark: SparkSession, sf: str) -> DataFrame:
     return x.select(k.alias("request_id"), F.col("n").cast("int").alias("n"), typ.alias("type"),
                     (F.col("n") - 1).cast("int").alias("step"),
                     (F.col("l_extendedprice") / 1000).alias("loss"))
+
+
+# ---------------------------------------------------------------- F-FRAMES
+GEN_ERROR = "generation failed"
+
+
+def f_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Server frames of one chat session per conversation.
+
+    Per assistant turn ``turn``: ``start`` (k = 0, ``tokens_in`` = words of
+    the user turn before), its text cut by T4 into ``token`` frames
+    (k = 1..n), then ``error`` when conv_id % 5 = 3 and turn >= 3, else
+    ``done`` with ``total_tokens`` = words of the answer (k = n + 1); an
+    ``ack`` (k = n + 2) when conv_id % 4 = 0 and turn = 3, and a ``pong``
+    (k = n + 3) when conv_id % 3 = 0.  ``seq = (turn << 20) + k``."""
+    from convspark.operators.batches import TOKEN_RE
+    from convspark.operators.chunks import chunk_array
+
+    p = conv_pairs(spark, sf).select(
+        F.col("conv_id").alias("session_id"), "turn",
+        F.size(F.regexp_extract_all("user", F.lit(TOKEN_RE), 0)).alias("tin"),
+        F.size(F.regexp_extract_all("assistant", F.lit(TOKEN_RE), 0)).alias("tout"),
+        chunk_array("assistant", True).alias("chunks"))
+    base = F.shiftleft(F.col("turn"), 20)
+    n = F.size("chunks")
+    err = (F.col("session_id") % 5 == 3) & (F.col("turn") >= 3)
+    nul_s, nul_i = F.lit(None).cast("string"), F.lit(None).cast("int")
+    start = p.select("session_id", base.alias("seq"), F.lit("start").alias("type"), nul_s.alias("data"),
+                     F.col("tin").cast("int").alias("tokens_in"), nul_i.alias("total_tokens"),
+                     nul_s.alias("message"))
+    toks = p.select("session_id", "turn", F.posexplode("chunks").alias("pos", "chunk")).select(
+        "session_id", (base + F.col("pos") + 1).alias("seq"), F.lit("token").alias("type"),
+        F.col("chunk").alias("data"), nul_i.alias("tokens_in"), nul_i.alias("total_tokens"), nul_s.alias("message"))
+    end = p.select("session_id", (base + n + 1).alias("seq"),
+                   F.when(err, F.lit("error")).otherwise(F.lit("done")).alias("type"), nul_s.alias("data"),
+                   nul_i.alias("tokens_in"), F.when(~err, F.col("tout")).cast("int").alias("total_tokens"),
+                   F.when(err, F.lit(GEN_ERROR)).alias("message"))
+    ack = p.filter((F.col("session_id") % 4 == 0) & (F.col("turn") == 3)).select(
+        "session_id", (base + n + 2).alias("seq"), F.lit("ack").alias("type"), nul_s.alias("data"),
+        nul_i.alias("tokens_in"), nul_i.alias("total_tokens"), nul_s.alias("message"))
+    pong = p.filter(F.col("session_id") % 3 == 0).select(
+        "session_id", (base + n + 3).alias("seq"), F.lit("pong").alias("type"), nul_s.alias("data"),
+        nul_i.alias("tokens_in"), nul_i.alias("total_tokens"), nul_s.alias("message"))
+    return (start.unionByName(toks).unionByName(end).unionByName(ack).unionByName(pong)
+            .withColumn("seq", F.col("seq").cast("long")))
+
+
+# ---------------------------------------------------------------- F-PROTO
+PROTO_TYPES = {"signup": "config", "view": "token", "click": "start", "purchase": "done", "error": "ack"}
+
+
+def f_proto(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames from events: one session per user, arrival order = event_id."""
+    e = t(spark, sf, "events")
+    m = F.create_map(*[x for kv in PROTO_TYPES.items() for x in map(F.lit, kv)])
+    return e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"),
+                    F.element_at(m, F.col("event_type")).alias("type"), "ts", "value",
+                    F.sha2(F.concat_ws(":", F.col("user_id"), F.col("event_id")), 256).alias("id"))
+
+
+def f_msgs(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw client messages from events (valid, untyped, unknown, non-object
+    and broken JSON)."""
+    e = t(spark, sf, "events")
+    k = F.col("event_id")
+    raw = (F.when(F.col("event_type") == "signup",
+                  F.concat(F.lit('{"type": "config", "data": {"max_new_tokens": '),
+                           (F.col("value") * 100).cast("long").cast("string"), F.lit("}}")))
+           .when(F.col("event_type") == "view", F.lit('{"type":"ping"}'))
+           .when(F.col("event_type") == "click",
+                 F.concat(F.lit('{"prompt": {"system": "", "user": "u'), F.col("user_id").cast("string"),
+                          F.lit('"}}')))
+           .when(F.col("event_type") == "purchase",
+                 F.when(k % 3 == 0, F.lit('{"type": "get_status"}'))
+                 .when(k % 3 == 1, F.lit('{"type": "teleport"}'))
+                 .otherwise(F.lit("[1, 2]")))
+           .otherwise(F.when(k % 2 == 0, F.substr(F.col("props"), F.lit(1), F.lit(6)))
+                      .otherwise(F.concat(F.col("props"), F.lit(" x")))))
+    return e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), raw.alias("raw"))
+
+
+def f_windows(spark: SparkSession, sf: str, size: int = 200, step: int = 150) -> DataFrame:
+    """Overlapping re-cuts of each document: window i = text[step*i, +size);
+    ``sent`` = the window before it ('' for the first)."""
+    d = t(spark, sf, "documents").select("doc_id", "text")
+    i = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / step).cast("int")))
+    x = d.select("doc_id", "text", i.alias("i"))
+    return x.select(
+        "doc_id", F.col("i").cast("int").alias("i"),
+        F.when(F.col("i") == 0, F.lit("")).otherwise(
+            F.substr(F.col("text"), (F.col("i") - 1) * step + 1, F.lit(size))).alias("sent"),
+        F.substr(F.col("text"), F.col("i") * step + 1, F.lit(size)).alias("window"))

@@ -38,7 +38,7 @@ def tok_id(x: str) -> str:
 # -------------------------------------------------------------- fixtures
 JSONL_PARTS = f"""
 jparts AS (
-  SELECT 'conv' AS request_id, (u.conv_id << 20) + u.turn AS line_no,
+  SELECT 'conv' AS request_id, (u.conv_id << 20) + a.turn AS line_no,
          {nb('u.text')} AS src, {nb('a.text')} AS tgt,
          json_object('user', u.text, 'assistant', a.text)::VARCHAR AS value
   FROM conversations u JOIN conversations a

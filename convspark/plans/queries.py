@@ -132,3 +132,100 @@ def q_latest_loss(spark, sf):
     cfg = B.clamp_train_config(FX.f_train_cfg(spark, sf))
     losses = FX.f_train(spark, sf).filter(F.col("type") == "train_progress").select("request_id", "step", "loss")
     return B.latest_loss(losses, cfg)
+
+
+# ------------------------------------------------------------------ frames
+from convspark.functions import codec as K  # noqa: E402
+from convspark.operators import chunks as CH  # noqa: E402
+from convspark.operators import frames as FR  # noqa: E402
+
+
+@register("t4_chunk_text")
+def q_chunk_text(spark, sf):
+    p = FX.conv_pairs(spark, sf).select(F.col("conv_id").alias("session_id"), "turn", "assistant")
+    return CH.chunk_text(p, "assistant", flush_tail=True).select("session_id", "turn", "k", "chunk")
+
+
+@register("t4_chunk_text_budget")
+def q_chunk_text_budget(spark, sf):
+    p = FX.conv_pairs(spark, sf).select(F.col("conv_id").alias("session_id"), "turn", "assistant")
+    return CH.chunk_text(p, "assistant", flush_tail=False).select("session_id", "turn", "k", "chunk")
+
+
+@register("t5_stitch_overlaps")
+def q_stitch(spark, sf):
+    return CH.stitch_overlaps(FX.f_windows(spark, sf), "sent", "window").select("doc_id", "i", "overlap")
+
+
+@register("t6_encode_log")
+def q_encode(spark, sf):
+    f = FX.f_frames(spark, sf).filter(F.col("type") == "token")
+    return f.select("session_id", "seq", K.encode_log(F.col("data")).alias("encoded"))
+
+
+@register("t6_decode_log")
+def q_decode(spark, sf):
+    f = FX.f_frames(spark, sf).filter(F.col("type") == "token")
+    good = f.select("session_id", "seq", K.decode_log(K.encode_log(F.col("data"))).alias("decoded"))
+    junk = FX.t(spark, sf, "benchmark").select(F.lit(-1).cast("long").alias("session_id"),
+                                               F.col("item_id").alias("seq"),
+                                               K.decode_log(F.col("text")).alias("decoded"))
+    return good.unionByName(junk)
+
+
+@register("w1_segment_generations")
+def q_segment(spark, sf):
+    return FR.segment_generations(FX.f_frames(spark, sf), block_bits=22).select("session_id", "seq", "type", "gen")
+
+
+@register("a1_rebuild_transcripts")
+def q_transcripts(spark, sf):
+    return FR.rebuild_transcripts(FR.segment_generations(FX.f_frames(spark, sf), block_bits=22))
+
+
+@register("a1_rebuild_transcripts_js")
+def q_transcripts_js(spark, sf):
+    return FR.rebuild_transcripts(FR.segment_generations(FX.f_frames(spark, sf), block_bits=22), js_errors=True)
+
+
+@register("a2_generation_stats")
+def q_gen_stats(spark, sf):
+    return FR.generation_stats(FR.segment_generations(FX.f_frames(spark, sf), block_bits=22))
+
+
+@register("p12_route_frames")
+def q_route(spark, sf):
+    return FR.route_frames(FX.f_msgs(spark, sf)).select("session_id", "seq", "route", "msg_type", "error")
+
+
+@register("x3_replay")
+def q_replay(spark, sf):
+    return FR.replay(FX.f_proto(spark, sf)).select("session_id", "seq", "type")
+
+
+@register("x4_dedupe_frames")
+def q_dedupe(spark, sf):
+    log = FX.f_proto(spark, sf).filter(F.col("type").isin(*FR.BUFFERED_TYPES))
+    again = FR.replay(FX.f_proto(spark, sf))
+    lines = log.select("id", "session_id", "seq", "type").unionByName(again.select("id", "session_id", "seq", "type"))
+    return FR.dedupe_frames(lines, "id")
+
+
+@register("j1_resolve_sessions")
+def q_resolve_sessions(spark, sf):
+    e = FX.t(spark, sf, "events")
+    k = F.col("event_id")
+    hellos = e.filter(F.col("event_type") == "click").select(
+        k.alias("hello_id"), "user_id",
+        F.when(k % 3 == 1, F.col("user_id")).when(k % 3 == 2, F.col("user_id") + 1000).alias("session_id"))
+    sessions = e.filter(F.col("event_type") == "signup").select(F.col("user_id").alias("session_id"))
+    return FR.resolve_sessions(hellos, sessions)
+
+
+@register("x7_purge_sessions")
+def q_purge(spark, sf):
+    e = FX.t(spark, sf, "events")
+    sessions = e.filter(F.col("event_type") == "signup").select(
+        F.col("event_id").alias("session_id"), "user_id", F.col("ts").alias("created"))
+    restarts = e.filter((F.col("event_type") == "purchase") & (F.col("value") > 360)).select("ts")
+    return FR.purge_sessions(sessions, restarts).select("session_id", "user_id")
