@@ -209,3 +209,23 @@ def f_windows(spark: SparkSession, sf: str, size: int = 200, step: int = 150) ->
         F.when(F.col("i") == 0, F.lit("")).otherwise(
             F.substr(F.col("text"), (F.col("i") - 1) * step + 1, F.lit(size))).alias("sent"),
         F.substr(F.col("text"), F.col("i") * step + 1, F.lit(size)).alias("window"))
+
+
+# ---------------------------------------------------------------- F-LOGITS / F-SEQ
+def f_logits(spark: SparkSession, sf: str) -> DataFrame:
+    """One decoding step per embedding row: ``(seq_id, token_id, logit)``."""
+    e = t(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("seq_id"), F.posexplode("embedding").alias("token_id", "x")).select(
+        "seq_id", F.col("token_id").cast("int"), F.col("x").cast("double").alias("logit"))
+
+
+def f_seq_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Training sequences: seq = label, positions by vec_id, label of a
+    position = vec_id % 64, or -100 when vec_id % 7 = 0."""
+    from convspark.operators.scoring import number_positions
+
+    e = t(spark, sf, "embeddings").select(F.col("label").cast("long").alias("seq"), "vec_id")
+    x = number_positions(e, "seq", "vec_id", "pos")
+    return x.select("seq", "pos", "vec_id",
+                    F.when(F.col("vec_id") % 7 == 0, F.lit(-100)).otherwise(F.col("vec_id") % 64).cast("int")
+                    .alias("label"))

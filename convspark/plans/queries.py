@@ -229,3 +229,45 @@ def q_purge(spark, sf):
         F.col("event_id").alias("session_id"), "user_id", F.col("ts").alias("created"))
     restarts = e.filter((F.col("event_type") == "purchase") & (F.col("value") > 360)).select("ts")
     return FR.purge_sessions(sessions, restarts).select("session_id", "user_id")
+
+
+# ------------------------------------------------------------------ scoring
+from convspark.operators import scoring as SC  # noqa: E402
+
+
+@register("w2_softmax")
+def q_softmax(spark, sf):
+    return SC.softmax(FX.f_logits(spark, sf), 0.7).select("seq_id", "token_id", F.round("prob", 6).alias("prob"))
+
+
+@register("w3_top_k_filter")
+def q_top_k(spark, sf):
+    return SC.top_k_filter(FX.f_logits(spark, sf), 50).select("seq_id", "token_id")
+
+
+@register("w4_nucleus_filter")
+def q_nucleus(spark, sf):
+    x = SC.sample_filter(FX.f_logits(spark, sf), 0.7, 50, 0.95)
+    return x.select("seq_id", "token_id", F.round("prob", 6).alias("prob"))
+
+
+@register("w5_greedy_token")
+def q_greedy(spark, sf):
+    return SC.greedy_token(FX.f_logits(spark, sf))
+
+
+@register("w6_draw_token")
+def q_draw(spark, sf):
+    return SC.draw_token(SC.sample_filter(FX.f_logits(spark, sf), 0.7, 50, 0.95), seed=42)
+
+
+@register("w7_shift_labels")
+def q_shift(spark, sf):
+    return SC.shift_labels(FX.f_seq_positions(spark, sf)).select("seq", "pos", "label", "target")
+
+
+@register("a8_cross_entropy")
+def q_xent(spark, sf):
+    logits = FX.f_logits(spark, sf).select(F.col("seq_id").alias("vec_id"), "token_id", "logit")
+    out = SC.cross_entropy(logits, FX.f_seq_positions(spark, sf))
+    return out.withColumn("loss", F.round("loss", 6))
