@@ -229,3 +229,58 @@ def f_seq_positions(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("seq", "pos", "vec_id",
                     F.when(F.col("vec_id") % 7 == 0, F.lit(-100)).otherwise(F.col("vec_id") % 64).cast("int")
                     .alias("label"))
+
+
+# ---------------------------------------------------------------- F-PROMPTS / F-IMAGES
+def f_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """One inference prompt per conversation: its system text (if any) and
+    first user text; even ids as a tagged string, odd ids as a JSON object."""
+    c = t(spark, sf, "conversations")
+    g = c.groupBy("conv_id").agg(
+        F.max_by(F.when(F.col("role") == "system", F.col("text")),
+                 F.when(F.col("role") == "system", F.col("turn"))).alias("system"),
+        F.min_by(F.when(F.col("role") == "user", F.col("text")),
+                 F.when(F.col("role") == "user", F.col("turn"))).alias("user"))
+    tagged = F.concat(
+        F.when(F.col("system").isNotNull(), F.concat(F.lit("<|system|>"), F.col("system"), F.lit("<|end|>\n")))
+        .otherwise(F.lit("")),
+        F.lit("<|user|>"), F.coalesce(F.col("user"), F.lit("")), F.lit("<|end|>"))
+    raw = F.when(F.col("conv_id") % 2 == 0, tagged).otherwise(F.to_json(F.struct("system", "user")))
+    return g.select(F.col("conv_id").alias("prompt_id"), raw.alias("raw"))
+
+
+def _b64(c):
+    return F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"[\r\n]", "")
+
+
+def f_images(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns with inline image blocks and explicit image entries.
+
+    ``user``: text, plus (turn % 3 = 0) a block holding a data URL of
+    base64(role || turn), plus (conv_id % 7 = 0) a lower-case block with an
+    undecodable data URL.  ``entries``: JSON texts chosen by turn % 5 (data
+    URL, raw base64, path, https source object, ftp url) and, when
+    conv_id % 6 = 0, an object with bad base64 ``data``.  ``message``: a
+    message-level entry on even turns."""
+    c = t(spark, sf, "conversations").filter(F.col("role") == "user")
+    k, tn = F.col("conv_id"), F.col("turn")
+    block1 = F.when(tn % 3 == 0, F.concat(F.lit(" [IMAGE FILE: a.png]data:image/png;base64,"),
+                                          _b64(F.concat(F.col("role"), tn.cast("string"))), F.lit("[/IMAGE FILE]")))
+    block2 = F.when(k % 7 == 0, F.lit("\n[image file: b.png] data:image/png;base64,abc [/image file] "))
+    user = F.concat(F.col("text"), F.coalesce(block1, F.lit("")), F.coalesce(block2, F.lit("")))
+    root = sf.rstrip("/")
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))  # noqa: E731  (base64 needs no escaping)
+    e1 = (F.when(tn % 5 == 0, quoted(F.concat(F.lit("data:image/png;base64,"),
+                                              _b64(F.substr(F.col("text"), F.lit(1), F.lit(30))))))
+          .when(tn % 5 == 1, quoted(_b64(k.cast("string"))))
+          .when(tn % 5 == 2, F.to_json(F.struct(
+              F.when(k % 2 == 0, F.lit(root + "/nation.parquet"))
+              .otherwise(F.concat(F.lit("missing/"), k.cast("string"), F.lit(".png"))).alias("path"))))
+          .when(tn % 5 == 3, F.to_json(F.struct(F.struct(
+              F.concat(F.lit("https://img.example/"), k.cast("string"), F.lit(".png")).alias("url")).alias("source"))))
+          .otherwise(F.to_json(F.struct(F.concat(F.lit("ftp://img.example/"), k.cast("string")).alias("url")))))
+    entries = F.when(k % 6 == 0, F.array(e1, F.lit('{"data": "not base64!"}'))).otherwise(F.array(e1))
+    message = F.when(tn % 2 == 0, F.array(F.to_json(F.struct(F.concat(F.lit("https://cdn.example/"), k.cast("string"),
+                                                                       F.lit("/"), tn.cast("string")).alias("url")))))
+    return c.select(((k * 1024) + tn).alias("prompt_id"), "conv_id", "turn", user.alias("user"),
+                    entries.alias("entries"), message.alias("message"))

@@ -271,3 +271,116 @@ def q_xent(spark, sf):
     logits = FX.f_logits(spark, sf).select(F.col("seq_id").alias("vec_id"), "token_id", "logit")
     out = SC.cross_entropy(logits, FX.f_seq_positions(spark, sf))
     return out.withColumn("loss", F.round("loss", 6))
+
+
+# ------------------------------------------------------------------ prompts
+from convspark.operators import prompts as PR  # noqa: E402
+from convspark.sources.artifacts import scan_artifacts  # noqa: E402
+
+
+@register("p5_parse_tagged_prompt")
+def q_parse_tagged(spark, sf):
+    s, u = PR.parse_tagged_prompt(F.col("raw"))
+    return FX.f_prompts(spark, sf).select("prompt_id", s.alias("system"), u.alias("user"))
+
+
+@register("p6_normalize_prompts")
+def q_normalize(spark, sf):
+    return PR.normalize_prompts(FX.f_prompts(spark, sf)).select("prompt_id", "system", "user")
+
+
+@register("p7_render_instruct")
+def q_render(spark, sf):
+    p = PR.extract_inline_images(PR.normalize_prompts(FX.f_prompts(spark, sf)))
+    return p.select("prompt_id", PR.render_instruct("system", "user_clean").alias("rendered"))
+
+
+@register("p8_build_chat_messages")
+def q_chat_messages(spark, sf):
+    p = PR.extract_inline_images(PR.normalize_prompts(FX.f_prompts(spark, sf)))
+    return p.select("prompt_id", PR.build_chat_messages("system", "user_clean", F.col("prompt_id") % 3).alias("messages"))
+
+
+@register("p10_extract_inline_images")
+def q_inline_images(spark, sf):
+    x = PR.extract_inline_images(FX.f_images(spark, sf))
+    return x.select("prompt_id", "user_clean", F.size("inline_images").alias("n_images"),
+                    F.aggregate("inline_images", F.lit(0).cast("long"),
+                                lambda acc, b: acc + F.length(b)).alias("image_bytes"))
+
+
+def _entries(spark, sf):
+    return FX.f_images(spark, sf).select("prompt_id", F.posexplode("entries").alias("idx", "entry"))
+
+
+@register("p9_classify_images")
+def q_classify(spark, sf):
+    files = scan_artifacts(spark, sf, glob="*.parquet")
+    return PR.classify_images(_entries(spark, sf), "entry", files).select("prompt_id", "idx", "kind", "n_bytes", "error")
+
+
+@register("s2_concat_images")
+def q_concat_images(spark, sf):
+    x = FX.f_images(spark, sf).withColumn(
+        "inline", F.flatten(F.transform(F.regexp_extract_all("user", F.lit(PR.IMAGE_BLOCK_RE), 1),
+                                        lambda b: F.regexp_extract_all(b, F.lit(PR.DATA_URL_RE), 0))))
+    return PR.concat_images(x.select("prompt_id", "entries", "message", "inline"), "entries", "message", "inline")
+
+
+@register("src7_load_images")
+def q_load_images(spark, sf):
+    files = scan_artifacts(spark, sf, with_content=True, glob="*.parquet")
+    paths = _entries(spark, sf).select(
+        "prompt_id", "idx", F.try_variant_get(F.try_parse_json("entry"), "$.path", "string").alias("path")) \
+        .filter(F.col("path").isNotNull())
+    out = PR.load_images(paths, files)
+    return out.select("prompt_id", "idx", F.length("content").cast("long").alias("n_bytes"),
+                      F.when(F.col("error").isNotNull(), F.lit("missing")).alias("error"))
+
+
+@register("p16_request_overrides")
+def q_overrides(spark, sf):
+    x = PR.extract_inline_images(FX.f_images(spark, sf))
+    req = x.select("prompt_id", (F.size("entries") + F.size("inline_images")).alias("n_images"),
+                   (F.col("conv_id") % 2 == 0).alias("do_sample"), F.lit(0.7).alias("temperature"),
+                   F.lit(0.95).alias("top_p"), F.lit(40).alias("top_k"), F.lit(1.1).alias("repetition_penalty"))
+    return PR.request_overrides(req)
+
+
+def devices(spark, sf):
+    p = FX.t(spark, sf, "part")
+    return p.select(F.col("p_brand").alias("host"), F.col("p_partkey").alias("idx"), F.col("p_name").alias("device"),
+                    F.col("p_retailprice").alias("total"), (F.col("p_size") / 2).alias("allocated"),
+                    F.col("p_size").cast("double").alias("reserved"), "p_size")
+
+
+@register("a4_device_rollup")
+def q_rollup(spark, sf):
+    out = PR.device_rollup(devices(spark, sf))
+    return out.select("host", *[F.round(c, 4).alias(c) for c in ("total_gb", "allocated_gb", "reserved_gb", "free_gb")],
+                      "num_gpus", "device")
+
+
+def host_limits(spark, sf):
+    d = devices(spark, sf)
+    roll = PR.device_rollup(d)
+    size = d.groupBy("host").agg(F.avg("p_size").alias("params_b"))
+    n = F.regexp_extract("host", r"#(\d+)", 1).cast("int")
+    model_max = F.when(n % 2 == 0, F.lit(None).cast("long")).otherwise((F.lit(4096) * (n % 8 + 1)).cast("long"))
+    j = roll.join(size, "host")
+    return j.select("host", PR.context_limit("free_gb", "params_b", model_max).alias("max_context"))
+
+
+@register("p17_context_limit")
+def q_context_limit(spark, sf):
+    return host_limits(spark, sf)
+
+
+@register("p11_filter_context")
+def q_filter_context(spark, sf):
+    docs = FX.t(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("Brand#"), (F.col("doc_id") % 25 + 1).cast("string")).alias("host"),
+        F.size(F.regexp_extract_all(PR.render_instruct(F.lit(""), F.col("text")), F.lit(B.TOKEN_RE), 0))
+        .alias("tokens_in"))
+    return PR.filter_context(docs, host_limits(spark, sf)).select("doc_id", "host", "tokens_in", "max_context",
+                                                                   "accepted", "error")
