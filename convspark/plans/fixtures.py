@@ -284,3 +284,80 @@ def f_images(spark: SparkSession, sf: str) -> DataFrame:
                                                                        F.lit("/"), tn.cast("string")).alias("url")))))
     return c.select(((k * 1024) + tn).alias("prompt_id"), "conv_id", "turn", user.alias("user"),
                     entries.alias("entries"), message.alias("message"))
+
+
+# ---------------------------------------------------------------- catalogue / config
+def f_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of model directories: root models (even doc_id % 20) or var;
+    directory = source; ``config.json`` for doc_id < 15, else ``f<id>.bin``;
+    size = n_chars."""
+    d = t(spark, sf, "documents")
+    return d.select(F.when(F.col("doc_id") % 20 % 2 == 0, F.lit("models")).otherwise(F.lit("var")).alias("source"),
+                    F.col("source").alias("name"),
+                    F.when(F.col("doc_id") < 15, F.lit("config.json"))
+                    .otherwise(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".bin"))).alias("rel"),
+                    F.col("n_chars").alias("size"))
+
+
+def f_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw snapshot names from parts: ``'  ' + p_name + ' / ' + p_type + '-'``."""
+    p = t(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("id"),
+                    F.concat(F.lit("  "), F.col("p_name"), F.lit(" / "), F.col("p_type"), F.lit("-")).alias("raw"),
+                    "p_retailprice")
+
+
+def f_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Repository references: page URLs in four spellings (as is, relative,
+    trailing slash, padded)."""
+    p = t(spark, sf, "pages")
+    k = F.col("page_id") % 4
+    url = (F.when(k == 0, F.col("url"))
+           .when(k == 1, F.regexp_replace("url", r"^https?://[^/]+/", ""))
+           .when(k == 2, F.concat(F.col("url"), F.lit("/")))
+           .otherwise(F.concat(F.lit(" "), F.col("url"), F.lit(" "))))
+    return p.select(F.col("page_id").alias("id"), url.alias("url"))
+
+
+def f_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    """Server addresses typed by users, from events.props ``k``."""
+    e = t(spark, sf, "events")
+    kk = F.get_json_object("props", "$.k").cast("long")
+    m = kk % 4
+    host = (F.when(m == 0, F.concat(F.lit("ws://H"), kk.cast("string"), F.lit(":8765/path")))
+            .when(m == 1, F.concat(F.lit("h"), kk.cast("string")))
+            .when(m == 2, F.concat(F.lit("wss://h"), kk.cast("string"), F.lit(":443")))
+            .otherwise(F.concat(F.lit("  h"), kk.cast("string"), F.lit(":80  "))))
+    return e.select("event_id", "user_id", "ts", host.alias("host"))
+
+
+CONFIG_KEYS = {"signup": "max_new_tokens", "view": "temperature", "click": "top_p", "purchase": "top_k",
+               "error": "repetition_penalty"}
+
+
+def f_config(spark: SparkSession, sf: str) -> DataFrame:
+    """Session config updates from events: event type -> key; value =
+    floor(value), with '.5' appended for the three decimal keys."""
+    e = t(spark, sf, "events")
+    m = F.create_map(*[x for kv in CONFIG_KEYS.items() for x in map(F.lit, kv)])
+    key = F.element_at(m, F.col("event_type"))
+    base = F.floor("value").cast("long").cast("string")
+    val = F.when(key.isin("temperature", "top_p", "repetition_penalty"), F.concat(base, F.lit(".5"))).otherwise(base)
+    return e.select(F.col("user_id").alias("session_id"), key.alias("key"), val.alias("value"),
+                    F.col("event_id").alias("seq"), "event_type")
+
+
+def f_config_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Config files, one per nation: each customer sets one default key
+    (chosen by c_custkey) or, every 31st, an extra key; last customer wins."""
+    from convspark.operators.config import DEFAULT_CONFIG
+
+    pairs = [(s, k) for s, kv in DEFAULT_CONFIG.items() for k in kv]
+    arr = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(k).alias("key")) for s, k in pairs])
+    c = t(spark, sf, "customer")
+    pick = F.element_at(arr, (F.col("c_custkey") % len(pairs) + 1).cast("int"))
+    x = c.select(F.col("c_nationkey").cast("long").alias("file_id"), "c_custkey",
+                 F.when(F.col("c_custkey") % 31 == 0, F.lit("extra")).otherwise(pick["section"]).alias("section"),
+                 F.when(F.col("c_custkey") % 31 == 0, F.lit("note")).otherwise(pick["key"]).alias("key"),
+                 F.round(F.col("c_acctbal") * 100).cast("long").cast("string").alias("value"))
+    return x.groupBy("file_id", "section", "key").agg(F.max_by("value", "c_custkey").alias("value"))

@@ -384,3 +384,138 @@ def q_filter_context(spark, sf):
         .alias("tokens_in"))
     return PR.filter_context(docs, host_limits(spark, sf)).select("doc_id", "host", "tokens_in", "max_context",
                                                                    "accepted", "error")
+
+
+# ------------------------------------------------------------------ catalogue, config, jobs
+from convspark.functions import names as NM  # noqa: E402
+from convspark.operators import catalog as CA  # noqa: E402
+from convspark.operators import config as CF  # noqa: E402
+from convspark.operators import jobs as JB  # noqa: E402
+
+
+def catalog(spark, sf):
+    return CA.catalog_sizes(FX.f_files(spark, sf))
+
+
+@register("a3_catalog_sizes")
+def q_catalog_sizes(spark, sf):
+    return catalog(spark, sf).select("source", "name", "path", F.round("size_mb", 6).alias("size_mb"))
+
+
+@register("s1_union_roots")
+def q_union_roots(spark, sf):
+    files = FX.f_files(spark, sf)
+    listings = {src: files.filter(F.col("source") == src).drop("source") for src in ("models", "var")}
+    u = CA.union_roots(listings)
+    return u.groupBy("source", "name").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
+
+
+@register("o5_auto_select")
+def q_auto_select(spark, sf):
+    return CA.auto_select(catalog(spark, sf))
+
+
+@register("a5_fleet_counts")
+def q_fleet(spark, sf):
+    return CA.fleet_counts(FX.f_proto(spark, sf), catalog(spark, sf))
+
+
+@register("a6_count_parameters")
+def q_params(spark, sf):
+    shapes = FX.t(spark, sf, "part").select(F.array(F.col("p_size"), F.lit(64)).alias("shape"))
+    return CA.count_parameters(shapes)
+
+
+@register("j5_match_model")
+def q_match(spark, sf):
+    d = FX.t(spark, sf, "documents")
+    m = F.col("doc_id") % 3
+    root = F.when(F.col("doc_id") % 20 % 2 == 0, F.lit("models")).otherwise(F.lit("var"))
+    ref = (F.when(m == 0, F.concat_ws("/", root, F.col("source")))
+           .when(m == 1, F.concat(F.lit("elsewhere/"), F.col("source"), F.lit("/")))
+           .otherwise(F.concat(F.lit("x/nomodel"), F.col("doc_id").cast("string"))))
+    refs = d.select("doc_id", ref.alias("ref"))
+    return CA.match_model(refs, catalog(spark, sf))
+
+
+@register("p13_sanitize_names")
+def q_sanitize(spark, sf):
+    n = FX.f_names(spark, sf)
+    return n.select("id", NM.sanitize_name("raw", "snapshot", 0).alias("py_name"),
+                    NM.sanitize_request_id("raw").alias("rid_name"),
+                    NM.sanitize_dir_name_js("raw").alias("js_name"))
+
+
+@register("j6_unique_names")
+def q_unique(spark, sf):
+    n = FX.f_names(spark, sf).withColumn("name", NM.sanitize_name("raw", "snapshot", 0))
+    existing = n.filter(F.col("p_retailprice") > 1900).select("name")
+    req = n.select(F.col("id").alias("req_id"), "name")
+    return CA.unique_names(req, existing, "name", "req_id")
+
+
+@register("j6_unique_names_js")
+def q_unique_js(spark, sf):
+    n = FX.f_names(spark, sf).withColumn("name", NM.sanitize_dir_name_js("raw"))
+    existing = n.filter(F.col("p_retailprice") > 1900).select(F.upper("name").alias("name"))
+    req = n.select(F.col("id").alias("req_id"), "name")
+    return CA.unique_names(req, existing, "name", "req_id", case_insensitive=True)
+
+
+@register("p14_repo_model_name")
+def q_repo_name(spark, sf):
+    return FX.f_urls(spark, sf).select("id", NM.repo_model_name("url").alias("model_name"))
+
+
+@register("p15_normalize_hosts")
+def q_hosts(spark, sf):
+    h = FX.f_hosts(spark, sf).select("event_id", NM.normalize_host("host").alias("uri"))
+    return h.select("event_id", "uri", NM.display_host(F.col("uri")).alias("display"))
+
+
+@register("o4_recent_distinct")
+def q_recent(spark, sf):
+    h = FX.f_hosts(spark, sf).select("user_id", "ts", NM.normalize_host("host").alias("uri"))
+    uses = h.select("user_id", "ts", F.regexp_replace("uri", "^ws://", "").alias("host"))
+    return CA.recent_distinct(uses, 12).select("user_id", "host", "pos")
+
+
+@register("j3_merge_config")
+def q_merge(spark, sf):
+    c = FX.f_config(spark, sf)
+    upd = c.select("session_id", "key", "value", F.lit(1).alias("layer"), "seq")
+    return CF.merge_config(upd)
+
+
+@register("j4_fill_defaults")
+def q_fill(spark, sf):
+    return CF.fill_defaults(FX.f_config_file(spark, sf))
+
+
+@register("a9_config_pivot")
+def q_pivot(spark, sf):
+    return CF.config_pivot(FX.f_config(spark, sf), list(FX.CONFIG_KEYS.values()))
+
+
+@register("a7_job_status")
+def q_job_status(spark, sf):
+    ev = FX.f_train(spark, sf).withColumn(
+        "message", F.when(F.col("type") == "error", F.concat(F.lit("Training failed: step "), F.col("step"))))
+    return JB.job_status(ev).select("request_id", "running", "steps_done", "last_loss", "error")
+
+
+def locks(spark, sf):
+    e = FX.t(spark, sf, "events")
+    jobs = e.filter((F.col("event_type") == "purchase") & (F.col("value") > 300)).select(
+        F.col("ts").alias("start"),
+        (F.col("ts") + F.make_dt_interval(mins=F.floor("value").cast("int"))).alias("end"))
+    reqs = e.filter(F.col("event_type").isin("click", "signup")).select(
+        F.col("event_id").alias("req_id"), "ts",
+        F.when(F.col("event_type") == "click", F.lit("inference")).otherwise(F.lit("train")).alias("kind"))
+    return reqs, jobs
+
+
+@register("j7_blocked_requests")
+def q_blocked(spark, sf):
+    reqs, jobs = locks(spark, sf)
+    return JB.blocked_requests(reqs, jobs).select("req_id", "kind", "blocked", "outcome")
