@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convspark.functions.text import py_float_repr, py_is_blank, py_strip
+from convspark.functions.text import PY_WS_CLASS, py_float_repr, py_is_blank, py_strip
+
+PY_WS_RE = PY_WS_CLASS + "+"
 
 # The keys looked up, in priority order, for the prompt side
 # and the answer side of a training example.

@@ -519,3 +519,76 @@ def locks(spark, sf):
 def q_blocked(spark, sf):
     reqs, jobs = locks(spark, sf)
     return JB.blocked_requests(reqs, jobs).select("req_id", "kind", "blocked", "outcome")
+
+
+# ------------------------------------------------------------------ sources
+from convspark.session import scratch_path  # noqa: E402
+from convspark.sources import config_file as SCF  # noqa: E402
+from convspark.sources import corpus as SCO  # noqa: E402
+from convspark.sources import log as SLG  # noqa: E402
+
+
+def _corpus_stats(lines):
+    return lines.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(F.length(F.regexp_replace("value", C.PY_WS_RE, "")) == 0).alias("n_blank"),
+        F.sum(F.length("value")).cast("long").alias("n_chars"))
+
+
+@register("src1_scan_corpus")
+def q_scan_corpus(spark, sf):
+    path = scratch_path(spark, "corpus")
+    SCO.land_corpus(FX.f_jsonl(spark, sf), path)
+    return _corpus_stats(SCO.scan_corpus(spark, path))
+
+
+@register("src2_land_corpus")
+def q_land_corpus(spark, sf):
+    path = scratch_path(spark, "corpus")
+    lines = FX.f_jsonl(spark, sf).withColumn("submitted", F.lit(0))
+    # the nation names re-submitted later under a raw id that sanitises to 'docs'
+    again = lines.filter(F.col("request_id") == "plain").withColumn("request_id", F.lit("docs/")) \
+        .withColumn("submitted", F.lit(1))
+    SCO.land_corpus(lines.unionByName(again), path, order_col="submitted")
+    return _corpus_stats(SCO.scan_corpus(spark, path))
+
+
+def frames_json(spark, sf):
+    f = FX.f_frames(spark, sf)
+    corrupt = (f["session_id"] % 9 == 4) & (f["seq"] % 1048576 == 5) & (f["type"] == "token")
+    js = F.to_json(F.struct("type", "data", "tokens_in", "total_tokens", "message"))
+    return f.select("session_id", "seq", F.when(corrupt, F.concat(F.lit("{"), js)).otherwise(js).alias("frame"))
+
+
+@register("src4_scan_log")
+def q_scan_log(spark, sf):
+    path = scratch_path(spark, "log")
+    SLG.append_log(frames_json(spark, sf), path)
+    kept, _dead = SLG.scan_log(spark, path)
+    return kept.select("session_id", "seq", "type")
+
+
+@register("src3_append_log")
+def q_append_log(spark, sf):
+    path = scratch_path(spark, "log")
+    fj = frames_json(spark, sf)
+    SLG.append_log(fj, path)
+    SLG.append_log(fj.filter(F.col("session_id") % 2 == 0), path)  # a retried append: same ids again
+    raw = spark.read.schema(SLG.LOG_SCHEMA).json(path)
+    return raw.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_lines"),
+                                         F.count_distinct("id").alias("n_ids"))
+
+
+@register("src5_scan_artifacts")
+def q_scan_artifacts(spark, sf):
+    return scan_artifacts(spark, sf, glob="*.parquet").select("rel", "length")
+
+
+@register("src6_scan_config")
+def q_scan_config(spark, sf):
+    path = scratch_path(spark, "config")
+    conf = FX.f_config_file(spark, sf)
+    SCF.write_config_files(conf, path)
+    out = SCF.scan_config(spark, path)
+    return out.select(F.regexp_extract("file", r"file_id=(\d+)", 1).cast("long").alias("file_id"),
+                      "section", "key", "value")

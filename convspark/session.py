@@ -64,3 +64,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder for data a job lands
+    and reads back (never a machine-local temp folder on a cluster)."""
+    import uuid
+
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/convspark/{name}/{uuid.uuid4().hex}"
