@@ -12,34 +12,37 @@ TRAIN_IN_PROGRESS = "Training in progress. Inference is temporarily unavailable.
 def job_status(events: DataFrame) -> DataFrame:
     """State of each training request after its events.
 
-    ``events``: ``(request_id, n, type, step, loss, max_steps, checkpoint,
-    message)`` with ``n`` the event order.  Only events since the latest
-    ``train_started`` count (a start resets); ``train_progress`` sets
-    steps/loss; ``train_done`` ends the run keeping the last loss;
-    ``error`` ends it keeping the steps.  Grouped ``max_by`` only."""
-    last_start = events.groupBy("request_id").agg(
-        F.max(F.when(F.col("type") == "train_started", F.col("n"))).alias("_ls"))
-    e = events.join(last_start, "request_id").filter(F.col("_ls").isNull() | (F.col("n") >= F.col("_ls")))
-    prog = F.col("type") == "train_progress"
-    end = F.col("type").isin("train_done", "error")
-    g = e.groupBy("request_id").agg(
-        F.max_by("type", "n").alias("last_type"),
-        F.max_by(F.when(prog, F.col("step")), F.when(prog, F.col("n"))).alias("_pstep"),
-        F.max_by(F.when(prog, F.col("loss")), F.when(prog, F.col("n"))).alias("last_loss"),
-        F.max_by(F.when(F.col("type") == "train_done", F.col("step")),
-                 F.when(F.col("type") == "train_done", F.col("n"))).alias("_dstep"),
-        F.max_by(F.when(F.col("type") == "error", F.col("message")),
-                 F.when(F.col("type") == "error", F.col("n"))).alias("error"),
-        F.max(F.when(end, F.lit(1)).otherwise(F.lit(0))).alias("_ended"),
+    ``events``: ``(request_id, n, type, step, loss, message)`` with ``n``
+    the event order.  Only events after the latest ``train_started`` count
+    (a start resets); ``train_progress`` sets steps and loss;
+    ``train_done`` ends the run keeping the last loss and reporting its step
+    count; ``error`` ends it keeping the steps.
+
+    One grouped aggregation (each piece a ``max_by`` on ``n``) and a
+    projection, so the same code runs on a stream in update mode."""
+    t = F.col("type")
+
+    def last(cond, *cols):
+        return F.max_by(F.when(cond, F.struct(F.col("n").alias("n"), *[F.col(c) for c in cols])),
+                        F.when(cond, F.col("n")))
+
+    g = events.groupBy("request_id").agg(
+        F.max(F.when(t == "train_started", F.col("n"))).alias("_ls"),
+        last(t == "train_progress", "step", "loss").alias("_p"),
+        last(t == "train_done", "step").alias("_d"),
+        last(t == "error", "message").alias("_e"),
     )
+    since = lambda s: s.isNotNull() & (s["n"] > F.coalesce(F.col("_ls"), F.lit(-1)))
+    p_ok, d_ok, e_ok = since(F.col("_p")), since(F.col("_d")), since(F.col("_e"))
+    done_last = d_ok & (~e_ok | (F.col("_d.n") > F.col("_e.n")))
+    err_last = e_ok & ~done_last
     return g.select(
         "request_id",
-        (F.col("_ended") == 0).alias("running"),
-        F.when(F.col("last_type") == "train_done", F.col("_dstep"))
-        .otherwise(F.coalesce(F.col("_pstep"), F.lit(0))).cast("long").alias("steps_done"),
-        "last_loss",
-        F.when(F.col("last_type") == "error", F.col("error")).alias("error"),
-        "last_type")
+        (~d_ok & ~e_ok).alias("running"),
+        F.when(done_last, F.col("_d.step")).when(p_ok, F.col("_p.step")).otherwise(F.lit(0))
+        .cast("long").alias("steps_done"),
+        F.when(p_ok, F.col("_p.loss")).alias("last_loss"),
+        F.when(err_last, F.col("_e.message")).alias("error"))
 
 
 def blocked_requests(requests: DataFrame, jobs: DataFrame, bucket_seconds: int = 3600) -> DataFrame:

@@ -592,3 +592,46 @@ def q_scan_config(spark, sf):
     out = SCF.scan_config(spark, path)
     return out.select(F.regexp_extract("file", r"file_id=(\d+)", 1).cast("long").alias("file_id"),
                       "section", "key", "value")
+
+
+# ------------------------------------------------------------------ streaming
+from convspark.streaming import frames as ST  # noqa: E402
+
+
+@register("x1_stream_frames")
+def q_stream_frames(spark, sf):
+    return ST.stream_frames(spark, FX.f_msgs(spark, sf)).select("session_id", "seq", "route", "msg_type", "error")
+
+
+@register("x2_stream_sessions")
+def q_stream_sessions(spark, sf):
+    return ST.stream_sessions(spark, FX.f_proto(spark, sf)).select(
+        "session_id", "created", "last_activity", "n_frames", "n_config", "pending", "closed")
+
+
+@register("x2_sessions_batch")
+def q_sessions_batch(spark, sf):
+    return ST.sessions_batch(FX.f_proto(spark, sf).select("session_id", "seq", "type"))
+
+
+@register("x4_stream_dedupe")
+def q_stream_dedupe(spark, sf):
+    p = FX.f_proto(spark, sf)
+    log = p.filter(F.col("type").isin(*FR.BUFFERED_TYPES))
+    again = FR.replay(p)
+    lines = log.select("id", "session_id", "seq", "type", "ts").unionByName(
+        again.select("id", "session_id", "seq", "type", "ts"))
+    return ST.stream_dedupe(spark, lines).select("id", "session_id", "seq", "type")
+
+
+@register("x5_stream_job_status")
+def q_stream_job_status(spark, sf):
+    ev = FX.f_train(spark, sf).withColumn(
+        "message", F.when(F.col("type") == "error", F.concat(F.lit("Training failed: step "), F.col("step"))))
+    return ST.stream_job_status(spark, ev).select("request_id", "running", "steps_done", "last_loss", "error")
+
+
+@register("x6_stream_transcripts")
+def q_stream_transcripts(spark, sf):
+    f = FX.f_frames(spark, sf).withColumn("turn", F.shiftright("seq", 20))
+    return ST.stream_transcripts(spark, f, "turn").select("session_id", "gen", "text", "outcome")
