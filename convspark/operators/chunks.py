@@ -49,13 +49,17 @@ def chunk_text(df: DataFrame, text_col: str = "text", flush_tail: bool = True) -
 
 def overlap_len(sent, window, limit: int = STREAM_OVERLAP) -> Column:
     """Longest n <= min(limit, |window|, |sent tail|) with sent ending in the
-    first n characters of ``window``; 0 when none."""
+    first n characters of ``window``; 0 when none.
+
+    One backtracking regex over ``tail NUL window``: the lazy prefix makes
+    the captured suffix of the tail as long as possible, and the
+    back-reference requires the window to start with it, so the first match
+    is the longest overlap (a handful of JIT-compiled steps per window, no
+    per-length loop)."""
     s, w = col_of(sent), col_of(window)
     tail = F.substr(s, F.greatest(F.length(s) - limit + 1, F.lit(1)))
-    hi = F.least(F.length(tail), F.length(w))
-    cand = F.filter(F.sequence(F.lit(1), F.greatest(hi, F.lit(1))),
-                    lambda n: (n <= hi) & F.endswith(tail, F.substr(w, F.lit(1), n)))
-    return F.coalesce(F.array_max(cand), F.lit(0))
+    hit = F.regexp_extract(F.concat(tail, F.lit("\u0000"), w), r"^[^\x{0}]*?([^\x{0}]++)\x{0}\1", 1)
+    return F.length(hit)
 
 
 def stitch_overlaps(df: DataFrame, sent_col: str, window_col: str, limit: int = STREAM_OVERLAP) -> DataFrame:

@@ -200,164 +200,15 @@ def f_msgs(spark: SparkSession, sf: str) -> DataFrame:
 
 def f_windows(spark: SparkSession, sf: str, size: int = 200, step: int = 150) -> DataFrame:
     """Overlapping re-cuts of each document: window i = text[step*i, +size);
-    ``sent`` = the window before it ('' for the first)."""
-    d = t(spark, sf, "documents").select("doc_id", "text")
-    i = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / step).cast("int")))
-    x = d.select("doc_id", "text", i.alias("i"))
-    return x.select(
-        "doc_id", F.col("i").cast("int").alias("i"),
-        F.when(F.col("i") == 0, F.lit("")).otherwise(
-            F.substr(F.col("text"), (F.col("i") - 1) * step + 1, F.lit(size))).alias("sent"),
-        F.substr(F.col("text"), F.col("i") * step + 1, F.lit(size)).alias("window"))
-
-
-# ---------------------------------------------------------------- F-LOGITS / F-SEQ
-def f_logits(spark: SparkSession, sf: str) -> DataFrame:
-    """One decoding step per embedding row: ``(seq_id, token_id, logit)``."""
-    e = t(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("seq_id"), F.posexplode("embedding").alias("token_id", "x")).select(
-        "seq_id", F.col("token_id").cast("int"), F.col("x").cast("double").alias("logit"))
-
-
-def f_seq_positions(spark: SparkSession, sf: str) -> DataFrame:
-    """Training sequences: seq = label, positions by vec_id, label of a
-    position = vec_id % 64, or -100 when vec_id % 7 = 0."""
-    from convspark.operators.scoring import number_positions
-
-    e = t(spark, sf, "embeddings").select(F.col("label").cast("long").alias("seq"), "vec_id")
-    x = number_positions(e, "seq", "vec_id", "pos")
-    return x.select("seq", "pos", "vec_id",
-                    F.when(F.col("vec_id") % 7 == 0, F.lit(-100)).otherwise(F.col("vec_id") % 64).cast("int")
-                    .alias("label"))
-
-
-# ---------------------------------------------------------------- F-PROMPTS / F-IMAGES
-def f_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    """One inference prompt per conversation: its system text (if any) and
-    first user text; even ids as a tagged string, odd ids as a JSON object."""
-    c = t(spark, sf, "conversations")
-    g = c.groupBy("conv_id").agg(
-        F.max_by(F.when(F.col("role") == "system", F.col("text")),
-                 F.when(F.col("role") == "system", F.col("turn"))).alias("system"),
-        F.min_by(F.when(F.col("role") == "user", F.col("text")),
-                 F.when(F.col("role") == "user", F.col("turn"))).alias("user"))
-    tagged = F.concat(
-        F.when(F.col("system").isNotNull(), F.concat(F.lit("<|system|>"), F.col("system"), F.lit("<|end|>\n")))
-        .otherwise(F.lit("")),
-        F.lit("<|user|>"), F.coalesce(F.col("user"), F.lit("")), F.lit("<|end|>"))
-    raw = F.when(F.col("conv_id") % 2 == 0, tagged).otherwise(F.to_json(F.struct("system", "user")))
-    return g.select(F.col("conv_id").alias("prompt_id"), raw.alias("raw"))
-
-
-def _b64(c):
-    return F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"[\r\n]", "")
-
-
-def f_images(spark: SparkSession, sf: str) -> DataFrame:
-    """User turns with inline image blocks and explicit image entries.
-
-    ``user``: text, plus (turn % 3 = 0) a block holding a data URL of
-    base64(role || turn), plus (conv_id % 7 = 0) a lower-case block with an
-    undecodable data URL.  ``entries``: JSON texts chosen by turn % 5 (data
-    URL, raw base64, path, https source object, ftp url) and, when
-    conv_id % 6 = 0, an object with bad base64 ``data``.  ``message``: a
-    message-level entry on even turns."""
-    c = t(spark, sf, "conversations").filter(F.col("role") == "user")
-    k, tn = F.col("conv_id"), F.col("turn")
-    block1 = F.when(tn % 3 == 0, F.concat(F.lit(" [IMAGE FILE: a.png]data:image/png;base64,"),
-                                          _b64(F.concat(F.col("role"), tn.cast("string"))), F.lit("[/IMAGE FILE]")))
-    block2 = F.when(k % 7 == 0, F.lit("\n[image file: b.png] data:image/png;base64,abc [/image file] "))
-    user = F.concat(F.col("text"), F.coalesce(block1, F.lit("")), F.coalesce(block2, F.lit("")))
-    root = sf.rstrip("/")
-    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))  # noqa: E731  (base64 needs no escaping)
-    e1 = (F.when(tn % 5 == 0, quoted(F.concat(F.lit("data:image/png;base64,"),
-                                              _b64(F.substr(F.col("text"), F.lit(1), F.lit(30))))))
-          .when(tn % 5 == 1, quoted(_b64(k.cast("string"))))
-          .when(tn % 5 == 2, F.to_json(F.struct(
-              F.when(k % 2 == 0, F.lit(root + "/nation.parquet"))
-              .otherwise(F.concat(F.lit("missing/"), k.cast("string"), F.lit(".png"))).alias("path"))))
-          .when(tn % 5 == 3, F.to_json(F.struct(F.struct(
-              F.concat(F.lit("https://img.example/"), k.cast("string"), F.lit(".png")).alias("url")).alias("source"))))
-          .otherwise(F.to_json(F.struct(F.concat(F.lit("ftp://img.example/"), k.cast("string")).alias("url")))))
-    entries = F.when(k % 6 == 0, F.array(e1, F.lit('{"data": "not base64!"}'))).otherwise(F.array(e1))
-    message = F.when(tn % 2 == 0, F.array(F.to_json(F.struct(F.concat(F.lit("https://cdn.example/"), k.cast("string"),
-                                                                       F.lit("/"), tn.cast("string")).alias("url")))))
-    return c.select(((k * 1024) + tn).alias("prompt_id"), "conv_id", "turn", user.alias("user"),
-                    entries.alias("entries"), message.alias("message"))
-
-
-# ---------------------------------------------------------------- catalogue / config
-def f_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Files of model directories: root models (even doc_id % 20) or var;
-    directory = source; ``config.json`` for doc_id < 15, else ``f<id>.bin``;
-    size = n_chars."""
-    d = t(spark, sf, "documents")
-    return d.select(F.when(F.col("doc_id") % 20 % 2 == 0, F.lit("models")).otherwise(F.lit("var")).alias("source"),
-                    F.col("source").alias("name"),
-                    F.when(F.col("doc_id") < 15, F.lit("config.json"))
-                    .otherwise(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".bin"))).alias("rel"),
-                    F.col("n_chars").alias("size"))
-
-
-def f_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw snapshot names from parts: ``'  ' + p_name + ' / ' + p_type + '-'``."""
-    p = t(spark, sf, "part")
-    return p.select(F.col("p_partkey").alias("id"),
-                    F.concat(F.lit("  "), F.col("p_name"), F.lit(" / "), F.col("p_type"), F.lit("-")).alias("raw"),
-                    "p_retailprice")
-
-
-def f_urls(spark: SparkSession, sf: str) -> DataFrame:
-    """Repository references: page URLs in four spellings (as is, relative,
-    trailing slash, padded)."""
-    p = t(spark, sf, "pages")
-    k = F.col("page_id") % 4
-    url = (F.when(k == 0, F.col("url"))
-           .when(k == 1, F.regexp_replace("url", r"^https?://[^/]+/", ""))
-           .when(k == 2, F.concat(F.col("url"), F.lit("/")))
-           .otherwise(F.concat(F.lit(" "), F.col("url"), F.lit(" "))))
-    return p.select(F.col("page_id").alias("id"), url.alias("url"))
-
-
-def f_hosts(spark: SparkSession, sf: str) -> DataFrame:
-    """Server addresses typed by users, from events.props ``k``."""
-    e = t(spark, sf, "events")
-    kk = F.get_json_object("props", "$.k").cast("long")
-    m = kk % 4
-    host = (F.when(m == 0, F.concat(F.lit("ws://H"), kk.cast("string"), F.lit(":8765/path")))
-            .when(m == 1, F.concat(F.lit("h"), kk.cast("string")))
-            .when(m == 2, F.concat(F.lit("wss://h"), kk.cast("string"), F.lit(":443")))
-            .otherwise(F.concat(F.lit("  h"), kk.cast("string"), F.lit(":80  "))))
-    return e.select("event_id", "user_id", "ts", host.alias("host"))
-
+    ``sent`` = the window before it ('' for the first).
 
-CONFIG_KEYS = {"signup": "max_new_tokens", "view": "temperature", "click": "top_p", "purchase": "top_k",
-               "error": "repetition_penalty"}
-
-
-def f_config(spark: SparkSession, sf: str) -> DataFrame:
-    """Session config updates from events: event type -> key; value =
-    floor(value), with '.5' appended for the three decimal keys."""
-    e = t(spark, sf, "events")
-    m = F.create_map(*[x for kv in CONFIG_KEYS.items() for x in map(F.lit, kv)])
-    key = F.element_at(m, F.col("event_type"))
-    base = F.floor("value").cast("long").cast("string")
-    val = F.when(key.isin("temperature", "top_p", "repetition_penalty"), F.concat(base, F.lit(".5"))).otherwise(base)
-    return e.select(F.col("user_id").alias("session_id"), key.alias("key"), val.alias("value"),
-                    F.col("event_id").alias("seq"), "event_type")
-
-
-def f_config_file(spark: SparkSession, sf: str) -> DataFrame:
-    """Config files, one per nation: each customer sets one default key
-    (chosen by c_custkey) or, every 31st, an extra key; last customer wins."""
-    from convspark.operators.config import DEFAULT_CONFIG
-
-    pairs = [(s, k) for s, kv in DEFAULT_CONFIG.items() for k in kv]
-    arr = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(k).alias("key")) for s, k in pairs])
-    c = t(spark, sf, "customer")
-    pick = F.element_at(arr, (F.col("c_custkey") % len(pairs) + 1).cast("int"))
-    x = c.select(F.col("c_nationkey").cast("long").alias("file_id"), "c_custkey",
-                 F.when(F.col("c_custkey") % 31 == 0, F.lit("extra")).otherwise(pick["section"]).alias("section"),
-                 F.when(F.col("c_custkey") % 31 == 0, F.lit("note")).otherwise(pick["key"]).alias("key"),
-                 F.round(F.col("c_acctbal") * 100).cast("long").cast("string").alias("value"))
-    return x.groupBy("file_id", "section", "key").agg(F.max_by("value", "c_custkey").alias("value"))
+    One regex pass per document cuts every window (a look-ahead captures
+    ``size`` characters at each ``step``), so the document text is never
+    copied once per window."""
+    d = t(spark, sf, "documents").select("doc_id", "text")
+    wins = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), 1)
+    x = d.select("doc_id", wins.alias("w"))
+    prev = F.concat(F.array(F.lit("")), F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))))
+    z = x.select("doc_id", F.posexplode(F.arrays_zip(F.col("w").alias("window"), prev.alias("sent"))).alias("i", "p"))
+    return z.select("doc_id", F.col("i").cast("int").alias("i"), F.col("p.sent").alias("sent"),
+                    F.col("p.window").alias("window"))
