@@ -113,9 +113,10 @@ def _udf(fn):
     import pandas as pd
     from pyspark.sql.types import StringType
 
-    def run(s: pd.Series) -> pd.Series:
+    def run(s):
         return fn(s)
 
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}  # real types, not postponed strings
     return F.pandas_udf(run, StringType())
 
 
