@@ -26,9 +26,20 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_LEAD_RE = r"\A" + PY_WS_CLASS + r"+"
+
+
 def py_strip(c) -> Column:
-    """Python ``str.strip()`` (all Unicode whitespace, both ends)."""
-    return F.regexp_replace(col_of(c), _STRIP_RE, "")
+    """Python ``str.strip()`` (all Unicode whitespace, both ends).
+
+    Most texts have no outer whitespace: only when the first or the last
+    character is whitespace do we run the (linear) regex passes; the
+    trailing run is removed by stripping the leading run of the reversed
+    text, which avoids trying a match at every position."""
+    x = col_of(c)
+    ws_end = F.substr(x, F.lit(1), F.lit(1)).rlike(PY_WS_CLASS) | F.substr(x, F.lit(-1), F.lit(1)).rlike(PY_WS_CLASS)
+    slow = F.reverse(F.regexp_replace(F.reverse(F.regexp_replace(x, _LEAD_RE, "")), _LEAD_RE, ""))
+    return F.when(ws_end, slow).otherwise(x)
 
 
 def py_is_blank(c) -> Column:

@@ -40,14 +40,13 @@ def _parse_stage(df: DataFrame, stripped: str, out: str) -> DataFrame:
     return df.drop("_sent", "_wrap", "_first")
 
 
-def render_scalar(v: Column, t: Column) -> Column:
+def render_scalar(v: Column, t: Column, stripped: Column) -> Column:
     """Python ``str()`` of a JSON scalar ``v`` whose variant type name is
-    ``t``: non-blank strings (stripped), numbers, booleans.  Null, blank
-    strings, objects and arrays give null.  ``v``/``t`` should be column
-    references (staged), they are used several times."""
-    s = py_strip(F.try_variant_get(v, "$", "string"))
+    ``t``: non-blank strings (stripped, given as ``stripped``), numbers,
+    booleans.  Null, blank strings, objects and arrays give null.  All three
+    inputs should be staged column references."""
     return (
-        F.when(t == "STRING", F.when(F.length(s) > 0, s))
+        F.when(t == "STRING", F.when(F.length(stripped) > 0, stripped))
         .when(t == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
         .when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(v, "$", "string"))
         .when(F.startswith(t, F.lit("DECIMAL")) & F.endswith(t, F.lit(",0)")), F.try_variant_get(v, "$", "string"))
@@ -57,14 +56,18 @@ def render_scalar(v: Column, t: Column) -> Column:
 
 
 def _pick_stage(df: DataFrame, obj: str, keys, out: str) -> DataFrame:
-    """Add ``out`` = first key of ``keys`` with a usable value."""
+    """Add ``out`` = first key of ``keys`` with a usable value (P1).  The
+    value, its type name and its stripped text are staged columns, so each
+    is computed once per line."""
     names = []
     for i, k in enumerate(keys):
-        v, tn = f"_v{i}", f"_t{i}"
+        v, tn, st = f"_v{i}", f"_t{i}", f"_st{i}"
         df = df.withColumn(v, F.try_variant_get(obj, f"$.{k}", "variant"))
         df = df.withColumn(tn, F.schema_of_variant(v))
-        names += [v, tn]
-    df = df.withColumn(out, F.coalesce(*[render_scalar(F.col(f"_v{i}"), F.col(f"_t{i}")) for i in range(len(keys))]))
+        df = df.withColumn(st, F.when(F.col(tn) == "STRING", py_strip(F.try_variant_get(v, "$", "string"))))
+        names += [v, tn, st]
+    df = df.withColumn(out, F.coalesce(*[render_scalar(F.col(f"_v{i}"), F.col(f"_t{i}"), F.col(f"_st{i}"))
+                                         for i in range(len(keys))]))
     return df.drop(*names)
 
 
