@@ -78,7 +78,8 @@ def py_float_repr(c) -> Column:
         sci = F.concat(F.substr(digits, F.lit(1), F.lit(1)),
                        F.when(nd > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(F.lit("")),
                        F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
-                       F.lpad(F.abs(e).cast("string"), 2, "0"))
+                       F.when(F.abs(e) < 10, F.concat(F.lit("0"), F.abs(e).cast("string")))
+                       .otherwise(F.abs(e).cast("string")))
         body = (F.when(digits == "0", F.lit("0.0"))
                 .when((e >= 0) & (e < 16), fixed_big)
                 .when((e < 0) & (e >= -4), fixed_small)

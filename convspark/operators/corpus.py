@@ -49,7 +49,11 @@ def render_scalar(v: Column, t: Column, stripped: Column) -> Column:
         F.when(t == "STRING", F.when(F.length(stripped) > 0, stripped))
         .when(t == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
         .when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(v, "$", "string"))
-        .when(F.startswith(t, F.lit("DECIMAL")) & F.endswith(t, F.lit(",0)")), F.try_variant_get(v, "$", "string"))
+        # integers that fit 64 bits arrive as BIGINT; a DECIMAL(p,0) below 19
+        # digits is a float literal with a zero fraction (10.0), above it a
+        # big integer literal
+        .when(F.startswith(t, F.lit("DECIMAL")) & F.endswith(t, F.lit(",0)"))
+              & (F.regexp_extract(t, r"DECIMAL\((\d+),", 1).cast("int") >= 19), F.try_variant_get(v, "$", "string"))
         .when(F.startswith(t, F.lit("DECIMAL")) | t.isin("DOUBLE", "FLOAT"),
               py_float_repr(F.try_variant_get(v, "$", "double")))
     )
