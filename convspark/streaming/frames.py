@@ -49,7 +49,7 @@ def land_stream_input(df: DataFrame, path: str, order_col: str, files: int = 4)
     stream sees the ranges in order, several micro-batches long."""
     import time
 
-    cuts = df.approxQuantile(order_col, [i / files for i in range(1, files)], 0.0) if files > 1 else []
+    cuts = df.approxQuantile(order_col, [i / files for i in range(1, files)], 0.001) if files > 1 else []
     bounds = [None] + sorted(set(cuts)) + [None]
     c = F.col(order_col)
     for lo, hi in zip(bounds[:-1], bounds[1:]):
