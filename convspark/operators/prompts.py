@@ -72,12 +72,29 @@ def build_chat_messages(system, user, n_images) -> Column:
 
 # ------------------------------------------------------------------ images
 def strict_b64(text) -> Column:
-    """Bytes of a base64 text the way a lenient Python decoder reads it:
-    characters outside the alphabet are dropped, then the padding must be
-    right; null when it is not."""
+    """Bytes of a base64 text read the way Python's default (non-strict)
+    decoder reads it: characters outside the alphabet are skipped; a run of
+    '=' that completes a quantum ends the input (later text is ignored);
+    other '=' are skipped; a quantum left incomplete is an error (null).
+
+    The text is cut into data runs and '=' runs by one regex; a small fold
+    over those runs finds where the input ends."""
     t = F.regexp_replace(col_of(text), r"[^A-Za-z0-9+/=]", "")
-    ok = F.regexp_like(t, F.lit(r"^[A-Za-z0-9+/]*={0,2}$")) & (F.length(t) % 4 == 0)
-    return F.when(ok, F.try_to_binary(t, F.lit("base64")))
+    runs = F.regexp_extract_all(t, F.lit(r"[A-Za-z0-9+/]+|=+"), 0)
+    start = F.struct(F.lit("").alias("data"), F.lit(False).alias("done"))
+
+    def step(acc, x):
+        quad = F.length(acc["data"]) % 4
+        ends = F.startswith(x, F.lit("=")) & (((quad == 2) & (F.length(x) >= 2)) | (quad == 3))
+        return (F.when(acc["done"], acc)
+                .when(F.startswith(x, F.lit("=")), F.struct(acc["data"].alias("data"), ends.alias("done")))
+                .otherwise(F.struct(F.concat(acc["data"], x).alias("data"), F.lit(False).alias("done"))))
+
+    st = F.aggregate(runs, start, step)
+    n = F.length(st["data"]) % 4
+    padded = F.concat(st["data"], F.when(n == 2, F.lit("==")).when(n == 3, F.lit("=")).otherwise(F.lit("")))
+    ok = (n == 0) | (st["done"] & (n >= 2))
+    return F.when(ok, F.try_to_binary(padded, F.lit("base64")))
 
 
 def decode_data_url(url) -> Column:
