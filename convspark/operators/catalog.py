@@ -101,8 +101,17 @@ def unique_names(requests: DataFrame, existing: DataFrame, name_col: str = "name
     per_base = req.groupBy("_bkey").agg(F.count(F.lit(1)).alias("_m"), F.first("_base").alias("_b0"))
     ex_cnt = ex_b.join(per_base.select("_bkey"), "_bkey", "left_semi").groupBy("_bkey") \
         .agg(F.count(F.lit(1)).alias("_e"))
-    slots = (per_base.join(ex_cnt, "_bkey", "left")
-             .select("_bkey", F.explode(F.sequence(F.lit(0), F.col("_m") + F.coalesce("_e", F.lit(0)))).alias("_k")))
+    # candidate slots 0..m+e per base, generated in chunks of 2^16 that are
+    # spread over tasks first, so a base with a huge request count is not
+    # expanded by a single task
+    span = per_base.join(ex_cnt, "_bkey", "left").select(
+        "_bkey", (F.col("_m") + F.coalesce("_e", F.lit(0))).alias("_hi"))
+    chunks = span.select("_bkey", "_hi", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                              F.shiftright("_hi", 16))).alias("_c"))
+    chunks = chunks.repartition("_bkey", "_c")
+    slots = chunks.select("_bkey", F.explode(F.sequence(F.shiftleft("_c", 16),
+                                                        F.least(F.shiftleft(F.col("_c") + 1, 16) - 1, "_hi")))
+                          .alias("_k"))
     slots = slots.withColumn("_cand", F.when(F.col("_k") == 0, F.col("_bkey"))
                              .otherwise(F.concat(F.col("_bkey"), F.lit("_"), F.col("_k").cast("string"))))
     free = slots.join(ex, slots["_cand"] == ex["_ename"], "left_anti")

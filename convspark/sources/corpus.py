@@ -19,8 +19,10 @@ def land_corpus(lines: DataFrame, path: str, order_col: str | None = None) -> No
     if order_col:
         latest = x.groupBy("rid").agg(F.max_by("request_id", order_col).alias("_winner"))
         x = x.join(latest, "rid").filter(F.col("request_id") == F.col("_winner")).drop("_winner")
-    # one file per request folder, lines in file order
-    out = x.repartition("rid").sortWithinPartitions("rid", "line_no").select("rid", "value")
+    # no repartition by request: a request holding a third of all lines would
+    # land through one task; each task writes its own file per folder,
+    # lines in their original order within it
+    out = x.sortWithinPartitions("rid", "line_no").select("rid", "value")
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("rid").text(path))
 
