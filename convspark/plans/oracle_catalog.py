@@ -25,7 +25,7 @@ ORACLE["a3_catalog_sizes"] = f"""WITH {FILES}
 SELECT source, name, path, round(size_mb, 6) AS size_mb FROM cat"""
 
 ORACLE["s1_union_roots"] = f"""WITH {FILES}
-SELECT source, name, count(*) AS n_files, sum(size) AS bytes FROM files GROUP BY source, name"""
+SELECT source, name, count(*) AS n_files, sum(size)::BIGINT AS bytes FROM files GROUP BY source, name"""
 
 ORACLE["o5_auto_select"] = f"""WITH {FILES}
 SELECT arg_min(path, (source <> 'models', name)) AS path, count(*) AS n_models FROM cat"""

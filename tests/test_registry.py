@@ -40,6 +40,9 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
+DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+              "BOOLEAN": "boolean", "FLOAT": "float", "BLOB": "binary"}
+
 # sf0.001 oracles that hard-code sf0.01 file paths are checked by tools/check_oracle.py
 PATH_BOUND = {"p9_classify_images", "src7_load_images", "src5_scan_artifacts", "s2_concat_images"}
 
@@ -55,6 +58,8 @@ def test_query_matches_oracle(spark, sf, con, name):
     ocols = rel.columns
     orows = rel.fetchall()
     assert sorted(cols) == sorted(ocols)
+    duck = {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(ocols, rel.types)}
+    assert dict(df.dtypes) == duck
     order = sorted(cols)
     a = Counter(tuple(norm(r[cols.index(c)]) for c in order) for r in rows)
     b = Counter(tuple(norm(r[ocols.index(c)]) for c in order) for r in orows)
