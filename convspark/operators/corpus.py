@@ -30,10 +30,13 @@ def _parse_stage(df: DataFrame, stripped: str, out: str) -> DataFrame:
     Each stage is its own column so the parse runs once per line.
     """
     s = F.col(stripped)
-    df = df.withColumn("_sent", F.md5(s))
-    df = df.withColumn("_wrap", F.try_parse_json(F.concat(F.lit("["), s, F.lit(',"'), F.col("_sent"), F.lit('"]'))))
+    # the sentinel is the line's own 64-bit hash: cheap, and a line cannot
+    # carry the hash of itself as a trailing element
+    df = df.withColumn("_sent", F.xxhash64(s))
+    df = df.withColumn("_wrap", F.try_parse_json(F.concat(F.lit("["), s, F.lit(","), F.col("_sent").cast("string"),
+                                                          F.lit("]"))))
     first = F.try_variant_get("_wrap", "$[0]", "variant")
-    exact = (F.try_variant_get("_wrap", "$[1]", "string") == F.col("_sent")) & \
+    exact = (F.try_variant_get("_wrap", "$[1]", "bigint") == F.col("_sent")) & \
         F.try_variant_get("_wrap", "$[2]", "variant").isNull()
     df = df.withColumn("_first", F.when(exact, first))
     df = df.withColumn(out, F.when(F.startswith(F.schema_of_variant("_first"), F.lit("OBJECT")), F.col("_first")))

@@ -33,10 +33,10 @@ def parse_exact_json(df: DataFrame, text_col: str, out: str) -> DataFrame:
     from convspark.functions.text import py_strip
 
     s = py_strip(text_col)
-    df = df.withColumn("_s", s).withColumn("_sent", F.md5("_s"))
-    df = df.withColumn("_w", F.try_parse_json(F.concat(F.lit("["), F.col("_s"), F.lit(',"'), F.col("_sent"),
-                                                       F.lit('"]'))))
-    exact = (F.try_variant_get("_w", "$[1]", "string") == F.col("_sent")) & \
+    df = df.withColumn("_s", s).withColumn("_sent", F.xxhash64("_s"))
+    df = df.withColumn("_w", F.try_parse_json(F.concat(F.lit("["), F.col("_s"), F.lit(","),
+                                                       F.col("_sent").cast("string"), F.lit("]"))))
+    exact = (F.try_variant_get("_w", "$[1]", "bigint") == F.col("_sent")) & \
         F.try_variant_get("_w", "$[2]", "variant").isNull()
     return df.withColumn(out, F.when(exact, F.try_variant_get("_w", "$[0]", "variant"))).drop("_s", "_sent", "_w")
 
