@@ -59,7 +59,12 @@ def overlap_len(sent, window, limit: int = STREAM_OVERLAP) -> Column:
     s, w = col_of(sent), col_of(window)
     tail = F.substr(s, F.greatest(F.length(s) - limit + 1, F.lit(1)))
     hit = F.regexp_extract(F.concat(tail, F.lit("\u0000"), w), r"^[^\x{0}]*?([^\x{0}]++)\x{0}\1", 1)
-    return F.length(hit)
+    # texts holding NUL themselves take the per-length search instead
+    hi = F.least(F.length(tail), F.length(w))
+    cand = F.filter(F.sequence(F.lit(1), F.greatest(hi, F.lit(1))),
+                    lambda n: (n <= hi) & F.endswith(tail, F.substr(w, F.lit(1), n)))
+    has_nul = (F.instr(tail, "\u0000") > 0) | (F.instr(w, "\u0000") > 0)
+    return F.when(has_nul, F.coalesce(F.array_max(cand), F.lit(0))).otherwise(F.length(hit))
 
 
 def stitch_overlaps(df: DataFrame, sent_col: str, window_col: str, limit: int = STREAM_OVERLAP) -> DataFrame:
