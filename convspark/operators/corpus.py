@@ -86,6 +86,15 @@ def pick_first(df: DataFrame, keys=INPUT_KEYS, value_col: str = "value", out: st
     return _pick_stage(df, "_obj", keys, out).drop("_strip", "_obj")
 
 
+def pick_source_target(df: DataFrame, value_col: str = "value") -> DataFrame:
+    """P1 for both sides at once: ``source`` (prompt keys) and ``target``
+    (answer keys) from one strip and one parse of each line."""
+    df = df.withColumn("_strip", py_strip(value_col))
+    df = _parse_stage(df, "_strip", "_obj")
+    df = _pick_stage(df, "_obj", INPUT_KEYS, "source")
+    return _pick_stage(df, "_obj", TARGET_KEYS, "target").drop("_strip", "_obj")
+
+
 def drop_blank(df: DataFrame, value_col: str = "value") -> DataFrame:
     """Remove lines that are blank after a Python-style strip."""
     return df.filter(~py_is_blank(value_col))

@@ -41,10 +41,7 @@ def q_drop_blank(spark, sf):
 
 @register("p1_pick_first")
 def q_pick_first(spark, sf):
-    lines = FX.f_jsonl(spark, sf)
-    lines = C.pick_first(lines, C.INPUT_KEYS, out="source")
-    lines = C.pick_first(lines, C.TARGET_KEYS, out="target")
-    return lines.select("request_id", "line_no", "source", "target")
+    return C.pick_source_target(FX.f_jsonl(spark, sf)).select("request_id", "line_no", "source", "target")
 
 
 @register("p2_to_samples")

@@ -46,10 +46,16 @@ def land_stream_input(df: DataFrame, path: str, order_col: str, files: int = 4)
     """Drop a table into ``path`` the way an upstream producer would: in
     ``files`` consecutive ranges of ``order_col``, one append after the
     other.  A file stream takes files in modification-time order, so the
-    stream sees the ranges in order, several micro-batches long."""
+    stream sees the ranges in order, several micro-batches long.
+
+    The table is computed once into a staging folder; the range files are
+    cut from that copy."""
     import time
 
-    cuts = df.approxQuantile(order_col, [i / files for i in range(1, files)], 0.001) if files > 1 else []
+    stage = path.rstrip("/") + "_stage"
+    df.write.mode("overwrite").parquet(stage)
+    staged = df.sparkSession.read.parquet(stage)
+    cuts = staged.approxQuantile(order_col, [i / files for i in range(1, files)], 0.001) if files > 1 else []
     bounds = [None] + sorted(set(cuts)) + [None]
     c = F.col(order_col)
     for lo, hi in zip(bounds[:-1], bounds[1:]):
@@ -58,7 +64,7 @@ def land_stream_input(df: DataFrame, path: str, order_col: str, files: int = 4)
             cond = cond & (c > F.lit(lo))
         if hi is not None:
             cond = cond & (c <= F.lit(hi))
-        df.filter(cond).coalesce(1).sortWithinPartitions(order_col).write.mode("append").parquet(path)
+        staged.filter(cond).coalesce(1).sortWithinPartitions(order_col).write.mode("append").parquet(path)
         time.sleep(0.05)  # distinct modification times
 
 
