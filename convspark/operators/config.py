@@ -56,6 +56,30 @@ def merge_config(updates: DataFrame, scope: str = "session_id") -> DataFrame:
     return allx.groupBy(scope, "key").agg(F.max_by("value", F.struct("layer", "seq")).alias("value"))
 
 
+def request_config(events: DataFrame, scope: str = "session_id", block_bits: int = 16) -> DataFrame:
+    """J3 at request time: the generation config each inference request
+    runs with = defaults, then the session's updates made before the
+    request (later wins), then the request's own override, which is not
+    kept for later requests.
+
+    ``events``: ``(scope, seq, kind, key, value)`` with kind ``update`` or
+    ``request`` (a request row may carry one override key/value).  One
+    skew-safe blocked running scan (see :mod:`convspark.operators.prefix`)
+    carries the latest update of every default key; output has one row per
+    request and one column per key."""
+    from convspark.operators.prefix import running
+
+    keys = list(GENERATION_DEFAULTS)
+    upd = F.col("kind") == "update"
+    maxes = {f"_u_{k}": (F.when(upd & (F.col("key") == k), F.struct(F.col("seq").alias("s"), F.col("value").alias("v"))),
+                         True) for k in keys}
+    x = running(events, [scope], "seq", maxes=maxes, block_bits=block_bits).filter(F.col("kind") == "request")
+    req = F.col("kind") == "request"
+    cols = [F.coalesce(F.when(req & (F.col("key") == k), F.col("value")), F.col(f"_u_{k}.v"),
+                       F.lit(json_text(v))).alias(k) for k, v in GENERATION_DEFAULTS.items()]
+    return x.select(scope, "seq", *cols)
+
+
 def fill_defaults(config: DataFrame, scope: str = "file_id") -> DataFrame:
     """Two-level fill of a config file: a missing section or a missing
     key takes the default; present keys (and extra keys) are kept as they

@@ -191,3 +191,18 @@ f AS (SELECT r.*, EXISTS (SELECT 1 FROM jobs j WHERE r.ts >= j.start AND r.ts <
 SELECT req_id, kind, blocked,
   CASE WHEN blocked AND kind = 'inference' THEN 'rejected' WHEN blocked THEN 'waiting' ELSE 'run' END AS outcome
 FROM f"""
+
+_LAST = ",\n  ".join(
+    f"last_value(CASE WHEN kind = 'update' AND key = '{k}' THEN value END IGNORE NULLS) OVER w AS u_{k}"
+    for k in DEFAULT_CONFIG["generation_defaults"])
+_EFF = ",\n  ".join(
+    f"coalesce(CASE WHEN key = '{k}' THEN value END, u_{k}, '{json.dumps(v)}') AS {k}"
+    for k, v in DEFAULT_CONFIG["generation_defaults"].items())
+
+ORACLE["j3_request_config"] = f"""WITH {CONFIG},
+ev AS (SELECT c.*, CASE WHEN e.event_type = 'click' THEN 'request' ELSE 'update' END AS kind
+       FROM cfgu c JOIN events e ON e.event_id = c.seq),
+r AS (SELECT *, {_LAST}
+      FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT session_id, seq, {_EFF}
+FROM r WHERE kind = 'request'"""

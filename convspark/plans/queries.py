@@ -484,6 +484,15 @@ def q_merge(spark, sf):
     return CF.merge_config(upd)
 
 
+@register("j3_request_config")
+def q_request_config(spark, sf):
+    c = FX.f_config(spark, sf)
+    ev = c.select("session_id", "seq",
+                  F.when(F.col("event_type") == "click", F.lit("request")).otherwise(F.lit("update")).alias("kind"),
+                  "key", "value")
+    return CF.request_config(ev)
+
+
 @register("j4_fill_defaults")
 def q_fill(spark, sf):
     return CF.fill_defaults(FX.f_config_file(spark, sf))
@@ -632,3 +641,11 @@ def q_stream_job_status(spark, sf):
 def q_stream_transcripts(spark, sf):
     f = FX.f_frames(spark, sf).withColumn("turn", F.shiftright("seq", 20))
     return ST.stream_transcripts(spark, f, "turn").select("session_id", "gen", "text", "outcome")
+
+
+@register("src3_stream_append_log")
+def q_stream_append_log(spark, sf):
+    path = scratch_path(spark, "log")
+    ST.stream_append_log(spark, frames_json(spark, sf), path)
+    kept, _dead = SLG.scan_log(spark, path)
+    return kept.select("session_id", "seq", "type")

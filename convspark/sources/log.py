@@ -29,14 +29,15 @@ def frame_id(session_id, seq):
     return F.sha2(F.concat_ws(":", session_id.cast("string"), seq.cast("string")), 256)
 
 
-def append_log(frames: DataFrame, path: str, frame_json: str = "frame", buckets: int = 64) -> None:
+def append_log(frames: DataFrame, path: str, frame_json: str = "frame", buckets: int = 64,
+               mode: str = "append") -> None:
     """SRC3: append ``(session_id, seq, frame)`` rows as encoded log lines."""
     out = frames.select(
         F.col("session_id").cast("long"), F.col("seq").cast("long"),
         frame_id(F.col("session_id"), F.col("seq")).alias("id"),
         encode_log(F.col(frame_json)).alias("data"),
         F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket"))
-    out.write.mode("append").partitionBy("bucket").json(path)
+    out.write.mode(mode).partitionBy("bucket").json(path)
 
 
 def scan_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -112,6 +112,26 @@ def stream_frames(spark: SparkSession, msgs: DataFrame, work: str | None = None)
         read_sink(spark, f"{work}/sink", "dead_letter")).drop("batch")
 
 
+# ------------------------------------------------------------------ SRC3 on a stream
+def stream_append_log(spark: SparkSession, frames: DataFrame, log_path: str, work: str | None = None) -> None:
+    """SRC3 fed by a stream: each micro-batch of ``(session_id, seq, frame)``
+    is encoded and written to ``log_path/batch=<id>`` with overwrite, so a
+    replayed batch replaces its own lines; line ids are hashes of the frame
+    key, so readers can also de-duplicate across batches (X4)."""
+    from convspark.sources.log import append_log
+
+    work = work or scratch_path(spark, "src3s")
+    land_stream_input(frames, f"{work}/in", "seq")
+    s = file_stream(spark, f"{work}/in", frames.schema)
+
+    def write(batch: DataFrame, batch_id: int):
+        append_log(batch, f"{log_path}/batch={batch_id}", mode="overwrite")
+
+    q = (s.writeStream.option("checkpointLocation", f"{work}/ckpt").foreachBatch(write)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 # ------------------------------------------------------------------ X5
 def stream_job_status(spark: SparkSession, events: DataFrame, work: str | None = None) -> DataFrame:
     """A7 as a streaming aggregation in update mode."""
