@@ -140,28 +140,28 @@ def f_frames(spark: SparkSession, sf: str) -> DataFrame:
         F.size(F.regexp_extract_all("user", F.lit(TOKEN_RE), 0)).alias("tin"),
         F.size(F.regexp_extract_all("assistant", F.lit(TOKEN_RE), 0)).alias("tout"),
         chunk_array("assistant", True).alias("chunks"))
-    base = F.shiftleft(F.col("turn"), 20)
+    # every frame of a generation comes out of one array and one explode:
+    # the conversation pairs are computed once
+    base = F.shiftleft(F.col("turn"), 20).cast("long")
     n = F.size("chunks")
     err = (F.col("session_id") % 5 == 3) & (F.col("turn") >= 3)
     nul_s, nul_i = F.lit(None).cast("string"), F.lit(None).cast("int")
-    start = p.select("session_id", base.alias("seq"), F.lit("start").alias("type"), nul_s.alias("data"),
-                     F.col("tin").cast("int").alias("tokens_in"), nul_i.alias("total_tokens"),
-                     nul_s.alias("message"))
-    toks = p.select("session_id", "turn", F.posexplode("chunks").alias("pos", "chunk")).select(
-        "session_id", (base + F.col("pos") + 1).alias("seq"), F.lit("token").alias("type"),
-        F.col("chunk").alias("data"), nul_i.alias("tokens_in"), nul_i.alias("total_tokens"), nul_s.alias("message"))
-    end = p.select("session_id", (base + n + 1).alias("seq"),
-                   F.when(err, F.lit("error")).otherwise(F.lit("done")).alias("type"), nul_s.alias("data"),
-                   nul_i.alias("tokens_in"), F.when(~err, F.col("tout")).cast("int").alias("total_tokens"),
-                   F.when(err, F.lit(GEN_ERROR)).alias("message"))
-    ack = p.filter((F.col("session_id") % 4 == 0) & (F.col("turn") == 3)).select(
-        "session_id", (base + n + 2).alias("seq"), F.lit("ack").alias("type"), nul_s.alias("data"),
-        nul_i.alias("tokens_in"), nul_i.alias("total_tokens"), nul_s.alias("message"))
-    pong = p.filter(F.col("session_id") % 3 == 0).select(
-        "session_id", (base + n + 3).alias("seq"), F.lit("pong").alias("type"), nul_s.alias("data"),
-        nul_i.alias("tokens_in"), nul_i.alias("total_tokens"), nul_s.alias("message"))
-    return (start.unionByName(toks).unionByName(end).unionByName(ack).unionByName(pong)
-            .withColumn("seq", F.col("seq").cast("long")))
+
+    def frame(seq, typ, data=nul_s, tin=nul_i, tot=nul_i, msg=nul_s):
+        return F.struct(seq.cast("long").alias("seq"), typ.alias("type"), data.alias("data"),
+                        tin.cast("int").alias("tokens_in"), tot.cast("int").alias("total_tokens"), msg.alias("message"))
+
+    start = frame(base, F.lit("start"), tin=F.col("tin"))
+    toks = F.transform("chunks", lambda c, i: frame(base + i + 1, F.lit("token"), data=c))
+    end = frame(base + n + 1, F.when(err, F.lit("error")).otherwise(F.lit("done")),
+                tot=F.when(~err, F.col("tout")), msg=F.when(err, F.lit(GEN_ERROR)))
+    empty = F.array().cast("array<struct<seq:bigint,type:string,data:string,tokens_in:int,total_tokens:int,"
+                           "message:string>>")
+    ack = F.when((F.col("session_id") % 4 == 0) & (F.col("turn") == 3),
+                 F.array(frame(base + n + 2, F.lit("ack")))).otherwise(empty)
+    pong = F.when(F.col("session_id") % 3 == 0, F.array(frame(base + n + 3, F.lit("pong")))).otherwise(empty)
+    allf = F.concat(F.array(start), toks, F.array(end), ack, pong)
+    return p.select("session_id", F.explode(allf).alias("f")).select("session_id", "f.*")
 
 
 # ---------------------------------------------------------------- F-PROTO
