@@ -10,9 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convspark.functions import codec as K
+from convspark.functions import names as NM
 from convspark.operators import batches as B
+from convspark.operators import catalog as CA
+from convspark.operators import chunks as CH
+from convspark.operators import config as CF
 from convspark.operators import corpus as C
+from convspark.operators import frames as FR
+from convspark.operators import jobs as JB
+from convspark.operators import prompts as PR
+from convspark.operators import scoring as SC
 from convspark.plans import fixtures as FX
+from convspark.session import scratch_path
+from convspark.sources import config_file as SCF
+from convspark.sources import corpus as SCO
+from convspark.sources import log as SLG
+from convspark.sources.artifacts import scan_artifacts
+from convspark.streaming import frames as ST
 
 QUERIES: dict = {}
 
@@ -132,9 +147,6 @@ def q_latest_loss(spark, sf):
 
 
 # ------------------------------------------------------------------ frames
-from convspark.functions import codec as K  # noqa: E402
-from convspark.operators import chunks as CH  # noqa: E402
-from convspark.operators import frames as FR  # noqa: E402
 
 
 @register("t4_chunk_text")
@@ -229,7 +241,6 @@ def q_purge(spark, sf):
 
 
 # ------------------------------------------------------------------ scoring
-from convspark.operators import scoring as SC  # noqa: E402
 
 
 @register("w2_softmax")
@@ -271,8 +282,6 @@ def q_xent(spark, sf):
 
 
 # ------------------------------------------------------------------ prompts
-from convspark.operators import prompts as PR  # noqa: E402
-from convspark.sources.artifacts import scan_artifacts  # noqa: E402
 
 
 @register("p5_parse_tagged_prompt")
@@ -384,10 +393,6 @@ def q_filter_context(spark, sf):
 
 
 # ------------------------------------------------------------------ catalogue, config, jobs
-from convspark.functions import names as NM  # noqa: E402
-from convspark.operators import catalog as CA  # noqa: E402
-from convspark.operators import config as CF  # noqa: E402
-from convspark.operators import jobs as JB  # noqa: E402
 
 
 def catalog(spark, sf):
@@ -528,10 +533,6 @@ def q_blocked(spark, sf):
 
 
 # ------------------------------------------------------------------ sources
-from convspark.session import scratch_path  # noqa: E402
-from convspark.sources import config_file as SCF  # noqa: E402
-from convspark.sources import corpus as SCO  # noqa: E402
-from convspark.sources import log as SLG  # noqa: E402
 
 
 def _corpus_stats(lines):
@@ -601,7 +602,6 @@ def q_scan_config(spark, sf):
 
 
 # ------------------------------------------------------------------ streaming
-from convspark.streaming import frames as ST  # noqa: E402
 
 
 @register("x1_stream_frames")
