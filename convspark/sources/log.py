@@ -40,17 +40,30 @@ def append_log(frames: DataFrame, path: str, frame_json: str = "frame", buckets:
     out.write.mode(mode).partitionBy("bucket").json(path)
 
 
-def scan_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def session_bucket(session_id, buckets: int = 64):
+    """The folder a session's lines land in (same rule as ``append_log``)."""
+    sid = session_id if hasattr(session_id, "cast") else F.lit(session_id).cast("long")
+    return F.pmod(F.xxhash64(sid.cast("long")), F.lit(buckets))
+
+
+def scan_log(spark: SparkSession, path: str, session_ids=None, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
     """SRC4: decoded frames and dead letters.
 
     Blank lines are skipped; a line whose data decodes to nothing is
     dropped; a line whose decoded text is not JSON ends its session's read:
     that line and every later one (by ``seq``) of the session are left out,
     what came before is kept.  A line that is not a JSON envelope at all
-    cannot be tied to a session and goes to the dead letters.
+    cannot be tied to a session and goes to the dead letters.  With
+    ``session_ids`` only those sessions' bucket folders are read.
     Returns ``(frames, dead_letters)``."""
     raw = (spark.read.schema(LOG_SCHEMA).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    if session_ids is not None:
+        # reading a few sessions (a reconnect) touches only their bucket
+        # folders: the bucket test folds to literals and prunes partitions
+        wanted = sorted({int(s) for s in session_ids})
+        raw = raw.filter(F.col("bucket").isin(*[session_bucket(s, buckets) for s in wanted])
+                         & F.col("session_id").isin(*wanted))
     dead = raw.filter(F.col("_corrupt_record").isNotNull() | F.col("session_id").isNull()) \
         .select("bucket", "_corrupt_record")
     good = raw.filter(F.col("_corrupt_record").isNull() & F.col("session_id").isNotNull())

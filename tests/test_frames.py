@@ -59,3 +59,21 @@ def test_blocked_running_matches_plain_window(spark):
     a = sorted(tuple(r) for r in out.select("k", "s", "m", "mx", "c").collect())
     b = sorted(tuple(r) for r in ref.collect())
     assert a == b
+
+
+def test_scan_log_prunes_buckets(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    from convspark.plans.queries import frames_json
+    from convspark.sources.log import append_log, scan_log
+
+    path = str(tmp_path / "log")
+    fj = frames_json(spark, sf)
+    append_log(fj, path)
+    kept, _ = scan_log(spark, path, session_ids=[3, 5])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    all_kept, _ = scan_log(spark, path)
+    a = sorted(tuple(r) for r in kept.select("session_id", "seq").collect())
+    b = sorted(tuple(r) for r in all_kept.filter(F.col("session_id").isin(3, 5)).select("session_id", "seq").collect())
+    assert a == b and len(a) > 0
