@@ -172,9 +172,13 @@ def f_proto(spark: SparkSession, sf: str) -> DataFrame:
     """Frames from events: one session per user, arrival order = event_id."""
     e = t(spark, sf, "events")
     m = F.create_map(*[x for kv in PROTO_TYPES.items() for x in map(F.lit, kv)])
+    cfg = F.col("event_type") == "signup"
     return e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"),
                     F.element_at(m, F.col("event_type")).alias("type"), "ts", "value",
-                    F.sha2(F.concat_ws(":", F.col("user_id"), F.col("event_id")), 256).alias("id"))
+                    F.sha2(F.concat_ws(":", F.col("user_id"), F.col("event_id")), 256).alias("id"),
+                    # a config frame sets max_new_tokens to floor(value)
+                    F.when(cfg, F.lit("max_new_tokens")).alias("cfg_key"),
+                    F.when(cfg, F.floor("value").cast("long").cast("string")).alias("cfg_value"))
 
 
 def f_msgs(spark: SparkSession, sf: str) -> DataFrame:

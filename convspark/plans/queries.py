@@ -612,12 +612,12 @@ def q_stream_frames(spark, sf):
 @register("x2_stream_sessions")
 def q_stream_sessions(spark, sf):
     return ST.stream_sessions(spark, FX.f_proto(spark, sf)).select(
-        "session_id", "created", "last_activity", "n_frames", "n_config", "pending", "closed")
+        "session_id", "created", "last_activity", "n_frames", "n_config", "pending", "config", "closed")
 
 
 @register("x2_sessions_batch")
 def q_sessions_batch(spark, sf):
-    return ST.sessions_batch(FX.f_proto(spark, sf).select("session_id", "seq", "type"))
+    return ST.sessions_batch(FX.f_proto(spark, sf).select("session_id", "seq", "type", "cfg_key", "cfg_value"))
 
 
 @register("x4_stream_dedupe")

@@ -157,52 +157,71 @@ def stream_dedupe(spark: SparkSession, lines: DataFrame, ts_col: str = "ts", del
 
 
 # ------------------------------------------------------------------ X2
-SESSION_STATE = "created long, last long, n_frames long, n_config long, pending long"
+SESSION_STATE = "created long, last long, n_frames long, n_config long, pending long, updates string"
 SESSION_OUT = ("session_id long, created long, last_activity long, n_frames long, n_config long, "
-               "pending long, closed boolean")
+               "pending long, config string, closed boolean")
+
+
+def render_config(updates: dict) -> str:
+    """Generation defaults overlaid with a session's updates, as sorted
+    ``key=value`` pairs joined by ';'."""
+    from convspark.operators.config import GENERATION_DEFAULTS, json_text
+
+    merged = {k: json_text(v) for k, v in GENERATION_DEFAULTS.items()}
+    merged.update(updates)
+    return ";".join(f"{k}={merged[k]}" for k in sorted(merged))
 
 
 def _session_step(key, pdfs, state: GroupState):
     """Fold one micro-batch of a session's frames (seq order) into its state.
 
-    Every frame bumps ``last``; ``config`` frames count as config updates;
-    buffered frames since the last flush are ``pending``; ``ack`` removes
-    the session (a later frame starts a new one)."""
+    Every frame bumps ``last``; ``config`` frames merge their key/value into
+    the session config (later wins); buffered frames since the last flush
+    are ``pending``; ``ack`` removes the session (a later frame starts a new
+    one)."""
+    import json
+
     sid = int(key[0])
     if state.exists:
-        created, last, n_frames, n_config, pending = state.get
+        created, last, n_frames, n_config, pending, upd = state.get
+        updates = json.loads(upd)
         alive = True
     else:
         created = last = n_frames = n_config = pending = 0
+        updates = {}
         alive = False
-    closed = False
     for pdf in pdfs:
-        for seq, typ in zip(pdf["seq"].to_numpy(), pdf["type"].to_numpy()):
+        for seq, typ, ck, cv in zip(pdf["seq"].to_numpy(), pdf["type"].to_numpy(), pdf["cfg_key"].to_numpy(),
+                                    pdf["cfg_value"].to_numpy()):
             seq = int(seq)
             if typ == "ack":
-                alive, closed = False, True
+                alive = False
                 created = last = n_frames = n_config = pending = 0
+                updates = {}
                 continue
             if not alive:
-                alive, closed = True, False
-                created, n_frames, n_config, pending = seq, 0, 0, 0
+                alive = True
+                created, n_frames, n_config, pending, updates = seq, 0, 0, 0, {}
             last = seq
             n_frames += 1
             if typ == "config":
                 n_config += 1
+                if isinstance(ck, str) and isinstance(cv, str):
+                    updates[ck] = cv
             if typ in FR.BUFFERED_TYPES:
                 pending += 1
             if typ in FR.FLUSH_TYPES:
                 pending = 0
     if alive:
-        state.update((created, last, n_frames, n_config, pending))
+        state.update((created, last, n_frames, n_config, pending, json.dumps(updates, sort_keys=True)))
         yield pd.DataFrame([{"session_id": sid, "created": created, "last_activity": last, "n_frames": n_frames,
-                             "n_config": n_config, "pending": pending, "closed": False}])
+                             "n_config": n_config, "pending": pending, "config": render_config(updates),
+                             "closed": False}])
     else:
         if state.exists:
             state.remove()
         yield pd.DataFrame([{"session_id": sid, "created": None, "last_activity": None, "n_frames": 0,
-                             "n_config": 0, "pending": 0, "closed": True}])
+                             "n_config": 0, "pending": 0, "config": None, "closed": True}])
 
 
 def _sorted_session_step(key, pdfs, state: GroupState):
@@ -211,13 +230,17 @@ def _sorted_session_step(key, pdfs, state: GroupState):
     yield from _session_step(key, merged, state)
 
 
+FRAME_COLS = "session_id long, seq long, type string, cfg_key string, cfg_value string"
+
+
 def stream_sessions(spark: SparkSession, frames: DataFrame, work: str | None = None) -> DataFrame:
     """Live session table; one output row per session touched in a
-    micro-batch (update mode), read back as the latest row per session."""
+    micro-batch (update mode), read back as the latest row per session.
+    ``frames``: ``(session_id, seq, type, cfg_key, cfg_value)``."""
     _pickle_by_value()
     work = work or scratch_path(spark, "x2")
-    land_stream_input(frames.select("session_id", "seq", "type"), f"{work}/in", "seq")
-    s = file_stream(spark, f"{work}/in", "session_id long, seq long, type string")
+    land_stream_input(frames.select("session_id", "seq", "type", "cfg_key", "cfg_value"), f"{work}/in", "seq")
+    s = file_stream(spark, f"{work}/in", FRAME_COLS)
     out = s.groupBy("session_id").applyInPandasWithState(
         _sorted_session_step, SESSION_OUT, SESSION_STATE, "update", GroupStateTimeout.NoTimeout)
     run_available(out, f"{work}/sink", f"{work}/ckpt", mode="update")
@@ -226,7 +249,10 @@ def stream_sessions(spark: SparkSession, frames: DataFrame, work: str | None = N
 
 def sessions_batch(frames: DataFrame) -> DataFrame:
     """Batch twin of X2 (same answer as the stream at its end): the
-    session's incarnation after its last ack.  Aggregates only."""
+    session's incarnation after its last ack.  Aggregates only; the merged
+    config is the defaults plus the last update per key (J3)."""
+    from convspark.operators.config import merge_config
+
     marks = frames.groupBy("session_id").agg(
         F.max(F.when(F.col("type") == "ack", F.col("seq"))).alias("_ack"),
         F.max("seq").alias("_last_any"))
@@ -239,11 +265,19 @@ def sessions_batch(frames: DataFrame) -> DataFrame:
         F.count_if(F.col("type") == "config").alias("n_config"),
         F.count_if(F.col("type").isin(*FR.BUFFERED_TYPES)
                    & (F.col("_fl").isNull() | (F.col("seq") > F.col("_fl")))).alias("pending"))
+    upd = x.filter((F.col("type") == "config") & F.col("cfg_key").isNotNull()).select(
+        "session_id", F.col("cfg_key").alias("key"), F.col("cfg_value").alias("value"), F.lit(1).alias("layer"), "seq")
+    # sessions without updates still get the defaults
+    scopes = live.select("session_id", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"),
+                         F.lit(1).alias("layer"), F.lit(-2).cast("long").alias("seq"))
+    merged = merge_config(upd.unionByName(scopes)).filter(F.col("key").isNotNull())
+    conf = merged.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list(
+        F.concat(F.col("key"), F.lit("="), F.col("value")))), ";").alias("config"))
     closed = marks.filter(F.col("_ack") == F.col("_last_any")).select(
         "session_id", F.lit(None).cast("long").alias("created"), F.lit(None).cast("long").alias("last_activity"),
         F.lit(0).cast("long").alias("n_frames"), F.lit(0).cast("long").alias("n_config"),
-        F.lit(0).cast("long").alias("pending"))
-    return (live.withColumn("closed", F.lit(False))
+        F.lit(0).cast("long").alias("pending"), F.lit(None).cast("string").alias("config"))
+    return (live.join(conf, "session_id", "left").withColumn("closed", F.lit(False))
             .unionByName(closed.withColumn("closed", F.lit(True))))
 
 

@@ -13,8 +13,8 @@ def rows(df, cols):
 
 
 def test_sessions_stream_equals_batch(spark, sf):
-    p = FX.f_proto(spark, sf).select("session_id", "seq", "type")
-    cols = ["session_id", "created", "last_activity", "n_frames", "n_config", "pending", "closed"]
+    p = FX.f_proto(spark, sf).select("session_id", "seq", "type", "cfg_key", "cfg_value")
+    cols = ["session_id", "created", "last_activity", "n_frames", "n_config", "pending", "config", "closed"]
     assert rows(ST.stream_sessions(spark, p), cols) == rows(ST.sessions_batch(p), cols)
 
 
