@@ -639,8 +639,11 @@ def q_stream_job_status(spark, sf):
 
 @register("x6_stream_transcripts")
 def q_stream_transcripts(spark, sf):
-    f = FX.f_frames(spark, sf).withColumn("turn", F.shiftright("seq", 20))
-    return ST.stream_transcripts(spark, f, "turn").select("session_id", "gen", "text", "outcome")
+    # event time: one second per seq step, so an abandoned generation times out
+    f = (FX.f_frames(spark, sf).withColumn("turn", F.shiftright("seq", 20))
+         .withColumn("ts", F.timestamp_seconds("seq")))
+    return ST.stream_transcripts(spark, f, "turn", ts_col="ts", idle="1 hour") \
+        .select("session_id", "gen", "text", "outcome")
 
 
 @register("src3_stream_append_log")

@@ -282,14 +282,23 @@ def sessions_batch(frames: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ X6
-TRANSCRIPT_STATE = "gen long, open boolean, text string"
+TRANSCRIPT_STATE = "gen long, open boolean, text string, last_ms long"
 TRANSCRIPT_OUT = "session_id long, gen long, text string, outcome string"
 
 
-def _transcript_step(key, pdfs, state: GroupState):
-    """Append token text to the open generation; emit it when it closes."""
+def _transcript_step(key, pdfs, state: GroupState, idle_ms: int = 0):
+    """Append token text to the open generation; emit it when it closes.
+
+    With an idle limit, a generation that sees no frame for ``idle_ms`` of
+    event time is emitted as ``open`` when the watermark passes, and its
+    text leaves the state (only the generation counter stays)."""
     sid = int(key[0])
-    gen, is_open, text = state.get if state.exists else (0, False, "")
+    gen, is_open, text, last_ms = state.get if state.exists else (0, False, "", 0)
+    if state.hasTimedOut:
+        if is_open:
+            yield pd.DataFrame([{"session_id": sid, "gen": gen, "text": text, "outcome": "open"}])
+        state.update((gen, False, "", last_ms))
+        return
     parts = [p for p in pdfs]
     if not parts:
         return
@@ -297,30 +306,58 @@ def _transcript_step(key, pdfs, state: GroupState):
     rows = []
     for typ, data in zip(pdf["type"].to_numpy(), pdf["data"].to_numpy()):
         if typ == "start":
+            if is_open:  # a new start closes the unfinished one as it is
+                rows.append({"session_id": sid, "gen": gen, "text": text, "outcome": "open"})
             gen, is_open, text = gen + 1, True, ""
         elif typ == "token" and is_open:
             text += data if isinstance(data, str) else ""
         elif typ in FR.END_TYPES and is_open:
             rows.append({"session_id": sid, "gen": gen, "text": text, "outcome": typ})
             is_open, text = False, ""
-    state.update((gen, is_open, text))
+    if "ts" in pdf.columns and len(pdf):
+        last_ms = max(last_ms, int(pd.Timestamp(pdf["ts"].max()).value // 1_000_000))
+    state.update((gen, is_open, text, last_ms))
+    if idle_ms and is_open:
+        state.setTimeoutTimestamp(last_ms + idle_ms)
     if rows:
         yield pd.DataFrame(rows)
 
 
 def stream_transcripts(spark: SparkSession, frames: DataFrame, files_by: str = "turn",
-                       work: str | None = None) -> DataFrame:
+                       ts_col: str | None = None, idle: str = "1 hour", work: str | None = None) -> DataFrame:
     """One transcript row per closed generation (append mode).  The
-    state is one open generation per session (bounded by the token budget)."""
+    state is one open generation per session (bounded by the token budget).
+
+    With ``ts_col`` (event time), a generation idle for ``idle`` is closed
+    as ``open`` by an event-time timeout, so abandoned generations do not
+    hold state forever."""
+    import functools
+
     _pickle_by_value()
     work = work or scratch_path(spark, "x6")
-    land_stream_input(frames.select("session_id", "seq", "type", "data", files_by), f"{work}/in", files_by)
-    s = file_stream(spark, f"{work}/in", "session_id long, seq long, type string, data string, " + files_by + " long")
-    out = s.groupBy("session_id").applyInPandasWithState(
-        _transcript_step, TRANSCRIPT_OUT, TRANSCRIPT_STATE, "append", GroupStateTimeout.NoTimeout)
+    cols = ["session_id", "seq", "type", "data", files_by] + ([ts_col] if ts_col else [])
+    land_stream_input(frames.select(*cols), f"{work}/in", files_by)
+    schema = "session_id long, seq long, type string, data string, " + files_by + " long"
+    if ts_col:
+        schema += f", {ts_col} timestamp"
+    s = file_stream(spark, f"{work}/in", schema)
+    if ts_col:
+        idle_ms = _interval_ms(spark, idle)
+        s = s.withColumnRenamed(ts_col, "ts").withWatermark("ts", idle)
+        fn = functools.partial(_transcript_step, idle_ms=idle_ms)
+        timeout = GroupStateTimeout.EventTimeTimeout
+    else:
+        fn, timeout = _transcript_step, GroupStateTimeout.NoTimeout
+    out = s.groupBy("session_id").applyInPandasWithState(fn, TRANSCRIPT_OUT, TRANSCRIPT_STATE, "append", timeout)
     run_available(out, f"{work}/sink", f"{work}/ckpt", mode="append")
     return read_sink(spark, f"{work}/sink").drop("batch")
 
 
+def _interval_ms(spark: SparkSession, idle: str) -> int:
+    """Milliseconds in an interval literal such as '1 hour'."""
+    row = spark.sql(f"SELECT unix_millis(TIMESTAMP'1970-01-01 00:00:00 UTC' + INTERVAL {idle}) AS ms").first()
+    return int(row["ms"])
+
+
 __all__ = ["stream_frames", "stream_sessions", "stream_dedupe", "stream_job_status", "stream_transcripts",
            "sessions_batch"]

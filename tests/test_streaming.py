@@ -29,3 +29,14 @@ def test_job_status_stream_equals_batch(spark, sf):
     ev = FX.f_train(spark, sf).withColumn("message", F.lit(None).cast("string"))
     cols = ["request_id", "running", "steps_done", "last_loss", "error"]
     assert rows(ST.stream_job_status(spark, ev), cols) == rows(job_status(ev), cols)
+
+
+def test_transcripts_stream_times_out_open_generations(spark, sf):
+    f = (FX.f_frames(spark, sf).withColumn("turn", F.shiftright("seq", 20))
+         .withColumn("ts", F.timestamp_seconds("seq")))
+    # some generations never end: the stream must report them as open
+    f = f.filter(~(F.col("type").isin("done", "error") & (F.col("session_id") % 7 == 1)))
+    cols = ["session_id", "gen", "text", "outcome"]
+    got = rows(ST.stream_transcripts(spark, f, "turn", ts_col="ts", idle="1 hour"), cols)
+    want = rows(FR.rebuild_transcripts(FR.segment_generations(f.drop("turn", "ts"))), cols)
+    assert got == want and any(r[3] == "open" for r in got)
