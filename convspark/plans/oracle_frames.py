@@ -177,3 +177,5 @@ FROM h LEFT JOIN live l ON l.sid = h.requested"""
 ORACLE["x7_purge_sessions"] = """SELECT event_id AS session_id, user_id FROM events
 WHERE event_type = 'signup'
   AND coalesce(ts >= (SELECT max(ts) FROM events WHERE event_type = 'purchase' AND value > 360), true)"""
+
+ORACLE["t5_stitch_overlaps_eos"] = ORACLE["t5_stitch_overlaps"].replace("length(sent) - 100 + 1", "length(sent) - 50 + 1")

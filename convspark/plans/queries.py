@@ -166,6 +166,13 @@ def q_stitch(spark, sf):
     return CH.stitch_overlaps(FX.f_windows(spark, sf), "sent", "window").select("doc_id", "i", "overlap")
 
 
+@register("t5_stitch_overlaps_eos")
+def q_stitch_eos(spark, sf):
+    """the end-of-stream search looks back 50 characters, not 100"""
+    w = FX.f_windows(spark, sf)
+    return CH.stitch_overlaps(w, "sent", "window", limit=CH.EOS_OVERLAP).select("doc_id", "i", "overlap")
+
+
 @register("t6_encode_log")
 def q_encode(spark, sf):
     f = FX.f_frames(spark, sf).filter(F.col("type") == "token")
