@@ -73,3 +73,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/convspark/{name}/{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it
+    back: the lineage is cut, and a lost executor costs a re-read of this
+    table instead of a recompute of everything before it.  (Never
+    ``localCheckpoint``: its blocks die with the executor.)"""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

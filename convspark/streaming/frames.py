@@ -27,7 +27,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from convspark.operators import frames as FR
 from convspark.operators import jobs as JB
-from convspark.session import scratch_path
+from convspark.session import materialize, scratch_path
 
 
 def _pickle_by_value():
@@ -52,9 +52,7 @@ def land_stream_input(df: DataFrame, path: str, order_col: str, files: int = 4)
     cut from that copy."""
     import time
 
-    stage = path.rstrip("/") + "_stage"
-    df.write.mode("overwrite").parquet(stage)
-    staged = df.sparkSession.read.parquet(stage)
+    staged = materialize(df, "stream-stage")
     cuts = staged.approxQuantile(order_col, [i / files for i in range(1, files)], 0.001) if files > 1 else []
     bounds = [None] + sorted(set(cuts)) + [None]
     c = F.col(order_col)
