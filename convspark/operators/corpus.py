@@ -62,20 +62,33 @@ def render_scalar(v: Column, t: Column, stripped: Column) -> Column:
     )
 
 
+_NUMERIC = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "BOOLEAN")
+
+
 def _pick_stage(df: DataFrame, obj: str, keys, out: str) -> DataFrame:
-    """Add ``out`` = first key of ``keys`` with a usable value (P1).  The
-    value, its type name and its stripped text are staged columns, so each
-    is computed once per line."""
-    names = []
-    for i, k in enumerate(keys):
-        v, tn, st = f"_v{i}", f"_t{i}", f"_st{i}"
-        df = df.withColumn(v, F.try_variant_get(obj, f"$.{k}", "variant"))
-        df = df.withColumn(tn, F.schema_of_variant(v))
-        df = df.withColumn(st, F.when(F.col(tn) == "STRING", py_strip(F.try_variant_get(v, "$", "string"))))
-        names += [v, tn, st]
-    df = df.withColumn(out, F.coalesce(*[render_scalar(F.col(f"_v{i}"), F.col(f"_t{i}"), F.col(f"_st{i}"))
-                                         for i in range(len(keys))]))
-    return df.drop(*names)
+    """Add ``out`` = first key of ``keys`` with a usable value.
+
+    Per key only the value, its type name and its stripped text are staged
+    (three ``withColumns`` for all keys); the first usable key is chosen as
+    a struct, and only that one is rendered.  Keeping the per-key
+    expressions small keeps plan building cheap."""
+    n = len(keys)
+    df = df.withColumns({f"_v{i}": F.try_variant_get(obj, f"$.{k}", "variant") for i, k in enumerate(keys)})
+    df = df.withColumns({f"_t{i}": F.schema_of_variant(f"_v{i}") for i in range(n)})
+    df = df.withColumns({f"_st{i}": F.when(F.col(f"_t{i}") == "STRING",
+                                           py_strip(F.try_variant_get(f"_v{i}", "$", "string")))
+                         for i in range(n)})
+
+    def usable(i):
+        t = F.col(f"_t{i}")
+        return (((t == "STRING") & (F.length(f"_st{i}") > 0)) | t.isin(*_NUMERIC)
+                | F.startswith(t, F.lit("DECIMAL")))
+
+    first = F.coalesce(*[F.when(usable(i), F.struct(F.col(f"_v{i}").alias("v"), F.col(f"_t{i}").alias("t"),
+                                                    F.col(f"_st{i}").alias("s"))) for i in range(n)])
+    df = df.withColumn("_pick", first)
+    df = df.withColumn(out, render_scalar(F.col("_pick.v"), F.col("_pick.t"), F.col("_pick.s")))
+    return df.drop("_pick", *[f"_{p}{i}" for i in range(n) for p in ("v", "t", "st")])
 
 
 def pick_first(df: DataFrame, keys=INPUT_KEYS, value_col: str = "value", out: str = "picked") -> DataFrame:

@@ -216,3 +216,27 @@ SELECT t.request_id, max(t.step) AS steps,
 FROM ftrain t JOIN cfg c USING (request_id)
 WHERE t.type = 'train_progress'
 GROUP BY t.request_id"""
+
+ORACLE["train_batches"] = f"""WITH {SAMPLES},
+sized AS (SELECT request_id, ceil(count(*) / 8)::BIGINT AS bpe,
+                 ceil(30 / ceil(count(*) / 8))::INTEGER AS epochs FROM samples GROUP BY 1),
+tok AS (SELECT request_id, sample_id,
+          list_transform(regexp_extract_all(text, '[^ \\n\\t]+')[1:48], lambda x: {tok_id('x')}) AS ids
+        FROM samples),
+exp AS (SELECT t.request_id, t.sample_id, t.ids, e.epoch, z.bpe
+        FROM tok t JOIN sized z USING (request_id),
+             LATERAL (SELECT unnest(range(0, z.epochs)) AS epoch) e),
+rk AS (SELECT *, row_number() OVER (PARTITION BY request_id, epoch
+                 ORDER BY md5(concat_ws(':', '42', epoch, sample_id)), sample_id) AS rank FROM exp),
+st AS (SELECT *, (epoch * bpe + (rank - 1) // 8 + 1)::BIGINT AS step FROM rk
+       WHERE epoch * bpe + (rank - 1) // 8 + 1 <= 30),
+mx AS (SELECT *, max(len(ids)) OVER (PARTITION BY request_id, step) AS L,
+         max(step) OVER (PARTITION BY request_id) AS last_step FROM st)
+SELECT request_id, epoch::INTEGER AS epoch, step, sample_id,
+  {csv("list_concat(ids, repeat([0], (L - len(ids))::INTEGER))")} AS input_ids,
+  {csv("list_concat(repeat([1], len(ids)::INTEGER), repeat([0], (L - len(ids))::INTEGER))")} AS attention_mask,
+  {csv("list_concat(ids, repeat([-100], (L - len(ids))::INTEGER))")} AS labels,
+  step % 4 = 0 OR step = last_step AS update,
+  step % 5 = 0 AS log,
+  step % 10 = 0 AS checkpoint
+FROM mx"""

@@ -659,3 +659,19 @@ def q_stream_append_log(spark, sf):
     ST.stream_append_log(spark, frames_json(spark, sf), path)
     kept, _dead = SLG.scan_log(spark, path)
     return kept.select("session_id", "seq", "type")
+
+
+@register("train_batches")
+def q_train_batches(spark, sf):
+    """The whole training-data path for every corpus: tokens, shuffled
+    epochs cut at max_steps, padded batches and step flags."""
+    from convspark.operators.training import training_batches
+
+    s = samples(spark, sf)
+    cfg = B.clamp_train_config(s.select("request_id").distinct().select(
+        "request_id", F.lit(30).alias("max_steps"), F.lit(8).alias("batch_size"), F.lit(48).alias("max_seq_length"),
+        F.lit(4).alias("gradient_accumulation"), F.lit(5).alias("log_every"), F.lit(10).alias("save_every")))
+    out = training_batches(s, cfg, seed=42)
+    return out.select("request_id", "epoch", "step", "sample_id", csv("input_ids").alias("input_ids"),
+                      csv("attention_mask").alias("attention_mask"), csv("labels").alias("labels"),
+                      "update", "log", "checkpoint")
