@@ -12,7 +12,7 @@ from convspark.plans import queries as Q
 def test_training_batches_properties(spark, sf):
     s = Q.samples(spark, sf)
     cfg = clamp_train_config(s.select("request_id").distinct().select(
-        "request_id", F.lit(9).alias("max_steps"), F.lit(4).alias("batch_size"), F.lit(16).alias("max_seq_length")  # clamped up to 32,
+        "request_id", F.lit(9).alias("max_steps"), F.lit(4).alias("batch_size"), F.lit(16).alias("max_seq_length"),  # clamped up to 32
         F.lit(2).alias("gradient_accumulation"), F.lit(3).alias("log_every")))
     rows = training_batches(s, cfg, seed=7).collect()
     by_step = defaultdict(list)
