@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from convspark.operators.batches import pad_batch, repeat_epochs, step_plan, tokenize, truncate_tokens
 
 
-def training_batches(samples: DataFrame, cfg: DataFrame, seed: int = 42, pad_id: int = 0) -> DataFrame:
+def training_batches(samples: DataFrame, cfg: DataFrame, seed: int = 42, pad_id: int = 0,
+                     stage: bool = False) -> DataFrame:
     """One row per (request, step, sample) of the run.
 
     ``samples``: ``(request_id, sample_id, text)``; ``cfg``: clamped train
@@ -24,10 +25,19 @@ def training_batches(samples: DataFrame, cfg: DataFrame, seed: int = 42, pad_id:
     ``max_seq_length``, ``gradient_accumulation``, ``log_every``,
     ``save_every``.  Output: ``request_id, epoch, step, sample_id,
     input_ids, attention_mask, labels, update, update_id, log, checkpoint,
-    is_last``."""
+    is_last``.
+
+    The tokenized samples feed three branches (counts, bucket offsets and
+    the rows).  With ``stage=True`` they are written once to the shared
+    checkpoint folder and read back, so at scale the parse runs once and a
+    lost executor does not recompute it."""
     toks = (tokenize(samples).join(cfg.select("request_id", "max_seq_length"), "request_id")
             .transform(lambda d: truncate_tokens(d, "max_seq_length"))
             .select("request_id", "sample_id", "token_ids"))
+    if stage:
+        from convspark.session import materialize
+
+        toks = materialize(toks, "train-tokens")
     steps = repeat_epochs(toks, cfg.select("request_id", "max_steps", "batch_size"), seed=seed)
     padded = pad_batch(steps, ("request_id", "step"), pad_id=pad_id)
     # a request with samples runs exactly steps 1..max_steps (the epochs are

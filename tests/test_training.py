@@ -37,3 +37,13 @@ def test_training_batches_properties(spark, sf):
         key = (r.request_id, r.epoch)
         assert r.sample_id not in seen[key]
         seen[key].add(r.sample_id)
+
+
+def test_staged_equals_unstaged(spark, sf):
+    s = Q.samples(spark, sf).filter(F.col("request_id").isin("conv", "bench"))
+    cfg = clamp_train_config(s.select("request_id").distinct().select(
+        "request_id", F.lit(5).alias("max_steps"), F.lit(8).alias("batch_size")))
+    cols = ["request_id", "epoch", "step", "sample_id", "input_ids", "update"]
+    a = sorted(tuple(map(str, r)) for r in training_batches(s, cfg).select(*cols).collect())
+    b = sorted(tuple(map(str, r)) for r in training_batches(s, cfg, stage=True).select(*cols).collect())
+    assert a == b and a
