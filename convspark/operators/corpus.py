@@ -148,6 +148,17 @@ def check_non_empty(requests: DataFrame, samples: DataFrame) -> DataFrame:
                     F.when(F.coalesce("n_samples", F.lit(0)) > 0, F.lit("ok")).otherwise(F.lit("empty")).alias("status")))
 
 
+def require_non_empty(requests: DataFrame, samples: DataFrame) -> DataFrame:
+    """P4 for a batch job: fail when any requested dataset has no sample
+    (the error names them, at most 20), else return the per-request counts.
+    Only the empty requests' ids reach the driver, never the data."""
+    status = check_non_empty(requests, samples)
+    empty = [r.request_id for r in status.filter(F.col("status") == "empty").select("request_id").limit(20).collect()]
+    if empty:
+        raise ValueError(f"Dataset is empty after parsing: {', '.join(map(str, empty))}")
+    return status
+
+
 def resolve_corpora(requests: DataFrame, landed: DataFrame) -> DataFrame:
     """Which corpus each training request uses.
 

@@ -259,3 +259,10 @@ def filter_context(prompts: DataFrame, limits: DataFrame, key: str = "host") ->
     msg = F.concat(F.lit("Context too long ("), F.col("tokens_in").cast("string"), F.lit(" tokens). Max: "),
                    F.col("max_context").cast("string"), F.lit(". Please retry with shorter input."))
     return j.withColumn("accepted", ~too_long).withColumn("error", F.when(too_long, msg))
+
+
+def split_context(prompts: DataFrame, limits: DataFrame, key: str = "host") -> tuple[DataFrame, DataFrame]:
+    """P11 as two outputs: the prompts that fit and the rejected ones (with
+    both numbers in ``error``)."""
+    checked = filter_context(prompts, limits, key)
+    return checked.filter(F.col("accepted")).drop("error"), checked.filter(~F.col("accepted"))

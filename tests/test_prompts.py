@@ -99,3 +99,23 @@ def test_chunks_round_trip(spark):
     assert ["".join(r.c) for r in rows] == texts
     assert rows[3].n == ["trailing "] and rows[1].n == []
     assert F is not None
+
+
+def test_split_context_and_require_non_empty(spark):
+    import pytest
+
+    from convspark.operators.corpus import require_non_empty
+    from convspark.operators.prompts import split_context
+
+    prompts = spark.createDataFrame([(1, "h", 10), (2, "h", 5000), (3, "x", 99999)],
+                                    "id long, host string, tokens_in int")
+    limits = spark.createDataFrame([("h", 4096)], "host string, max_context long")
+    ok, rejected = split_context(prompts, limits)
+    assert sorted(r.id for r in ok.collect()) == [1, 3]
+    assert [r.error for r in rejected.collect()] == [
+        "Context too long (5000 tokens). Max: 4096. Please retry with shorter input."]
+    req = spark.createDataFrame([("a",), ("b",)], "request_id string")
+    smp = spark.createDataFrame([("a", 1, "t")], "request_id string, sample_id long, text string")
+    with pytest.raises(ValueError, match="b"):
+        require_non_empty(req, smp)
+    assert require_non_empty(req.filter("request_id = 'a'"), smp).count() == 1
