@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from convspark.functions.names import repo_model_name, sanitize_dir_name_js, sanitize_name, sanitize_request_id
-from convspark.operators.batches import make_batches, pad_batch, repeat_epochs, shuffle_corpus
+from convspark.operators.batches import pad_batch, repeat_epochs, shuffle_corpus
 from convspark.operators.catalog import unique_names
 
 
@@ -33,7 +33,6 @@ def test_pad_batch_masks(spark):
                                "request_id string, epoch int, batch long, token_ids array<int>")
     rows = sorted(pad_batch(df).collect(), key=lambda r: -len(r.token_ids))
     assert rows[1].input_ids == [4, 0, 0] and rows[1].attention_mask == [1, 0, 0] and rows[1].labels == [4, -100, -100]
-    assert make_batches is not None
 
 
 def sequential_names(requests, existing, ci=False):
