@@ -13,7 +13,7 @@ def scan_config(spark: SparkSession, path: str, file_col: str | None = None) ->
     Each file is read whole (``wholetext``) and parsed to a variant, so files
     are parsed in parallel and no schema is inferred; a non-object section
     becomes one row with a null key."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)  # one row per file (the option form is reset by text())
     f = F.col(file_col) if file_col else F.input_file_name()
     x = df.select(f.alias("file"), F.try_parse_json("value").alias("_v"))
     secs = x.select("file", F.explode(F.try_variant_get("_v", "$", "map<string,variant>")).alias("section", "_s"))
