@@ -25,3 +25,18 @@ def test_land_then_scan_corpus_keeps_lines(spark, tmp_path):
     got = sorted((r.request_id, r.value) for r in scan_corpus(spark, path).collect())
     # 'job 1' and 'job/1' both sanitise to job-1: the later submission wins
     assert got == [("job-1", "b"), ("x", "c\\r")]
+
+
+def test_scan_log_dead_letters(spark, sf, tmp_path):
+    from convspark.plans.queries import frames_json
+    from convspark.sources.log import append_log, scan_log
+
+    path = tmp_path / "log"
+    fj = frames_json(spark, sf)
+    append_log(fj, str(path))
+    bucket = sorted(p for p in path.iterdir() if p.name.startswith("bucket="))[0]
+    (bucket / "torn.json").write_text('{"session_id": 1, "seq": \n\nnot json at all\n')
+    frames, dead = scan_log(spark, str(path))
+    assert dead.count() == 2  # the torn envelope and the garbage line; the blank line is skipped
+    clean, _ = scan_log(spark, str(path))
+    assert frames.count() == clean.count() > 0
