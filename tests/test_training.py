@@ -47,3 +47,17 @@ def test_staged_equals_unstaged(spark, sf):
     a = sorted(tuple(map(str, r)) for r in training_batches(s, cfg).select(*cols).collect())
     b = sorted(tuple(map(str, r)) for r in training_batches(s, cfg, stage=True).select(*cols).collect())
     assert a == b and a
+
+
+def test_write_training_batches_layout(spark, sf, tmp_path):
+    from convspark.operators.training import write_training_batches
+
+    s = Q.samples(spark, sf).filter(F.col("request_id") == "bench")
+    cfg = clamp_train_config(s.select("request_id").distinct().select(
+        "request_id", F.lit(6).alias("max_steps"), F.lit(16).alias("batch_size")))
+    out = str(tmp_path / "batches")
+    write_training_batches(training_batches(s, cfg), out)
+    back = spark.read.parquet(out)
+    assert set(back.columns) >= {"request_id", "epoch", "step", "input_ids", "labels"}
+    assert sorted(r.step for r in back.select("step").distinct().collect()) == [1, 2, 3, 4, 5, 6]
+    assert any(p.name.startswith("request_id=") for p in (tmp_path / "batches").iterdir())
