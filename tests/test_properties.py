@@ -68,3 +68,41 @@ def test_chunks_and_overlaps_random(spark):
                 return n
         return 0
     assert got == [brute(s, w) for s, w in pairs]
+
+
+NAME_CHARS = list("aZ09._-/ !é漢") + [" ", "\t", "　"]
+
+
+def test_name_sanitizers_random(spark):
+    import hashlib
+    import re
+
+    from convspark.functions.names import sanitize_dir_name_js, sanitize_name, sanitize_request_id
+
+    rng = random.Random(21)
+    raws = ["".join(rng.choice(NAME_CHARS) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(r,) for r in raws], "r string")
+    got = df.select(sanitize_name("r", "snap", 5).alias("p"), sanitize_request_id("r").alias("q"),
+                    sanitize_dir_name_js("r").alias("j")).collect()
+
+    def py_name(r):
+        seed = r.strip() or "snap_5"
+        return re.sub(r"[^A-Za-z0-9._-]+", "-", seed).strip("-.") or "snap_5"
+
+    def py_rid(r):
+        c = re.sub(r"[^A-Za-z0-9._-]+", "-", r).strip("-.")
+        if c:
+            return c
+        h = hashlib.md5(r.encode()).hexdigest()
+        return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"
+
+    def js_dir(r):
+        raw = r.strip(" \t\n\r\x0b\x0c　\xa0﻿")
+        if not raw:
+            return ""
+        c = re.sub(r"^-+|-+$", "", re.sub(r"[^a-zA-Z0-9._-]+", "-", raw))
+        return c or "model"
+
+    assert [r.p for r in got] == [py_name(r) for r in raws]
+    assert [r.q for r in got] == [py_rid(r) for r in raws]
+    assert [r.j for r in got] == [js_dir(r) for r in raws]
