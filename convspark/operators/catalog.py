@@ -37,6 +37,17 @@ def catalog_sizes(files: DataFrame) -> DataFrame:
             .withColumn("path", F.concat_ws("/", "source", "name")))
 
 
+def listing_to_files(listing: DataFrame) -> DataFrame:
+    """SRC5 -> A3 input: a ``scan_artifacts`` listing ``(root, path, rel,
+    length)`` as ``(source, name, rel, size)``: the first folder under the
+    root is the model directory, the rest of the path is relative to it.
+    Files directly under a root belong to no directory and are dropped."""
+    parts = F.split(F.col("rel"), "/", 2)
+    return (listing.filter(F.size(parts) == 2)
+            .select(F.col("root").alias("source"), parts[0].alias("name"), parts[1].alias("rel"),
+                    F.col("length").alias("size")))
+
+
 def auto_select(catalog: DataFrame) -> DataFrame:
     """The model to load at start-up: the only entry; else the first in
     ``models``; else the first; none => null.  Directory order is not

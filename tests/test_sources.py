@@ -40,3 +40,23 @@ def test_scan_log_dead_letters(spark, sf, tmp_path):
     assert dead.count() == 2  # the torn envelope and the garbage line; the blank line is skipped
     clean, _ = scan_log(spark, str(path))
     assert frames.count() == clean.count() > 0
+
+
+def test_catalog_from_real_listing(spark, tmp_path):
+    from convspark.operators.catalog import auto_select, catalog_sizes, listing_to_files
+    from convspark.sources.artifacts import scan_artifacts
+
+    models, var = tmp_path / "models", tmp_path / "var"
+    for root, name, files in [(models, "m1", {"config.json": 10, "w/part.bin": 2048}),
+                              (models, "notmodel", {"readme.md": 5}),
+                              (var, "snap", {"config.json": 3, "model.safetensors": 1000}),
+                              (var, "nested", {"sub/config.json": 7})]:
+        for rel, size in files.items():
+            f = root / name / rel
+            f.parent.mkdir(parents=True, exist_ok=True)
+            f.write_bytes(b"x" * size)
+    (models / "loose.txt").write_bytes(b"y")
+    listing = scan_artifacts(spark, [("models", str(models)), ("var", str(var))])
+    cat = {(r.source, r.name): r.size_mb for r in catalog_sizes(listing_to_files(listing)).collect()}
+    assert cat == {("models", "m1"): 2058 / 1048576, ("var", "snap"): 1003 / 1048576}
+    assert auto_select(catalog_sizes(listing_to_files(listing))).first().path == "models/m1"
