@@ -60,3 +60,19 @@ def test_catalog_from_real_listing(spark, tmp_path):
     cat = {(r.source, r.name): r.size_mb for r in catalog_sizes(listing_to_files(listing)).collect()}
     assert cat == {("models", "m1"): 2058 / 1048576, ("var", "snap"): 1003 / 1048576}
     assert auto_select(catalog_sizes(listing_to_files(listing))).first().path == "models/m1"
+
+
+def test_match_model_against_listing(spark, tmp_path):
+    from convspark.operators.catalog import catalog_sizes, listing_to_files, match_model
+    from convspark.sources.artifacts import scan_artifacts
+
+    for root, name in [("models", "llama-x"), ("var", "llama-x"), ("var", "snap_1")]:
+        f = tmp_path / root / name / "config.json"
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("{}")
+    listing = scan_artifacts(spark, [("models", str(tmp_path / "models")), ("var", str(tmp_path / "var"))])
+    cat = catalog_sizes(listing_to_files(listing))
+    refs = spark.createDataFrame([(1, "var/snap_1"), (2, "https://host/org/llama-x"), (3, "other/none")],
+                                 "id long, ref string")
+    got = {r.id: (r.match, r.match_kind) for r in match_model(refs, cat).collect()}
+    assert got == {1: ("var/snap_1", "path"), 2: ("models/llama-x", "name"), 3: (None, None)}
