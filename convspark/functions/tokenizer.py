@@ -1,0 +1,43 @@
+"""A real subword tokenizer for T1-T3, as an Arrow-batched pandas UDF.
+
+The model tokenizer is a ``tokenizers`` JSON file on a path every executor
+can read (the shared folder).  Each Python worker loads it once and
+encodes whole Arrow batches with ``encode_batch`` (Rust, multi-threaded),
+so the per-row Python is a list comprehension.  Without a tokenizer file
+the word tokenizer of :mod:`convspark.operators.batches` is used.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_CACHE: dict = {}
+
+
+def _load(path: str):
+    tok = _CACHE.get(path)
+    if tok is None:
+        from tokenizers import Tokenizer
+
+        tok = _CACHE[path] = Tokenizer.from_file(path)
+    return tok
+
+
+def token_ids_udf(tokenizer_file: str, add_special_tokens: bool = False):
+    """Column -> array<int> of token ids, encoded batch by batch."""
+    import pandas as pd
+    from pyspark.sql.types import ArrayType, IntegerType
+
+    def run(s):
+        tok = _load(tokenizer_file)
+        enc = tok.encode_batch([v if isinstance(v, str) else "" for v in s], add_special_tokens=add_special_tokens)
+        return pd.Series([e.ids for e in enc], index=s.index)
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    udf = F.pandas_udf(run, ArrayType(IntegerType()))
+    return lambda c: udf(F.col(c) if isinstance(c, str) else c)
+
+
+def token_ids(text, tokenizer_file: str, add_special_tokens: bool = False) -> Column:
+    return token_ids_udf(tokenizer_file, add_special_tokens)(text)

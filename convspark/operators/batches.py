@@ -85,9 +85,17 @@ def repeat_epochs(samples: DataFrame, plan: DataFrame, seed: int = 42) -> DataFr
             .drop("_bpe", "_epochs", "batch_size", "max_steps"))
 
 
-def tokenize(df: DataFrame, text_col: str = "text") -> DataFrame:
+def tokenize(df: DataFrame, text_col: str = "text", tokenizer_file: str | None = None) -> DataFrame:
     """Word tokens and their ids.  Ids come from a hash of the token, so no
-    global vocabulary pass (and no single-task dense rank) is needed."""
+    global vocabulary pass (and no single-task dense rank) is needed.
+
+    With ``tokenizer_file`` (a ``tokenizers`` JSON on a shared path) the
+    model's own subword ids are used instead (Arrow-batched pandas UDF);
+    ``tokens`` is then absent."""
+    if tokenizer_file:
+        from convspark.functions.tokenizer import token_ids
+
+        return df.withColumn("token_ids", token_ids(F.col(text_col), tokenizer_file))
     toks = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_RE), 0)
     return (df.withColumn("tokens", toks)
             .withColumn("token_ids", F.transform("tokens", lambda t: token_id(t))))

@@ -61,3 +61,25 @@ def test_write_training_batches_layout(spark, sf, tmp_path):
     assert set(back.columns) >= {"request_id", "epoch", "step", "input_ids", "labels"}
     assert sorted(r.step for r in back.select("step").distinct().collect()) == [1, 2, 3, 4, 5, 6]
     assert any(p.name.startswith("request_id=") for p in (tmp_path / "batches").iterdir())
+
+
+def test_subword_tokenizer_file(spark, sf, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from convspark.operators.batches import tokenize
+
+    vocab = {"[UNK]": 0, "[PAD]": 1}
+    for w in "the a and of in to is was de la et und die".split():
+        vocab[w] = len(vocab)
+    tok = Tokenizer(models.WordLevel(vocab, unk_token="[UNK]"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    path = str(tmp_path / "tok.json")
+    tok.save(path)
+    s = Q.samples(spark, sf).filter(F.col("request_id") == "conv")
+    got = {r.sample_id: r.token_ids for r in tokenize(s, tokenizer_file=path).collect()}
+    texts = {r.sample_id: r.text for r in s.collect()}
+    assert got == {k: tok.encode(t).ids for k, t in texts.items()}
+    cfg = clamp_train_config(s.select("request_id").distinct().select(
+        "request_id", F.lit(3).alias("max_steps"), F.lit(4).alias("batch_size")))
+    rows = training_batches(s, cfg, tokenizer_file=path).collect()
+    assert {r.step for r in rows} == {1, 2, 3}
