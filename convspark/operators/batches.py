@@ -105,8 +105,13 @@ def token_id(tok: Column) -> Column:
     return F.conv(F.substr(F.md5(tok), F.lit(1), F.lit(7)), 16, 10).cast("int")
 
 
-def count_tokens(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Number of word tokens in each text."""
+def count_tokens(df: DataFrame, text_col: str = "text", tokenizer_file: str | None = None) -> DataFrame:
+    """Number of tokens in each text (word tokens, or the model's own
+    tokens when a ``tokenizers`` file is given)."""
+    if tokenizer_file:
+        from convspark.functions.tokenizer import token_ids
+
+        return df.withColumn("n_tokens", F.size(token_ids(F.col(text_col), tokenizer_file)))
     return df.withColumn("n_tokens", F.size(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_RE), 0)))
 
 

@@ -79,6 +79,9 @@ def test_subword_tokenizer_file(spark, sf, tmp_path):
     got = {r.sample_id: r.token_ids for r in tokenize(s, tokenizer_file=path).collect()}
     texts = {r.sample_id: r.text for r in s.collect()}
     assert got == {k: tok.encode(t).ids for k, t in texts.items()}
+    from convspark.operators.batches import count_tokens
+    counts = {r.sample_id: r.n_tokens for r in count_tokens(s, tokenizer_file=path).collect()}
+    assert counts == {k: len(v) for k, v in got.items()}
     cfg = clamp_train_config(s.select("request_id").distinct().select(
         "request_id", F.lit(3).alias("max_steps"), F.lit(4).alias("batch_size")))
     rows = training_batches(s, cfg, tokenizer_file=path).collect()
