@@ -159,24 +159,34 @@ def require_non_empty(requests: DataFrame, samples: DataFrame) -> DataFrame:
     return status
 
 
-def resolve_corpora(requests: DataFrame, landed: DataFrame) -> DataFrame:
+def resolve_corpora(requests: DataFrame, landed: DataFrame, order_col: str | None = None) -> DataFrame:
     """Which corpus each training request uses.
 
     ``requests``: ``(request_id, dataset, resume)``; ``landed``: corpora already
     stored, ``(request_id, stored_key)`` keyed by the **raw** request id.
     Non-blank inline text wins (it is landed under the sanitised id); else a
     resume request reuses its own cached corpus; else the request is refused.
-    """
+
+    With ``order_col`` (submission order), a corpus landed by an earlier
+    inline request of the same raw id also counts as cached, and takes
+    precedence over an older stored one, as the cache entry is replaced.
+    That is one per-id ``min`` of the inline orders joined back, not a
+    comparison of request pairs."""
     from convspark.functions.names import sanitize_request_id
 
     inline = ~py_is_blank("dataset")
     j = requests.join(landed.select("request_id", "stored_key"), "request_id", "left")
+    earlier = F.lit(False)
+    if order_col:
+        first_inline = (requests.filter(~py_is_blank("dataset")).groupBy("request_id")
+                        .agg(F.min(order_col).alias("_first_inline")))
+        j = j.join(first_inline, "request_id", "left")
+        earlier = F.coalesce(F.col(order_col) > F.col("_first_inline"), F.lit(False))
     resume = F.coalesce(F.col("resume"), F.lit(False))
+    cached = resume & (earlier | F.col("stored_key").isNotNull())
     return j.select(
         *[F.col(c) for c in requests.columns],
-        F.when(inline, F.lit("inline"))
-        .when(resume & F.col("stored_key").isNotNull(), F.lit("cached"))
-        .otherwise(F.lit("error")).alias("outcome"),
-        F.when(inline, sanitize_request_id(F.col("request_id")))
-        .when(resume & F.col("stored_key").isNotNull(), F.col("stored_key")).alias("corpus_key"),
+        F.when(inline, F.lit("inline")).when(cached, F.lit("cached")).otherwise(F.lit("error")).alias("outcome"),
+        F.when(inline | (resume & earlier), sanitize_request_id(F.col("request_id")))
+        .when(cached, F.col("stored_key")).alias("corpus_key"),
     )

@@ -146,13 +146,18 @@ ORACLE["j2_resolve_corpora"] = f"""WITH req AS (
          o_orderkey % 2 = 0 AS resume, o_orderkey
   FROM orders),
 landed AS (
-  SELECT DISTINCT 'job ' || (c_custkey % 50)::VARCHAR || '/1-URGENT' AS request_id FROM customer WHERE c_acctbal > 0)
+  SELECT DISTINCT 'job ' || (c_custkey % 50)::VARCHAR || '/1-URGENT' AS request_id FROM customer WHERE c_acctbal > 0),
+r2 AS (
+  SELECT r.*, l.request_id AS landed_id,
+    EXISTS (SELECT 1 FROM req e WHERE e.request_id = r.request_id AND e.o_orderkey < r.o_orderkey
+            AND coalesce({strip('e.dataset')}, '') <> '') AS earlier
+  FROM req r LEFT JOIN landed l ON l.request_id = r.request_id)
 SELECT r.request_id, r.o_orderkey,
   CASE WHEN coalesce({strip('r.dataset')}, '') <> '' THEN 'inline'
-       WHEN r.resume AND l.request_id IS NOT NULL THEN 'cached' ELSE 'error' END AS outcome,
-  CASE WHEN coalesce({strip('r.dataset')}, '') <> '' THEN {_SAN_RID}
-       WHEN r.resume AND l.request_id IS NOT NULL THEN 'cached:' || l.request_id END AS corpus_key
-FROM req r LEFT JOIN landed l ON l.request_id = r.request_id"""
+       WHEN r.resume AND (r.earlier OR r.landed_id IS NOT NULL) THEN 'cached' ELSE 'error' END AS outcome,
+  CASE WHEN coalesce({strip('r.dataset')}, '') <> '' OR (r.resume AND r.earlier) THEN {_SAN_RID}
+       WHEN r.resume AND r.landed_id IS NOT NULL THEN 'cached:' || r.landed_id END AS corpus_key
+FROM r2 r"""
 
 ORACLE["o1_shuffle_corpus"] = f"""WITH {SHUFFLED}
 SELECT request_id, sample_id, rank FROM ranked"""

@@ -72,7 +72,7 @@ def q_check_non_empty(spark, sf):
 
 @register("j2_resolve_corpora")
 def q_resolve_corpora(spark, sf):
-    out = C.resolve_corpora(FX.f_requests(spark, sf), FX.f_landed(spark, sf))
+    out = C.resolve_corpora(FX.f_requests(spark, sf), FX.f_landed(spark, sf), order_col="o_orderkey")
     return out.select("request_id", "o_orderkey", "outcome", "corpus_key")
 
 
