@@ -81,7 +81,9 @@ def match_model(refs: DataFrame, catalog: DataFrame, ref_col: str = "ref") -> Da
     order = F.struct((F.col("source") != "models").alias("o"), F.col("name"), F.col("path"))
     by_path = catalog.groupBy("path").agg(F.min_by("path", order).alias("_exact"))
     by_name = catalog.groupBy("name").agg(F.min_by("path", order).alias("_byname"))
-    r = refs.withColumn("_base", repo_model_name(F.col(ref_col)))
+    # the page's short name: last non-empty '/' segment, no URL parsing
+    segs = F.filter(F.split(F.col(ref_col).cast("string"), "/"), lambda x: x != "")
+    r = refs.withColumn("_base", F.coalesce(F.try_element_at(segs, F.lit(-1)), F.col(ref_col)))
     j = (r.join(by_path, r[ref_col] == by_path["path"], "left").drop("path")
          .join(by_name, F.col("_base") == by_name["name"], "left").drop("name"))
     return j.select(*refs.columns, F.coalesce("_exact", "_byname").alias("match"),
