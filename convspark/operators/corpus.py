@@ -1,8 +1,9 @@
 """Training-corpus operators: lines -> samples (P1-P4) and corpus resolution.
 
 Input lines are ``(request_id, line_no, value)``; ``value`` is one physical
-line of a JSONL (or plain-text) dataset.  All work is column expressions, so
-a corpus of any size is processed in parallel, one scan, no shuffle.
+line of a JSONL (or plain-text) dataset.  P1-P3 are column expressions
+only: a corpus of any size is processed in one scan without a shuffle.  P4
+and J2 add one per-request aggregate each, joined back.
 """
 
 from __future__ import annotations
