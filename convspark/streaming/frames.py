@@ -27,6 +27,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from convspark.operators import frames as FR
 from convspark.operators import jobs as JB
+# module-level on purpose: functions that run inside Python workers must not
+# import this package at run time (executors may not have it installed; the
+# functions and these globals travel by value)
+from convspark.operators.config import GENERATION_DEFAULTS, json_text
 from convspark.session import materialize, scratch_path
 
 
@@ -163,8 +167,6 @@ SESSION_OUT = ("session_id long, created long, last_activity long, n_frames long
 def render_config(updates: dict) -> str:
     """Generation defaults overlaid with a session's updates, as sorted
     ``key=value`` pairs joined by ';'."""
-    from convspark.operators.config import GENERATION_DEFAULTS, json_text
-
     merged = {k: json_text(v) for k, v in GENERATION_DEFAULTS.items()}
     merged.update(updates)
     return ";".join(f"{k}={merged[k]}" for k in sorted(merged))
