@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from convspark.plans.queries import QUERIES
 from convspark.sources.tables import TABLES
 
 
@@ -31,7 +32,7 @@ def con(sf):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) <= set(E.oracle_sql())
 
 
 def test_entry_runs(spark):
@@ -47,7 +48,7 @@ DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR
 PATH_BOUND = {"p9_classify_images", "src7_load_images", "src5_scan_artifacts", "s2_concat_images"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, sf, con, name):
     if name in PATH_BOUND:
         pytest.skip("oracle reads the sf0.01 folder")
