@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from convspark.llm import byte_bpe, decontam, exact_dedup, shard
+from convspark.llm import byte_bpe, decontam, exact_dedup, licences, line_templates, quality, shard, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_shards": shard.op5_shards,
+    "op6_quality": quality.op6_quality,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op8_line_templates": line_templates.op8_line_templates,
+    "op10_licences": licences.op10_licences,
 }
 
 ORACLE = {**exact_dedup.ORACLE}
