@@ -4,9 +4,11 @@ An item of m characters may occur in a document with up to
 ``k = floor(error_rate * m)`` edits.  It is split into k + 1 pieces: k edits
 cannot touch them all, so at least one piece occurs unchanged.  One
 Aho-Corasick pass over a text finds all exact piece hits; each hit fixes the
-window the item could fill, windows that overlap are merged, and Myers'
-bit-parallel distance decides inside the window.  Nothing is missed and
-nothing is guessed.
+window the item could fill.  Myers' bit-parallel distance verifies it, from
+the piece upwards: of j neighbouring pieces with fewer than j edits, one half
+has fewer edits than pieces as well, so a hit that fails on two pieces with
+one edit needs no check of the whole item.  Windows that stay are merged and
+decided by the whole item's distance.  Nothing is missed or guessed.
 
 Case and runs of white space are evened out on both sides before matching.
 
@@ -82,53 +84,117 @@ def myers_best(masks: dict[str, int], m: int, text: str, limit: int) -> tuple[in
     return best
 
 
+def myers_within(masks: dict[str, int], m: int, text: str, limit: int) -> bool:
+    """Whether any substring of ``text`` is within ``limit`` edits."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = full, 0, m
+    for left, c in zip(range(len(text) - 1, -1, -1), text):
+        eq = masks.get(c, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph = down | ~(xh | up) & full
+        mh = up & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+            if score <= limit:
+                return True
+        if score - left > limit:     # what is left cannot make up for it
+            return False
+        ph = ph << 1 & full
+        mh = mh << 1 & full
+        up = mh | ~(xv | ph) & full
+        down = ph & xv
+    return False
+
+
+def climb(cuts: list[int], leaf: int) -> list[tuple[int, int, int]]:
+    """(start, end, budget) in the item of the nodes above a piece, lowest
+    first.  A node over j pieces has budget j - 1: if it holds at most j - 1
+    edits, one of its halves keeps within its own budget, down to a piece
+    without any."""
+    path, a, b = [], 0, len(cuts) - 1
+    while b - a > 1:
+        path.append((cuts[a], cuts[b], b - a - 1))
+        mid = (a + b) // 2
+        a, b = (a, mid) if leaf < mid else (mid, b)
+    return path[::-1]
+
+
 class Matcher:
     """The automaton over one block of items."""
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
         import ahocorasick
 
-        self.items = []
-        where: dict[str, list[tuple[int, int]]] = {}
+        self.items, self.paths, self.masks = [], {}, {}
+        where: dict[str, list[tuple[int, int, int]]] = {}
         for item_id, text in items:
             k, pieces = pieces_of(text, error_rate)
-            for offset, piece in pieces:
-                where.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append((item_id, text, k, None))
+            for leaf, (offset, piece) in enumerate(pieces):
+                where.setdefault(piece, []).append((len(self.items), leaf, offset))
+            self.items.append((item_id, text, k, [o for o, _ in pieces] + [len(text)]))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
             self.automaton.add_word(piece, (len(piece), places))
         if where:
             self.automaton.make_automaton()
 
+    def _masks(self, i: int, a: int, b: int) -> dict[str, int]:
+        if (i, a, b) not in self.masks:
+            self.masks[i, a, b] = myers_masks(self.items[i][1][a:b])
+        return self.masks[i, a, b]
+
+    def _path(self, i: int, leaf: int) -> list[tuple]:
+        """The nodes to check above a piece (the item itself comes last,
+        elsewhere); next to a piece's only sibling, the sibling's halves."""
+        if (i, leaf) not in self.paths:
+            item, cuts = self.items[i][1], self.items[i][3]
+            nodes = climb(cuts, leaf)
+            halves = None
+            if nodes and nodes[0][2] == 1:
+                a, b, _ = nodes[0]
+                x, y = (cuts[leaf + 1], b) if cuts[leaf] == a else (a, cuts[leaf])
+                halves = (item[x:(x + y) // 2], item[(x + y) // 2:y])
+            self.paths[i, leaf] = (halves, nodes[:-1])
+        return self.paths[i, leaf]
+
     def find(self, raw: str) -> list[tuple[int, int, int]]:
         """(item id, distance, end) of every item in the text, best each."""
         if not self.items:
             return []
         text = even_out(raw)
-        windows: dict[int, list[tuple[int, int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         for end, (size, places) in self.automaton.iter(text):
             start = end + 1 - size
-            for i, offset in places:
+            for i, leaf, offset in places:
                 _, item, k, _ = self.items[i]
-                a = start - offset
-                windows.setdefault(i, []).append((max(0, a - k), a + len(item) + k))
+                at = start - offset          # where the item would start
+                whole = (max(0, at - k), at + len(item) + k)
+                if whole in windows.get(i, ()):
+                    continue
+                halves, nodes = self._path(i, leaf)
+                for a, b, e in nodes:
+                    near = text[max(0, at + a - e):at + b + e]
+                    if e == 1 and halves and not (halves[0] in near or halves[1] in near):
+                        break                # one edit leaves a half untouched
+                    if not myers_within(self._masks(i, a, b), b - a, near, e):
+                        break
+                else:
+                    windows.setdefault(i, set()).add(whole)
         out = []
         for i, spans in windows.items():
-            item_id, item, k, masks = self.items[i]
-            if masks is None:
-                masks = myers_masks(item)
-                self.items[i] = (item_id, item, k, masks)
-            spans.sort()
-            merged = [list(spans[0])]
-            for a, b in spans[1:]:
-                if a <= merged[-1][1]:
+            item_id, item, k, _ = self.items[i]
+            merged: list[list[int]] = []
+            for a, b in sorted(spans):
+                if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
                     merged.append([a, b])
             best = None
             for a, b in merged:
-                hit = myers_best(masks, len(item), text[a:b], k)
+                hit = myers_best(self._masks(i, 0, len(item)), len(item), text[a:b], k)
                 if hit and (best is None or hit[0] < best[0]):
                     best = (hit[0], a + hit[1])
             if best:
