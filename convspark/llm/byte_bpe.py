@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 WORDS = 20_000
 BYTES = 400_000
 TOKENS = 500_000
-CACHE = 400_000
+CACHE = 1_000_000
 
 #: Neighbours join the merge table; of each word's mergeable pairs the one of
 #: least rank, then least position, is contracted; the others close up.
@@ -54,8 +54,12 @@ JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) f ON f.word = s.w
 ORDER BY s.word, s.pos
 """
 
+#: Ordered aggregation in two levels: runs of 512 positions, then documents.
 DECODE = """
-SELECT doc, string_agg(piece, '' ORDER BY pos) AS body FROM ids_in JOIN vocab USING (id) GROUP BY doc
+SELECT doc, string_agg(run, '' ORDER BY at) AS body FROM (
+  SELECT doc, pos // 512 AS at, string_agg(piece, '' ORDER BY pos) AS run
+  FROM ids_in JOIN vocab USING (id) GROUP BY doc, pos // 512)
+GROUP BY doc
 """
 
 
@@ -95,6 +99,7 @@ class Codec:
         self.con.register("v", pa.table({"id": pa.array(list(ranks.values()), i32),
                                          "piece": [t.decode("latin-1") for t in ranks]}))
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM v")
+        self.ranks = ranks
         self.known: dict[str, bytes] = {}
 
     def _encode_words(self, words: list[str]) -> None:
@@ -123,10 +128,13 @@ class Codec:
         split = [self.find(t) for t in texts]
         todo = set().union(*split).difference(self.known) if split else set()
         if len(self.known) + len(todo) > CACHE:
-            self.known.clear()
-            todo = set().union(*split)
+            self.known = {w: self.known[w] for w in set().union(*split).intersection(self.known)}
         part, size = [], 0
         for w in todo:
+            # a word that is a token as a whole is that token
+            if (rank := self.ranks.get(w.encode())) is not None:
+                self.known[w] = rank.to_bytes(4, "little")
+                continue
             part.append(w)
             size += len(w)
             if len(part) >= WORDS or size >= BYTES:
