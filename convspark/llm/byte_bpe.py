@@ -56,8 +56,8 @@ ORDER BY s.word, s.pos
 
 #: Ordered aggregation in two levels: runs of 512 positions, then documents.
 DECODE = """
-SELECT doc, string_agg(run, '' ORDER BY at) AS body FROM (
-  SELECT doc, pos // 512 AS at, string_agg(piece, '' ORDER BY pos) AS run
+SELECT doc, string_agg(run, '' ORDER BY blk) AS body FROM (
+  SELECT doc, pos // 512 AS blk, string_agg(piece, '' ORDER BY pos) AS run
   FROM ids_in JOIN vocab USING (id) GROUP BY doc, pos // 512)
 GROUP BY doc
 """
