@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from convspark.llm import byte_bpe, decontam, exact_dedup, licences, line_templates, quality, shard, url_filter
+from convspark.llm import (byte_bpe, decontam, exact_dedup, jaccard_join, licences, line_templates, quality, shard,
+                           url_filter)
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_line_templates": line_templates.op8_line_templates,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_licences": licences.op10_licences,
 }
 
