@@ -41,10 +41,29 @@ SLICE = 1 << 21
 #: many of the most frequent ones enter the global order (an order hint of
 #: bounded size: any order is exact).
 BATCH_REPEATS, ORDER_HINTS = 4, 200_000
-#: Longest extension of a prefix, and its weight of one verification.
-MAX_EXTRA, VERIFY_COST = 4, 16.0
+#: Longest extension of a prefix, the weight of one verification against one
+#: list entry, and the further documents expected to hold an unlisted shingle.
+MAX_EXTRA, VERIFY_COST, CHANCE = 8, 16.0, 0.05
 #: Shingle lists from this size go through stars; draws per document; rounds.
-HOT, DRAWS, ROUNDS = 24, 6, 4
+HOT, DRAWS, ROUNDS = 3, 2, 4
+#: Bits of the parity map that bounds the difference of two sets from below.
+PARITY = 1024
+
+_POWERS: dict = {}
+
+
+def _powers(n: int):
+    """Powers of the word polynomial's base and of its inverse, modulo 2**64."""
+    import numpy as np
+
+    if len(_POWERS.get("up", ())) < n:
+        n = max(n, SLICE + 1)
+        for name, step in (("up", 0x9E3779B97F4A7C15), ("down", pow(0x9E3779B97F4A7C15, -1, 2 ** 64))):
+            x = np.full(n, step, np.uint64)
+            x[0] = 1
+            _POWERS[name] = np.cumprod(x)
+        _POWERS["table"] = np.random.default_rng(20240229).integers(0, 2 ** 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    return _POWERS["up"], _POWERS["down"], _POWERS["table"]
 
 
 def hash_words(data: bytes):
@@ -52,10 +71,7 @@ def hash_words(data: bytes):
     space is single spaces or runs of them."""
     import numpy as np
 
-    table = np.random.default_rng(20240229).integers(0, 2 ** 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2 ** 64)
     hashes, starts, at = [], [], 0
-    powers = np.empty(0, np.uint64)
     while at < len(data):
         cut = len(data)
         if cut - at > SLICE:         # cut between words
@@ -64,13 +80,7 @@ def hash_words(data: bytes):
                 cut = data.find(b" ", at + SLICE)
                 cut = len(data) if cut < 0 else cut
         raw = np.frombuffer(data, np.uint8, cut - at, at)
-        if len(powers) < len(raw) + 1:
-            n = max(len(raw) + 1, min(SLICE, len(data)) + 1)
-            step = np.full(n, base, np.uint64)
-            step[0] = 1
-            powers = np.cumprod(step)
-            step[1:] = inverse
-            inverses = np.cumprod(step)
+        powers, inverses, table = _powers(len(raw) + 1)
         edge = np.diff(np.concatenate(([1], (raw == 32).view(np.int8), [1])))
         first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         total = np.zeros(len(raw) + 1, np.uint64)
@@ -116,7 +126,8 @@ def shingle_sets(texts: list, k: int):
         s = mixed(s).view(np.int64)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
             if b - a >= k:
-                out.append(np.unique(s[a:b - k + 1]))
+                x = np.sort(s[a:b - k + 1])
+                out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
             elif b > a:
                 whole = np.full(1, b - a, np.uint64)     # arrays wrap silently
                 for j in range(a, b):
@@ -159,9 +170,9 @@ def frequent_shingles(docs: DataFrame, k: int):
     return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
-def choose_prefix(order, df, n: int, percent: int):
-    """(length, l): the extension of least estimated cost.  ``order`` sorts the
-    set, ``df`` are estimated document counts in that order."""
+def choose_prefix(df, n: int, percent: int):
+    """(length, l): the extension of least estimated cost; ``df`` are the
+    estimated document counts of the set's shingles in the global order."""
     least = -(-percent * n // 100)
     extra = df - 1.0
     best = None
@@ -176,11 +187,12 @@ def choose_prefix(order, df, n: int, percent: int):
 
 _SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()),
                         T.StructField("f2", T.LongType()), T.StructField("need", T.IntegerType()),
-                        T.StructField("prefix", T.ArrayType(T.LongType()))])
+                        T.StructField("parity", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
 
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per row: set size, a 128-bit sum of the set, required l and prefix."""
+    """Per row: set size, a 128-bit sum of the set, required l, parity map and
+    prefix."""
     keys, counts = frequent_shingles(docs, k)
     sent = docs.sparkSession.sparkContext.broadcast((keys, counts))     # at most ORDER_HINTS entries
 
@@ -189,57 +201,68 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
         import pyarrow as pa
 
         known, often = sent.value
+
+        def lists(arrays):
+            off = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+            return pa.ListArray.from_arrays(off, pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
+
         for b in batches:
             sets = shingle_sets(b.column(1).to_pylist(), k)
-            f1, f2, need, prefix = [], [], [], []
+            f1, f2, need, parity, prefix = [], [], [], [], []
             for s in sets:
                 u = s.view(np.uint64)
                 f1.append(int(u.sum().view(np.int64)))
                 f2.append(int(mixed(u + np.uint64(0x9E3779B97F4A7C15)).sum().view(np.int64)))
+                odd = np.bincount(s & (PARITY - 1), minlength=PARITY) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 if not len(s):
                     need.append(0)
                     prefix.append(s)
                     continue
-                df = np.ones(len(s))
+                df = np.full(len(s), 1 + CHANCE)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     hit = known[at] == s
                     df[hit] = often[at[hit]]
                 order = np.argsort(df, kind="stable")       # hashes are sorted already
-                size, l = choose_prefix(order, df[order], len(s), percent)  # noqa: E741
+                size, l = choose_prefix(df[order], len(s), percent)  # noqa: E741
                 need.append(l)
                 prefix.append(s[order[:size]])
-            off = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-            flat = pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                 pa.array(need, pa.int32()), pa.ListArray.from_arrays(off, flat)], names=[f.name for f in _SIGNED])
+                 pa.array(need, pa.int32()), lists(parity), lists(prefix)], names=[f.name for f in _SIGNED])
 
     return docs.mapInArrow(sign, _SIGNED)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``sid, set`` of the documents whose id is in ``wanted`` (column wid)."""
-    def full(batches):
+def _possible(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes and parity maps allow the threshold: sets differ at
+    least where their maps differ."""
+    side = lambda x: meta.select(F.col("id").alias(f"i{x}"), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    p = pairs.join(side("a"), F.col("a") == F.col("ia")).join(side("b"), F.col("b") == F.col("ib"))
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return p.filter((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold."""
+    def compare(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist(), k)
-            off = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(off, flat)], names=["sid", "set"])
-
-    return docs.join(wanted, F.col("id") == F.col("wid"), "left_semi").mapInArrow(full, "sid long, set array<bigint>")
-
+            left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
+            hit = []
+            for x, y in zip(left, right):
+                s, t = shingle_sets([x, y], k)
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                hit.append(100 * common >= percent * (len(s) + len(t) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
     pairs = materialize(pairs, f"{name}_pairs")
-    left = pairs.join(sets, F.col("a") == F.col("sid")).select("a", "b", F.col("set").alias("sa"))
-    both = left.join(sets, F.col("b") == F.col("sid")).select("a", "b", "sa", F.col("set").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    hit = both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    side = lambda x: texts.select(F.col("id").alias(f"i{x}"), F.col("text").alias(f"t{x}"))
+    both = pairs.join(side("a"), F.col("a") == F.col("ia")).drop("ia").join(side("b"), F.col("b") == F.col("ib")).drop("ib")
+    hit = both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
     return materialize(hit, f"{name}_links")
 
 
@@ -253,45 +276,54 @@ def _with_component(shared: DataFrame, comp: DataFrame) -> DataFrame:
     return p.join(open_, F.col("tok") == F.col("otok")).drop("otok")
 
 
+def shared_prefixes(rows: DataFrame, meta: DataFrame) -> DataFrame:
+    """``tok, id, n, need, df``: prefix shingles that several representatives
+    share, of those that share enough of them to be in a pair."""
+    postings = rows.select("id", F.explode("prefix").alias("tok"))
+    lists = materialize(postings.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("tok").alias("ltok")), "op9_lists")
+    some = postings.join(lists, F.col("tok") == F.col("ltok")).select("tok", "id").distinct()
+    some = materialize(some.join(meta.select(F.col("id").alias("mid"), "n", "need").distinct(), F.col("id") == F.col("mid")).drop("mid"), "op9_some")
+    lists = some.groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.min("need").alias("least")).filter("df > 1")
+    lists = materialize(lists.withColumnRenamed("tok", "ltok"), "op9_lists")
+    some = some.join(lists, F.col("tok") == F.col("ltok")).drop("ltok")
+    enough = some.groupBy("id").agg(F.count(F.lit(1)).alias("met"), F.min(F.least("need", "least")).alias("least"))
+    enough = materialize(enough.filter("met >= least").select(F.col("id").alias("eid")), "op9_enough")
+    return materialize(some.join(enough, F.col("id") == F.col("eid")).select("tok", "id", "n", "need", "df"), "op9_shared")
+
+
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85):
     """``(rows, comp)``: ``id, n, rep`` per row (``rep``: smallest id with the
     same set) and ``node, comp`` of the representatives that have links."""
+    spark = docs.sparkSession
     docs = _ids(docs, id_col, text_col)
     rows = materialize(signatures(docs, k, percent), "op9_rows")
     same = materialize(rows.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")).select(
         F.col("n").alias("sn"), F.col("f1").alias("s1"), F.col("f2").alias("s2"), "rep"), "op9_same")
     on = (F.col("n") == F.col("sn")) & (F.col("f1") == F.col("s1")) & (F.col("f2") == F.col("s2"))
-    out = materialize(rows.drop("prefix", "need").join(same, on, "left").select("id", "n", "rep"), "op9_members")
-    reps = same.join(rows, on).filter("id = rep").select("id", "n", "need", "prefix").dropDuplicates(["id", "n", "prefix"])
-    postings = materialize(reps.select("id", "n", "need", F.explode("prefix").alias("tok")), "op9_prefixes")
-    lists = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select(F.col("tok").alias("ltok"), "df")
-    lists = materialize(lists, "op9_lists")
-    shared = postings.join(lists, F.col("tok") == F.col("ltok")).select("tok", "id", "n", "need", "df")
-    shared = materialize(shared, "op9_shared")
-    sets = materialize(_sets_of(docs, shared.select(F.col("id").alias("wid")).distinct(), k), "op9_sets")
+    held = materialize(rows.drop("prefix").join(same, on, "left"), "op9_members")
+    meta = materialize(held.filter("id = rep").select("id", "n", "need", "parity").distinct(), "op9_meta")
+    shared = shared_prefixes(rows, meta)
+    wanted = materialize(shared.select(F.col("id").alias("wid")).distinct(), "op9_wanted")
+    texts = materialize(docs.join(wanted, F.col("id") == F.col("wid"), "left_semi"), "op9_texts")
 
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
     comp = spark.createDataFrame([], "node long, comp long")
     near = 100 * F.least("n", "on") >= percent * F.greatest("n", "on")
     hot = shared.filter(F.col("df") >= HOT)
     for r in range(ROUNDS):
         p = _with_component(hot, comp)
-        if not p.limit(1).count():
-            break
         # a member of each shingle's list, drawn anew in every round
         draw = p.groupBy("tok").agg(F.min(F.struct(F.xxhash64("id", "tok", F.lit(r)).alias("o"), F.col("id").alias("oid"),
                                                    F.col("n").alias("on"), F.col("comp").alias("oc"))).alias("d"))
         draw = materialize(draw.select(F.col("tok").alias("dtok"), "d.*"), "op9_draw")
         star = p.join(draw, F.col("tok") == F.col("dtok")).filter((F.col("comp") != F.col("oc")) & near)
-        star = star.select("id", "oid").distinct().groupBy("id").agg(
-            F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("id", "oid", F.lit(r)).alias("o"), "oid"))), 1, DRAWS).alias("os"))
+        # the partners that a document meets most often
+        star = star.groupBy("id", "oid").agg(F.count(F.lit(1)).alias("met")).groupBy("id").agg(
+            F.slice(F.sort_array(F.collect_list(F.struct("met", F.xxhash64("id", "oid", F.lit(r)).alias("o"), "oid")), False), 1, DRAWS).alias("os"))
         star = star.select("id", F.explode("os").alias("o")).select(F.least("id", "o.oid").alias("a"), F.greatest("id", "o.oid").alias("b")).distinct()
-        found = _verified(star, sets, percent, "op9_star")
+        found = _verified(_possible(star, meta, percent), texts, k, percent, "op9_star")
         if not found.limit(1).count():
             break
-        links = links.unionByName(found)
-        comp = materialize(components(links), "op9_comp")
+        comp = materialize(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)), "op9_comp")
     p = _with_component(shared, comp)
     other = p.select(F.col("tok").alias("otok"), F.col("id").alias("oid"), F.col("n").alias("on"), F.col("need").alias("oneed"),
                      F.col("comp").alias("oc"))
@@ -299,8 +331,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = pairs.groupBy(F.col("id").alias("a"), F.col("oid").alias("b")).agg(
         F.count(F.lit(1)).alias("met"), F.min(F.least("need", "oneed")).alias("need"))
     pairs = pairs.filter("met >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.unionByName(_verified(pairs, sets, percent, "op9"))
-    return out, materialize(components(links), "op9_comp")
+    found = _verified(_possible(pairs, meta, percent), texts, k, percent, "op9")
+    comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found))
+    return held.select("id", "n", "rep"), materialize(comp, "op9_comp")
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
