@@ -11,10 +11,10 @@ for a pair, the smaller l of the two holds.
 
 Skew.  Documents with equal sets form one class, and only its smallest id is
 joined.  Prefix shingles of many documents are first verified as stars: every
-document against a few members drawn from its shingles' lists, which merges
-groups of near copies into components, round by round.  Only then are pairs
-formed, between different components alone, for every shingle that still has
-two.  So a group of copies never turns into all its pairs, and no candidate
+document against a few central members of its shingles' lists, which merges groups of
+near copies into components, round by round.  Only then are pairs formed,
+between different components alone, for every shingle that still has two and
+within the prefixes that the two sizes call for.  So a group of copies never turns into all its pairs, and no candidate
 is dropped: what the stars left open, the pairs cover in full.
 
 Defined cases
@@ -45,7 +45,7 @@ BATCH_REPEATS, ORDER_HINTS = 4, 200_000
 #: list entry, and the further documents expected to hold an unlisted shingle.
 MAX_EXTRA, VERIFY_COST, CHANCE = 8, 16.0, 0.05
 #: Shingle lists from this size go through stars; draws per document; rounds.
-HOT, DRAWS, ROUNDS = 3, 2, 4
+HOT, DRAWS, ROUNDS = 3, 2, 3
 #: Bits of the parity map that bounds the difference of two sets from below.
 PARITY = 1024
 
@@ -269,7 +269,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, name: st
 def _with_component(shared: DataFrame, comp: DataFrame) -> DataFrame:
     """Postings with their component, of shingles that still have two."""
     p = shared.join(comp, F.col("id") == F.col("node"), "left").select(
-        "tok", "id", "n", "need", "df", F.coalesce("comp", "id").alias("comp"))
+        "tok", "id", "pos", "n", "need", "df", F.coalesce("comp", "id").alias("comp"))
     p = materialize(p, "op9_postings")
     open_ = p.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(F.col("tok").alias("otok"))
     open_ = materialize(open_, "op9_open")
@@ -277,18 +277,18 @@ def _with_component(shared: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def shared_prefixes(rows: DataFrame, meta: DataFrame) -> DataFrame:
-    """``tok, id, n, need, df``: prefix shingles that several representatives
+    """``tok, id, pos, n, need, df``: prefix shingles that several representatives
     share, of those that share enough of them to be in a pair."""
-    postings = rows.select("id", F.explode("prefix").alias("tok"))
+    postings = rows.select("id", F.posexplode("prefix").alias("pos", "tok"))
     lists = materialize(postings.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("tok").alias("ltok")), "op9_lists")
-    some = postings.join(lists, F.col("tok") == F.col("ltok")).select("tok", "id").distinct()
+    some = postings.join(lists, F.col("tok") == F.col("ltok")).select("tok", "id", "pos").distinct()
     some = materialize(some.join(meta.select(F.col("id").alias("mid"), "n", "need").distinct(), F.col("id") == F.col("mid")).drop("mid"), "op9_some")
     lists = some.groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.min("need").alias("least")).filter("df > 1")
     lists = materialize(lists.withColumnRenamed("tok", "ltok"), "op9_lists")
     some = some.join(lists, F.col("tok") == F.col("ltok")).drop("ltok")
     enough = some.groupBy("id").agg(F.count(F.lit(1)).alias("met"), F.min(F.least("need", "least")).alias("least"))
     enough = materialize(enough.filter("met >= least").select(F.col("id").alias("eid")), "op9_enough")
-    return materialize(some.join(enough, F.col("id") == F.col("eid")).select("tok", "id", "n", "need", "df"), "op9_shared")
+    return materialize(some.join(enough, F.col("id") == F.col("eid")).select("tok", "id", "pos", "n", "need", "df"), "op9_shared")
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85):
@@ -307,13 +307,19 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = materialize(docs.join(wanted, F.col("id") == F.col("wid"), "left_semi"), "op9_texts")
 
     comp = spark.createDataFrame([], "node long, comp long")
-    near = 100 * F.least("n", "on") >= percent * F.greatest("n", "on")
+    # a pair's own bound: both share l shingles within n - overlap + l of each,
+    # where overlap is what the threshold takes of two sets of these sizes
+    overlap = F.ceil(F.lit(percent) * (F.col("n") + F.col("on")) / F.lit(100.0 + percent) - F.lit(1e-9))
+    l = F.least("need", "oneed")  # noqa: E741
+    near = ((100 * F.least("n", "on") >= percent * F.greatest("n", "on"))
+            & (F.col("pos") < F.col("n") - overlap + l) & (F.col("opos") < F.col("on") - overlap + l))
     hot = shared.filter(F.col("df") >= HOT)
     for r in range(ROUNDS):
         p = _with_component(hot, comp)
-        # a member of each shingle's list, drawn anew in every round
-        draw = p.groupBy("tok").agg(F.min(F.struct(F.xxhash64("id", "tok", F.lit(r)).alias("o"), F.col("id").alias("oid"),
-                                                   F.col("n").alias("on"), F.col("comp").alias("oc"))).alias("d"))
+        # of each shingle's list, a member with few rarer shingles before it: it
+        # is close to what the list's documents have in common
+        draw = p.groupBy("tok").agg(F.min(F.struct(F.col("pos").alias("opos"), F.xxhash64("id", F.lit(r)).alias("o"), F.col("id").alias("oid"),
+                                                   F.col("n").alias("on"), F.col("need").alias("oneed"), F.col("comp").alias("oc"))).alias("d"))
         draw = materialize(draw.select(F.col("tok").alias("dtok"), "d.*"), "op9_draw")
         star = p.join(draw, F.col("tok") == F.col("dtok")).filter((F.col("comp") != F.col("oc")) & near)
         # the partners that a document meets most often
@@ -325,7 +331,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
         comp = materialize(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)), "op9_comp")
     p = _with_component(shared, comp)
-    other = p.select(F.col("tok").alias("otok"), F.col("id").alias("oid"), F.col("n").alias("on"), F.col("need").alias("oneed"),
+    other = p.select(F.col("tok").alias("otok"), F.col("id").alias("oid"), F.col("pos").alias("opos"), F.col("n").alias("on"), F.col("need").alias("oneed"),
                      F.col("comp").alias("oc"))
     pairs = p.join(other, (F.col("tok") == F.col("otok")) & (F.col("comp") < F.col("oc")) & near)
     pairs = pairs.groupBy(F.col("id").alias("a"), F.col("oid").alias("b")).agg(
