@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from convspark.llm import (byte_bpe, decontam, exact_dedup, jaccard_join, licences, line_templates, quality, shard,
-                           url_filter)
+                           suffix_dedup, url_filter)
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_shards": shard.op5_shards,
