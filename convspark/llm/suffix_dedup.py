@@ -41,7 +41,7 @@ WINDOW, GRAM = 50, 16
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Suffixes sorted at a time, segments of a bucket that one block may hold,
 #: anchors in a partition of the range sort.
-BLOCK, HOT_BUCKET, ANCHORS = 1_500_000, 10_000, 4_000_000
+BLOCK, HOT_BUCKET, ANCHORS = 400_000, 10_000, 4_000_000
 NO_ID = 2 ** 63 - 1
 
 
@@ -97,7 +97,8 @@ def suffix_order(text, starts, window: int = WINDOW):
     """``starts`` sorted by the text that follows, at least ``window`` bytes
     deep, and a flag per place: equal to the place before in ``window`` bytes.
 
-    ``text`` must go on for ``window`` + ``PERIOD`` bytes after every start."""
+    ``text`` must go on for ``window`` + ``PERIOD`` bytes after every start (what
+    follows a piece of it only orders suffixes that are equal in the piece)."""
     import numpy as np
 
     w = words_at(text)
@@ -148,19 +149,15 @@ def suffix_order(text, starts, window: int = WINDOW):
     return s, same
 
 
-def repeats_in_block(pieces: list[bytes], ids, window: int = WINDOW):
-    """Flags per window start of the pieces (all in one line): whether the
-    window also starts in a piece of a smaller id."""
+def repeats_in_block(data, sizes, ids, window: int = WINDOW):
+    """Flags per window start of the pieces (``data`` is their bytes in one
+    line): whether the window also starts in a piece of a smaller id."""
     import numpy as np
 
-    gap = bytes(window + PERIOD)
-    text = np.frombuffer(gap.join(pieces) + gap, np.uint8)
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    begin = np.cumsum(sizes + len(gap)) - sizes - len(gap)
+    text = np.concatenate([data, np.zeros(window + PERIOD, np.uint8)])
     n = sizes - window + 1
-    offset = np.cumsum(n) - n
-    starts = np.repeat(begin - offset, n) + np.arange(int(n.sum()))
-    owner = np.repeat(np.asarray(ids), n)
+    starts = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    owner = np.repeat(ids, n)
     s, same = suffix_order(text, starts, window)
     place = np.zeros(len(text), np.int64)
     place[starts] = np.arange(len(starts))
@@ -172,6 +169,16 @@ def repeats_in_block(pieces: list[bytes], ids, window: int = WINDOW):
     return out
 
 
+def binary_parts(column):
+    """(bytes in one line, sizes) of an Arrow binary array."""
+    import numpy as np
+
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    body = column.buffers()[2]
+    data = np.frombuffer(body, np.uint8)[off[0]:off[-1]] if body else np.empty(0, np.uint8)
+    return data, np.diff(off)
+
+
 _ANCHOR = "bucket long, id long, pos int"
 
 
@@ -245,20 +252,30 @@ def _segments(batches):
     import pyarrow as pa
 
     for b in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], []]
+        bodies, sizes = [], []
         for i, th, body, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
             raw = np.frombuffer(body.as_buffer(), np.uint8)
             bucket, anchor, first, last = window_runs(raw)
-            data = body.as_buffer()
-            for j in np.flatnonzero(np.isin(anchor, np.asarray(wanted.values))).tolist():
-                out[0].append(int(bucket[j]))
-                out[1].append(i)
-                out[2].append(th)
-                out[3].append(int(first[j]))
-                out[4].append(data.slice(int(first[j]), int(last[j] - first[j]) + WINDOW).to_pybytes())
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
-                                              pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=["bucket", "id", "th", "at", "piece"])
+            pick = np.zeros(len(raw), bool)
+            pick[np.asarray(wanted.values)] = True
+            j = np.flatnonzero(pick[anchor])
+            n = last[j] - first[j] + WINDOW
+            sizes.append(n)
+            bodies.append(raw[np.repeat(first[j] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+            for k, x in enumerate((bucket[j], np.full(len(j), i, np.int64), np.full(len(j), th, np.int64), first[j].astype(np.int32))):
+                out[k].append(x)
+        if not sizes:
+            continue
+        sizes, data = np.concatenate(sizes), np.concatenate(bodies)
+        cols = [np.concatenate(x) for x in out]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        for at in range(0, len(sizes), 1 << 16):
+            e = ends[at:at + (1 << 16) + 1]
+            piece = pa.Array.from_buffers(pa.binary(), len(e) - 1, [None, pa.py_buffer((e - e[0]).astype(np.int32)),
+                                                                    pa.py_buffer(np.ascontiguousarray(data[e[0]:e[-1]]))])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[at:at + (1 << 16)]) for c in cols), piece],
+                                             names=["bucket", "id", "th", "at", "piece"])
 
 
 _RUN = "id long, th long, lo int, hi int"
@@ -269,36 +286,46 @@ def _sorted_blocks(batches):
     import numpy as np
     import pyarrow as pa
 
-    rows: list = []
-    size = 0
-
-    def flush(rows):
-        flags = repeats_in_block([r[4] for r in rows], [r[1] for r in rows])
-        out: list[list] = [[], [], [], []]
-        at = 0
-        for _, i, th, first, piece in rows:
-            n = len(piece) - WINDOW + 1
-            f = flags[at:at + n]
-            at += n
-            if f.any():
-                edge = np.diff(np.concatenate(([0], f.view(np.int8), [0])))
-                for lo, hi in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-                    out[0].append(i)
-                    out[1].append(th)
-                    out[2].append(first + lo)
-                    out[3].append(first + hi - 1)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
-                                           pa.array(out[3], pa.int32())], names=["id", "th", "lo", "hi"])
+    def flush(parts):
+        ids, th, first = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (1, 2, 3))
+        data, sizes = zip(*(binary_parts(p.column(4)) for p in parts))
+        sizes = np.concatenate(sizes)
+        flags = repeats_in_block(np.concatenate(data), sizes, ids)
+        n = sizes - WINDOW + 1
+        begin = np.cumsum(n) - n
+        row = np.repeat(np.arange(len(n)), n)
+        edge = np.flatnonzero(flags)          # runs end where flags or pieces do
+        if not len(edge):
+            return
+        new = np.concatenate(([True], (edge[1:] != edge[:-1] + 1) | (row[edge[1:]] != row[edge[:-1]])))
+        lo, hi = edge[new], edge[np.concatenate((new[1:], [True]))]
+        r = row[lo]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[r]), pa.array(th[r]), pa.array((first[r] + lo - begin[r]).astype(np.int32)),
+             pa.array((first[r] + hi - begin[r]).astype(np.int32))], names=["id", "th", "lo", "hi"])
 
+    parts: list = []
+    size = 0
     for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(5))):
-            if size >= BLOCK and row[0] != rows[-1][0]:      # blocks end between buckets
-                yield flush(rows)
-                rows, size = [], 0
-            rows.append(row)
-            size += len(row[4]) - WINDOW + 1
-    if rows:
-        yield flush(rows)
+        if not b.num_rows:
+            continue
+        bucket = b.column(0).to_numpy()
+        _, sizes = binary_parts(b.column(4))
+        head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))     # blocks end between buckets
+        have = np.concatenate(([0], np.cumsum(sizes - WINDOW + 1)))
+        at = 0
+        for h in [*head.tolist(), b.num_rows]:
+            goes_on = h == 0 and parts and parts[-1].column(0)[-1].as_py() == bucket[0]
+            if size + have[h] - have[at] >= BLOCK and not goes_on and h < b.num_rows:
+                if h > at:
+                    parts.append(b.slice(at, h - at))
+                yield from flush(parts)
+                parts, size, at = [], 0, h
+        if at < b.num_rows:
+            parts.append(b.slice(at))
+            size += have[-1] - have[at]
+    if parts:
+        yield from flush(parts)
 
 
 def _hot_runs(hot: DataFrame) -> DataFrame:
