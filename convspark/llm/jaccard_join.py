@@ -45,7 +45,7 @@ BATCH_REPEATS, ORDER_HINTS = 4, 200_000
 #: list entry, and the further documents expected to hold an unlisted shingle.
 MAX_EXTRA, VERIFY_COST, CHANCE = 8, 16.0, 0.05
 #: Shingle lists from this size go through stars; draws per document; rounds.
-HOT, DRAWS, ROUNDS = 3, 2, 3
+HOT, DRAWS, ROUNDS = 3, 2, 2
 #: Bits of the parity map that bounds the difference of two sets from below.
 PARITY = 1024
 
@@ -174,11 +174,13 @@ def choose_prefix(df, n: int, percent: int):
     """(length, l): the extension of least estimated cost; ``df`` are the
     estimated document counts of the set's shingles in the global order."""
     least = -(-percent * n // 100)
+    # a partner of the same size meets this set in a shorter part of the prefix
+    even = -(-2 * percent * n // (100 + percent))
     extra = df - 1.0
     best = None
     for l in range(1, min(MAX_EXTRA, least) + 1):  # noqa: E741
         size = n - least + l
-        others = float(extra[:size].sum())
+        others = float(extra[:n - even + l].sum())
         cost = size + others * (1 + VERIFY_COST / l)
         if best is None or cost < best[0]:
             best = (cost, size, l)
@@ -260,6 +262,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, name: st
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     pairs = materialize(pairs, f"{name}_pairs")
+    met = materialize(pairs.select(F.explode(F.array("a", "b")).alias("mid")).distinct(), f"{name}_met")
+    texts = texts.join(met, F.col("id") == F.col("mid"), "left_semi")
     side = lambda x: texts.select(F.col("id").alias(f"i{x}"), F.col("text").alias(f"t{x}"))
     both = pairs.join(side("a"), F.col("a") == F.col("ia")).drop("ia").join(side("b"), F.col("b") == F.col("ib")).drop("ib")
     hit = both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
