@@ -258,7 +258,8 @@ def _segments(batches):
             raw = np.frombuffer(body.as_buffer(), np.uint8)
             bucket, anchor, first, last = window_runs(raw)
             pick = np.zeros(len(raw), bool)
-            pick[np.asarray(wanted.values)] = True
+            at = np.asarray(wanted.values)
+            pick[at[at < len(raw)]] = True       # an id may have several texts
             j = np.flatnonzero(pick[anchor])
             n = last[j] - first[j] + WINDOW
             sizes.append(n)
