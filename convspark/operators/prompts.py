@@ -245,7 +245,8 @@ def device_rollup(devices: DataFrame) -> DataFrame:
 def context_limit(free_gb, params_b, model_max) -> Column:
     """Usable context in tokens from free memory and model size."""
     f, p = col_of(free_gb).cast("double"), col_of(params_b).cast("double")
-    mm = F.coalesce(col_of(model_max).cast("long"), F.lit(DEFAULT_MODEL_MAX))
+    known = col_of(model_max).cast("long")
+    mm = F.coalesce(F.when(known != 0, known), F.lit(DEFAULT_MODEL_MAX))     # 0: not known
     bpt = (F.when(p < BYTES_PER_TOKEN[0][0], F.lit(BYTES_PER_TOKEN[0][1]))
            .when(p < BYTES_PER_TOKEN[1][0], F.lit(BYTES_PER_TOKEN[1][1]))
            .otherwise(F.lit(BYTES_PER_TOKEN[2][1])))

@@ -17,8 +17,11 @@ def land_corpus(lines: DataFrame, path: str, order_col: str | None = None) -> No
     ``lines``: ``(request_id, line_no, value)``."""
     x = lines.withColumn("rid", sanitize_request_id(F.col("request_id")))
     if order_col:
-        latest = x.groupBy("rid").agg(F.max_by("request_id", order_col).alias("_winner"))
-        x = x.join(latest, "rid").filter(F.col("request_id") == F.col("_winner")).drop("_winner")
+        # a submission is a raw id at one order value: the same raw id submitted
+        # again replaces its own earlier lines too
+        latest = x.groupBy("rid").agg(F.max(F.struct(F.col(order_col).alias("o"), F.col("request_id").alias("r"))).alias("_winner"))
+        x = x.join(latest, "rid").filter(F.col("request_id").eqNullSafe(F.col("_winner.r"))
+                                         & F.col(order_col).eqNullSafe(F.col("_winner.o"))).drop("_winner")
     # no repartition by request: a request holding a third of all lines would
     # land through one task; each task writes its own file per folder,
     # lines in their original order within it

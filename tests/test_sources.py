@@ -76,3 +76,12 @@ def test_match_model_against_listing(spark, tmp_path):
                                  "id long, ref string")
     got = {r.id: (r.match, r.match_kind) for r in match_model(refs, cat).collect()}
     assert got == {1: ("var/snap_1", "path"), 2: ("models/llama-x", "name"), 3: (None, None)}
+
+
+def test_resubmission_of_the_same_raw_id_replaces_its_lines(spark, tmp_path):
+    from convspark.sources.corpus import land_corpus, scan_corpus
+
+    rows = [("a", 0, "old1", 0), ("a", 1, "old2", 0), ("a", 0, "new1", 1)]
+    path = str(tmp_path / "corpora")
+    land_corpus(spark.createDataFrame(rows, "request_id string, line_no long, value string, at int"), path, order_col="at")
+    assert [r.value for r in scan_corpus(spark, path).collect()] == ["new1"]
