@@ -37,7 +37,7 @@ WILDCARD = "<*>"
 
 def _masked(line: Column) -> Column:
     """The line in single spaces, words with a digit as a variable field."""
-    even = F.trim(F.regexp_replace(line, "[ \\t\\r]+", " "))
+    even = F.trim(F.when(line.rlike("[\\t\\r]|  "), F.regexp_replace(line, "[ \\t\\r]+", " ")).otherwise(line))
     return F.when(even.rlike("[0-9]"), F.regexp_replace(even, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILDCARD)).otherwise(even)
 
 
@@ -51,10 +51,10 @@ def _lines(df: DataFrame, id_col: str, text_col: str, leading: int) -> DataFrame
         {"h1": F.xxhash64("masked"), "h2": F.hash("masked")})
 
 
-def leaf_templates(lines: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+def leaf_templates(lines: DataFrame, narrow: DataFrame, min_docs: int, similarity: float) -> DataFrame:
     """``h1, h2, template`` of the lines that fit their leaf's template, for
     leaves that many documents share; ``template`` is its text."""
-    seen = materialize(lines.groupBy("leaf", "h1", "h2").agg(F.count(F.lit(1)).alias("n")), "op8_seen")
+    seen = materialize(narrow.groupBy("leaf", "h1", "h2").agg(F.count(F.lit(1)).alias("n")), "op8_seen")
     # a template's lines are all in one leaf: fewer lines than min_docs cannot recur
     busy = materialize(seen.groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
                        .filter((F.col("n") >= min_docs) & (F.col("kinds") > 1)).select(F.col("leaf").alias("bleaf")), "op8_busy")
@@ -77,10 +77,12 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     similarity: float = SIMILARITY, leading: int = LEADING) -> DataFrame:
     """``id, th, no`` of every line to drop (``th``: hash of its text)."""
     lines = _lines(df, id_col, text_col, leading)
-    fits = leaf_templates(lines, min_docs, similarity).select(
+    # parsed once; the words are read again for leaves that need them only
+    narrow = materialize(lines.select("id", "th", "no", "leaf", "h1", "h2"), "op8_narrow")
+    fits = leaf_templates(lines, narrow, min_docs, similarity).select(
         F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.xxhash64("template").alias("t1"))
     fits = materialize(fits, "op8_fits")
-    own = lines.select("id", "th", "no", "h1", "h2").join(fits, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left")
+    own = narrow.drop("leaf").join(fits, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left")
     own = own.select("id", "th", "no", F.coalesce("t1", "h1").alias("k1"), F.when(F.col("t1").isNull(), F.col("h2")).alias("k2"))
     own = materialize(own, "op8_lines")
     docs = own.select("th", "k1", "k2").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs"))
