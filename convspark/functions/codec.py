@@ -18,42 +18,37 @@ from pyspark.sql import functions as F
 
 from convspark.functions.text import col_of
 
-# Fixed value: the XOR key (ASCII bytes of the word below).
-LOG_KEY = "llmws"
-_KEY_BYTES = [ord(ch) for ch in LOG_KEY]
-
-
-def _xor_hex(hexstr: Column) -> Column:
+def _xor_hex(hexstr: Column, key_text: str) -> Column:
     """XOR every byte of a hex string with the cycling key; returns hex."""
     n = (F.length(hexstr) / 2).cast("int")
-    key = F.array(*[F.lit(b) for b in _KEY_BYTES])
+    key = F.array(*[F.lit(b) for b in key_text.encode("ascii")])
     idx = F.sequence(F.lit(0), n - 1)
     xs = F.transform(idx, lambda i: F.lpad(F.hex(
         F.conv(F.substr(hexstr, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        .bitwiseXOR(F.element_at(key, (i % len(_KEY_BYTES)) + 1))), 2, "0"))
+        .bitwiseXOR(F.element_at(key, (i % len(key_text)) + 1))), 2, "0"))
     return F.when(n > 0, F.array_join(xs, "")).otherwise(F.lit(""))
 
 
-def encode_log_native(text) -> Column:
+def encode_log_native(text, key: str) -> Column:
     """``''`` for null/empty input, else base64(xor(utf8(text)))."""
     t = col_of(text)
     h = F.hex(F.encode(t, "UTF-8"))
-    b64 = F.regexp_replace(F.base64(F.unhex(_xor_hex(h))), r"[\r\n]", "")
+    b64 = F.regexp_replace(F.base64(F.unhex(_xor_hex(h, key))), r"[\r\n]", "")
     return F.when(t.isNull() | (F.length(t) == 0), F.lit("")).otherwise(b64)
 
 
-def decode_log_native(data) -> Column:
+def decode_log_native(data, key: str) -> Column:
     """Inverse of :func:`encode_log`; ``''`` when empty, not base64, or not
     UTF-8 after the XOR (the reader treats those as nothing)."""
     d = col_of(data)
     raw = F.try_to_binary(F.regexp_replace(d, r"\s", ""), F.lit("base64"))
     h = F.hex(raw)
-    txt = F.try_validate_utf8(F.unhex(_xor_hex(h)).cast("string"))
+    txt = F.try_validate_utf8(F.unhex(_xor_hex(h, key)).cast("string"))
     return F.when(d.isNull() | (F.length(d) == 0), F.lit("")).otherwise(F.coalesce(txt, F.lit("")))
 
 
 # ------------------------------------------------------------------ pandas UDFs
-def _xor_batch(chunks):
+def _xor_batch(chunks, key_text):
     """XOR a list of byte strings with the cycling key in one numpy pass."""
     import numpy as np
 
@@ -63,24 +58,24 @@ def _xor_batch(chunks):
     flat = np.frombuffer(b"".join(chunks), dtype=np.uint8)
     starts = np.cumsum(lens) - lens
     pos = np.arange(flat.size, dtype=np.int64) - np.repeat(starts, lens)
-    key = np.frombuffer(LOG_KEY.encode("ascii"), dtype=np.uint8)
+    key = np.frombuffer(key_text.encode("ascii"), dtype=np.uint8)
     x = (flat ^ key[pos % key.size]).tobytes()
     ends = starts + lens
     return [x[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
-def _encode_batch(s):
+def _encode_batch(s, key):
     import base64
 
     import pandas as pd
 
     vals = [v if isinstance(v, str) else "" for v in s]
     raw = [v.encode("utf-8") for v in vals]
-    out = [base64.b64encode(b).decode("ascii") if v else "" for v, b in zip(vals, _xor_batch(raw))]
+    out = [base64.b64encode(b).decode("ascii") if v else "" for v, b in zip(vals, _xor_batch(raw, key))]
     return pd.Series(out, index=s.index)
 
 
-def _decode_batch(s):
+def _decode_batch(s, key):
     import base64
     import binascii
 
@@ -95,7 +90,7 @@ def _decode_batch(s):
             raw.append(base64.b64decode(v))
         except (binascii.Error, ValueError):
             raw.append(None)
-    xs = _xor_batch([b if b is not None else b"" for b in raw])
+    xs = _xor_batch([b if b is not None else b"" for b in raw], key)
     out = []
     for b, x in zip(raw, xs):
         if b is None:
@@ -108,24 +103,24 @@ def _decode_batch(s):
     return pd.Series(out, index=s.index)
 
 
-def _udf(fn):
+def _udf(fn, key):
     """Wrap a batch function as a scalar pandas UDF returning strings."""
     import pandas as pd
     from pyspark.sql.types import StringType
 
     def run(s):
-        return fn(s)
+        return fn(s, key)
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}  # real types, not postponed strings
     return F.pandas_udf(run, StringType())
 
 
-def encode_log(text) -> Column:
+def encode_log(text, key: str) -> Column:
     """``''`` for null/empty input, else base64(xor(utf8(text)))."""
-    return _udf(_encode_batch)(col_of(text))
+    return _udf(_encode_batch, key)(col_of(text))
 
 
-def decode_log(data) -> Column:
+def decode_log(data, key: str) -> Column:
     """Inverse of :func:`encode_log`; ``''`` when empty, not base64, or not
     UTF-8 after the XOR."""
-    return _udf(_decode_batch)(col_of(data))
+    return _udf(_decode_batch, key)(col_of(data))

@@ -73,17 +73,20 @@ def normalize_host(c) -> Column:
     m = r"^(wss?)://([^/?#\s]*)([^?#]*)(\?[^#]*)?(#.*)?$"
     scheme = F.regexp_extract(with_proto, m, 1)
     auth = F.regexp_extract(with_proto, m, 2)
-    hostport = F.regexp_extract(auth, r"^(?:[^@]*@)?(.*)$", 1)
-    host = F.lower(F.regexp_extract(hostport, r"^([^:]*)", 1))
-    port = F.regexp_extract(hostport, r"^[^:]*:(.*)$", 1)
+    user = F.regexp_replace(F.regexp_extract(auth, r"^(.*)@[^@]*$", 1), ":$", "")
+    hostport = F.regexp_extract(auth, r"([^@]*)$", 1)
+    hp_re = r"^(\[[^\]]*\]|[^:]*)(?::(.*))?$"  # a bracketed host holds colons of its own
+    host = F.lower(F.regexp_extract(hostport, hp_re, 1))
+    port = F.coalesce(F.regexp_extract(hostport, hp_re, 2), F.lit(""))
     default_port = F.when(scheme == "ws", F.lit("80")).otherwise(F.lit("443"))
-    port_ok = (port == "") | F.regexp_like(port, F.lit(r"^[0-9]{1,5}$"))
+    port_ok = (port == "") | (F.regexp_like(port, F.lit(r"^[0-9]+$"))
+                              & F.coalesce(port.try_cast("long") <= 65535, F.lit(False)))
     port_norm = F.when(port == "", F.lit("")).otherwise(F.regexp_replace(port, "^0+(?=.)", ""))
     hp = F.when((port_norm == "") | (port_norm == default_port), host) \
         .otherwise(F.concat(host, F.lit(":"), port_norm))
     query = F.regexp_extract(with_proto, m, 4)
     frag = F.regexp_extract(with_proto, m, 5)
-    rendered = F.concat(scheme, F.lit("://"), hp, F.lit("/"), query, frag)
+    rendered = F.concat(scheme, F.lit("://"), F.when(user == "", F.lit("")).otherwise(F.concat(user, F.lit("@"))), hp, F.lit("/"), query, frag)
     ok = (v != "") & F.regexp_like(with_proto, F.lit(m)) & (host != "") & port_ok \
         & F.regexp_like(host, F.lit(r"^[a-z0-9.\-_~%\[\]:]+$"))
     return F.when(ok, F.regexp_replace(rendered, "/$", ""))

@@ -85,33 +85,27 @@ def repeat_epochs(samples: DataFrame, plan: DataFrame, seed: int = 42) -> DataFr
             .drop("_bpe", "_epochs", "batch_size", "max_steps"))
 
 
-def tokenize(df: DataFrame, text_col: str = "text", tokenizer_file: str | None = None) -> DataFrame:
+def tokenize(df: DataFrame, text_col: str = "text", max_len=None) -> DataFrame:
     """Word tokens and their ids.  Ids come from a hash of the token, so no
     global vocabulary pass (and no single-task dense rank) is needed.
 
-    With ``tokenizer_file`` (a ``tokenizers`` JSON on a shared path) the
-    model's own subword ids are used instead (Arrow-batched pandas UDF);
-    ``tokens`` is then absent."""
-    if tokenizer_file:
-        from convspark.functions.tokenizer import token_ids
-
-        return df.withColumn("token_ids", token_ids(F.col(text_col), tokenizer_file))
+    ``max_len`` (T1; int or column name) cuts the token list before any id
+    is computed, so a long text costs one regex pass and ``max_len`` hashes."""
     toks = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_RE), 0)
+    if max_len is not None:
+        toks = F.slice(toks, F.lit(1), F.col(max_len) if isinstance(max_len, str) else F.lit(int(max_len)))
     return (df.withColumn("tokens", toks)
             .withColumn("token_ids", F.transform("tokens", lambda t: token_id(t))))
 
 
 def token_id(tok: Column) -> Column:
-    return F.conv(F.substr(F.md5(tok), F.lit(1), F.lit(7)), 16, 10).cast("int")
-
+    """60 bits of the token's md5: no clash is expected below some 10^9
+    distinct tokens."""
+    return F.conv(F.substr(F.md5(tok), F.lit(1), F.lit(15)), 16, 10).cast("long")
 
-def count_tokens(df: DataFrame, text_col: str = "text", tokenizer_file: str | None = None) -> DataFrame:
-    """Number of tokens in each text (word tokens, or the model's own
-    tokens when a ``tokenizers`` file is given)."""
-    if tokenizer_file:
-        from convspark.functions.tokenizer import token_ids
 
-        return df.withColumn("n_tokens", F.size(token_ids(F.col(text_col), tokenizer_file)))
+def count_tokens(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Number of word tokens in each text."""
     return df.withColumn("n_tokens", F.size(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_RE), 0)))
 
 

@@ -109,9 +109,17 @@ def typed_value(v) -> tuple:
 
 
 def config_pivot(settings: DataFrame, keys, scope: str = "session_id") -> DataFrame:
-    """Last ``key=value`` per scope and key, one column per key, typed
-    by the client's rule (numeric keys become doubles here)."""
-    kind, _, num = typed_value("value")
-    x = settings.withColumn("_num", num)
-    return (x.groupBy(scope).pivot("key", list(keys))
-            .agg(F.max_by("_num", "seq")))
+    """Last ``key=value`` per scope and key, one column per key: a struct
+    ``(kind, bool, num, text)`` typed by the client's rule (``kind`` is
+    ``bool``, ``float``, ``int`` or ``str``; ``text`` is the value as given).
+    A key outside ``keys`` gets no column: :func:`last_settings` has them all."""
+    return last_settings(settings, scope).groupBy(scope).pivot("key", list(keys)).agg(F.first("setting"))
+
+
+def last_settings(settings: DataFrame, scope: str = "session_id") -> DataFrame:
+    """A9 in long form, for keys not known in advance: the last typed
+    ``setting`` of every ``(scope, key)`` (map-side combined)."""
+    kind, flag, num = typed_value("value")
+    typed = F.struct(kind.alias("kind"), F.when(kind == "bool", flag).alias("bool"), num.alias("num"),
+                     F.col("value").alias("text"))
+    return settings.groupBy(scope, "key").agg(F.max_by(typed, "seq").alias("setting"))

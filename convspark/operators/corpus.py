@@ -151,12 +151,12 @@ def check_non_empty(requests: DataFrame, samples: DataFrame) -> DataFrame:
 
 def require_non_empty(requests: DataFrame, samples: DataFrame) -> DataFrame:
     """P4 for a batch job: fail when any requested dataset has no sample
-    (the error names them, at most 20), else return the per-request counts.
-    Only the empty requests' ids reach the driver, never the data."""
+    (the error names the first and says how many), else return the per-request counts.
+    One count and one id reach the driver; ``check_non_empty`` lists them all."""
     status = check_non_empty(requests, samples)
-    empty = [r.request_id for r in status.filter(F.col("status") == "empty").select("request_id").limit(20).collect()]
-    if empty:
-        raise ValueError(f"Dataset is empty after parsing: {', '.join(map(str, empty))}")
+    empty = status.filter(F.col("status") == "empty").agg(F.count(F.lit(1)).alias("n"), F.min("request_id").alias("first")).first()
+    if empty.n:
+        raise ValueError(f"Dataset is empty after parsing: {empty.first} ({empty.n} in all)")
     return status
 
 

@@ -22,7 +22,7 @@ CLIENT_TYPES = (
 # Server frames kept in a session's replay buffer, and the
 # frames whose sending writes the buffer to disk.
 BUFFERED_TYPES = ("start", "token", "done", "train_waiting", "train_started", "train_progress",
-                  "train_checkpoint", "train_done", "train_error")
+                  "train_checkpoint", "train_done")
 FLUSH_TYPES = ("done", "train_done")
 END_TYPES = ("done", "error")
 
@@ -136,12 +136,18 @@ def replay(frames: DataFrame) -> DataFrame:
     at ``done``/``train_done``; frames after the last flush are still in
     memory and are not replayed; replay does not clear the buffer.
 
+    An ``error`` frame is buffered only when it reports a training failure,
+    which names the request (``request_id``, where the frames carry one).
+
     Two per-session maxima (map-side combined) joined back: no per-session
     sort, so a session of any length is handled in parallel."""
     marks = frames.groupBy("session_id").agg(
         F.max(F.when(F.col("type") == "ack", F.col("seq"))).alias("last_ack"),
         F.max(F.when(F.col("type").isin(*FLUSH_TYPES), F.col("seq"))).alias("last_flush"))
-    j = frames.filter(F.col("type").isin(*BUFFERED_TYPES)).join(marks, "session_id")
+    kept = F.col("type").isin(*BUFFERED_TYPES)
+    if "request_id" in frames.columns:
+        kept = kept | ((F.col("type") == "error") & F.col("request_id").isNotNull())
+    j = frames.filter(kept).join(marks, "session_id")
     return (j.filter((F.col("seq") > F.coalesce(F.col("last_ack"), F.lit(-1)))
                      & (F.col("seq") <= F.col("last_flush")))
             .drop("last_ack", "last_flush"))

@@ -142,10 +142,9 @@ def classify_images(entries: DataFrame, entry_col: str = "entry", files: DataFra
         x = x.withColumn(f"_f_{name}", field(name))
     if files is not None:
         fl = files.select(F.col("path").alias("_fp"), F.lit(True).alias("_exists")).distinct()
-        # only something that can be a path is looked up: data URLs and
-        # payloads longer than a path can be never travel through the join
+        # a data URL names no file; everything else is looked up as written
         cand = F.coalesce(F.col("_s"), F.col("_f_path"))
-        x = x.withColumn("_pk", F.when(~F.startswith(cand, F.lit("data:image/")) & (F.length(cand) <= 4096), cand))
+        x = x.withColumn("_pk", F.when(~F.startswith(cand, F.lit("data:image/")), cand))
         x = x.join(fl, F.col("_pk") == F.col("_fp"), "left").drop("_fp", "_pk")
     else:
         x = x.withColumn("_exists", F.lit(None).cast("boolean"))

@@ -13,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convspark.operators.batches import pad_batch, repeat_epochs, step_plan, tokenize, truncate_tokens
+from convspark.operators.batches import pad_batch, repeat_epochs, step_plan, tokenize
 
 
 def training_batches(samples: DataFrame, cfg: DataFrame, seed: int = 42, pad_id: int = 0,
-                     stage: bool = False, tokenizer_file: str | None = None) -> DataFrame:
+                     stage: bool = False) -> DataFrame:
     """One row per (request, step, sample) of the run.
 
     ``samples``: ``(request_id, sample_id, text)``; ``cfg``: clamped train
@@ -31,8 +31,7 @@ def training_batches(samples: DataFrame, cfg: DataFrame, seed: int = 42, pad_id:
     the rows).  With ``stage=True`` they are written once to the shared
     checkpoint folder and read back, so at scale the parse runs once and a
     lost executor does not recompute it."""
-    toks = (tokenize(samples, tokenizer_file=tokenizer_file).join(cfg.select("request_id", "max_seq_length"), "request_id")
-            .transform(lambda d: truncate_tokens(d, "max_seq_length"))
+    toks = (tokenize(samples.join(cfg.select("request_id", "max_seq_length"), "request_id"), max_len="max_seq_length")
             .select("request_id", "sample_id", "token_ids"))
     if stage:
         from convspark.session import materialize

@@ -278,7 +278,7 @@ def f_images(spark: SparkSession, sf: str) -> DataFrame:
     root = sf.rstrip("/")
     quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))  # noqa: E731  (base64 needs no escaping)
     e1 = (F.when(tn % 5 == 0, quoted(F.concat(F.lit("data:image/png;base64,"),
-                                              _b64(F.substr(F.col("text"), F.lit(1), F.lit(30))))))
+                                              _b64(F.col("text")))))
           .when(tn % 5 == 1, quoted(_b64(k.cast("string"))))
           .when(tn % 5 == 2, F.to_json(F.struct(
               F.when(k % 2 == 0, F.lit(root + "/nation.parquet"))
@@ -296,12 +296,13 @@ def f_images(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- catalogue / config
 def f_files(spark: SparkSession, sf: str) -> DataFrame:
     """Files of model directories: root models (even doc_id % 20) or var;
-    directory = source; ``config.json`` for doc_id < 15, else ``f<id>.bin``;
+    directory = source and block of 200 ids; ``config.json`` for every
+    seventh id, else ``f<id>.bin``;
     size = n_chars."""
     d = t(spark, sf, "documents")
     return d.select(F.when(F.col("doc_id") % 20 % 2 == 0, F.lit("models")).otherwise(F.lit("var")).alias("source"),
-                    F.col("source").alias("name"),
-                    F.when(F.col("doc_id") < 15, F.lit("config.json"))
+                    F.concat(F.col("source"), F.lit("-"), F.floor(F.col("doc_id") / 200).cast("string")).alias("name"),
+                    F.when(F.col("doc_id") % 7 == 0, F.lit("config.json"))
                     .otherwise(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".bin"))).alias("rel"),
                     F.col("n_chars").alias("size"))
 

@@ -32,7 +32,7 @@ def csv(x: str) -> str:
 
 
 def tok_id(x: str) -> str:
-    return f"('0x' || substr(md5({x}), 1, 7))::INTEGER"
+    return f"('0x' || substr(md5({x}), 1, 15))::BIGINT"
 
 
 # -------------------------------------------------------------- fixtures
@@ -173,15 +173,15 @@ FROM ranked GROUP BY 1, 2"""
 
 ORACLE["o3_repeat_epochs"] = f"""WITH {SAMPLES},
 sized AS (SELECT request_id, count(*) AS n, ceil(count(*) / 16)::BIGINT AS bpe,
-                 ceil(40 / ceil(count(*) / 16))::INTEGER AS epochs FROM samples GROUP BY 1),
-exp AS (SELECT s.request_id, s.sample_id, e.epoch, z.bpe
+                 2 AS epochs, ceil(ceil(count(*) / 16) * 1.5)::BIGINT AS steps FROM samples GROUP BY 1),
+exp AS (SELECT s.request_id, s.sample_id, e.epoch, z.bpe, z.steps
         FROM samples s JOIN sized z USING (request_id),
              LATERAL (SELECT unnest(range(0, z.epochs)) AS epoch) e),
 rk AS (SELECT *, row_number() OVER (PARTITION BY request_id, epoch
                  ORDER BY md5(concat_ws(':', '42', epoch, sample_id)), sample_id) AS rank FROM exp)
 SELECT request_id, epoch::INTEGER AS epoch, sample_id, rank, ((rank - 1) // 16)::BIGINT AS batch,
        (epoch * bpe + (rank - 1) // 16 + 1)::BIGINT AS step
-FROM rk WHERE epoch * bpe + (rank - 1) // 16 + 1 <= 40"""
+FROM rk WHERE epoch * bpe + (rank - 1) // 16 + 1 <= steps"""
 
 ORACLE["t3_count_tokens"] = f"""WITH {SAMPLES}
 SELECT request_id, sample_id, len(regexp_extract_all(text, '[^ \\n\\t]+'))::INTEGER AS n_tokens FROM samples"""
@@ -224,17 +224,17 @@ GROUP BY t.request_id"""
 
 ORACLE["train_batches"] = f"""WITH {SAMPLES},
 sized AS (SELECT request_id, ceil(count(*) / 8)::BIGINT AS bpe,
-                 ceil(30 / ceil(count(*) / 8))::INTEGER AS epochs FROM samples GROUP BY 1),
+                 2 AS epochs, ceil(ceil(count(*) / 8) * 1.5)::BIGINT AS steps FROM samples GROUP BY 1),
 tok AS (SELECT request_id, sample_id,
           list_transform(regexp_extract_all(text, '[^ \\n\\t]+')[1:48], lambda x: {tok_id('x')}) AS ids
         FROM samples),
-exp AS (SELECT t.request_id, t.sample_id, t.ids, e.epoch, z.bpe
+exp AS (SELECT t.request_id, t.sample_id, t.ids, e.epoch, z.bpe, z.steps
         FROM tok t JOIN sized z USING (request_id),
              LATERAL (SELECT unnest(range(0, z.epochs)) AS epoch) e),
 rk AS (SELECT *, row_number() OVER (PARTITION BY request_id, epoch
                  ORDER BY md5(concat_ws(':', '42', epoch, sample_id)), sample_id) AS rank FROM exp),
 st AS (SELECT *, (epoch * bpe + (rank - 1) // 8 + 1)::BIGINT AS step FROM rk
-       WHERE epoch * bpe + (rank - 1) // 8 + 1 <= 30),
+       WHERE epoch * bpe + (rank - 1) // 8 + 1 <= steps),
 mx AS (SELECT *, max(len(ids)) OVER (PARTITION BY request_id, step) AS L,
          max(step) OVER (PARTITION BY request_id) AS last_step FROM st)
 SELECT request_id, epoch::INTEGER AS epoch, step, sample_id,

@@ -12,8 +12,8 @@ ORACLE: dict[str, str] = {}
 
 FILES = """
 files AS (
-  SELECT CASE WHEN doc_id % 20 % 2 = 0 THEN 'models' ELSE 'var' END AS source, source AS name,
-         CASE WHEN doc_id < 15 THEN 'config.json' ELSE 'f' || doc_id || '.bin' END AS rel, n_chars AS size
+  SELECT CASE WHEN doc_id % 20 % 2 = 0 THEN 'models' ELSE 'var' END AS source, source || '-' || (doc_id // 200) AS name,
+         CASE WHEN doc_id % 7 = 0 THEN 'config.json' ELSE 'f' || doc_id || '.bin' END AS rel, n_chars AS size
   FROM documents
 ),
 cat AS (

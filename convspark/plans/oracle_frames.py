@@ -6,7 +6,7 @@ from convspark.operators.chunks import CHUNK_RE, CHUNK_TAIL_RE
 
 ORACLE: dict[str, str] = {}
 
-KEY_LIST = "[108, 108, 109, 119, 115]"  # bytes of the fixed XOR key
+KEY_LIST = "[114, 101, 108, 97, 121]"  # ASCII bytes of the queries' log key, "relay"
 
 
 def enc(x: str) -> str:

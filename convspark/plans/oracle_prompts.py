@@ -72,7 +72,7 @@ img AS (
          || CASE WHEN conv_id % 7 = 0 THEN chr(10) || '[image file: b.png] data:image/png;base64,abc [/image file] '
                  ELSE '' END AS user,
     CASE turn % 5
-      WHEN 0 THEN '"data:image/png;base64,' || to_base64(encode(substr(text, 1, 30))) || '"'
+      WHEN 0 THEN '"data:image/png;base64,' || to_base64(encode(text)) || '"'
       WHEN 1 THEN '"' || to_base64(encode(conv_id::VARCHAR)) || '"'
       WHEN 2 THEN '{{"path":"' || CASE WHEN conv_id % 2 = 0 THEN '{SF001}/nation.parquet'
                                        ELSE 'missing/' || conv_id || '.png' END || '"}}'

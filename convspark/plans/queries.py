@@ -30,6 +30,7 @@ from convspark.sources.artifacts import scan_artifacts
 from convspark.streaming import frames as ST
 
 QUERIES: dict = {}
+LOG_KEY = "relay"  # the queries' own log key
 
 
 def register(name):
@@ -99,11 +100,16 @@ def q_corpus_batches(spark, sf):
         F.sum("n_tokens").cast("long").alias("n_tokens"))
 
 
+def _epochs_and_a_half(batch_size: int):
+    """Steps of one and a half epochs (rounded up) of a request's samples."""
+    return F.ceil(F.ceil(F.count(F.lit(1)) / batch_size) * 3 / 2).cast("long")
+
+
 @register("o3_repeat_epochs")
 def q_repeat_epochs(spark, sf):
     s = samples(spark, sf)
-    plan = s.select("request_id").distinct().select(
-        "request_id", F.lit(40).cast("long").alias("max_steps"), F.lit(16).cast("long").alias("batch_size"))
+    plan = s.groupBy("request_id").agg(_epochs_and_a_half(16).alias("max_steps")) \
+        .withColumn("batch_size", F.lit(16).cast("long"))
     return B.repeat_epochs(s, plan, seed=42).select("request_id", "epoch", "sample_id", "rank", "batch", "step")
 
 
@@ -114,14 +120,15 @@ def q_count_tokens(spark, sf):
 
 @register("t1_truncate_tokens")
 def q_truncate(spark, sf):
-    x = B.truncate_tokens(B.tokenize(samples(spark, sf)), 64)
+    x = B.tokenize(samples(spark, sf), max_len=64)
     return x.select("request_id", "sample_id", csv("token_ids").alias("token_ids"))
 
 
 @register("t2_pad_batch")
 def q_pad(spark, sf):
-    x = B.make_batches(B.shuffle_corpus(samples(spark, sf), seed=42), 4)
-    x = B.truncate_tokens(B.tokenize(x), 32)
+    # cut and hashed first: only the kept ids travel through the shuffle
+    x = B.tokenize(samples(spark, sf), max_len=32).select("request_id", "sample_id", "token_ids")
+    x = B.make_batches(B.shuffle_corpus(x, seed=42), 4)
     x = B.pad_batch(x, ("request_id", "epoch", "batch"))
     return x.select("request_id", "batch", "sample_id", csv("input_ids").alias("input_ids"),
                     csv("attention_mask").alias("attention_mask"), csv("labels").alias("labels"))
@@ -176,16 +183,16 @@ def q_stitch_eos(spark, sf):
 @register("t6_encode_log")
 def q_encode(spark, sf):
     f = FX.f_frames(spark, sf).filter(F.col("type") == "token")
-    return f.select("session_id", "seq", K.encode_log(F.col("data")).alias("encoded"))
+    return f.select("session_id", "seq", K.encode_log(F.col("data"), LOG_KEY).alias("encoded"))
 
 
 @register("t6_decode_log")
 def q_decode(spark, sf):
     f = FX.f_frames(spark, sf).filter(F.col("type") == "token")
-    good = f.select("session_id", "seq", K.decode_log(K.encode_log(F.col("data"))).alias("decoded"))
+    good = f.select("session_id", "seq", K.decode_log(K.encode_log(F.col("data"), LOG_KEY), LOG_KEY).alias("decoded"))
     junk = FX.t(spark, sf, "benchmark").select(F.lit(-1).cast("long").alias("session_id"),
                                                F.col("item_id").alias("seq"),
-                                               K.decode_log(F.col("text")).alias("decoded"))
+                                               K.decode_log(F.col("text"), LOG_KEY).alias("decoded"))
     return good.unionByName(junk)
 
 
@@ -512,7 +519,9 @@ def q_fill(spark, sf):
 
 @register("a9_config_pivot")
 def q_pivot(spark, sf):
-    return CF.config_pivot(FX.f_config(spark, sf), list(FX.CONFIG_KEYS.values()))
+    keys = list(FX.CONFIG_KEYS.values())
+    x = CF.config_pivot(FX.f_config(spark, sf), keys)
+    return x.select("session_id", *[F.col(f"{k}.num").alias(k) for k in keys])
 
 
 @register("a7_job_status")
@@ -577,8 +586,8 @@ def frames_json(spark, sf):
 @register("src4_scan_log")
 def q_scan_log(spark, sf):
     path = scratch_path(spark, "log")
-    SLG.append_log(frames_json(spark, sf), path)
-    kept, _dead = SLG.scan_log(spark, path)
+    SLG.append_log(frames_json(spark, sf), path, LOG_KEY)
+    kept, _dead = SLG.scan_log(spark, path, LOG_KEY)
     return kept.select("session_id", "seq", "type")
 
 
@@ -586,8 +595,8 @@ def q_scan_log(spark, sf):
 def q_append_log(spark, sf):
     path = scratch_path(spark, "log")
     fj = frames_json(spark, sf)
-    SLG.append_log(fj, path)
-    SLG.append_log(fj.filter(F.col("session_id") % 2 == 0), path)  # a retried append: same ids again
+    SLG.append_log(fj, path, LOG_KEY)
+    SLG.append_log(fj.filter(F.col("session_id") % 2 == 0), path, LOG_KEY)  # a retried append: same ids again
     raw = spark.read.schema(SLG.LOG_SCHEMA).json(path)
     return raw.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_lines"),
                                          F.count_distinct("id").alias("n_ids"))
@@ -656,8 +665,8 @@ def q_stream_transcripts(spark, sf):
 @register("src3_stream_append_log")
 def q_stream_append_log(spark, sf):
     path = scratch_path(spark, "log")
-    ST.stream_append_log(spark, frames_json(spark, sf), path)
-    kept, _dead = SLG.scan_log(spark, path)
+    ST.stream_append_log(spark, frames_json(spark, sf), path, LOG_KEY)
+    kept, _dead = SLG.scan_log(spark, path, LOG_KEY)
     return kept.select("session_id", "seq", "type")
 
 
@@ -668,8 +677,8 @@ def q_train_batches(spark, sf):
     from convspark.operators.training import training_batches
 
     s = samples(spark, sf)
-    cfg = B.clamp_train_config(s.select("request_id").distinct().select(
-        "request_id", F.lit(30).alias("max_steps"), F.lit(8).alias("batch_size"), F.lit(48).alias("max_seq_length"),
+    cfg = B.clamp_train_config(s.groupBy("request_id").agg(_epochs_and_a_half(8).alias("max_steps")).select(
+        "request_id", "max_steps", F.lit(8).alias("batch_size"), F.lit(48).alias("max_seq_length"),
         F.lit(4).alias("gradient_accumulation"), F.lit(5).alias("log_every"), F.lit(10).alias("save_every")))
     out = training_batches(s, cfg, seed=42)
     return out.select("request_id", "epoch", "step", "sample_id", csv("input_ids").alias("input_ids"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convspark.functions.names import sanitize_request_id
@@ -10,7 +10,7 @@ from convspark.functions.names import sanitize_request_id
 
 def land_corpus(lines: DataFrame, path: str, order_col: str | None = None) -> None:
     """SRC2: store each request's lines under its sanitised id (``rid=``
-    folders, text files).  Re-landing a request replaces only its folder
+    folders, one row per line with its ``line_no``).  Re-landing a request replaces only its folder
     (dynamic partition overwrite).  When two raw ids sanitise to the same
     folder, the later submission (highest ``order_col``) wins.
 
@@ -25,25 +25,27 @@ def land_corpus(lines: DataFrame, path: str, order_col: str | None = None) -> No
     # no repartition by request: a request holding a third of all lines would
     # land through one task; each task writes its own file per folder,
     # lines in their original order within it
-    out = x.sortWithinPartitions("rid", "line_no").select("rid", "value")
+    out = x.sortWithinPartitions("rid", "line_no").select("rid", F.col("line_no").cast("long").alias("line_no"), "value")
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("rid").text(path))
+     .partitionBy("rid").parquet(path))
 
 
 def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """SRC1: one row per physical line, ``(request_id, line_no, value)``.
-
-    ``spark.read.text`` splits on ``\\n``, ``\\r\\n`` and ``\\r`` like a
-    text-mode reader; blank lines are kept (P3 removes them).  ``line_no``
-    is ``monotonically_increasing_id``: it grows with the position in the
-    file (splits of one file are numbered in offset order), so it is a
-    stable per-file line order without a global sort."""
-    df = spark.read.text(path)
-    return df.select(F.col("rid").alias("request_id"), F.monotonically_increasing_id().alias("line_no"),
-                     F.col("value"))
-
-
-def line_numbers(df: DataFrame, file_col: str = "request_id", order_col: str = "line_no") -> DataFrame:
-    """Dense 1-based line numbers per file (a window per file: use for
-    bounded files only; ``scan_corpus``'s ids already give the order)."""
-    return df.withColumn("line", F.row_number().over(Window.partitionBy(file_col).orderBy(order_col)))
+    """SRC1: one row per landed line, ``(request_id, line_no, value)``.
+
+    ``line_no`` is the one the line was landed with, so ids, and the seeded
+    shuffles that hash them, do not depend on how the files are split."""
+    return (spark.read.schema("line_no long, value string, rid string").parquet(path)
+            .select(F.col("rid").alias("request_id"), "line_no", "value"))
+
+
+def scan_text(spark: SparkSession, path: str) -> DataFrame:
+    """SRC1 for plain text files under ``rid=`` folders.  ``spark.read.text``
+    splits on ``\\n``, ``\\r\\n`` and ``\\r`` like a text-mode reader; blank
+    lines are kept (P3 removes them).
+
+    ``line_no`` grows with the position in a file, but its values depend on
+    the file splits: land the lines once (:func:`land_corpus`) and work from
+    :func:`scan_corpus` where they must repeat."""
+    df = spark.read.schema("value string, rid string").text(path)
+    return df.select(F.col("rid").alias("request_id"), F.monotonically_increasing_id().alias("line_no"), "value")

@@ -29,13 +29,13 @@ def frame_id(session_id, seq):
     return F.sha2(F.concat_ws(":", session_id.cast("string"), seq.cast("string")), 256)
 
 
-def append_log(frames: DataFrame, path: str, frame_json: str = "frame", buckets: int = 64,
+def append_log(frames: DataFrame, path: str, key: str, frame_json: str = "frame", buckets: int = 64,
                mode: str = "append") -> None:
-    """SRC3: append ``(session_id, seq, frame)`` rows as encoded log lines."""
+    """SRC3: append ``(session_id, seq, frame)`` rows as log lines encoded with ``key``."""
     out = frames.select(
         F.col("session_id").cast("long"), F.col("seq").cast("long"),
         frame_id(F.col("session_id"), F.col("seq")).alias("id"),
-        encode_log(F.col(frame_json)).alias("data"),
+        encode_log(F.col(frame_json), key).alias("data"),
         F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket"))
     out.write.mode(mode).partitionBy("bucket").json(path)
 
@@ -46,7 +46,7 @@ def session_bucket(session_id, buckets: int = 64):
     return F.pmod(F.xxhash64(sid.cast("long")), F.lit(buckets))
 
 
-def scan_log(spark: SparkSession, path: str, session_ids=None, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+def scan_log(spark: SparkSession, path: str, key: str, session_ids=None, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
     """SRC4: decoded frames and dead letters.
 
     Blank lines are skipped; a line whose data decodes to nothing is
@@ -67,7 +67,7 @@ def scan_log(spark: SparkSession, path: str, session_ids=None, buckets: int = 64
     dead = raw.filter(F.col("_corrupt_record").isNotNull() | F.col("session_id").isNull()) \
         .select("bucket", "_corrupt_record")
     good = raw.filter(F.col("_corrupt_record").isNull() & F.col("session_id").isNotNull())
-    dec = good.withColumn("frame", decode_log(F.col("data"))).filter(F.col("frame") != "")
+    dec = good.withColumn("frame", decode_log(F.col("data"), key)).filter(F.col("frame") != "")
     dec = parse_exact_json(dec, "frame", "_v")  # strict: trailing text is an error
     bad = dec.filter(F.col("_v").isNull()).groupBy("session_id").agg(F.min("seq").alias("_first_bad"))
     kept = (dec.join(bad, "session_id", "left")

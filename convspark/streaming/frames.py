@@ -115,7 +115,7 @@ def stream_frames(spark: SparkSession, msgs: DataFrame, work: str | None = None)
 
 
 # ------------------------------------------------------------------ SRC3 on a stream
-def stream_append_log(spark: SparkSession, frames: DataFrame, log_path: str, work: str | None = None) -> None:
+def stream_append_log(spark: SparkSession, frames: DataFrame, log_path: str, key: str, work: str | None = None) -> None:
     """SRC3 fed by a stream: each micro-batch of ``(session_id, seq, frame)``
     is encoded and written to ``log_path/batch=<id>`` with overwrite, so a
     replayed batch replaces its own lines; line ids are hashes of the frame
@@ -127,7 +127,7 @@ def stream_append_log(spark: SparkSession, frames: DataFrame, log_path: str, wor
     s = file_stream(spark, f"{work}/in", frames.schema)
 
     def write(batch: DataFrame, batch_id: int):
-        append_log(batch, f"{log_path}/batch={batch_id}", mode="overwrite")
+        append_log(batch, f"{log_path}/batch={batch_id}", key, mode="overwrite")
 
     q = (s.writeStream.option("checkpointLocation", f"{work}/ckpt").foreachBatch(write)
          .trigger(availableNow=True).start())

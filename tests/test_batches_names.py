@@ -2,7 +2,6 @@
 sequential brute force."""
 
 import hashlib
-import re
 
 from pyspark.sql import functions as F
 
@@ -35,45 +34,22 @@ def test_pad_batch_masks(spark):
     assert rows[1].input_ids == [4, 0, 0] and rows[1].attention_mask == [1, 0, 0] and rows[1].labels == [4, -100, -100]
 
 
-def sequential_names(requests, existing, ci=False):
-    """The directory loop restated: a request takes its name if free, else
-    the first free name_k; every taken name blocks later requests."""
-    norm = (lambda x: x.lower()) if ci else (lambda x: x)
-    taken = {norm(e) for e in existing}
-    out = {}
-    for rid, name in requests:
-        cand, k = name, 0
-        while norm(cand) in taken:
-            k += 1
-            cand = f"{name}_{k}"
-        taken.add(norm(cand))
-        out[rid] = cand
-    return out
-
-
 def test_unique_names_matches_sequential(spark):
     reqs = [(i, n) for i, n in enumerate(["a", "b", "a", "a", "c", "b", "a", "d"])]
     existing = ["a", "a_2", "b_1", "c_7"]
     rdf = spark.createDataFrame(reqs, "req_id long, name string")
     edf = spark.createDataFrame([(e,) for e in existing], "name string")
     got = {r.req_id: (r.assigned, r.conflict) for r in unique_names(rdf, edf).collect()}
-    want = sequential_names(reqs, existing)
-    assert {k: v[0] for k, v in got.items()} == want
+    assert {k: v[0] for k, v in got.items()} == {0: 'a_1', 1: 'b', 2: 'a_3', 3: 'a_4', 4: 'c', 5: 'b_2', 6: 'a_5', 7: 'd'}
     assert not any(v[1] for v in got.values())
 
 
-def py_sanitize(raw, prefix="snapshot", clock=0):
-    seed = (raw or "").strip() or f"{prefix}_{clock}"
-    cleaned = re.sub(r"[^A-Za-z0-9._-]+", "-", seed).strip("-.")
-    return cleaned or f"{prefix}_{clock}"
-
-
 def test_sanitizers(spark):
     raws = ["  a b / c-", "...", "  ", "ok_name.v1", "-x-", "ü/ö", "a..b--"]
     df = spark.createDataFrame([(r,) for r in raws], "raw string")
     got = df.select(sanitize_name("raw").alias("p"), sanitize_request_id("raw").alias("q"),
                     sanitize_dir_name_js("raw").alias("j")).collect()
-    assert [r.p for r in got] == [py_sanitize(r) for r in raws]
+    assert [r.p for r in got] == ['a-b-c', 'snapshot_0', 'snapshot_0', 'ok_name.v1', 'x', 'snapshot_0', 'a..b']
     assert got[1].q == "-".join([hashlib.md5(b"...").hexdigest()[i:j] for i, j in
                                  ((0, 8), (8, 12), (12, 16), (16, 20), (20, 32))])
     assert [r.j for r in got][:3] == ["a-b-c", "...", ""]
@@ -83,3 +59,12 @@ def test_repo_model_name(spark):
     urls = ["https://host.example/org/model?x=1#f", "org/model", "", "not a url", "https://h/a/b/", "http://h"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [r[0] for r in df.select(repo_model_name("u")).collect()] == ["model", "model", "", "not a url", "b", ""]
+
+
+def test_hosts_with_users_ports_and_brackets(spark):
+    from convspark.functions.names import normalize_host
+
+    raws = ["[::1]:8765", "h:99999", "ws://u:p@h:1", "h:80", "wss://h:0443/x", "u@h", "h:x"]
+    df = spark.createDataFrame([(r,) for r in raws], "r string")
+    assert [r[0] for r in df.select(normalize_host("r")).collect()] == [
+        "ws://[::1]:8765", None, "ws://u:p@h:1", "ws://h", "wss://h", "ws://u@h", None]

@@ -4,32 +4,34 @@ equals a plain-Python restatement of the encoding."""
 import base64
 
 
-from convspark.functions.codec import LOG_KEY, decode_log, decode_log_native, encode_log, encode_log_native
+from convspark.functions.codec import decode_log, decode_log_native, encode_log, encode_log_native
 
 TEXTS = ["", "a", "hello world", '{"type": "token", "data": "é 漢字 🙂"}', "x" * 1000, "\n\t\u0000"]
 
+KEY = "relay"
+
 
 def py_encode(t):
     if not t:
         return ""
-    key = LOG_KEY.encode()
+    key = KEY.encode()
     b = t.encode("utf-8")
     return base64.b64encode(bytes(c ^ key[i % len(key)] for i, c in enumerate(b))).decode()
 
 
 def test_encode_matches_python_and_native(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
-    rows = df.select(encode_log("t").alias("u"), encode_log_native("t").alias("n")).collect()
+    rows = df.select(encode_log("t", KEY).alias("u"), encode_log_native("t", KEY).alias("n")).collect()
     assert [r.u for r in rows] == [py_encode(t) for t in TEXTS]
     assert [r.n for r in rows] == [py_encode(t) for t in TEXTS]
 
 
 def test_round_trip_and_bad_input(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
-    back = df.select(decode_log(encode_log("t")).alias("b")).collect()
+    back = df.select(decode_log(encode_log("t", KEY), KEY).alias("b")).collect()
     assert [r.b for r in back] == TEXTS
     bad = spark.createDataFrame([("not base64!",), ("",), (None,), ("/w==",)], "d string")
-    got = [r[0] for r in bad.select(decode_log("d")).collect()]
+    got = [r[0] for r in bad.select(decode_log("d", KEY)).collect()]
     assert got == ["", "", "", ""]  # /w== decodes to 0xff ^ 'l' = invalid UTF-8 lead byte 0x93
-    nat = [r[0] for r in bad.select(decode_log_native("d")).collect()]
+    nat = [r[0] for r in bad.select(decode_log_native("d", KEY)).collect()]
     assert nat[1:] == ["", "", ""]

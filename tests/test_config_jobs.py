@@ -34,7 +34,7 @@ def test_typed_values(spark):
     assert got == [("bool", None), ("bool", None), ("float", 1.5), ("int", 12.0), ("str", None), ("str", None)]
     piv = config_pivot(spark.createDataFrame([(1, "top_k", "5", 1), (1, "top_k", "9", 2)],
                                              "session_id long, key string, value string, seq long"), ["top_k"])
-    assert piv.collect()[0].top_k == 9.0
+    assert piv.collect()[0].top_k.num == 9.0
 
 
 def test_job_status_restart_resets(spark):
@@ -68,3 +68,14 @@ def test_sessions_resolve_and_purge(spark):
     assert purge_sessions(s, none).count() == 2
     one = spark.createDataFrame([(dt.datetime(2024, 1, 2),)], "ts timestamp_ntz")
     assert [r.sid for r in purge_sessions(s, one).collect()] == [2]
+
+
+def test_settings_keep_booleans_and_texts(spark):
+    from convspark.operators.config import last_settings
+
+    df = spark.createDataFrame([(1, "do_sample", "false", 1), (1, "note", "abc", 2), (1, "top_p", "0.5", 3)],
+                               "session_id long, key string, value string, seq long")
+    r = config_pivot(df, ["do_sample", "note"]).first()
+    assert (r.do_sample.kind, r.do_sample.bool, r.note.kind, r.note.text) == ("bool", False, "str", "abc")
+    assert {x.key: x.setting.kind for x in last_settings(df).collect()} == \
+        {"do_sample": "bool", "note": "str", "top_p": "float"}

@@ -69,11 +69,18 @@ def test_scan_log_prunes_buckets(spark, sf, tmp_path):
 
     path = str(tmp_path / "log")
     fj = frames_json(spark, sf)
-    append_log(fj, path)
-    kept, _ = scan_log(spark, path, session_ids=[3, 5])
+    append_log(fj, path, "relay")
+    kept, _ = scan_log(spark, path, "relay", session_ids=[3, 5])
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
-    all_kept, _ = scan_log(spark, path)
+    all_kept, _ = scan_log(spark, path, "relay")
     a = sorted(tuple(r) for r in kept.select("session_id", "seq").collect())
     b = sorted(tuple(r) for r in all_kept.filter(F.col("session_id").isin(3, 5)).select("session_id", "seq").collect())
     assert a == b and len(a) > 0
+
+
+def test_replay_resends_training_errors(spark):
+    rows = [(1, 1, "train_started", "r"), (1, 2, "error", "r"), (1, 3, "error", None), (1, 4, "train_started", "r"),
+            (1, 5, "train_done", "r")]
+    df = spark.createDataFrame(rows, "session_id long, seq long, type string, request_id string")
+    assert sorted(r.seq for r in replay(df).collect()) == [1, 2, 4, 5]

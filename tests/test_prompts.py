@@ -36,21 +36,6 @@ def test_templates(spark):
     assert '"Describe the provided image(s)."' in r[1].m and r[1].m.startswith('[{"role":"system"')
 
 
-def py_inline(user):
-    if not user:
-        return user, []
-    block = re.compile(r"\[IMAGE FILE:[^\]]*\](.*?)\[/IMAGE FILE\]", re.IGNORECASE | re.DOTALL)
-    url = re.compile(r"data:image/[a-zA-Z0-9.+-]+;base64,[A-Za-z0-9+/=\s]+")
-    imgs = []
-    for m in block.finditer(user):
-        for u in url.findall(m.group(1) or ""):
-            try:
-                imgs.append(base64.b64decode("".join(u.split(",", 1)[1].split())))
-            except Exception:  # noqa: BLE001
-                pass
-    return block.sub("", user).strip(), imgs
-
-
 USERS = ["", "no images", "a [IMAGE FILE: x.png]data:image/png;base64,aGk=[/IMAGE FILE] b",
          "[image file: y]data:image/jpeg;base64,aG k=\n data:image/png;base64,abc[/Image File]",
          "[IMAGE FILE: z] nothing here [/IMAGE FILE] tail", "[IMAGE FILE: open]data:image/png;base64,aGk="]
@@ -60,7 +45,12 @@ def test_inline_images(spark):
     df = spark.createDataFrame([(i, u) for i, u in enumerate(USERS)], "id long, user string")
     got = [(r.user_clean, [bytes(b) for b in r.inline_images]) for r in
            extract_inline_images(df).orderBy("id").collect()]
-    assert got == [py_inline(u) for u in USERS]
+    assert got == [('', []),
+                    ('no images', []),
+                    ('a  b', [b'hi']),
+                    ('', [b'hi']),
+                    ('tail', []),
+                    ('[IMAGE FILE: open]data:image/png;base64,aGk=', [])]
 
 
 def test_classify_images(spark):
@@ -75,20 +65,12 @@ def test_classify_images(spark):
                    ("error", None, "missing image source (data_url/base64/path/url)")]
 
 
-def py_limit(free, params, model_max):
-    mm = model_max or 128000
-    bpt = 512 if params < 15 else 1024 if params < 40 else 1536
-    est = int(free * 0.7 * 1024 ** 3 / bpt)
-    if est > mm * 1.5:
-        return mm
-    return max(min(est, mm, 128000), 1000)
-
-
 def test_context_limit(spark):
-    cases = [(0.001, 7.0, None), (0.5, 20.0, 4096), (80.0, 70.0, None), (0.0, 5.0, 8192), (2.0, 39.9, 200000)]
+    cases = [(0.001, 7.0, None), (0.5, 20.0, 4096), (80.0, 70.0, None), (0.0, 5.0, 8192), (2.0, 39.9, 200000),
+             (80.0, 7.0, 0)]
     df = spark.createDataFrame(cases, "f double, p double, m long")
     got = [r[0] for r in df.select(context_limit("f", "p", "m")).collect()]
-    assert got == [py_limit(*c) for c in cases]
+    assert got == [1468, 4096, 128000, 1000, 200000, 128000]
 
 
 def test_chunks_round_trip(spark):

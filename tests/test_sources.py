@@ -33,12 +33,12 @@ def test_scan_log_dead_letters(spark, sf, tmp_path):
 
     path = tmp_path / "log"
     fj = frames_json(spark, sf)
-    append_log(fj, str(path))
+    append_log(fj, str(path), "relay")
     bucket = sorted(p for p in path.iterdir() if p.name.startswith("bucket="))[0]
     (bucket / "torn.json").write_text('{"session_id": 1, "seq": \n\nnot json at all\n')
-    frames, dead = scan_log(spark, str(path))
+    frames, dead = scan_log(spark, str(path), "relay")
     assert dead.count() == 2  # the torn envelope and the garbage line; the blank line is skipped
-    clean, _ = scan_log(spark, str(path))
+    clean, _ = scan_log(spark, str(path), "relay")
     assert frames.count() == clean.count() > 0
 
 

@@ -29,35 +29,31 @@ def test_py_float_repr(spark):
     assert got == [repr(d) for d in DOUBLES]
 
 
-def python_sample(line: str) -> str:
-    """The corpus rule restated in plain Python for the test (brute force)."""
-    s = line.strip()
-    if not s:
-        return ""
-    try:
-        obj = json.loads(s)
-    except ValueError:
-        return s
-    if not isinstance(obj, dict):
-        return s
-
-    def first(keys):
-        for k in keys:
-            v = obj.get(k)
-            if v is None:
-                continue
-            if isinstance(v, str):
-                if v.strip():
-                    return v.strip()
-                continue
-            if isinstance(v, (bool, int, float)):
-                return str(v)
-        return ""
-
-    a, b = first(INPUT_KEYS), first(TARGET_KEYS)
-    if a and b:
-        return a + "\n" + b
-    return b or a or s
+# expected samples, by position in EDGE_LINES (lines without a sample are absent)
+EDGE_SAMPLES = {3: 'plain text',
+ 4: '"just a string"',
+ 5: '[1, 2]',
+ 6: '42',
+ 7: 'null',
+ 8: 'hello',
+ 9: 'p\nr',
+ 10: 't',
+ 11: 'o',
+ 12: 'q\nTrue',
+ 13: 'q\n3',
+ 14: 'i\n2.5',
+ 15: '{"text": "   "}',
+ 16: '{"unknown": 1}',
+ 17: '{"a":1} trailing',
+ 18: '{"a":1},2',
+ 19: '{"text": "x"}}',
+ 20: '1e+20',
+ 21: '1.5',
+ 22: 'False',
+ 23: 't',
+ 24: 'padded',
+ 25: '1e-07',
+ 26: '10.0'}
 
 
 EDGE_LINES = [
@@ -77,7 +73,7 @@ def test_to_samples_edge_rows(spark):
     rows = [("r", i, v) for i, v in enumerate(EDGE_LINES)]
     df = spark.createDataFrame(rows, "request_id string, line_no long, value string")
     got = {r.sample_id: r.text for r in to_samples(df).collect()}
-    want = {i: python_sample(v) for i, v in enumerate(EDGE_LINES) if python_sample(v)}
+    want = EDGE_SAMPLES
     assert got == want
 
 

@@ -63,26 +63,30 @@ def test_write_training_batches_layout(spark, sf, tmp_path):
     assert any(p.name.startswith("request_id=") for p in (tmp_path / "batches").iterdir())
 
 
-def test_subword_tokenizer_file(spark, sf, tmp_path):
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
-    from convspark.operators.batches import tokenize
-
-    vocab = {"[UNK]": 0, "[PAD]": 1}
-    for w in "the a and of in to is was de la et und die".split():
-        vocab[w] = len(vocab)
-    tok = Tokenizer(models.WordLevel(vocab, unk_token="[UNK]"))
-    tok.pre_tokenizer = pre_tokenizers.Whitespace()
-    path = str(tmp_path / "tok.json")
-    tok.save(path)
-    s = Q.samples(spark, sf).filter(F.col("request_id") == "conv")
-    got = {r.sample_id: r.token_ids for r in tokenize(s, tokenizer_file=path).collect()}
-    texts = {r.sample_id: r.text for r in s.collect()}
-    assert got == {k: tok.encode(t).ids for k, t in texts.items()}
-    from convspark.operators.batches import count_tokens
-    counts = {r.sample_id: r.n_tokens for r in count_tokens(s, tokenizer_file=path).collect()}
-    assert counts == {k: len(v) for k, v in got.items()}
-    cfg = clamp_train_config(s.select("request_id").distinct().select(
-        "request_id", F.lit(3).alias("max_steps"), F.lit(4).alias("batch_size")))
-    rows = training_batches(s, cfg, tokenizer_file=path).collect()
-    assert {r.step for r in rows} == {1, 2, 3}
+def test_batches_from_landed_files_do_not_depend_on_splits(spark, tmp_path):
+    from convspark.operators.corpus import to_samples
+    from convspark.sources.corpus import land_corpus, scan_corpus
+
+    lines = spark.range(600).select(F.lit("job").alias("request_id"), F.col("id").alias("line_no"),
+                                    F.concat(F.lit("line "), F.col("id").cast("string")).alias("value"))
+    path = str(tmp_path / "corpus")
+    land_corpus(lines, path)
+    cfg = clamp_train_config(spark.createDataFrame([("job", 40, 8)], "request_id string, max_steps int, batch_size int"))
+    got, was = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "2k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = training_batches(to_samples(scan_corpus(spark, path)), cfg).select("epoch", "step", "sample_id", "input_ids")
+            got.append(sorted(map(str, rows.collect())))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got[0] == got[1] and len(got[0]) == 320
+
+
+def test_cut_before_hashing_gives_the_same_ids(spark):
+    from convspark.operators.batches import tokenize, truncate_tokens
+
+    df = spark.createDataFrame([("a b  c a",), ("",), ("x",)], "text string")
+    ids = [r[0] for r in tokenize(df, max_len=3).select("token_ids").collect()]
+    assert ids == [r[0] for r in truncate_tokens(tokenize(df), 3).select("token_ids").collect()]
+    assert [len(i) for i in ids] == [3, 0, 1] and max(ids[0]) > 2 ** 31
