@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from convspark.session import ensure_checkpoint_dir, scratch_path
 
-__all__ = ["materialize", "parts_for", "safe_text", "spread_ids", "ensure_checkpoint_dir"]
+__all__ = ["materialize", "materialize_by", "parts_for", "safe_text", "spread_ids", "ensure_checkpoint_dir"]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -22,6 +22,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``materialize``, laid out in buckets of ``key``: later joins on it move
+    the other side only.  The files are in the shared folder; the session's
+    catalogue holds no more than their description."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"{name}_{path.rsplit('/', 1)[1]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # without this, every task would write a file for each bucket
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def safe_text(name: str) -> Column:
     """The text column, null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convspark.llm.common import materialize
+from convspark.llm.common import materialize, materialize_by
 from convspark.llm.components import components
 
 #: Text bytes hashed at a time inside a task.
@@ -246,24 +246,41 @@ def _possible(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
     return p.filter((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with compressed texts, since only those are moved between tasks."""
+    def pack(batches):
+        import pyarrow as pa
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            texts = [None if t is None else squeeze(t.encode()) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], names=["id", "text"])
+
+    return docs.mapInArrow(pack, "id long, text binary")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
     def compare(batches):
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
             hit = []
             for x, y in zip(left, right):
-                s, t = shingle_sets([x, y], k)
+                s, t = shingle_sets([unpack(x).decode(), unpack(y).decode()], k)
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 hit.append(100 * common >= percent * (len(s) + len(t) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     pairs = materialize(pairs, f"{name}_pairs")
     met = materialize(pairs.select(F.explode(F.array("a", "b")).alias("mid")).distinct(), f"{name}_met")
-    texts = texts.join(met, F.col("id") == F.col("mid"), "left_semi")
+    # the texts stay in their buckets; the few met ones are then spread anew, so that a hot one can be split
+    texts = materialize(texts.join(met, F.col("id") == F.col("mid"), "left_semi"), f"{name}_met_texts")
     side = lambda x: texts.select(F.col("id").alias(f"i{x}"), F.col("text").alias(f"t{x}"))
     both = pairs.join(side("a"), F.col("a") == F.col("ia")).drop("ia").join(side("b"), F.col("b") == F.col("ib")).drop("ib")
     hit = both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
@@ -289,7 +306,7 @@ def shared_prefixes(rows: DataFrame, meta: DataFrame) -> DataFrame:
     some = materialize(some.join(meta.select(F.col("id").alias("mid"), "n", "need").distinct(), F.col("id") == F.col("mid")).drop("mid"), "op9_some")
     lists = some.groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.min("need").alias("least")).filter("df > 1")
     lists = materialize(lists.withColumnRenamed("tok", "ltok"), "op9_lists")
-    some = some.join(lists, F.col("tok") == F.col("ltok")).drop("ltok")
+    some = materialize_by(some.join(lists, F.col("tok") == F.col("ltok")).drop("ltok"), "op9_listed", "id")
     enough = some.groupBy("id").agg(F.count(F.lit(1)).alias("met"), F.min(F.least("need", "least")).alias("least"))
     enough = materialize(enough.filter("met >= least").select(F.col("id").alias("eid")), "op9_enough")
     return materialize(some.join(enough, F.col("id") == F.col("eid")).select("tok", "id", "pos", "n", "need", "df"), "op9_shared")
@@ -308,7 +325,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     meta = materialize(held.filter("id = rep").select("id", "n", "need", "parity").distinct(), "op9_meta")
     shared = shared_prefixes(rows, meta)
     wanted = materialize(shared.select(F.col("id").alias("wid")).distinct(), "op9_wanted")
-    texts = materialize(docs.join(wanted, F.col("id") == F.col("wid"), "left_semi"), "op9_texts")
+    texts = materialize_by(packed(docs).join(wanted, F.col("id") == F.col("wid"), "left_semi"), "op9_texts", "id")
 
     comp = spark.createDataFrame([], "node long, comp long")
     # a pair's own bound: both share l shingles within n - overlap + l of each,
