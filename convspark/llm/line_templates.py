@@ -45,7 +45,8 @@ def _lines(df: DataFrame, id_col: str, text_col: str, leading: int) -> DataFrame
     """``id, th, no, masked, leaf, h1, h2`` of every line that isn't blank."""
     rows = df.select(F.col(id_col).alias("id"), safe_text(text_col).alias("t"))
     rows = rows.select("id", F.xxhash64("t").alias("th"), F.posexplode(F.split("t", "\\n")).alias("no", "line"))
-    rows = rows.select("id", "th", "no", _masked(F.col("line")).alias("masked")).filter("masked <> ''")
+    # by the raw line: a filter on the masked one would mask each line a second time
+    rows = rows.filter(F.col("line").rlike("[^ \\t\\r]")).select("id", "th", "no", _masked(F.col("line")).alias("masked"))
     words = F.split("masked", " ")
     return rows.withColumn("leaf", F.xxhash64(F.size(words), F.slice(words, 1, leading))).withColumns(
         {"h1": F.xxhash64("masked"), "h2": F.hash("masked")})
