@@ -37,7 +37,8 @@ WILDCARD = "<*>"
 
 def _masked(line: Column) -> Column:
     """The line in single spaces, words with a digit as a variable field."""
-    even = F.trim(F.when(line.rlike("[\\t\\r]|  "), F.regexp_replace(line, "[ \\t\\r]+", " ")).otherwise(line))
+    uneven = line.contains("\t") | line.contains("\r") | line.contains("  ")
+    even = F.trim(F.when(uneven, F.regexp_replace(line, "[ \\t\\r]+", " ")).otherwise(line))
     return F.when(even.rlike("[0-9]"), F.regexp_replace(even, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILDCARD)).otherwise(even)
 
 
