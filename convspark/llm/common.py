@@ -29,7 +29,8 @@ def materialize_by(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = f"{name}_{path.rsplit('/', 1)[1]}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), most)
     # without this, every task would write a file for each bucket
     df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
     return spark.table(table)
