@@ -6,8 +6,13 @@ from the start.  In a leaf, the most frequent word of each position (counted
 over the lines of all documents) makes the leaf's template, and a position
 where no word has a majority becomes ``<*>`` as well.  A line belongs to the
 template if enough of its positions agree; any other line is a template of
-its own.  Lines whose template recurs in at least ``min_docs`` documents are
-dropped everywhere; the same text under several ids counts as one document.
+its own.
+
+Two rules drop a line, wherever it stands:
+    * its template recurs in at least ``min_docs`` documents (any length);
+    * it has over ``long_words`` words and the same line, white space aside,
+      stands in a second document.
+The same text under several ids counts as one document in both.
 
 The tree's levels are grouping keys, so the parse is a few aggregations with
 map-side combine, and joins of them; no leaf is gathered in one task.
@@ -32,25 +37,44 @@ from convspark.llm.common import materialize, safe_text
 LEADING = 3
 SIMILARITY = 0.75
 MIN_DOCS = 10
+#: Lines of more words are passages: they go if two documents hold them.
+LONG_WORDS = 50
 WILDCARD = "<*>"
 
 
+def _even(line: Column) -> Column:
+    """The line in single spaces."""
+    uneven = line.contains("\t") | line.contains("\r") | line.contains("  ")
+    return F.trim(F.when(uneven, F.regexp_replace(line, "[ \\t\\r]+", " ")).otherwise(line))
+
+
 def _masked(line: Column) -> Column:
     """The line in single spaces, words with a digit as a variable field."""
-    uneven = line.contains("\t") | line.contains("\r") | line.contains("  ")
-    even = F.trim(F.when(uneven, F.regexp_replace(line, "[ \\t\\r]+", " ")).otherwise(line))
+    even = _even(line)
     return F.when(even.rlike("[0-9]"), F.regexp_replace(even, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILDCARD)).otherwise(even)
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str, leading: int) -> DataFrame:
-    """``id, th, no, masked, leaf, h1, h2`` of every line that isn't blank."""
+def _lines(df: DataFrame, id_col: str, text_col: str, leading: int, long_words: int) -> DataFrame:
+    """``id, th, no, masked, leaf, h1, h2, p1, p2`` of every line that isn't
+    blank; ``p1, p2`` are null unless it is long."""
     rows = df.select(F.col(id_col).alias("id"), safe_text(text_col).alias("t"))
     rows = rows.select("id", F.xxhash64("t").alias("th"), F.posexplode(F.split("t", "\\n")).alias("no", "line"))
     # by the raw line: a filter on the masked one would mask each line a second time
-    rows = rows.filter(F.col("line").rlike("[^ \\t\\r]")).select("id", "th", "no", _masked(F.col("line")).alias("masked"))
+    rows = rows.filter(F.col("line").rlike("[^ \\t\\r]")).select("id", "th", "no", "line", _masked(F.col("line")).alias("masked"))
     words = F.split("masked", " ")
+    # a line of n words has 2 n - 1 characters at least
+    long = (F.length("line") > 2 * long_words) & (F.size(words) > long_words)
     return rows.withColumn("leaf", F.xxhash64(F.size(words), F.slice(words, 1, leading))).withColumns(
-        {"h1": F.xxhash64("masked"), "h2": F.hash("masked")})
+        {"h1": F.xxhash64("masked"), "h2": F.hash("masked"),
+         "p1": F.when(long, F.xxhash64(_even(F.col("line")))), "p2": F.when(long, F.hash(_even(F.col("line"))))}).drop("line")
+
+
+def repeated_passages(narrow: DataFrame) -> DataFrame:
+    """``id, th, no`` of the long lines that stand in two documents or more."""
+    long = narrow.filter(F.col("p1").isNotNull())
+    twice = long.groupBy("p1", "p2").agg(F.min("th").alias("a"), F.max("th").alias("b")).filter("a <> b")
+    twice = materialize(twice.select(F.col("p1").alias("q1"), F.col("p2").alias("q2")), "op8_passages")
+    return long.join(twice, (F.col("p1") == F.col("q1")) & (F.col("p2") == F.col("q2"))).select("id", "th", "no")
 
 
 def leaf_templates(lines: DataFrame, narrow: DataFrame, min_docs: int, similarity: float) -> DataFrame:
@@ -76,25 +100,27 @@ def leaf_templates(lines: DataFrame, narrow: DataFrame, min_docs: int, similarit
 
 
 def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
-                    similarity: float = SIMILARITY, leading: int = LEADING) -> DataFrame:
-    """``id, th, no`` of every line to drop (``th``: hash of its text)."""
-    lines = _lines(df, id_col, text_col, leading)
+                    similarity: float = SIMILARITY, leading: int = LEADING, long_words: int = LONG_WORDS) -> DataFrame:
+    """``id, th, no`` of every line to drop (``th``: hash of its text), twice
+    if both rules drop it."""
+    lines = _lines(df, id_col, text_col, leading, long_words)
     # parsed once; the words are read again for leaves that need them only
-    narrow = materialize(lines.select("id", "th", "no", "leaf", "h1", "h2"), "op8_narrow")
+    narrow = materialize(lines.drop("masked"), "op8_narrow")
     fits = leaf_templates(lines, narrow, min_docs, similarity).select(
         F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.xxhash64("template").alias("t1"))
     fits = materialize(fits, "op8_fits")
-    own = narrow.drop("leaf").join(fits, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left")
+    own = narrow.drop("leaf", "p1", "p2").join(fits, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left")
     own = own.select("id", "th", "no", F.coalesce("t1", "h1").alias("k1"), F.when(F.col("t1").isNull(), F.col("h2")).alias("k2"))
     own = materialize(own, "op8_lines")
     docs = own.select("th", "k1", "k2").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs"))
     many = materialize(docs.filter(F.col("docs") >= min_docs).select(F.col("k1").alias("m1"), F.col("k2").alias("m2")), "op8_many")
-    return own.join(many, (F.col("k1") == F.col("m1")) & F.col("k2").eqNullSafe(F.col("m2"))).select("id", "th", "no")
+    own = own.join(many, (F.col("k1") == F.col("m1")) & F.col("k2").eqNullSafe(F.col("m2"))).select("id", "th", "no")
+    return own.unionAll(repeated_passages(narrow))
 
 
 def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``id, text, n_lines, n_dropped`` per row, the text without the lines
-    whose template recurs."""
+    whose template recurs and without repeated passages."""
     lost = recurring_lines(df, id_col, text_col, **options)
     lost = lost.groupBy("id", "th").agg(F.array_sort(F.collect_set("no")).alias("lost"))
     lost = materialize(lost.select(F.col("id").alias("lid"), F.col("th").alias("lth"), "lost"), "op8_lost")

@@ -258,6 +258,19 @@ def test_line_templates(spark, docs, none):
     assert drop_recurring_lines(none).count() == 0
 
 
+def test_line_templates_long_passages(spark):
+    from convspark.llm.line_templates import drop_recurring_lines
+
+    word = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    passage, dated = " ".join(map(word, range(51))), " ".join(["in 1999"] * 30)
+    short = " ".join(map(word, range(100, 150)))
+    data = [(0, f"one\n{passage}\n{short}\n{dated}", None, 0), (1, f"two\n{short}\n {passage.replace(' ', '  ')}", None, 0), (2, "two words", None, 0),
+            (3, dated.replace("1999", "2001"), None, 0), (4, "copy of " + passage, None, 0), (5, "copy of " + passage, None, 0)]
+    got = {r.id: (r.text, r.n_dropped) for r in drop_recurring_lines(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got == {0: (f"one\n{short}\n{dated}", 1), 1: (f"two\n{short}", 1), 2: ("two words", 0), 3: (data[3][1], 0),
+                   4: (data[4][1], 0), 5: (data[5][1], 0)}
+
+
 def test_licences(spark, none):
     from convspark.llm import licences
 
