@@ -1,22 +1,26 @@
-"""Operator 4, byte-level BPE encoding and decoding with DuckDB recursive
-queries inside each partition.
+"""Operator 4, byte-level BPE encoding and decoding with DuckDB queries inside
+each partition.
 
 A text is split by the tokenizer's pattern; words never merge across their
 borders, so each distinct word of a batch is encoded once.  DuckDB holds the
 merge table and runs one recursive query over (word, position, token) rows:
 neighbouring positions join the merge table, the leftmost pair of the
 smallest rank of each word is contracted, and words without a pair are at
-their fixpoint.  Decoding joins (document, position, id) rows with the
+their fixpoint.  The query holds the rows of all steps, at most the square of
+a word's bytes, so words over ``SHORT`` bytes are contracted in a table that
+each step replaces, all pairs of their smallest rank at once.  Decoding joins (document, position, id) rows with the
 vocabulary and aggregates the pieces in order.
 
 Spark deals out the documents; nothing shuffles.  Memory in a task is bounded
-by the Arrow batch, by ``WORDS`` words or ``TOKENS`` ids in one query and by
-``CACHE`` remembered words per worker.
+by the Arrow batch, by ``ROWS`` rows of short words, ``BYTES`` bytes of other
+words (or one longer word) or ``TOKENS`` ids in one query and by ``CACHE``
+remembered words of ``CACHE_BYTES`` per worker.  What DuckDB cannot hold in
+memory it spills to the task's temporary folder.
 
 Defined cases
     * null and empty texts give no ids and decode to no bytes;
     * text that looks like a special token is ordinary text;
-    * very long words are encoded whole (positions are 32-bit);
+    * very long words are encoded whole (positions are 64-bit);
     * rows are encoded one by one, so repeated rows, ties and further columns
       change nothing; an empty table gives an empty result.
 """
@@ -27,15 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct words in one recursive query, ids in one decoding query, words a
-#: worker remembers between batches.
-WORDS = 20_000
+#: Bytes of a short word, squared bytes of the short words and bytes of the
+#: other words in one encoding, ids in one decoding query, words (and bytes of
+#: them and their ids) a worker remembers between batches.
+SHORT = 64
+ROWS = 4_000_000
 BYTES = 400_000
 TOKENS = 500_000
 CACHE = 1_000_000
+CACHE_BYTES = 64_000_000
 
-#: Neighbours join the merge table; of each word's mergeable pairs the one of
-#: least rank, then least position, is contracted; the others close up.
+#: Short words in one query, which holds the rows of all steps: neighbours join
+#: the merge table; of each word's mergeable pairs the one of least rank, then
+#: least position, is contracted; the others close up.
 ENCODE = """
 WITH RECURSIVE state(step, word, pos, tok) AS (
   SELECT 0::INT, word, pos, tok FROM bytes_in
@@ -54,6 +62,37 @@ JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) f ON f.word = s.w
 ORDER BY s.word, s.pos
 """
 
+#: Other words by steps, of which one is held at a time.  In ``state`` a row is a token at its first byte ``pos``, ``nxt``
+#: is the next token's (null at the word's end), so rows that stay never move.
+#: Neighbours join the merge table.
+PAIRS = """
+CREATE OR REPLACE TABLE pairs AS
+SELECT a.word, a.pos, a.nxt, b.nxt AS nxt2, m.merged, m.alone
+FROM state a JOIN state b ON b.pos = a.nxt JOIN merges m ON m.l = a.tok AND m.r = b.tok
+"""
+
+#: Of each word's pairs those of least rank are contracted from left to right,
+#: every other one where they overlap; of an ``alone`` rank the leftmost only.
+PICK = """
+CREATE OR REPLACE TABLE pick AS
+WITH best AS (SELECT word, min(merged) AS merged FROM pairs GROUP BY word),
+least AS (SELECT p.*, row_number() OVER w AS nth, lag(p.nxt) OVER w IS DISTINCT FROM p.pos AS opens
+          FROM pairs p JOIN best USING (word, merged) WINDOW w AS (PARTITION BY word ORDER BY p.pos)),
+runs AS (SELECT *, max(CASE WHEN opens THEN nth END) OVER (PARTITION BY word ORDER BY nth ROWS UNBOUNDED PRECEDING) AS first FROM least)
+SELECT pos, nxt, nxt2, merged FROM runs WHERE CASE WHEN alone THEN nth = 1 ELSE (nth - first) % 2 = 0 END
+"""
+
+#: Words without a pair are at their fixpoint and leave the state.
+FINISH = """
+INSERT INTO finished SELECT word, pos, tok FROM state WHERE word NOT IN (SELECT DISTINCT word FROM pairs)
+"""
+CONTRACT = """
+CREATE OR REPLACE TABLE state AS
+SELECT s.word, s.pos, CASE WHEN p.pos IS NULL THEN s.nxt ELSE p.nxt2 END AS nxt, coalesce(p.merged, s.tok) AS tok
+FROM state s LEFT JOIN pick p ON p.pos = s.pos
+WHERE s.word IN (SELECT DISTINCT word FROM pairs) AND s.pos NOT IN (SELECT nxt FROM pick)
+"""
+
 #: Ordered aggregation in two levels: runs of 512 positions, then documents.
 DECODE = """
 SELECT doc, string_agg(run, '' ORDER BY blk) AS body FROM (
@@ -75,6 +114,8 @@ class Codec:
     """One worker's DuckDB session with the merge table and vocabulary."""
 
     def __init__(self, path: str, pattern: str):
+        import tempfile
+
         import duckdb
         import numpy as np
         import pyarrow as pa
@@ -91,9 +132,14 @@ class Codec:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
+        # where a token takes part in a pair of lower rank than its own, contracting
+        # one pair can bring up a better one: such ranks are contracted one by one
+        alone = {part for x, y, m in zip(left, right, merged) for part in (x, y) if m < part}
         i32 = pa.int32()
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        self.con.register("m", pa.table({"l": pa.array(left, i32), "r": pa.array(right, i32), "merged": pa.array(merged, i32)}))
+        self.spill = tempfile.TemporaryDirectory(prefix="byte_bpe_")
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": self.spill.name})
+        self.con.register("m", pa.table({"l": pa.array(left, i32), "r": pa.array(right, i32), "merged": pa.array(merged, i32),
+                                         "alone": [m in alone for m in merged]}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
         # one character per byte, so that text aggregation is byte aggregation
         self.con.register("v", pa.table({"id": pa.array(list(ranks.values()), i32),
@@ -101,8 +147,9 @@ class Codec:
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM v")
         self.ranks = ranks
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
-    def _encode_words(self, words: list[str]) -> None:
+    def _encode_words(self, words: list[str], short: bool) -> None:
         """Remember the ids (little-endian 32 bit) of these words."""
         import numpy as np
         import pyarrow as pa
@@ -111,37 +158,61 @@ class Codec:
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(sizes)
         data = np.frombuffer(b"".join(raw), np.uint8)
-        self.con.register("bytes_in", pa.table({
-            "word": np.repeat(np.arange(len(raw), dtype=np.int32), sizes),
-            "pos": (np.arange(len(data)) - np.repeat(ends - sizes, sizes)).astype(np.int32),
-            "tok": self.byte_ids[data]}))
-        got = self.con.execute(ENCODE).fetchnumpy()
-        self.con.unregister("bytes_in")
+        word = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
+        at = np.arange(len(data))
+        if short:
+            self.con.register("bytes_in", pa.table({
+                "word": word, "pos": (at - np.repeat(ends - sizes, sizes)).astype(np.int32), "tok": self.byte_ids[data]}))
+            got = self.con.execute(ENCODE).fetchnumpy()
+            self.con.unregister("bytes_in")
+        else:
+            last = np.zeros(len(data), bool)
+            last[ends - 1] = True
+            self.con.register("bytes_in", pa.table({
+                "word": word, "pos": at, "nxt": pa.array(at + 1, mask=last), "tok": self.byte_ids[data]}))
+            self.con.execute("CREATE OR REPLACE TABLE state AS SELECT * FROM bytes_in")
+            self.con.unregister("bytes_in")
+            self.con.execute("CREATE OR REPLACE TABLE finished (word INTEGER, pos BIGINT, tok INTEGER)")
+            while True:
+                pairs = self.con.execute(PAIRS).fetchone()[0]
+                self.con.execute(FINISH)
+                if not pairs:
+                    break
+                self.con.execute(PICK)
+                self.con.execute(CONTRACT)
+            got = self.con.execute("SELECT word, tok FROM finished ORDER BY pos").fetchnumpy()
         ids = np.asarray(got["tok"]).astype("<u4")
         at = np.searchsorted(np.asarray(got["word"]), np.arange(len(raw) + 1)) * 4
         flat = ids.tobytes()
         for w, a, b in zip(words, at[:-1].tolist(), at[1:].tolist()):
             self.known[w] = flat[a:b]
+        self.held += len(data) + len(flat)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32 bit."""
         split = [self.find(t) for t in texts]
         todo = set().union(*split).difference(self.known) if split else set()
-        if len(self.known) + len(todo) > CACHE:
+        if len(self.known) + len(todo) > CACHE or self.held > CACHE_BYTES:
             self.known = {w: self.known[w] for w in set().union(*split).intersection(self.known)}
-        part, size = [], 0
+            self.held = sum(4 * len(w) + len(ids) for w, ids in self.known.items())
+        parts: dict[bool, list] = {True: [], False: []}
+        sizes = {True: 0, False: 0}
         for w in todo:
             # a word that is a token as a whole is that token
-            if (rank := self.ranks.get(w.encode())) is not None:
+            raw = w.encode()
+            if (rank := self.ranks.get(raw)) is not None:
                 self.known[w] = rank.to_bytes(4, "little")
                 continue
-            part.append(w)
-            size += len(w)
-            if len(part) >= WORDS or size >= BYTES:
-                self._encode_words(part)
-                part, size = [], 0
-        if part:
-            self._encode_words(part)
+            short = len(raw) <= SHORT
+            size = len(raw) ** 2 if short else len(raw)
+            if parts[short] and sizes[short] + size > (ROWS if short else BYTES):
+                self._encode_words(parts[short], short)
+                parts[short], sizes[short] = [], 0
+            parts[short].append(w)
+            sizes[short] += size
+        for short, part in parts.items():
+            if part:
+                self._encode_words(part, short)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

@@ -116,6 +116,44 @@ def test_byte_bpe(docs, rows, none):
     assert byte_bpe.round_trip(none, path, pattern).count() == 0
 
 
+def test_byte_bpe_long_words():
+    import numpy as np
+    import tiktoken
+
+    from convspark.llm import byte_bpe
+
+    path, pattern = byte_bpe.default_tokenizer()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    r = random.Random(7)
+    cjk = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(20)) for _ in range(20_000)]
+    texts = ["a" * 100_000, "-" * 100_001, " " * 30_000 + "x", "".join(r.choice("ACGT") for _ in range(8_000)),
+             "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3_000)), "ab" * 501 + "aab" * 333, " ".join(cjk)]
+    for t, got in zip(texts, byte_bpe.Codec(path, pattern).encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == enc.encode_ordinary(t)
+
+
+@pytest.mark.parametrize("short", (0, 64))
+def test_byte_bpe_ranks_below_their_parts(tmp_path, monkeypatch, short):
+    import base64
+    from itertools import product
+
+    import numpy as np
+    import tiktoken
+
+    from convspark.llm import byte_bpe
+
+    monkeypatch.setattr(byte_bpe, "SHORT", short)
+    # "aba" ranks below "ab" and "bab" below "ba": a contraction can bring up a better pair
+    tokens = [bytes([i]) for i in range(256)] + [b"bab", b"aba", b"ab", b"abab", b"ba", b"aa"]
+    path = tmp_path / "ranks.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens)))
+    pattern = r"[a-z]+|[^a-z]+"
+    enc = tiktoken.Encoding("odd", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(str(path)), special_tokens={})
+    texts = ["".join(x) for n in range(1, 11) for x in product("ab", repeat=n)]
+    for t, got in zip(texts, byte_bpe.Codec(str(path), pattern).encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == enc.encode_ordinary(t)
+
+
 def test_jaccard_join(docs, rows, none):
     import numpy as np
 
