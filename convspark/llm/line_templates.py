@@ -3,10 +3,12 @@
 A line's words are parsed down a tree of fixed depth: first by word count,
 then by its leading words; words with a digit are variable fields (``<*>``)
 from the start.  In a leaf, the most frequent word of each position (counted
-over the lines of all documents) makes the leaf's template, and a position
-where no word has a majority becomes ``<*>`` as well.  A line belongs to the
-template if enough of its positions agree; any other line is a template of
-its own.
+over the lines of all documents) makes a template, and a position where no
+word has a majority becomes ``<*>`` as well.  A line belongs to the template
+if it agrees in enough of the positions that are not ``<*>``.  The lines that
+do not fit are grouped around the next template, and so on until none is left;
+lines too mixed for a template are first parted by the words of a position.
+A line that no other joins is a template of its own.
 
 Two rules drop a line, wherever it stands:
     * its template recurs in at least ``min_docs`` documents (any length);
@@ -77,26 +79,63 @@ def repeated_passages(narrow: DataFrame) -> DataFrame:
     return long.join(twice, (F.col("p1") == F.col("q1")) & (F.col("p2") == F.col("q2"))).select("id", "th", "no")
 
 
-def leaf_templates(lines: DataFrame, narrow: DataFrame, min_docs: int, similarity: float) -> DataFrame:
-    """``h1, h2, template`` of the lines that fit their leaf's template, for
+def _centres(held: DataFrame, similarity: float, leading: int, name: str) -> DataFrame:
+    """Per group: its template ``centre``, whether that is one (``sound``) and
+    the position with the fewest words (but more than one) to part it by."""
+    word = held.select("g", "n", F.posexplode(F.split("masked", " ")).alias("pos", "w"))
+    votes = word.groupBy("g", "pos", "w").agg(F.sum("n").alias("n"))
+    top = votes.groupBy("g", "pos").agg(F.max(F.struct("n", "w")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
+    major = 2 * F.col("top.n") > F.col("all")
+    top = top.select("g", "pos", "all", "kinds", major.alias("major"), F.when(major, F.col("top.w")).otherwise(WILDCARD).alias("w"))
+    fixed = F.col("w") != WILDCARD
+    # leading words agree in any leaf, so of the others half must be fixed
+    later = F.col("pos") >= leading
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    # a group's lines have one length, so this array is as long as one line
+    centre = top.groupBy("g").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("centre"), F.max("all").alias("weight"),
+        F.min(F.when(F.col("kinds") > 1, F.struct("kinds", "pos"))).alias("part"), count(F.col("major")).alias("agreed"),
+        count(fixed).alias("fixed"), count(fixed & later).alias("own"), count(~F.col("major") & later).alias("free"))
+    sound = (F.col("fixed") > 0) & ((F.col("agreed") >= F.lit(similarity) * F.size("centre")) | ((F.col("own") > 0) & (F.col("own") >= F.col("free"))))
+    return materialize(centre.select(F.col("g").alias("cg"), "centre", "weight", "fixed", F.col("part.pos").alias("part"), sound.alias("sound")), name)
+
+
+def leaf_templates(lines: DataFrame, narrow: DataFrame, min_docs: int, similarity: float, leading: int = LEADING) -> DataFrame:
+    """``h1, h2, template`` of the lines that fit a template of their leaf, for
     leaves that many documents share; ``template`` is its text."""
     seen = materialize(narrow.groupBy("leaf", "h1", "h2").agg(F.count(F.lit(1)).alias("n")), "op8_seen")
     # a template's lines are all in one leaf: fewer lines than min_docs cannot recur
     busy = materialize(seen.groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
                        .filter((F.col("n") >= min_docs) & (F.col("kinds") > 1)).select(F.col("leaf").alias("bleaf")), "op8_busy")
     held = lines.select("leaf", "masked", "h1", "h2").join(busy, F.col("leaf") == F.col("bleaf"))
-    held = materialize(held.groupBy("leaf", "masked", "h1", "h2").agg(F.count(F.lit(1)).alias("n")), "op8_held")
-    word = held.select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("pos", "w"))
-    votes = word.groupBy("leaf", "pos", "w").agg(F.sum("n").alias("n"))
-    top = votes.groupBy("leaf", "pos").agg(F.max(F.struct("n", "w")).alias("top"), F.sum("n").alias("all"))
-    top = top.select("leaf", "pos", F.when(2 * F.col("top.n") > F.col("all"), F.col("top.w")).otherwise(WILDCARD).alias("w"))
-    # a leaf's lines have one length, so this array is as long as one line
-    centre = top.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("centre"))
-    centre = materialize(centre.select(F.col("leaf").alias("cleaf"), "centre"), "op8_centre")
+    held = materialize(held.groupBy(F.col("leaf").alias("g"), "masked", "h1", "h2").agg(F.count(F.lit(1)).alias("n")), "op8_held")
     words = F.split("masked", " ")
-    same = F.aggregate(F.zip_with(words, "centre", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    fits = held.join(centre, F.col("leaf") == F.col("cleaf")).filter(same >= F.lit(similarity) * F.size("centre"))
-    return fits.select("h1", "h2", F.array_join("centre", " ").alias("template"))
+    same = F.aggregate(F.zip_with(words, "centre", lambda a, b: F.when((b != WILDCARD) & (a == b), 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    found = []
+    # each round takes lines out of every group or parts it by a position with
+    # several words; a group stays whole only if half its lines have gone
+    while not held.isEmpty():
+        centre = _centres(held, similarity, leading, "op8_centre")
+        tried = held.join(centre, F.col("g") == F.col("cg")).withColumn("fits", F.col("sound") & (same >= F.lit(similarity) * F.col("fixed")))
+        tried = materialize(tried.withColumn("template", F.when(F.col("fits"), F.array_join("centre", " "))).withColumn(
+            "w", F.when(~F.col("fits") & F.col("part").isNotNull(), F.get(words, F.col("part")))).drop("centre", "cg"), "op8_tried")
+        # groups of a leaf that come to the same text share the template
+        found.append(tried.filter("fits").select("h1", "h2", "template"))
+        rest = tried.filter("not fits")
+        left = rest.groupBy("g").agg(F.sum("n").alias("rest")).withColumnRenamed("g", "rg")
+        rest = rest.join(left, F.col("g") == F.col("rg"))
+        parted = F.when(2 * F.col("rest") > F.col("weight"), F.xxhash64("g", "part", "w")).otherwise(F.col("g"))
+        rest = materialize(rest.select(parted.alias("g"), "masked", "h1", "h2", "n"), "op8_rest")
+        # what cannot recur, or is one line, is its own template
+        live = rest.groupBy("g").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
+        live = live.filter((F.col("all") >= min_docs) & (F.col("kinds") > 1)).select(F.col("g").alias("lg"))
+        held = materialize(rest.join(live, F.col("g") == F.col("lg"), "left_semi"), "op8_held")
+    if not found:
+        return held.select("h1", "h2", F.col("masked").alias("template"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out
 
 
 def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
@@ -106,7 +145,7 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = _lines(df, id_col, text_col, leading, long_words)
     # parsed once; the words are read again for leaves that need them only
     narrow = materialize(lines.drop("masked"), "op8_narrow")
-    fits = leaf_templates(lines, narrow, min_docs, similarity).select(
+    fits = leaf_templates(lines, narrow, min_docs, similarity, leading).select(
         F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.xxhash64("template").alias("t1"))
     fits = materialize(fits, "op8_fits")
     own = narrow.drop("leaf", "p1", "p2").join(fits, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left")

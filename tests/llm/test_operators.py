@@ -309,6 +309,20 @@ def test_line_templates_long_passages(spark):
                    4: (data[4][1], 0), 5: (data[5][1], 0)}
 
 
+def test_line_templates_share_a_leaf(spark):
+    from convspark.llm.line_templates import drop_recurring_lines
+
+    word = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    prose = lambda i: " ".join(word((i * 37 + j * 11 + i * j * 5) % 600) for j in range(6))
+    data = []
+    for i in range(12):
+        even = f"1 2 {i} User {word(i)} opened report from {word(50 + i)}\n7 8 {i} Disk {word(i)} passed limit of {word(90 + i)}"
+        hot = "\n".join(f"at the time job {word(i)} ended well on {word(j)}" for j in range(9)) + f"\nat the time key {word(i)} expired too early {word(i * 3)}"
+        data.append((i, f"{even}\n{hot}\n1 2 3 {prose(i)}\nat the time {prose(i)}", None, 0))
+    for r in drop_recurring_lines(spark.createDataFrame(data, SCHEMA)).collect():
+        assert (r.text, r.n_dropped) == (f"1 2 3 {prose(r.id)}\nat the time {prose(r.id)}", 12)
+
+
 def test_licences(spark, none):
     from convspark.llm import licences
 
