@@ -5,18 +5,23 @@ with lasso weights, one class per licence family and one for ``unknown``.
 It is trained on notices spelled out from ``FAMILIES`` and on a bounded
 sample of corpus paragraphs as ``unknown``; a temperature, fitted on
 paragraphs that training did not see, calibrates its probabilities.  A
-paragraph gets a family only if its calibrated probability passes and the
-paragraph holds most of one of the family's template phrases.
+paragraph gets a family only if its calibrated probability against ``unknown``
+passes and the paragraph holds most of one of the family's template phrases.
+Each family is judged on its own, so a paragraph may get several: the best
+one's words are taken out and the rest is judged again.
 
 The lasso leaves few n-grams, and each needs its rarest word.  One
-Aho-Corasick pass over a text finds lines with such a word; in all others
-every n-gram weight is zero, so they are ``unknown`` by the intercepts alone
-and need no scoring.  Whole texts of all rows are scanned.
+Aho-Corasick pass over a text finds such words; without any, every n-gram
+weight is zero, so the paragraph is ``unknown`` by the intercepts alone and
+needs no scoring.  Lines with such a word are judged, and so are windows around
+it that cross line breaks.  Whole texts of all rows are scanned.
 
 Defined cases
     * null and empty texts have no paragraphs and no licences;
-    * a paragraph is a line; letters are lower-cased, all but letters and
-      digits separates words;
+    * a paragraph is the lines between blank lines; letters are lower-cased,
+      all but letters and digits (line breaks too) separates words;
+    * a family counts once in a paragraph; ``or`` and ``and`` in an SPDX
+      expression open a further identifier;
     * a document's licences are a sorted array without repeats, empty if none;
     * a corpus without paragraphs trains on the spelled-out notices alone;
     * repeated rows are scanned one by one; other columns are not read; an
@@ -60,6 +65,12 @@ FAMILIES = {
             ["has waived all copyright and related or neighboring rights to this work"]),
     "reserved": (["All rights reserved"], ["No part of this publication may be reproduced, distributed, or transmitted in any form without prior written permission"]),
 }
+#: The family's identifiers after ``SPDX-License-Identifier:``.
+SPDX = {"MIT": ("MIT",), "Apache-2.0": ("Apache-2.0",), "GPL": ("GPL",), "LGPL": ("LGPL",), "AGPL": ("AGPL",), "BSD": ("BSD",), "MPL": ("MPL",),
+        "CC-BY": ("CC-BY-4.0", "CC-BY-3.0"), "CC-BY-SA": ("CC-BY-SA",), "CC-BY-NC": ("CC-BY-NC",), "CC0": ("CC0",)}
+for _family, _ids in SPDX.items():
+    FAMILIES[_family][0].extend(f"SPDX-License-Identifier: {i}" for i in _ids)
+TAG = ["spdx", "license", "identifier"]
 #: Openings that notices are spelled out with.
 OPENINGS = ("{}.", "Released under the {}.", "Licensed under the {}.", "Licensed under {}.", "This work is licensed under the {}.",
             "This work is licensed under {}.", "This project is available under the {}", "Distributed under the {}, see the file for details",
@@ -73,12 +84,31 @@ UNKNOWN_SAMPLE = 4000
 LASSO, THRESHOLD, HOLDS = 0.0005, 0.5, 0.8
 #: n-grams in a larger share of the unknown paragraphs are no features.
 COMMON = 0.002
+#: Characters of a window on either side of a word that opens it (the longest
+#: phrase has 140, more when wrapped), and how far on the next one opens.
+REACH, STEP = 450, 150
 
 
 def words_of(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
+def spdx_spread(words: list[str]) -> list[str]:
+    """The words, with the tag repeated for each identifier of an expression
+    and an empty word before each tag."""
+    if TAG[0] not in words:
+        return words
+    out, since = [], None
+    for i, w in enumerate(words):
+        if since is not None and w in ("or", "and") and since <= 6:
+            out += ["", *TAG]
+            since = 0
+            continue
+        out += ["", w] if w == TAG[0] else [w]
+        since = 0 if words[max(0, i - 2):i + 1] == TAG else None if since is None else since + 1
+    return out
+
+
 def grams(words: list[str]) -> set[str]:
     return {" ".join(words[i:i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
@@ -96,6 +126,34 @@ def holds(words: list[str], family: str, families=FAMILIES) -> float:
     return best
 
 
+def best_phrase(words: list[str], family: str, families=FAMILIES) -> tuple[float, int, set[int]]:
+    """(share, bigrams) of the family phrase that the words hold most of, the
+    longer one of equals, and the places of the family's phrases."""
+    names, phrases = families[family]
+    pairs = list(zip(words, words[1:]))
+    best, spread, places = (0.0, 0), set(), set()
+    for p in [*names, *phrases]:
+        w = words_of(p)
+        want = set(zip(w, w[1:])) or {(w[0],)}
+        runs: list[list[int]] = []
+        for i, x in enumerate(pairs if len(w) > 1 else [(x,) for x in words]):
+            if x in want:
+                # a run goes on over a few other words, but not over a cut
+                if runs and i - runs[-1][-1] <= 4 and "" not in words[runs[-1][-1]:i]:
+                    runs[-1].append(i)
+                else:
+                    runs.append([i])
+        reach = range(min(len(w), 2))
+        kinds = lambda at: len({tuple(words[i + j] for j in reach) for i in at}) / len(want)
+        share = kinds([i for run in runs for i in run])
+        for run in runs:
+            if kinds(run) >= HOLDS:
+                places |= {i + j for i in run for j in reach}
+        if (share, len(want)) > best:
+            best, spread = (share, len(want)), {i + j for run in runs for i in run for j in reach}
+    return (*best, places or spread)
+
+
 def notices(families=FAMILIES) -> list[tuple[str, str]]:
     """(family, paragraph) spelled out from names, openings and phrases."""
     out = []
@@ -134,16 +192,25 @@ class LicenceModel:
         s = sum(e)
         return [x / s for x in e]
 
-    def judge(self, text: str, families=FAMILIES) -> tuple[str, float, float] | None:
-        """(family, calibrated probability, share of the template held)."""
-        words = words_of(text)
-        p = self.probabilities(words)
-        best = max(range(len(p)), key=p.__getitem__)
-        family = self.classes[best]
-        if family == "unknown" or p[best] < THRESHOLD:
-            return None
-        share = holds(words, family, families)
-        return (family, p[best], share) if share >= HOLDS else None
+    def judge(self, text: str, families=FAMILIES) -> list[tuple[str, float, float]]:
+        """(family, calibrated probability, share of the template held) of
+        every family that the text names."""
+        words = spdx_spread(words_of(text))
+        unknown, out = self.classes.index("unknown"), {}
+        while True:
+            p = self.probabilities(words)
+            passed = []
+            for i, family in enumerate(self.classes):
+                if i != unknown and family not in out and p[i] >= THRESHOLD * (p[i] + p[unknown]):
+                    share, size, at = best_phrase(words, family, families)
+                    if share >= HOLDS:
+                        passed.append((share, size, p[i] / (p[i] + p[unknown]), family, at))
+            if not passed:
+                return [(f, *x) for f, x in out.items()]
+            share, _, prob, family, at = max(passed, key=lambda x: x[:4])
+            out[family] = (prob, share)
+            # an empty word keeps what stood around the phrase apart
+            words = ["" if i in at else w for i, w in enumerate(words)]
 
 
 def unknown_paragraphs(docs: DataFrame, text_col: str, bound: int = UNKNOWN_SAMPLE, families=FAMILIES) -> list[str]:
@@ -200,7 +267,7 @@ def fit_licences(spark, unknown: list[str], families=FAMILIES) -> LicenceModel:
 
 def scan_licences(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, found`` per row: (line, family, probability, share) of each
-    paragraph that is a licence notice."""
+    family that a paragraph names; ``line`` is the paragraph's first."""
     spark = docs.sparkSession
     found = T.ArrayType(T.StructType([
         T.StructField("line", T.IntegerType()), T.StructField("family", T.StringType()),
@@ -211,9 +278,12 @@ def scan_licences(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id",
     sent = spark.sparkContext.broadcast((model.classes, model.weights, model.intercepts, model.temperature))
 
     def run(batches):
+        import bisect
+
         import ahocorasick
         import pyarrow as pa
 
+        blank = re.compile(r"\n(?:[ \t\r]*\n)+")
         m = LicenceModel(*sent.value)
         automaton = ahocorasick.Automaton()
         for t in m.triggers():
@@ -223,22 +293,44 @@ def scan_licences(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id",
         for b in batches:
             out = []
             for raw in b.column(1).to_pylist():
-                text, lines = raw.lower(), set()
-                at = number = 0
+                text, spots = raw.lower(), []
                 for end, size in automaton.iter(text):
                     before, after = text[end - size:end - size + 1], text[end + 1:end + 2]
                     if (before.isascii() and before.isalnum() and end >= size) or (after.isascii() and after.isalnum()):
                         continue        # inside a longer word
-                    number += text.count("\n", at, end + 1)
-                    at = end + 1
-                    lines.add(number)
+                    spots.append(end)
                 hits = []
-                if lines:
-                    all_lines = text.split("\n")
-                    for no in sorted(lines):
-                        got = m.judge(all_lines[no])
-                        if got:
-                            hits.append({"line": no, "family": got[0], "probability": got[1], "share": got[2]})
+                if spots:
+                    ends = [x.start() for x in blank.finditer(text)] + [len(text)]
+                    starts = [0] + [x.end() for x in blank.finditer(text)]
+                    at = number = 0
+                    seen, judged, named = -1, -1, {}
+                    for spot in sorted(spots):
+                        k = bisect.bisect_right(starts, spot) - 1
+                        lo, hi = starts[k], ends[k]
+                        if lo != at or not number:
+                            number = 1 + text.count("\n", 0, lo)
+                            at, judged = lo, -1
+                        pieces = []
+                        first, last = text.rfind("\n", lo, spot) + 1 or lo, text.find("\n", spot, hi)
+                        last = hi if last < 0 else last
+                        if first > seen:
+                            seen = first
+                            pieces.append(text[first:last])
+                        # the line alone is the whole window unless the paragraph goes on around it
+                        if spot > judged and (first > lo or last < hi or last - first > REACH):
+                            judged = spot + STEP
+                            left, right = max(lo, spot - REACH), min(hi, spot + STEP + REACH)
+                            while left > lo and spot - left < 2 * REACH and text[left - 1].isalnum():
+                                left -= 1
+                            while right < hi and right - spot < 2 * REACH and text[right].isalnum():
+                                right += 1
+                            pieces.append(text[left:right])
+                        for piece in pieces:
+                            for family, probability, share in m.judge(piece):
+                                old = named.get((number - 1, family), (0.0, 0.0))
+                                named[number - 1, family] = max(old, (probability, share))
+                    hits = [{"line": n, "family": f, "probability": x[0], "share": x[1]} for (n, f), x in sorted(named.items())]
                 out.append(hits)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["id", "found"])
 
@@ -252,5 +344,5 @@ def op10_licences(spark, sf_dir: str) -> DataFrame:
     model = fit_licences(spark, unknown_paragraphs(docs, "text"))
     out = scan_licences(docs, model)
     return out.select(F.col("id").alias("doc_id"), F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"]))).alias("licences"),
-                      F.size("found").alias("n_paragraphs"),
+                      F.size(F.array_distinct(F.transform("found", lambda x: x["line"]))).alias("n_paragraphs"),
                       F.array_min(F.transform("found", lambda x: x["probability"])).alias("min_probability"))

@@ -337,6 +337,26 @@ def test_licences(spark, none):
     assert licences.unknown_paragraphs(none, "text") == []
 
 
+def test_licences_wrapped_dual_and_spdx(spark):
+    from textwrap import fill
+
+    from convspark.llm import licences
+
+    plain = "the river went over its banks and nobody in the village had seen it coming " * 40
+    bsd, gpl, reserved = (licences.FAMILIES[f][1][0] for f in ("BSD", "GPL", "reserved"))
+    want = [("MIT License or Apache License 2.0", ["Apache-2.0", "MIT"]), ("// SPDX-License-Identifier: MIT", ["MIT"]),
+            ("SPDX-License-Identifier: GPL-2.0-only OR MIT", ["GPL", "MIT"]), ("SPDX-License-Identifier: CC-BY-SA-4.0", ["CC-BY-SA"]),
+            *((fill(x, n, initial_indent=" * ", subsequent_indent=" * "), [f]) for f, x in (("BSD", bsd), ("GPL", gpl), ("reserved", reserved)) for n in (40, 75)),
+            (f"{plain}Released under the MIT License. {plain}Licensed under CC BY-NC 4.0. {plain}{bsd} {plain}", ["BSD", "CC-BY-NC", "MIT"]),
+            ("Released under the\n\nMIT", []), ("GNU Lesser General Public License, version 3", ["LGPL"]),
+            ("Creative Commons Attribution-ShareAlike 4.0 International License", ["CC-BY-SA"]), (plain, []),
+            (f"The MIT License\n{plain}\nApache License 2.0\n\nAll rights reserved.", ["Apache-2.0", "MIT", "reserved"])]
+    df = spark.createDataFrame([(i, t, None, 0) for i, (t, _) in enumerate(want)], SCHEMA)
+    model = licences.fit_licences(spark, [f"plain words number {i} go on and on" for i in range(200)])
+    got = {r.id: sorted(x.family for x in r.found) for r in licences.scan_licences(df, model).collect()}
+    assert got == {i: families for i, (_, families) in enumerate(want)}
+
+
 def test_components_of_a_long_path(spark):
     from convspark.llm.components import components
 
