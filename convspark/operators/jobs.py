@@ -18,6 +18,10 @@ def job_status(events: DataFrame) -> DataFrame:
     ``train_done`` ends the run keeping the last loss and reporting its step
     count; ``error`` ends it keeping the steps.
 
+    Events may have ``max_steps`` (of ``train_started`` and
+    ``train_progress``) and ``checkpoint`` (of ``train_done``); for each of
+    them that they have, the state has a column of that name.
+
     One grouped aggregation (each piece a ``max_by`` on ``n``) and a
     projection, so the same code runs on a stream in update mode."""
     t = F.col("type")
@@ -26,11 +30,17 @@ def job_status(events: DataFrame) -> DataFrame:
         return F.max_by(F.when(cond, F.struct(F.col("n").alias("n"), *[F.col(c) for c in cols])),
                         F.when(cond, F.col("n")))
 
+    extra = {}
+    if "max_steps" in events.columns:
+        extra["max_steps"] = last(t.isin("train_started", "train_progress") & F.col("max_steps").isNotNull(), "max_steps")
+    if "checkpoint" in events.columns:
+        extra["checkpoint"] = last(t == "train_done", "checkpoint")
     g = events.groupBy("request_id").agg(
         F.max(F.when(t == "train_started", F.col("n"))).alias("_ls"),
         last(t == "train_progress", "step", "loss").alias("_p"),
         last(t == "train_done", "step").alias("_d"),
         last(t == "error", "message").alias("_e"),
+        *[piece.alias(f"_{name}") for name, piece in extra.items()],
     )
     since = lambda s: s.isNotNull() & (s["n"] > F.coalesce(F.col("_ls"), F.lit(-1)))
     p_ok, d_ok, e_ok = since(F.col("_p")), since(F.col("_d")), since(F.col("_e"))
@@ -42,7 +52,10 @@ def job_status(events: DataFrame) -> DataFrame:
         F.when(done_last, F.col("_d.step")).when(p_ok, F.col("_p.step")).otherwise(F.lit(0))
         .cast("long").alias("steps_done"),
         F.when(p_ok, F.col("_p.loss")).alias("last_loss"),
-        F.when(err_last, F.col("_e.message")).alias("error"))
+        F.when(err_last, F.col("_e.message")).alias("error"),
+        # a start's own maximum counts for its run
+        *[F.when(F.col(f"_{name}").isNotNull() & (F.col(f"_{name}.n") >= F.coalesce(F.col("_ls"), F.lit(-1))), F.col(f"_{name}.{name}"))
+          .alias(name) for name in extra])
 
 
 def blocked_requests(requests: DataFrame, jobs: DataFrame, bucket_seconds: int = 3600) -> DataFrame:

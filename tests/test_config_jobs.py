@@ -48,6 +48,17 @@ def test_job_status_restart_resets(spark):
     assert got == {1: (True, 0, None, None), 2: (False, 4, 0.5, None)}
 
 
+def test_job_status_maximum_and_checkpoint(spark):
+    ev = spark.createDataFrame([
+        (1, 1, "train_started", 0, 50, None), (1, 2, "train_done", 50, None, "a"), (1, 3, "train_started", 0, None, None),
+        (2, 1, "train_started", 0, 20, None), (2, 2, "train_progress", 3, 30, None), (2, 3, "train_done", 4, None, "b"),
+        (3, 1, "train_started", 0, 20, None), (3, 2, "error", 0, None, None)],
+        "request_id long, n long, type string, step long, max_steps long, checkpoint string")
+    ev = ev.selectExpr("*", "cast(null as double) loss", "cast(null as string) message")
+    got = {r.request_id: (r.running, r.max_steps, r.checkpoint) for r in job_status(ev).collect()}
+    assert got == {1: (True, None, None), 2: (False, 30, "b"), 3: (False, 20, None)}
+
+
 def test_lock_interval_bounds(spark):
     t0 = dt.datetime(2024, 1, 1, 10, 0)
     jobs = spark.createDataFrame([(t0, t0 + dt.timedelta(hours=3))], "start timestamp_ntz, end timestamp_ntz")
