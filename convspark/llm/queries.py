@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from convspark.llm import (byte_bpe, decontam, exact_dedup, jaccard_join, licences, line_templates, periodic_runs, quality,
-                           shard, suffix_dedup, url_filter)
+from convspark.llm import (byte_bpe, collocations, decontam, exact_dedup, jaccard_join, licences, line_templates,
+                           periodic_runs, quality, shard, spot_signatures, suffix_dedup, url_filter)
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -16,7 +16,9 @@ QUERIES = {
     "op8_line_templates": line_templates.op8_line_templates,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_licences": licences.op10_licences,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_spot_signatures": spot_signatures.op12_spot_signatures,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
-ORACLE = {**exact_dedup.ORACLE}
+ORACLE = {**exact_dedup.ORACLE, **collocations.ORACLE}
