@@ -16,29 +16,34 @@ def job_status(events: DataFrame) -> DataFrame:
     the event order.  Only events after the latest ``train_started`` count
     (a start resets); ``train_progress`` sets steps and loss;
     ``train_done`` ends the run keeping the last loss and reporting its step
-    count; ``error`` ends it keeping the steps.
+    count (``steps``, or ``step`` where the events have no such column or it
+    is null); ``error`` ends it keeping the steps.
 
     Events may have ``max_steps`` (of ``train_started`` and
-    ``train_progress``) and ``checkpoint`` (of ``train_done``); for each of
-    them that they have, the state has a column of that name.
+    ``train_progress``), ``checkpoint`` (of ``train_done``; null if none was
+    written) and ``ts``; for each of them that they have, the state has a
+    column ``max_steps``, ``checkpoint``, or ``started_at`` (``ts`` of the
+    latest start).
 
     One grouped aggregation (each piece a ``max_by`` on ``n``) and a
     projection, so the same code runs on a stream in update mode."""
     t = F.col("type")
 
     def last(cond, *cols):
-        return F.max_by(F.when(cond, F.struct(F.col("n").alias("n"), *[F.col(c) for c in cols])),
+        return F.max_by(F.when(cond, F.struct(F.col("n").alias("n"), *[F.col(c) if isinstance(c, str) else c for c in cols])),
                         F.when(cond, F.col("n")))
 
+    done_steps = (F.coalesce("steps", "step") if "steps" in events.columns else F.col("step")).alias("step")
     extra = {}
     if "max_steps" in events.columns:
         extra["max_steps"] = last(t.isin("train_started", "train_progress") & F.col("max_steps").isNotNull(), "max_steps")
     if "checkpoint" in events.columns:
         extra["checkpoint"] = last(t == "train_done", "checkpoint")
+    started = [last(t == "train_started", "ts").alias("_st")] if "ts" in events.columns else []
     g = events.groupBy("request_id").agg(
-        F.max(F.when(t == "train_started", F.col("n"))).alias("_ls"),
+        F.max(F.when(t == "train_started", F.col("n"))).alias("_ls"), *started,
         last(t == "train_progress", "step", "loss").alias("_p"),
-        last(t == "train_done", "step").alias("_d"),
+        last(t == "train_done", done_steps).alias("_d"),
         last(t == "error", "message").alias("_e"),
         *[piece.alias(f"_{name}") for name, piece in extra.items()],
     )
@@ -55,7 +60,7 @@ def job_status(events: DataFrame) -> DataFrame:
         F.when(err_last, F.col("_e.message")).alias("error"),
         # a start's own maximum counts for its run
         *[F.when(F.col(f"_{name}").isNotNull() & (F.col(f"_{name}.n") >= F.coalesce(F.col("_ls"), F.lit(-1))), F.col(f"_{name}.{name}"))
-          .alias(name) for name in extra])
+          .alias(name) for name in extra], *[F.col("_st.ts").alias("started_at") for _ in started])
 
 
 def blocked_requests(requests: DataFrame, jobs: DataFrame, bucket_seconds: int = 3600) -> DataFrame:

@@ -100,7 +100,10 @@ def f_train(spark: SparkSession, sf: str) -> DataFrame:
     """Training events from lineitem: one run per order.  Line n (ordered by
     ship date and keys) is ``train_started`` for n = 1; the last line of a
     run with n > 1 is ``train_done`` (key % 3 = 0) or ``error`` (key % 3 = 1);
-    other lines are ``train_progress`` at step n - 1 with loss = price/1000."""
+    other lines are ``train_progress`` at step n - 1 with loss = price/1000.
+    Starts and progress carry ``max_steps`` = number of lines + key % 4;
+    a ``train_done`` names the ``checkpoint`` it wrote unless key % 9 = 0;
+    ``ts`` is n hours after midnight of the ship date."""
     from pyspark.sql import Window
 
     li = t(spark, sf, "lineitem")
@@ -116,7 +119,10 @@ def f_train(spark: SparkSession, sf: str) -> DataFrame:
            .otherwise(F.lit("train_progress")))
     return x.select(k.alias("request_id"), F.col("n").cast("int").alias("n"), typ.alias("type"),
                     (F.col("n") - 1).cast("int").alias("step"),
-                    (F.col("l_extendedprice") / 1000).alias("loss"))
+                    (F.col("l_extendedprice") / 1000).alias("loss"),
+                    F.when(typ.isin("train_started", "train_progress"), (F.col("cnt") + k % 4).cast("int")).alias("max_steps"),
+                    F.when((typ == "train_done") & (k % 9 != 0), F.concat(F.lit("models/train_"), k.cast("string"))).alias("checkpoint"),
+                    (F.to_date("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("n"))).alias("ts"))
 
 
 # ---------------------------------------------------------------- F-FRAMES
@@ -168,9 +174,18 @@ def f_frames(spark: SparkSession, sf: str) -> DataFrame:
 PROTO_TYPES = {"signup": "config", "view": "token", "click": "start", "purchase": "done", "error": "ack"}
 
 
-def f_proto(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames from events: one session per user, arrival order = event_id."""
-    e = t(spark, sf, "events")
+def events_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a file stream."""
+    from convspark.streaming.sinks import table_stream
+
+    # as a pattern: the table may be one file, which a file stream takes by a pattern only
+    return table_stream(spark, f"{sf.rstrip('/')}/events.parque[t]")
+
+
+def f_proto(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+    """Frames from events (the table, or a stream of it): one session per
+    user, arrival order = event_id."""
+    e = t(spark, sf, "events") if events is None else events
     m = F.create_map(*[x for kv in PROTO_TYPES.items() for x in map(F.lit, kv)])
     cfg = F.col("event_type") == "signup"
     return e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"),
@@ -181,10 +196,16 @@ def f_proto(spark: SparkSession, sf: str) -> DataFrame:
                     F.when(cfg, F.floor("value").cast("long").cast("string")).alias("cfg_value"))
 
 
-def f_msgs(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw client messages from events (valid, untyped, unknown, non-object
-    and broken JSON)."""
-    e = t(spark, sf, "events")
+def f_conns(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+    """The frames of ``f_proto`` in shorter sessions: eight per user (by
+    event_id % 8), so that some are never acknowledged."""
+    return f_proto(spark, sf, events).withColumn("session_id", F.col("session_id") * 8 + F.col("seq") % 8)
+
+
+def f_msgs(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+    """Raw client messages from events, the table or a stream of it (valid,
+    untyped, unknown, non-object and broken JSON)."""
+    e = t(spark, sf, "events") if events is None else events
     k = F.col("event_id")
     raw = (F.when(F.col("event_type") == "signup",
                   F.concat(F.lit('{"type": "config", "data": {"max_new_tokens": '),

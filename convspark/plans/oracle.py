@@ -100,7 +100,7 @@ cfg AS (
 
 F_TRAIN = """
 tr0 AS (
-  SELECT l_orderkey, l_extendedprice,
+  SELECT l_orderkey, l_extendedprice, l_shipdate,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey,
                        l_linenumber, l_extendedprice) AS n,
     count(*) OVER (PARTITION BY l_orderkey) AS cnt
@@ -112,7 +112,9 @@ ftrain AS (
          WHEN n = cnt AND l_orderkey % 3 = 0 THEN 'train_done'
          WHEN n = cnt AND l_orderkey % 3 = 1 THEN 'error'
          ELSE 'train_progress' END AS type,
-    (n - 1)::INTEGER AS step, l_extendedprice / 1000 AS loss
+    (n - 1)::INTEGER AS step, l_extendedprice / 1000 AS loss, (cnt + l_orderkey % 4)::INTEGER AS max_steps,
+    CASE WHEN n > 1 AND n = cnt AND l_orderkey % 3 = 0 AND l_orderkey % 9 <> 0 THEN 'models/train_' || l_orderkey END AS checkpoint,
+    l_shipdate::DATE::TIMESTAMP + to_hours(n) AS ts
   FROM tr0
 )"""
 

@@ -176,6 +176,7 @@ FROM cfgu GROUP BY session_id"""
 ORACLE["a7_job_status"] = f"""WITH {F_TRAIN}
 SELECT request_id,
   count(*) FILTER (WHERE type IN ('train_done', 'error')) = 0 AS running,
+  (max(ts) FILTER (WHERE type = 'train_started'))::VARCHAR AS started_at, max(max_steps) AS max_steps, max(checkpoint) AS checkpoint,
   (CASE WHEN max_by(type, n) = 'train_done' THEN max_by(step, n) FILTER (WHERE type = 'train_done')
         ELSE coalesce(max_by(step, n) FILTER (WHERE type = 'train_progress'), 0) END)::BIGINT AS steps_done,
   max_by(loss, n) FILTER (WHERE type = 'train_progress') AS last_loss,

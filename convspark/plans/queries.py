@@ -28,6 +28,7 @@ from convspark.sources import corpus as SCO
 from convspark.sources import log as SLG
 from convspark.sources.artifacts import scan_artifacts
 from convspark.streaming import frames as ST
+from convspark.streaming import sinks as SK
 
 QUERIES: dict = {}
 LOG_KEY = "relay"  # the queries' own log key
@@ -524,11 +525,19 @@ def q_pivot(spark, sf):
     return x.select("session_id", *[F.col(f"{k}.num").alias(k) for k in keys])
 
 
+def _job_columns(status):
+    return status.select("request_id", "running", F.col("started_at").cast("string").alias("started_at"), "steps_done",
+                         "max_steps", "last_loss", "checkpoint", "error")
+
+
+def train_events(spark, sf):
+    return FX.f_train(spark, sf).withColumn(
+        "message", F.when(F.col("type") == "error", F.concat(F.lit("Training failed: step "), F.col("step"))))
+
+
 @register("a7_job_status")
 def q_job_status(spark, sf):
-    ev = FX.f_train(spark, sf).withColumn(
-        "message", F.when(F.col("type") == "error", F.concat(F.lit("Training failed: step "), F.col("step"))))
-    return JB.job_status(ev).select("request_id", "running", "steps_done", "last_loss", "error")
+    return _job_columns(JB.job_status(train_events(spark, sf)))
 
 
 def locks(spark, sf):
@@ -620,20 +629,47 @@ def q_scan_config(spark, sf):
 # ------------------------------------------------------------------ streaming
 
 
+def staged_stream(spark, df, name):
+    """A table that Spark derives from the given ones, written once and read as
+    a file stream."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return SK.table_stream(spark, path)
+
+
+def _landed(spark, sdf, name, mode="append", split=None):
+    """Runs a stream to its end; the folder of its sink."""
+    work = scratch_path(spark, name)
+    SK.run_available(sdf, f"{work}/sink", f"{work}/checkpoint", mode, split)
+    return f"{work}/sink"
+
+
 @register("x1_stream_frames")
 def q_stream_frames(spark, sf):
-    return ST.stream_frames(spark, FX.f_msgs(spark, sf)).select("session_id", "seq", "route", "msg_type", "error")
+    routed = ST.stream_frames(FX.f_msgs(spark, sf, FX.events_stream(spark, sf)))
+    routed = routed.select("session_id", "seq", "route", "msg_type", "error")
+    sink = _landed(spark, routed, "x1", split=ST.frame_outputs())
+    return SK.read_sink(spark, sink, "dispatch").unionByName(SK.read_sink(spark, sink, "dead_letter")).drop("batch")
+
+
+def _session_stream(spark, sf):
+    out = ST.stream_sessions(FX.f_conns(spark, sf, FX.events_stream(spark, sf)))
+    return _landed(spark, out, "x2", "update", ST.session_outputs())
 
 
 @register("x2_stream_sessions")
 def q_stream_sessions(spark, sf):
-    return ST.stream_sessions(spark, FX.f_proto(spark, sf)).select(
-        "session_id", "created", "last_activity", "n_frames", "n_config", "pending", "config", "closed")
+    return SK.read_upserts(spark, _session_stream(spark, sf), ["session_id"], "sessions").select(*ST.SESSION_COLUMNS)
+
+
+@register("x2_stream_session_errors")
+def q_stream_session_errors(spark, sf):
+    return SK.read_sink(spark, _session_stream(spark, sf), "errors").select("session_id", "seq", "message")
 
 
 @register("x2_sessions_batch")
 def q_sessions_batch(spark, sf):
-    return ST.sessions_batch(FX.f_proto(spark, sf).select("session_id", "seq", "type", "cfg_key", "cfg_value"))
+    return ST.sessions_batch(FX.f_conns(spark, sf))
 
 
 @register("x4_stream_dedupe")
@@ -643,29 +679,30 @@ def q_stream_dedupe(spark, sf):
     again = FR.replay(p)
     lines = log.select("id", "session_id", "seq", "type", "ts").unionByName(
         again.select("id", "session_id", "seq", "type", "ts"))
-    return ST.stream_dedupe(spark, lines).select("id", "session_id", "seq", "type")
+    sink = _landed(spark, ST.stream_dedupe(staged_stream(spark, lines, "x4")), "x4", split=ST.late_outputs())
+    return SK.read_sink(spark, sink).select("id", "session_id", "seq", "type")
 
 
 @register("x5_stream_job_status")
 def q_stream_job_status(spark, sf):
-    ev = FX.f_train(spark, sf).withColumn(
-        "message", F.when(F.col("type") == "error", F.concat(F.lit("Training failed: step "), F.col("step"))))
-    return ST.stream_job_status(spark, ev).select("request_id", "running", "steps_done", "last_loss", "error")
+    sink = _landed(spark, ST.stream_job_status(staged_stream(spark, train_events(spark, sf), "x5")), "x5", "update")
+    return _job_columns(SK.read_upserts(spark, sink, ["request_id"]))
 
 
 @register("x6_stream_transcripts")
 def q_stream_transcripts(spark, sf):
     # event time: one second per seq step, so an abandoned generation times out
-    f = (FX.f_frames(spark, sf).withColumn("turn", F.shiftright("seq", 20))
-         .withColumn("ts", F.timestamp_seconds("seq")))
-    return ST.stream_transcripts(spark, f, "turn", ts_col="ts", idle="1 hour") \
-        .select("session_id", "gen", "text", "outcome")
+    f = FX.f_frames(spark, sf).select("session_id", "seq", "type", "data", F.timestamp_seconds("seq").alias("ts"))
+    out = ST.stream_transcripts(staged_stream(spark, f, "x6"), ts_col="ts")
+    sink = _landed(spark, out, "x6", split=ST.late_outputs())
+    return SK.read_sink(spark, sink).select("session_id", "gen", "text", "outcome")
 
 
 @register("src3_stream_append_log")
 def q_stream_append_log(spark, sf):
     path = scratch_path(spark, "log")
-    ST.stream_append_log(spark, frames_json(spark, sf), path, LOG_KEY)
+    frames = staged_stream(spark, frames_json(spark, sf), "src3")
+    ST.stream_append_log(frames, path, LOG_KEY, scratch_path(spark, "src3")).awaitTermination()
     kept, _dead = SLG.scan_log(spark, path, LOG_KEY)
     return kept.select("session_id", "seq", "type")
 

@@ -1,279 +1,155 @@
-"""Structured Streaming versions of the frame-log jobs.
-
-* X1 ``stream_frames``: P12 routing on a live message stream, two sinks
-  (dispatched messages and dead letters) written per micro-batch.
-* X2 ``stream_sessions``: per-session state (first/last frame, frame and
-  config counts, frames pending a flush) with ``applyInPandasWithState``;
-  an ``ack`` closes the session and drops its state.
-* X4 ``stream_dedupe``: at-least-once replays de-duplicated on the line id
-  with ``dropDuplicatesWithinWatermark``.
-* X5 ``stream_job_status``: A7 kept current by a streaming aggregation
-  (update mode).
-* X6 ``stream_transcripts``: A1 emitted when a generation closes, with the
-  open generation held in state.
-
-Sinks are written with ``foreachBatch`` into ``batch=<id>`` folders, so a
-retried micro-batch overwrites its own output (idempotent) and an executor
-loss costs a task retry, not a duplicate.  ``read_upserts`` reads an
-update-mode sink back as the latest row per key.
+"""The frame log as a live stream: streaming DataFrames in, streaming
+DataFrames out.
+
+* X1 ``stream_frames``: P12 routing; dispatched messages and dead letters are
+  two outputs of the sink (``frame_outputs``).
+* X2 ``stream_sessions``: the live session table, with ``transformWithState``;
+  the first ``ack`` closes a session for good, later frames are answered with
+  an error (``session_outputs``).
+* SRC3 ``stream_append_log``: the encoded log written batch by batch.
+* X4 ``stream_dedupe``: at-least-once replays de-duplicated on the line id;
+  lines behind the watermark are an output of their own (``late_outputs``).
+* X5 ``stream_job_status``: A7 kept current by a streaming aggregation (update
+  mode).
+* X6 ``stream_transcripts``: A1 emitted when a generation closes; frames behind
+  the watermark are an output of their own (``late_outputs``).
+
+Sources and sinks are in :mod:`convspark.streaming.sinks`; any source will do,
+such as a file stream or ``readStream.format("kafka")``.  A stream processes a
+key's rows in order of arrival, and by ``seq`` within a micro-batch.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.query import StreamingQuery
 
 from convspark.operators import frames as FR
 from convspark.operators import jobs as JB
-# module-level on purpose: functions that run inside Python workers must not
-# import this package at run time (executors may not have it installed; the
-# functions and these globals travel by value)
+# module-level on purpose: classes that run inside Python workers must not
+# import this package at run time (executors may not have it installed; they
+# and these globals travel by value)
 from convspark.operators.config import GENERATION_DEFAULTS, json_text
-from convspark.session import materialize, scratch_path
-
-
-def _pickle_by_value():
-    """Executors may not have this package on their path: ship our
-    functions by value with the task closures."""
-    try:
-        import convspark
-        from pyspark import cloudpickle
-        cloudpickle.register_pickle_by_value(convspark)
-    except Exception:  # noqa: BLE001  (already registered / older cloudpickle)
-        pass
-
-
-# ------------------------------------------------------------------ plumbing
-def land_stream_input(df: DataFrame, path: str, order_col: str, files: int = 4) -> None:
-    """Drop a table into ``path`` the way an upstream producer would: in
-    ``files`` consecutive ranges of ``order_col``, one append after the
-    other.  A file stream takes files in modification-time order, so the
-    stream sees the ranges in order, several micro-batches long.
-
-    The table is computed once into a staging folder; the range files are
-    cut from that copy."""
-    import time
-
-    staged = materialize(df, "stream-stage")
-    cuts = staged.approxQuantile(order_col, [i / files for i in range(1, files)], 0.001) if files > 1 else []
-    bounds = [None] + sorted(set(cuts)) + [None]
-    c = F.col(order_col)
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (c > F.lit(lo))
-        if hi is not None:
-            cond = cond & (c <= F.lit(hi))
-        staged.filter(cond).coalesce(1).sortWithinPartitions(order_col).write.mode("append").parquet(path)
-        time.sleep(0.05)  # distinct modification times
-
-
-def file_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
-
-
-def run_available(sdf: DataFrame, sink: str, ckpt: str, mode: str = "append", split=None) -> None:
-    """Process everything available (``availableNow``) and stop.  Each
-    micro-batch lands in ``sink/<name>/batch=<id>`` (overwrite: idempotent
-    on retry).  ``split`` maps a sink name to a filter on the batch."""
-    def write(batch: DataFrame, batch_id: int):
-        parts = split or {"out": None}
-        for name, cond in parts.items():
-            b = batch if cond is None else batch.filter(cond)
-            b.write.mode("overwrite").parquet(f"{sink}/{name}/batch={batch_id}")
-
-    q = (sdf.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
-         .foreachBatch(write).trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
-def read_sink(spark: SparkSession, sink: str, name: str = "out") -> DataFrame:
-    return spark.read.option("basePath", f"{sink}/{name}").parquet(f"{sink}/{name}/batch=*")
-
+from convspark.streaming.state import LineDedupe, SessionTable, TranscriptBuilder
 
-def read_upserts(spark: SparkSession, sink: str, keys, name: str = "out") -> DataFrame:
-    """Latest version of each key in an update-mode sink (highest batch)."""
-    df = read_sink(spark, sink, name)
-    latest = df.groupBy(*keys).agg(F.max("batch").alias("_b"))
-    return df.join(latest, list(keys)).filter(F.col("batch") == F.col("_b")).drop("batch", "_b")
+# ------------------------------------------------------------------ X1
+def stream_frames(msgs: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """Every message with its ``route``, ``msg_type`` and ``error``."""
+    return FR.route_frames(msgs, raw_col)
 
 
-# ------------------------------------------------------------------ X1
-def stream_frames(spark: SparkSession, msgs: DataFrame, work: str | None = None) -> DataFrame:
-    """Route a message stream; returns both sinks read back (``route``
-    tells them apart)."""
-    work = work or scratch_path(spark, "x1")
-    land_stream_input(msgs, f"{work}/in", "seq")
-    s = file_stream(spark, f"{work}/in", msgs.schema)
-    routed = FR.route_frames(s)
-    run_available(routed, f"{work}/sink", f"{work}/ckpt",
-                  split={"dispatch": F.col("route") != "dead_letter", "dead_letter": F.col("route") == "dead_letter"})
-    return read_sink(spark, f"{work}/sink", "dispatch").unionByName(
-        read_sink(spark, f"{work}/sink", "dead_letter")).drop("batch")
+def frame_outputs() -> dict:
+    """The sink outputs of X1: what is dispatched or ignored, and dead letters."""
+    dead = F.col("route") == "dead_letter"
+    return {"dispatch": ~dead, "dead_letter": dead}
 
 
 # ------------------------------------------------------------------ SRC3 on a stream
-def stream_append_log(spark: SparkSession, frames: DataFrame, log_path: str, key: str, work: str | None = None) -> None:
-    """SRC3 fed by a stream: each micro-batch of ``(session_id, seq, frame)``
-    is encoded and written to ``log_path/batch=<id>`` with overwrite, so a
-    replayed batch replaces its own lines; line ids are hashes of the frame
-    key, so readers can also de-duplicate across batches (X4)."""
+def stream_append_log(frames: DataFrame, log_path: str, key: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """SRC3 fed by a stream of ``(session_id, seq, frame)``: each micro-batch is
+    encoded and written to ``log_path/batch=<id>`` with overwrite, so a replayed
+    batch replaces its own lines; line ids are hashes of the frame key, so
+    readers can also de-duplicate across batches (X4).  Returns the running
+    query (default trigger: everything available, then stop)."""
     from convspark.sources.log import append_log
 
-    work = work or scratch_path(spark, "src3s")
-    land_stream_input(frames, f"{work}/in", "seq")
-    s = file_stream(spark, f"{work}/in", frames.schema)
-
     def write(batch: DataFrame, batch_id: int):
         append_log(batch, f"{log_path}/batch={batch_id}", key, mode="overwrite")
 
-    q = (s.writeStream.option("checkpointLocation", f"{work}/ckpt").foreachBatch(write)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    return (frames.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 # ------------------------------------------------------------------ X5
-def stream_job_status(spark: SparkSession, events: DataFrame, work: str | None = None) -> DataFrame:
-    """A7 as a streaming aggregation in update mode."""
-    work = work or scratch_path(spark, "x5")
-    land_stream_input(events, f"{work}/in", "request_id")
-    s = file_stream(spark, f"{work}/in", events.schema)
-    run_available(JB.job_status(s), f"{work}/sink", f"{work}/ckpt", mode="update")
-    return read_upserts(spark, f"{work}/sink", ["request_id"])
+def stream_job_status(events: DataFrame) -> DataFrame:
+    """A7 as a streaming aggregation (update mode; the latest row of a
+    request is its status)."""
+    return JB.job_status(events)
 
 
 # ------------------------------------------------------------------ X4
-def stream_dedupe(spark: SparkSession, lines: DataFrame, ts_col: str = "ts", delay: str = "1 hour",
-                  order_col: str = "seq", work: str | None = None) -> DataFrame:
-    """Drop repeated line ids arriving within ``delay`` of each other
-    (event time); state is bounded by the watermark."""
-    work = work or scratch_path(spark, "x4")
-    land_stream_input(lines, f"{work}/in", order_col)
-    s = file_stream(spark, f"{work}/in", lines.schema)
-    d = s.withColumn("_et", F.col(ts_col).cast("timestamp")).withWatermark("_et", delay) \
-        .dropDuplicatesWithinWatermark(["id"]).drop("_et")
-    run_available(d, f"{work}/sink", f"{work}/ckpt")
-    return read_sink(spark, f"{work}/sink").drop("batch")
+def _event_time(df: DataFrame, ts_col: str, delay: str) -> DataFrame:
+    """``df`` with the watermark of ``ts_col`` and its event time in ``_ms``.
 
-
-# ------------------------------------------------------------------ X2
-SESSION_STATE = "created long, last long, n_frames long, n_config long, pending long, updates string"
-SESSION_OUT = ("session_id long, created long, last_activity long, n_frames long, n_config long, "
-               "pending long, config string, closed boolean")
+    The column that carries the watermark is dropped, for a stateful operator
+    that reads it would throw late rows away before they reach the processor;
+    the watermark itself holds for the whole query."""
+    et = df.withColumn("_et", F.col(ts_col).cast("timestamp")).withWatermark("_et", delay)
+    return et.withColumn("_ms", F.unix_millis("_et")).drop("_et")
 
 
-def render_config(updates: dict) -> str:
-    """Generation defaults overlaid with a session's updates, as sorted
-    ``key=value`` pairs joined by ';'."""
-    merged = {k: json_text(v) for k, v in GENERATION_DEFAULTS.items()}
-    merged.update(updates)
-    return ";".join(f"{k}={merged[k]}" for k in sorted(merged))
+def late_outputs() -> dict:
+    """The sink outputs of X4 and X6: rows in time and rows behind the watermark."""
+    return {"out": ~F.col("late"), "late": F.col("late")}
 
 
-def _session_step(key, pdfs, state: GroupState):
-    """Fold one micro-batch of a session's frames (seq order) into its state.
+def stream_dedupe(lines: DataFrame, ts_col: str = "ts", delay: str = "1 hour", id_col: str = "id") -> DataFrame:
+    """The first of the lines of one id, and with ``late`` true every line
+    whose event time is behind the watermark (``delay`` behind the latest seen
+    in earlier micro-batches).  An id is forgotten ``delay`` after its first
+    line, so state is bounded by the watermark."""
+    x = _event_time(lines, ts_col, delay)
+    return x.groupBy(id_col).transformWithState(
+        LineDedupe(lines.columns, _interval_ms(lines.sparkSession, delay)),
+        lines.withColumn("late", F.lit(True)).schema, "Append", "EventTime")
 
-    Every frame bumps ``last``; ``config`` frames merge their key/value into
-    the session config (later wins); buffered frames since the last flush
-    are ``pending``; ``ack`` removes the session (a later frame starts a new
-    one)."""
-    import json
-
-    sid = int(key[0])
-    if state.exists:
-        created, last, n_frames, n_config, pending, upd = state.get
-        updates = json.loads(upd)
-        alive = True
-    else:
-        created = last = n_frames = n_config = pending = 0
-        updates = {}
-        alive = False
-    for pdf in pdfs:
-        for seq, typ, ck, cv in zip(pdf["seq"].to_numpy(), pdf["type"].to_numpy(), pdf["cfg_key"].to_numpy(),
-                                    pdf["cfg_value"].to_numpy()):
-            seq = int(seq)
-            if typ == "ack":
-                alive = False
-                created = last = n_frames = n_config = pending = 0
-                updates = {}
-                continue
-            if not alive:
-                alive = True
-                created, n_frames, n_config, pending, updates = seq, 0, 0, 0, {}
-            last = seq
-            n_frames += 1
-            if typ == "config":
-                n_config += 1
-                if isinstance(ck, str) and isinstance(cv, str):
-                    updates[ck] = cv
-            if typ in FR.BUFFERED_TYPES:
-                pending += 1
-            if typ in FR.FLUSH_TYPES:
-                pending = 0
-    if alive:
-        state.update((created, last, n_frames, n_config, pending, json.dumps(updates, sort_keys=True)))
-        yield pd.DataFrame([{"session_id": sid, "created": created, "last_activity": last, "n_frames": n_frames,
-                             "n_config": n_config, "pending": pending, "config": render_config(updates),
-                             "closed": False}])
-    else:
-        if state.exists:
-            state.remove()
-        yield pd.DataFrame([{"session_id": sid, "created": None, "last_activity": None, "n_frames": 0,
-                             "n_config": 0, "pending": 0, "config": None, "closed": True}])
 
+# ------------------------------------------------------------------ X2
+SESSION_COLUMNS = ("session_id", "created", "last_activity", "n_frames", "n_config", "pending", "config", "closed")
 
-def _sorted_session_step(key, pdfs, state: GroupState):
-    frames = [p.sort_values("seq") for p in pdfs]
-    merged = [pd.concat(frames, ignore_index=True).sort_values("seq")] if frames else []
-    yield from _session_step(key, merged, state)
 
+def stream_sessions(frames: DataFrame, closed_ttl: str | None = None) -> DataFrame:
+    """The live session table of a stream of ``(session_id, seq, type,
+    cfg_key, cfg_value)``, update mode.
 
-FRAME_COLS = "session_id long, seq long, type string, cfg_key string, cfg_value string"
+    Every frame bumps ``last_activity``; ``config`` frames set a key (the last
+    one wins, extra keys are kept); ``pending`` counts the buffered frames since
+    the last flush.  The first ``ack`` closes the session for good: its state
+    goes, but for a mark, and later frames are answered with the error a missing
+    session gives.  ``row`` tells session rows from those errors
+    (``session_outputs``).  ``closed_ttl`` (an interval of processing time, such
+    as '30 days') bounds how long marks are kept; a frame after that would open
+    a session anew.  Processing time always goes on, so a stream with it runs
+    under a ``processingTime`` or ``once`` trigger, not ``availableNow``."""
+    kind = frames.schema["session_id"].dataType.simpleString()
+    schema = (f"row string, session_id {kind}, created long, last_activity long, n_frames long, n_config long, pending long, "
+              "config string, closed boolean, seq long, message string")
+    ttl = _interval_ms(frames.sparkSession, closed_ttl) if closed_ttl else None
+    table = SessionTable({k: json_text(v) for k, v in GENERATION_DEFAULTS.items()}, FR.BUFFERED_TYPES, FR.FLUSH_TYPES, ttl)
+    return frames.select("session_id", "seq", "type", "cfg_key", "cfg_value").groupBy("session_id") \
+        .transformWithStateInPandas(table, schema, "Update", "ProcessingTime" if ttl else "None")
 
 
-def stream_sessions(spark: SparkSession, frames: DataFrame, work: str | None = None) -> DataFrame:
-    """Live session table; one output row per session touched in a
-    micro-batch (update mode), read back as the latest row per session.
-    ``frames``: ``(session_id, seq, type, cfg_key, cfg_value)``."""
-    _pickle_by_value()
-    work = work or scratch_path(spark, "x2")
-    land_stream_input(frames.select("session_id", "seq", "type", "cfg_key", "cfg_value"), f"{work}/in", "seq")
-    s = file_stream(spark, f"{work}/in", FRAME_COLS)
-    out = s.groupBy("session_id").applyInPandasWithState(
-        _sorted_session_step, SESSION_OUT, SESSION_STATE, "update", GroupStateTimeout.NoTimeout)
-    run_available(out, f"{work}/sink", f"{work}/ckpt", mode="update")
-    return read_upserts(spark, f"{work}/sink", ["session_id"])
+def session_outputs() -> dict:
+    """The sink outputs of X2: session rows and errors."""
+    return {"sessions": F.col("row") == "session", "errors": F.col("row") == "error"}
 
 
 def sessions_batch(frames: DataFrame) -> DataFrame:
-    """Batch twin of X2 (same answer as the stream at its end): the
-    session's incarnation after its last ack.  Aggregates only; the merged
-    config is the defaults plus the last update per key (J3)."""
+    """Batch twin of X2 (same answer as the stream at its end).  Aggregates
+    only; the merged config is the defaults plus the last update per key (J3).
+    A session with an ``ack`` is closed."""
     from convspark.operators.config import merge_config
 
-    marks = frames.groupBy("session_id").agg(
-        F.max(F.when(F.col("type") == "ack", F.col("seq"))).alias("_ack"),
-        F.max("seq").alias("_last_any"))
-    x = frames.join(marks, "session_id").filter(F.col("_ack").isNull() | (F.col("seq") > F.col("_ack")))
-    x = x.filter(F.col("type") != "ack")
-    flush = x.groupBy("session_id").agg(F.max(F.when(F.col("type").isin(*FR.FLUSH_TYPES), F.col("seq"))).alias("_fl"))
-    y = x.join(flush, "session_id")
+    first_ack = F.min(F.when(F.col("type") == "ack", F.col("seq")))
+    marks = frames.groupBy("session_id").agg(first_ack.alias("_ack"),
+                                             F.max(F.when(F.col("type").isin(*FR.FLUSH_TYPES), F.col("seq"))).alias("_fl"))
+    y = frames.join(marks.filter(F.col("_ack").isNull()).drop("_ack"), "session_id")
     live = y.groupBy("session_id").agg(
         F.min("seq").alias("created"), F.max("seq").alias("last_activity"), F.count(F.lit(1)).alias("n_frames"),
         F.count_if(F.col("type") == "config").alias("n_config"),
         F.count_if(F.col("type").isin(*FR.BUFFERED_TYPES)
                    & (F.col("_fl").isNull() | (F.col("seq") > F.col("_fl")))).alias("pending"))
-    upd = x.filter((F.col("type") == "config") & F.col("cfg_key").isNotNull()).select(
+    upd = y.filter((F.col("type") == "config") & F.col("cfg_key").isNotNull() & F.col("cfg_value").isNotNull()).select(
         "session_id", F.col("cfg_key").alias("key"), F.col("cfg_value").alias("value"), F.lit(1).alias("layer"), "seq")
     # sessions without updates still get the defaults
     scopes = live.select("session_id", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"),
                          F.lit(1).alias("layer"), F.lit(-2).cast("long").alias("seq"))
     merged = merge_config(upd.unionByName(scopes)).filter(F.col("key").isNotNull())
     conf = merged.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list(
-        F.concat(F.col("key"), F.lit("="), F.col("value")))), ";").alias("config"))
-    closed = marks.filter(F.col("_ack") == F.col("_last_any")).select(
+        F.struct("key", F.concat(F.col("key"), F.lit("="), F.col("value")).alias("t"))))["t"], ";").alias("config"))
+    closed = marks.filter(F.col("_ack").isNotNull()).select(
         "session_id", F.lit(None).cast("long").alias("created"), F.lit(None).cast("long").alias("last_activity"),
         F.lit(0).cast("long").alias("n_frames"), F.lit(0).cast("long").alias("n_config"),
         F.lit(0).cast("long").alias("pending"), F.lit(None).cast("string").alias("config"))
@@ -281,83 +157,43 @@ def sessions_batch(frames: DataFrame) -> DataFrame:
             .unionByName(closed.withColumn("closed", F.lit(True))))
 
 
+def session_errors(frames: DataFrame) -> DataFrame:
+    """Batch twin of X2's errors: ``session_id, seq, message`` of the frames
+    after a session's first ``ack``."""
+    marks = frames.filter(F.col("type") == "ack").groupBy("session_id").agg(F.min("seq").alias("_ack"))
+    return frames.join(marks, "session_id").filter(F.col("seq") > F.col("_ack")).select(
+        "session_id", "seq", F.concat(F.lit("'"), F.col("session_id").cast("string"), F.lit("'")).alias("message"))
+
+
 # ------------------------------------------------------------------ X6
-TRANSCRIPT_STATE = "gen long, open boolean, text string, last_ms long"
-TRANSCRIPT_OUT = "session_id long, gen long, text string, outcome string"
-
-
-def _transcript_step(key, pdfs, state: GroupState, idle_ms: int = 0):
-    """Append token text to the open generation; emit it when it closes.
-
-    With an idle limit, a generation that sees no frame for ``idle_ms`` of
-    event time is emitted as ``open`` when the watermark passes, and its
-    text leaves the state (only the generation counter stays)."""
-    sid = int(key[0])
-    gen, is_open, text, last_ms = state.get if state.exists else (0, False, "", 0)
-    if state.hasTimedOut:
-        if is_open:
-            yield pd.DataFrame([{"session_id": sid, "gen": gen, "text": text, "outcome": "open"}])
-        state.update((gen, False, "", last_ms))
-        return
-    parts = [p for p in pdfs]
-    if not parts:
-        return
-    pdf = pd.concat(parts, ignore_index=True).sort_values("seq")
-    rows = []
-    for typ, data in zip(pdf["type"].to_numpy(), pdf["data"].to_numpy()):
-        if typ == "start":
-            if is_open:  # a new start closes the unfinished one as it is
-                rows.append({"session_id": sid, "gen": gen, "text": text, "outcome": "open"})
-            gen, is_open, text = gen + 1, True, ""
-        elif typ == "token" and is_open:
-            text += data if isinstance(data, str) else ""
-        elif typ in FR.END_TYPES and is_open:
-            rows.append({"session_id": sid, "gen": gen, "text": text, "outcome": typ})
-            is_open, text = False, ""
-    if "ts" in pdf.columns and len(pdf):
-        last_ms = max(last_ms, int(pd.Timestamp(pdf["ts"].max()).value // 1_000_000))
-    state.update((gen, is_open, text, last_ms))
-    if idle_ms and is_open:
-        state.setTimeoutTimestamp(last_ms + idle_ms)
-    if rows:
-        yield pd.DataFrame(rows)
-
-
-def stream_transcripts(spark: SparkSession, frames: DataFrame, files_by: str = "turn",
-                       ts_col: str | None = None, idle: str = "1 hour", work: str | None = None) -> DataFrame:
-    """One transcript row per closed generation (append mode).  The
-    state is one open generation per session (bounded by the token budget).
-
-    With ``ts_col`` (event time), a generation idle for ``idle`` is closed
-    as ``open`` by an event-time timeout, so abandoned generations do not
-    hold state forever."""
-    import functools
-
-    _pickle_by_value()
-    work = work or scratch_path(spark, "x6")
-    cols = ["session_id", "seq", "type", "data", files_by] + ([ts_col] if ts_col else [])
-    land_stream_input(frames.select(*cols), f"{work}/in", files_by)
-    schema = "session_id long, seq long, type string, data string, " + files_by + " long"
-    if ts_col:
-        schema += f", {ts_col} timestamp"
-    s = file_stream(spark, f"{work}/in", schema)
+def stream_transcripts(frames: DataFrame, ts_col: str | None = None, delay: str = "1 hour", idle: str | None = None) -> DataFrame:
+    """One row per closed generation of a stream of ``(session_id, seq,
+    type, data)``, append mode: ``session_id, gen, text, outcome``.
+
+    A token is appended to the state's list; the text is put together once,
+    when the generation closes (``done``, ``error`` or the next ``start``).
+    With ``ts_col`` (event time), a frame behind the watermark (``delay``
+    behind the latest event time of earlier micro-batches) joins no transcript
+    and is handed out with ``late`` true and its ``seq``, ``type``, ``data`` and
+    ``ts``; and a generation without frames for ``idle`` (default: ``delay``)
+    closes as ``open`` once the watermark has passed that time, so abandoned
+    generations do not hold state forever."""
+    spark = frames.sparkSession
+    kind = frames.schema["session_id"].dataType.simpleString()
+    schema = f"row string, session_id {kind}, gen long, text string, outcome string, seq long, type string, data string, ms long"
+    keep = ["session_id", "seq", "type", "data"]
     if ts_col:
-        idle_ms = _interval_ms(spark, idle)
-        s = s.withColumnRenamed(ts_col, "ts").withWatermark("ts", idle)
-        fn = functools.partial(_transcript_step, idle_ms=idle_ms)
-        timeout = GroupStateTimeout.EventTimeTimeout
+        idle_ms = _interval_ms(spark, idle or delay)
+        x = _event_time(frames, ts_col, delay).select(*keep, F.col("_ms").alias("ms"))
     else:
-        fn, timeout = _transcript_step, GroupStateTimeout.NoTimeout
-    out = s.groupBy("session_id").applyInPandasWithState(fn, TRANSCRIPT_OUT, TRANSCRIPT_STATE, "append", timeout)
-    run_available(out, f"{work}/sink", f"{work}/ckpt", mode="append")
-    return read_sink(spark, f"{work}/sink").drop("batch")
+        idle_ms, x = None, frames.select(*keep)
+    out = x.groupBy("session_id").transformWithStateInPandas(
+        TranscriptBuilder(FR.END_TYPES, idle_ms), schema, "Append", "EventTime" if ts_col else "None")
+    return out.select("session_id", "gen", "text", "outcome", (F.col("row") == "late").alias("late"),
+                      "seq", "type", "data", F.timestamp_millis("ms").alias("ts"))
 
 
-def _interval_ms(spark: SparkSession, idle: str) -> int:
+def _interval_ms(spark, interval: str) -> int:
     """Milliseconds in an interval literal such as '1 hour'."""
-    row = spark.sql(f"SELECT unix_millis(TIMESTAMP'1970-01-01 00:00:00 UTC' + INTERVAL {idle}) AS ms").first()
+    row = spark.sql(f"SELECT unix_millis(TIMESTAMP'1970-01-01 00:00:00 UTC' + INTERVAL {interval}) AS ms").first()
     return int(row["ms"])
-
-
-__all__ = ["stream_frames", "stream_sessions", "stream_dedupe", "stream_job_status", "stream_transcripts",
-           "sessions_batch"]
