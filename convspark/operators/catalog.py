@@ -91,51 +91,104 @@ def match_model(refs: DataFrame, catalog: DataFrame, ref_col: str = "ref") -> Da
                     .when(F.col("_byname").isNotNull(), F.lit("name")).alias("match_kind"))
 
 
+CHILD_NAME = r"(?s)^(.*)_([1-9][0-9]{0,17})\z"     # a name that the base in group 1 may come to
+
+
 def unique_names(requests: DataFrame, existing: DataFrame, name_col: str = "name", order_col: str = "req_id",
                  case_insensitive: bool = False) -> DataFrame:
-    """Give each request a free directory name, in request order: its
-    base name if free, else the smallest ``base_k`` (k >= 1) not taken by an
-    existing directory or an earlier request of the same base.
-
-    Set form: the free slots of a base are ``[base] + [base_k]`` minus the
-    existing names; the i-th request of a base takes the i-th free slot.
-    Slots are generated per base (``sequence``, bounded by that base's
-    request and collision counts) and ranked with skew-safe blocked running
-    counts; no pair of requests is ever compared.  A request whose name
-    collides with a name generated for another base is flagged ``conflict``."""
+    """Give each request a free directory name, in request order (unique):
+    its base name if free, else the smallest ``base_k`` (k >= 1) that is neither
+    an existing directory nor given to an earlier request.
+
+    Set form: a base's slots are ``[base] + [base_k]`` without the existing
+    names and those that another base gets first; its i-th request takes the
+    i-th slot.  Slots are generated per base (``sequence``, bounded by that
+    base's request and collision counts) and ranked with skew-safe blocked
+    running counts; no pair of requests is ever compared.  Which base gets a
+    name that two of them can come to is settled first, see ``_contests``."""
     from convspark.operators.scoring import number_positions
 
     norm = (lambda c: F.lower(c)) if case_insensitive else (lambda c: c)
     req = requests.withColumn("_base", F.col(name_col)).withColumn("_bkey", norm(F.col(name_col)))
     ex = existing.select(norm(F.col(name_col)).alias("_ename")).distinct()
-    # existing names that belong to a requested base: b itself or b_<digits>
-    ex_b = ex.withColumn("_bkey", F.regexp_replace("_ename", r"_[0-9]+$", "")) \
-        .unionByName(ex.withColumn("_bkey", F.col("_ename"))).distinct()
-    per_base = req.groupBy("_bkey").agg(F.count(F.lit(1)).alias("_m"), F.first("_base").alias("_b0"))
-    ex_cnt = ex_b.join(per_base.select("_bkey"), "_bkey", "left_semi").groupBy("_bkey") \
-        .agg(F.count(F.lit(1)).alias("_e"))
+    # existing names that belong to a requested base: b itself or b_<k>
+    child = F.regexp_extract("_ename", CHILD_NAME, 2)
+    ex_b = ex.select("_ename", F.col("_ename").alias("_bkey"), F.lit(0).cast("long").alias("_k")).unionByName(
+        ex.filter(child != "").select("_ename", F.regexp_extract("_ename", CHILD_NAME, 1).alias("_bkey"), child.cast("long").alias("_k")))
+    per_base = req.groupBy("_bkey").agg(F.count(F.lit(1)).alias("_m"), F.min(order_col).alias("_t1"))
+    ex_b = ex_b.join(per_base.select("_bkey"), "_bkey", "left_semi")
+    lost = _contests(req, per_base, ex, ex_b, order_col)
+    more = ex_b.select("_bkey").unionByName(lost.select("_bkey")).groupBy("_bkey").agg(F.count(F.lit(1)).alias("_e"))
     # candidate slots 0..m+e per base, generated in chunks of 2^16 that are
     # spread over tasks first, so a base with a huge request count is not
     # expanded by a single task
-    span = per_base.join(ex_cnt, "_bkey", "left").select(
-        "_bkey", (F.col("_m") + F.coalesce("_e", F.lit(0))).alias("_hi"))
-    chunks = span.select("_bkey", "_hi", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                              F.shiftright("_hi", 16))).alias("_c"))
+    span = per_base.join(more, "_bkey", "left").select("_bkey", (F.col("_m") + F.coalesce("_e", F.lit(0))).alias("_hi"))
+    chunks = span.select("_bkey", "_hi", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright("_hi", 16))).alias("_c"))
     chunks = chunks.repartition("_bkey", "_c")
     slots = chunks.select("_bkey", F.explode(F.sequence(F.shiftleft("_c", 16),
-                                                        F.least(F.shiftleft(F.col("_c") + 1, 16) - 1, "_hi")))
-                          .alias("_k"))
-    slots = slots.withColumn("_cand", F.when(F.col("_k") == 0, F.col("_bkey"))
-                             .otherwise(F.concat(F.col("_bkey"), F.lit("_"), F.col("_k").cast("string"))))
-    free = slots.join(ex, slots["_cand"] == ex["_ename"], "left_anti")
+                                                        F.least(F.shiftleft(F.col("_c") + 1, 16) - 1, "_hi"))).alias("_k"))
+    free = slots.join(ex_b.select("_bkey", "_k").unionByName(lost), ["_bkey", "_k"], "left_anti")
     free = number_positions(free, "_bkey", "_k", "_slot")
     ranked = number_positions(req, "_bkey", order_col, "_slot")
     j = ranked.join(free.select("_bkey", "_slot", "_k"), ["_bkey", "_slot"])
-    assigned = j.withColumn("assigned", F.when(F.col("_k") == 0, F.col("_base"))
-                            .otherwise(F.concat(F.col("_base"), F.lit("_"), F.col("_k").cast("string"))))
-    dup = assigned.groupBy(norm(F.col("assigned")).alias("_akey")).agg(F.count(F.lit(1)).alias("_n"))
-    out = assigned.join(dup, norm(F.col("assigned")) == dup["_akey"])
-    return out.select(*requests.columns, "assigned", (F.col("_n") > 1).alias("conflict"))
+    return j.select(*requests.columns, F.when(F.col("_k") == 0, F.col("_base"))
+                    .otherwise(F.concat(F.col("_base"), F.lit("_"), F.col("_k").cast("string"))).alias("assigned"))
+
+
+def _contests(req: DataFrame, per_base: DataFrame, ex: DataFrame, ex_b: DataFrame, order_col: str) -> DataFrame:
+    """``_bkey, _k``: the slots that a base loses to another one.
+
+    A name is contested by two bases at most: the base of that name (slot 0),
+    whose first request, at time t, takes it if it is still free, and the base
+    before its ``_k``.  The latter comes to its slot k, the j-th of its slots
+    that do not exist, with its request number j - s, if it has lost s slots
+    before; it loses slot k too exactly if that request is later than t, that
+    is if j - s is above n, its requests before t.  So s follows from j and n
+    by running counts, round by round until no slot changes hands; names are
+    settled from the shorter to the longer chains ``a``, ``a_1``, ``a_1_2``,
+    as a base that lost its slot 0 has one slot less.  Only contested names
+    take part, and every round is written to the shared folder."""
+    from convspark.operators.prefix import running
+    from convspark.session import materialize
+
+    names = per_base.join(ex, F.col("_bkey") == F.col("_ename"), "left_anti").filter(F.regexp_extract("_bkey", CHILD_NAME, 2) != "")
+    names = names.select(F.col("_bkey").alias("_child"), F.col("_t1").alias("_t"), F.regexp_extract("_bkey", CHILD_NAME, 1).alias("_bkey"),
+                         F.regexp_extract("_bkey", CHILD_NAME, 2).cast("long").alias("_k"))
+    names = materialize(names.join(per_base.select("_bkey"), "_bkey", "left_semi"), "j6-names")
+    lost = names.select("_bkey", "_k").limit(0)
+    if names.isEmpty():
+        return lost
+    # n: requests of the parent before t; j: its slots up to k that do not exist
+    mine = req.join(names.select("_bkey"), "_bkey", "left_semi").select(
+        "_bkey", F.col(order_col).alias("_at"), F.lit(1).alias("_one"), F.lit(None).cast("string").alias("_child"))
+    marks = names.select("_bkey", F.col("_t").alias("_at"), F.lit(0).alias("_one"), "_child")
+    before = running(mine.unionByName(marks), ["_bkey"], "_at", sums={"_n": (F.col("_one"), False)}, block_bits=12).filter("_one = 0").select("_child", "_n")
+    there = ex_b.join(names.select("_bkey"), "_bkey", "left_semi").select("_bkey", "_k", F.lit(1).alias("_one"), F.lit(None).cast("string").alias("_child"))
+    marks = names.select("_bkey", "_k", F.lit(0).alias("_one"), "_child")
+    below = running(there.unionByName(marks), ["_bkey"], "_k", sums={"_e": (F.col("_one"), False)}, block_bits=12).filter("_one = 0").select("_child", "_e")
+    names = materialize(names.join(before, "_child").join(below, "_child").select(
+        "_bkey", "_k", "_child", "_n", (F.col("_k") + 1 - F.col("_e")).alias("_j")), "j6-names")
+
+    done = names.select(F.col("_child").alias("_name")).limit(0)          # bases whose slot 0 went to their parent
+    open_ = names
+    while not open_.isEmpty():
+        # parents that no longer wait for a contest about their own name
+        waits = open_.select(F.col("_child").alias("_w"))
+        now = open_.join(waits, F.col("_bkey") == F.col("_w"), "left_anti")
+        now = now.join(done.withColumnRenamed("_name", "_d"), F.col("_bkey") == F.col("_d"), "left")
+        now = now.withColumn("_j", F.col("_j") - F.col("_d").isNotNull().cast("long")).drop("_d").withColumn("_lost", F.lit(0))
+        while True:
+            was = running(now, ["_bkey"], "_k", sums={"_s": (F.col("_lost"), False)}, block_bits=12)
+            now = materialize(was.withColumn("_next", (F.col("_j") - F.col("_s") > F.col("_n")).cast("int")), "j6-round")
+            settled = now.filter("_next <> _lost").isEmpty()
+            now = now.withColumn("_lost", F.col("_next")).drop("_next", "_s")
+            if settled:
+                break
+        lost = materialize(lost.unionByName(now.filter("_lost = 1").select("_bkey", "_k")).unionByName(
+            now.filter("_lost = 0").select(F.col("_child").alias("_bkey"), F.lit(0).cast("long").alias("_k"))), "j6-lost")
+        done = materialize(done.unionByName(now.filter("_lost = 0").select(F.col("_child").alias("_name"))), "j6-done")
+        open_ = materialize(open_.join(now.select("_child"), "_child", "left_anti"), "j6-open")
+    return lost
 
 
 def recent_distinct(uses: DataFrame, n: int = 12, key: str = "user_id", value: str = "host",

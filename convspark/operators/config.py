@@ -56,28 +56,45 @@ def merge_config(updates: DataFrame, scope: str = "session_id") -> DataFrame:
     return allx.groupBy(scope, "key").agg(F.max_by("value", F.struct("layer", "seq")).alias("value"))
 
 
-def request_config(events: DataFrame, scope: str = "session_id", block_bits: int = 16) -> DataFrame:
-    """J3 at request time: the generation config each inference request
-    runs with = defaults, then the session's updates made before the
-    request (later wins), then the request's own override, which is not
+def request_config(events: DataFrame, scope: str = "session_id", block_bits: int | None = None) -> DataFrame:
+    """J3 at request time: the generation config each inference request runs
+    with = defaults, then the session's updates made before the request (later
+    wins, extra keys kept), then the request's own overrides, which are not
     kept for later requests.
 
     ``events``: ``(scope, seq, kind, key, value)`` with kind ``update`` or
-    ``request`` (a request row may carry one override key/value).  One
-    skew-safe blocked running scan (see :mod:`convspark.operators.prefix`)
-    carries the latest update of every default key; output has one row per
-    request and one column per key."""
+    ``request``.  A request is one row per override, all with its ``seq``, or
+    one row without a key; a key that one event sets twice takes the greater
+    value.  Output: ``scope, seq, config`` (a map of all keys), a row per
+    request.
+
+    As-of join in long form: a request asks for each key that its session ever
+    sets (as many rows as its config has keys), and a skew-safe running scan
+    per session and key (:mod:`convspark.operators.prefix`) brings the latest
+    update before it, so a hot session is spread over its blocks."""
     from convspark.operators.prefix import running
 
-    keys = list(GENERATION_DEFAULTS)
-    upd = F.col("kind") == "update"
-    maxes = {f"_u_{k}": (F.when(upd & (F.col("key") == k), F.struct(F.col("seq").alias("s"), F.col("value").alias("v"))),
-                         True) for k in keys}
-    x = running(events, [scope], "seq", maxes=maxes, block_bits=block_bits).filter(F.col("kind") == "request")
-    req = F.col("kind") == "request"
-    cols = [F.coalesce(F.when(req & (F.col("key") == k), F.col("value")), F.col(f"_u_{k}.v"),
-                       F.lit(json_text(v))).alias(k) for k, v in GENERATION_DEFAULTS.items()]
-    return x.select(scope, "seq", *cols)
+    upd = events.filter((F.col("kind") == "update") & F.col("key").isNotNull()) \
+        .groupBy(scope, "seq", "key").agg(F.max("value").alias("value"))
+    req = events.filter(F.col("kind") == "request")
+    asked = req.select(scope, "seq").distinct()
+    keys = upd.select(scope, "key").distinct().groupBy(scope).agg(F.collect_list("key").alias("_keys"))
+    wanted = asked.join(keys, scope).select(scope, "seq", F.explode("_keys").alias("key"), F.lit(None).cast("string").alias("value"),
+                                            F.lit(True).alias("_asks"))
+    both = upd.withColumn("_asks", F.lit(False)).unionByName(wanted)
+    both = both.withColumn("_at", 2 * F.col("seq") + F.col("_asks").cast("int"))
+    # a struct that orders by seq; the value may be null
+    latest = F.when(~F.col("_asks"), F.struct(F.col("seq").alias("s"), F.col("value").alias("v")))
+    known = running(both, [scope, "key"], "_at", maxes={"_u": (latest, True)}, block_bits=block_bits)
+    known = known.filter(F.col("_asks") & F.col("_u").isNotNull()).select(scope, "seq", "key", F.col("_u.v").alias("value"), F.lit(1).alias("layer"))
+    own = req.select(scope, "seq", "key", "value", F.lit(2).alias("layer"))     # without a key: only that the request is there
+    layers = known.unionByName(own).repartition(scope, "seq")
+    top = layers.groupBy(scope, "seq", "key").agg(F.max(F.struct("layer", "value")).alias("_v"))
+    entry = F.when(F.col("key").isNotNull(), F.struct("key", F.col("_v.value").alias("value")))
+    config = top.groupBy(scope, "seq").agg(F.map_from_entries(F.collect_list(entry)).alias("_set"))
+    defaults = F.create_map(*[F.lit(x) for k, v in GENERATION_DEFAULTS.items() for x in (k, json_text(v))])
+    unset = F.map_filter(defaults, lambda k, v: ~F.map_contains_key("_set", k))
+    return config.select(scope, "seq", F.map_concat(unset, F.col("_set")).alias("config"))
 
 
 def fill_defaults(config: DataFrame, scope: str = "file_id") -> DataFrame:

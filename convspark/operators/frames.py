@@ -73,7 +73,7 @@ def route_frames(msgs: DataFrame, raw_col: str = "raw") -> DataFrame:
     return x.withColumn("route", route).withColumn("error", err).drop("_j", "_jt", "_tn", "_tt")
 
 
-def segment_generations(frames: DataFrame, block_bits: int = 16) -> DataFrame:
+def segment_generations(frames: DataFrame, block_bits: int | None = None) -> DataFrame:
     """Generation number of each frame = running count of ``start``;
     frames after a ``done``/``error`` and before the next ``start`` get null.
 

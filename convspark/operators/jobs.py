@@ -1,11 +1,14 @@
 """Training-job bookkeeping: latest status per request (A7) and the train
-lock as an interval join (J7)."""
+lock (J7)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convspark.operators.prefix import running
+
+FOREVER = 1 << 61         # microseconds: the end of a job that still runs
 TRAIN_IN_PROGRESS = "Training in progress. Inference is temporarily unavailable."  # fixed value
 
 
@@ -63,23 +66,43 @@ def job_status(events: DataFrame) -> DataFrame:
           .alias(name) for name in extra], *[F.col("_st.ts").alias("started_at") for _ in started])
 
 
-def blocked_requests(requests: DataFrame, jobs: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def job_islands(jobs: DataFrame) -> DataFrame:
+    """The times in which some job runs, as disjoint intervals ``start, end``
+    (microseconds): overlapping and touching jobs are merged.  ``jobs``:
+    ``(start, end)``; a job without an end still runs, one without a start or
+    that ends before it starts holds nothing.
+
+    Gaps and islands by two blocked running maxima (see
+    :mod:`convspark.operators.prefix`), so no task sorts all jobs."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    spans = jobs.select(us("start").alias("start"), F.coalesce(us("end"), F.lit(FOREVER)).alias("end")).filter("start < end")
+    spans = spans.groupBy("start").agg(F.max("end").alias("end")).withColumn("_g", F.lit(0))
+    x = running(spans, ["_g"], "start", maxes={"_before": (F.col("end"), False)})
+    opens = F.col("_before").isNull() | (F.col("_before") < F.col("start"))
+    x = running(x, ["_g"], "start", maxes={"_island": (F.when(opens, F.col("start")), True)})
+    return x.groupBy(F.col("_island").alias("start")).agg(F.max("end").alias("end"))
+
+
+def blocked_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     """Requests that arrive while a training job holds the lock
     (``start <= ts < end``): inference is refused, a train request waits.
 
-    A range join made an equi-join: each job is exploded into the time
-    buckets it overlaps (bounded by its duration), requests join on their
-    bucket, then the exact interval test; a semi join marks the blocked
-    ones, so a request never multiplies."""
-    b = F.lit(bucket_seconds)
-    sec = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    jb = jobs.select("start", "end", F.explode(F.sequence(F.floor(sec("start") / b), F.floor(
-        (sec("end") - 1) / b))).alias("_bucket"))
-    r = requests.withColumn("_bucket", F.floor(sec("ts") / b))
-    hit = r.join(jb, (r["_bucket"] == jb["_bucket"]) & (r["ts"] >= jb["start"]) & (r["ts"] < jb["end"]), "left_semi")
-    flagged = hit.select("req_id", F.lit(True).alias("_blocked"))
-    out = r.drop("_bucket").join(flagged, "req_id", "left")
-    blocked = F.coalesce(F.col("_blocked"), F.lit(False))
-    return out.select(*requests.columns, blocked.alias("blocked"),
+    Overlapping jobs are merged first.  Of disjoint intervals only the last
+    one that starts before a request can hold it: a running maximum over both
+    tables in order of time finds it, so a request meets one candidate however
+    many jobs run.  A request without a time is never blocked."""
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    names = requests.columns
+    asked = requests.select(F.struct(*names).alias("_r"), ts.alias("_t"), F.lit(None).cast("long").alias("_s"), F.lit(None).cast("long").alias("_e"))
+    held = job_islands(jobs).select(F.lit(None).cast(asked.schema["_r"].dataType).alias("_r"), F.col("start").alias("_t"),
+                                    F.col("start").alias("_s"), F.col("end").alias("_e"))
+    # at one time an interval comes before the requests that it holds
+    both = asked.filter("_t is not null").unionByName(held).withColumn("_at", 2 * F.col("_t") + F.col("_s").isNull().cast("int")) \
+        .withColumn("_g", F.lit(0))
+    last = running(both, ["_g"], "_at", maxes={"_last": (F.when(F.col("_s").isNotNull(), F.struct("_s", "_e")), True)})
+    found = last.filter(F.col("_s").isNull()).select("_r.*", F.coalesce(F.col("_t") < F.col("_last._e"), F.lit(False)).alias("blocked"))
+    out = found.unionByName(asked.filter("_t is null").select("_r.*", F.lit(False).alias("blocked")))
+    blocked = F.col("blocked")
+    return out.select(*names, "blocked",
                       F.when(blocked & (F.col("kind") == "inference"), F.lit("rejected"))
                       .when(blocked, F.lit("waiting")).otherwise(F.lit("run")).alias("outcome"))

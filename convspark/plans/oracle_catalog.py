@@ -93,7 +93,7 @@ free AS (SELECT bk, k, row_number() OVER (PARTITION BY bk ORDER BY k) AS slot FR
          WHERE c NOT IN (SELECT ename FROM ex)),
 asg AS (SELECT r.req_id, r.name, CASE WHEN f.k = 0 THEN r.name ELSE r.name || '_' || f.k END AS assigned
         FROM req r JOIN free f ON f.bk = r.bk AND f.slot = r.slot)
-SELECT req_id, name, assigned, count(*) OVER (PARTITION BY {key('assigned')}) > 1 AS conflict FROM asg"""
+SELECT req_id, name, assigned FROM asg"""
 
 
 ORACLE["j6_unique_names"] = unique_sql(san_py("raw"), "name", False)
@@ -200,10 +200,15 @@ _EFF = ",\n  ".join(
     f"coalesce(CASE WHEN key = '{k}' THEN value END, u_{k}, '{json.dumps(v)}') AS {k}"
     for k, v in DEFAULT_CONFIG["generation_defaults"].items())
 
+_NOTES = ",\n  ".join(
+    f"last_value(CASE WHEN kind = 'update' AND seq % 10 = 3 AND seq % 3 = {i} THEN 'n' || value END IGNORE NULLS) OVER w AS note_{i}"
+    for i in range(3))
+
 ORACLE["j3_request_config"] = f"""WITH {CONFIG},
 ev AS (SELECT c.*, CASE WHEN e.event_type = 'click' THEN 'request' ELSE 'update' END AS kind
        FROM cfgu c JOIN events e ON e.event_id = c.seq),
-r AS (SELECT *, {_LAST}
+r AS (SELECT *, {_LAST}, {_NOTES}
       FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT session_id, seq, {_EFF}
+SELECT session_id, seq, {_EFF},
+  concat_ws(';', 'note_0=' || note_0, 'note_1=' || note_1, 'note_2=' || note_2, CASE WHEN seq % 4 = 0 THEN 'stop=s' || value END) AS extras
 FROM r WHERE kind = 'request'"""

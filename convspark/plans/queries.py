@@ -507,10 +507,19 @@ def q_merge(spark, sf):
 @register("j3_request_config")
 def q_request_config(spark, sf):
     c = FX.f_config(spark, sf)
-    ev = c.select("session_id", "seq",
-                  F.when(F.col("event_type") == "click", F.lit("request")).otherwise(F.lit("update")).alias("kind"),
-                  "key", "value")
-    return CF.request_config(ev)
+    req, seq = F.col("event_type") == "click", F.col("seq")
+    kind = F.when(req, F.lit("request")).otherwise(F.lit("update")).alias("kind")
+    ev = c.select("session_id", "seq", kind, "key", "value")
+    # keys that no default has: set by some updates, or for one request
+    notes = c.filter(~req & (seq % 10 == 3)).select("session_id", "seq", kind, F.concat(F.lit("note_"), (seq % 3).cast("string")).alias("key"),
+                                                    F.concat(F.lit("n"), "value").alias("value"))
+    stops = c.filter(req & (seq % 4 == 0)).select("session_id", "seq", kind, F.lit("stop").alias("key"),
+                                                  F.concat(F.lit("s"), "value").alias("value"))
+    conf = CF.request_config(ev.unionByName(notes).unionByName(stops))
+    known = list(CF.GENERATION_DEFAULTS)
+    extra = F.array_sort(F.map_entries(F.map_filter("config", lambda k, v: ~k.isin(known))))
+    return conf.select("session_id", "seq", *[F.col("config")[k].alias(k) for k in known],
+                       F.array_join(F.transform(extra, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("extras"))
 
 
 @register("j4_fill_defaults")

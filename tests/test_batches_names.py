@@ -3,6 +3,8 @@ sequential brute force."""
 
 import hashlib
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from convspark.functions.names import repo_model_name, sanitize_dir_name_js, sanitize_name, sanitize_request_id
@@ -39,9 +41,36 @@ def test_unique_names_matches_sequential(spark):
     existing = ["a", "a_2", "b_1", "c_7"]
     rdf = spark.createDataFrame(reqs, "req_id long, name string")
     edf = spark.createDataFrame([(e,) for e in existing], "name string")
-    got = {r.req_id: (r.assigned, r.conflict) for r in unique_names(rdf, edf).collect()}
-    assert {k: v[0] for k, v in got.items()} == {0: 'a_1', 1: 'b', 2: 'a_3', 3: 'a_4', 4: 'c', 5: 'b_2', 6: 'a_5', 7: 'd'}
-    assert not any(v[1] for v in got.values())
+    got = {r.req_id: r.assigned for r in unique_names(rdf, edf).collect()}
+    assert got == {0: 'a_1', 1: 'b', 2: 'a_3', 3: 'a_4', 4: 'c', 5: 'b_2', 6: 'a_5', 7: 'd'}
+
+
+def sequential_names(reqs, existing, fold=lambda x: x):
+    taken, out = {fold(e) for e in existing}, {}
+    for i, name in sorted(reqs):
+        k, full = 0, name
+        while fold(full) in taken:
+            k += 1
+            full = f"{name}_{k}"
+        taken.add(fold(full))
+        out[i] = full
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_names_shared_by_several_bases(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    pool = ["a"] * 6 + ["a_1"] * 3 + ["a_2", "a_3", "a_4", "a_5", "a_1_1", "a_1_2", "a_1_1_1", "a_02", "b", "b", "b", "b_1", "b_2", "b_2_1", "A_2", "_1", "", "c_9"]
+    reqs = [(i * 3 + 7, r.choice(pool)) for i in range(120)]
+    existing = r.sample(["a", "a_2", "a_7", "a_1_1", "b_1", "b_3", "A_4", "c"], 4)
+    rdf = spark.createDataFrame(reqs, "req_id long, name string").repartition(4)
+    edf = spark.createDataFrame([(e,) for e in existing], "name string")
+    fold = str.lower if seed == 3 else (lambda x: x)
+    got = {x.req_id: x.assigned for x in unique_names(rdf, edf, case_insensitive=seed == 3).collect()}
+    assert got == sequential_names(reqs, existing, fold)
+    assert len(set(map(fold, got.values()))) == len(got)
 
 
 def test_sanitizers(spark):

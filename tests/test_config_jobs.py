@@ -90,3 +90,53 @@ def test_settings_keep_booleans_and_texts(spark):
     assert (r.do_sample.kind, r.do_sample.bool, r.note.kind, r.note.text) == ("bool", False, "str", "abc")
     assert {x.key: x.setting.kind for x in last_settings(df).collect()} == \
         {"do_sample": "bool", "note": "str", "top_p": "float"}
+
+
+def test_request_config_any_key(spark):
+    """Every key, several overrides a request; equal to a plain replay."""
+    import random
+
+    from convspark.operators.config import GENERATION_DEFAULTS, json_text, request_config
+
+    r = random.Random(4)
+    keys = ["temperature", "top_k", "stop", "note", "x.y"]
+    rows, want = [], {}
+    base = {k: json_text(v) for k, v in GENERATION_DEFAULTS.items()}
+    for sid in (1, 2):
+        conf = dict(base)
+        for seq in range(120):
+            if r.random() < 0.6:
+                k, v = r.choice(keys), str(r.randint(0, 99))
+                rows.append((sid, seq, "update", k, v))
+                conf[k] = v
+            else:
+                own = {k: str(r.randint(100, 199)) for k in r.sample(keys, r.choice([0, 0, 1, 2, 3]))}
+                rows += [(sid, seq, "request", k, v) for k, v in own.items()] or [(sid, seq, "request", None, None)]
+                want[sid, seq] = {**conf, **own}
+    rows.append((3, 5, "request", "only", "here"))       # a session without updates
+    want[3, 5] = {**base, "only": "here"}
+    ev = spark.createDataFrame(rows, "session_id long, seq long, kind string, key string, value string")
+    for bits in (None, 4):
+        assert {(x.session_id, x.seq): x.config for x in request_config(ev, block_bits=bits).collect()} == want
+
+
+def test_islands_and_blocked_requests_match_all_pairs(spark):
+    import random
+
+    from convspark.operators.jobs import job_islands
+
+    r = random.Random(8)
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    spans = [(s, s + r.choice([0, 1, 5, 30, 200])) for s in (r.randint(0, 3000) for _ in range(60))] + [(10, 15), (15, 20), (10, 12)]
+    jobs = [(at(a), at(b)) for a, b in spans] + [(at(5000), None), (None, at(1)), (at(7), at(3))]
+    reqs = [(i, at(m), r.choice(["inference", "train"])) for i, m in enumerate([r.randint(0, 3400) for _ in range(200)] + [10, 15, 20, 5000, 9999])]
+    reqs.append((999, None, "train"))
+    jdf = spark.createDataFrame(jobs, "start timestamp_ntz, end timestamp_ntz")
+    rdf = spark.createDataFrame(reqs, "req_id long, ts timestamp_ntz, kind string")
+    held = lambda t: t is not None and any(a is not None and a <= t and (b is None or t < b) for a, b in jobs)
+    got = {x.req_id: x.blocked for x in blocked_requests(rdf, jdf).collect()}
+    assert got == {i: held(t) for i, t, _ in reqs}
+    islands = sorted((x.start, x.end) for x in job_islands(jdf).collect())
+    assert all(a[1] < b[0] for a, b in zip(islands, islands[1:]))
+    assert rdf.count() == len(got)
