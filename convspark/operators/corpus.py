@@ -2,7 +2,8 @@
 
 Input lines are ``(request_id, line_no, value)``; ``value`` is one physical
 line of a JSONL (or plain-text) dataset.  P1-P3 are column expressions
-only: a corpus of any size is processed in one scan without a shuffle.  P4
+(Python rereads only the JSON that the strict reader refuses): a corpus of any
+size is processed in one scan without a shuffle.  P4
 and J2 add one per-request aggregate each, joined back.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convspark.functions.json import exact_json, number_text
 from convspark.functions.text import PY_WS_CLASS, py_float_repr, py_is_blank, py_strip
 
 PY_WS_RE = PY_WS_CLASS + "+"
@@ -23,25 +25,12 @@ TARGET_KEYS = ("target", "response", "assistant", "output", "answer", "completio
 
 def _parse_stage(df: DataFrame, stripped: str, out: str) -> DataFrame:
     """Add ``out``: the variant of the line when it is exactly one JSON
-    object, else null.
-
-    ``try_parse_json`` tolerates trailing text (``{"a":1} x``) where a strict
-    JSON reader does not; wrapping the line in an array with a sentinel second
-    element turns trailing text into a parse error or a visible extra element.
-    Each stage is its own column so the parse runs once per line.
-    """
-    s = F.col(stripped)
-    # the sentinel is the line's own 64-bit hash: cheap, and a line cannot
-    # carry the hash of itself as a trailing element
-    df = df.withColumn("_sent", F.xxhash64(s))
-    df = df.withColumn("_wrap", F.try_parse_json(F.concat(F.lit("["), s, F.lit(","), F.col("_sent").cast("string"),
-                                                          F.lit("]"))))
-    first = F.try_variant_get("_wrap", "$[0]", "variant")
-    exact = (F.try_variant_get("_wrap", "$[1]", "bigint") == F.col("_sent")) & \
-        F.try_variant_get("_wrap", "$[2]", "variant").isNull()
-    df = df.withColumn("_first", F.when(exact, first))
-    df = df.withColumn(out, F.when(F.startswith(F.schema_of_variant("_first"), F.lit("OBJECT")), F.col("_first")))
-    return df.drop("_sent", "_wrap", "_first")
+    object as Python reads it, else null; and ``parse_note``: why the strict
+    reader refused a line that Python takes (``duplicate_key``,
+    ``non_finite``).  Each stage is its own column so the parse runs once per
+    line."""
+    df = exact_json(df, stripped, "_first", "parse_note")
+    return df.withColumn(out, F.when(F.startswith(F.schema_of_variant("_first"), F.lit("OBJECT")), F.col("_first"))).drop("_first")
 
 
 def render_scalar(v: Column, t: Column, stripped: Column) -> Column:
@@ -66,8 +55,9 @@ def render_scalar(v: Column, t: Column, stripped: Column) -> Column:
 _NUMERIC = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "BOOLEAN")
 
 
-def _pick_stage(df: DataFrame, obj: str, keys, out: str) -> DataFrame:
-    """Add ``out`` = first key of ``keys`` with a usable value.
+def _pick_stage(df: DataFrame, obj: str, keys, out: str, stripped: str = "_strip") -> DataFrame:
+    """Add ``out`` = first key of ``keys`` with a usable value (P1); a NaN or
+    Infinity is rendered as Python prints it.
 
     Per key only the value, its type name and its stripped text are staged
     (three ``withColumns`` for all keys); the first usable key is chosen as
@@ -89,6 +79,7 @@ def _pick_stage(df: DataFrame, obj: str, keys, out: str) -> DataFrame:
                                                     F.col(f"_st{i}").alias("s"))) for i in range(n)])
     df = df.withColumn("_pick", first)
     df = df.withColumn(out, render_scalar(F.col("_pick.v"), F.col("_pick.t"), F.col("_pick.s")))
+    df = df.withColumn(out, F.when(F.col("parse_note").isNotNull(), number_text(F.col(out), F.col(stripped))).otherwise(F.col(out)))
     return df.drop("_pick", *[f"_{p}{i}" for i in range(n) for p in ("v", "t", "st")])
 
 
@@ -97,12 +88,14 @@ def pick_first(df: DataFrame, keys=INPUT_KEYS, value_col: str = "value", out: st
     (stripped) or a number/bool (rendered as Python prints it)."""
     df = df.withColumn("_strip", py_strip(value_col))
     df = _parse_stage(df, "_strip", "_obj")
-    return _pick_stage(df, "_obj", keys, out).drop("_strip", "_obj")
+    return _pick_stage(df, "_obj", keys, out).drop("_strip", "_obj", "parse_note")
 
 
 def pick_source_target(df: DataFrame, value_col: str = "value") -> DataFrame:
     """P1 for both sides at once: ``source`` (prompt keys) and ``target``
-    (answer keys) from one strip and one parse of each line."""
+    (answer keys) from one strip and one parse of each line; and
+    ``parse_note``, null unless the line is JSON that only Python reads
+    (``duplicate_key``, ``non_finite``)."""
     df = df.withColumn("_strip", py_strip(value_col))
     df = _parse_stage(df, "_strip", "_obj")
     df = _pick_stage(df, "_obj", INPUT_KEYS, "source")
@@ -114,12 +107,13 @@ def drop_blank(df: DataFrame, value_col: str = "value") -> DataFrame:
     return df.filter(~py_is_blank(value_col))
 
 
-def to_samples(lines: DataFrame, value_col: str = "value") -> DataFrame:
+def to_samples(lines: DataFrame, value_col: str = "value", notes: bool = False) -> DataFrame:
     """P2 (+P3): one training text per non-blank line.
 
     source + newline + target when both exist; else target; else source; else
     the stripped line itself (plain text, non-object JSON, no known key).
-    Returns ``(request_id, sample_id, text)`` with ``sample_id = line_no``.
+    Returns ``(request_id, sample_id, text)`` with ``sample_id = line_no``, and
+    with ``notes`` the line's ``parse_note`` (see ``pick_source_target``).
     """
     df = lines.withColumn("_strip", py_strip(value_col)).filter(F.length("_strip") > 0)
     df = _parse_stage(df, "_strip", "_obj")
@@ -132,7 +126,7 @@ def to_samples(lines: DataFrame, value_col: str = "value") -> DataFrame:
         .when(src.isNotNull(), src)
         .otherwise(F.col("_strip"))
     )
-    return df.select("request_id", F.col("line_no").alias("sample_id"), text.alias("text"))
+    return df.select("request_id", F.col("line_no").alias("sample_id"), text.alias("text"), *(["parse_note"] if notes else []))
 
 
 def check_non_empty(requests: DataFrame, samples: DataFrame) -> DataFrame:

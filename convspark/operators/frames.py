@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convspark.functions.json import exact_json, number_text
+from convspark.functions.text import py_strip
 from convspark.operators.prefix import running
 
 # Message types a client may send; any other type is ignored.
@@ -27,18 +29,11 @@ FLUSH_TYPES = ("done", "train_done")
 END_TYPES = ("done", "error")
 
 
-def parse_exact_json(df: DataFrame, text_col: str, out: str) -> DataFrame:
+def parse_exact_json(df: DataFrame, text_col: str, out: str, note: str | None = None) -> DataFrame:
     """``out`` = variant of ``text_col`` when the whole (stripped) text is one
-    JSON value, else null (trailing text is rejected, unlike try_parse_json)."""
-    from convspark.functions.text import py_strip
-
-    s = py_strip(text_col)
-    df = df.withColumn("_s", s).withColumn("_sent", F.xxhash64("_s"))
-    df = df.withColumn("_w", F.try_parse_json(F.concat(F.lit("["), F.col("_s"), F.lit(","),
-                                                       F.col("_sent").cast("string"), F.lit("]"))))
-    exact = (F.try_variant_get("_w", "$[1]", "bigint") == F.col("_sent")) & \
-        F.try_variant_get("_w", "$[2]", "variant").isNull()
-    return df.withColumn(out, F.when(exact, F.try_variant_get("_w", "$[0]", "variant"))).drop("_s", "_sent", "_w")
+    JSON value as Python reads it, else null (see ``functions.json``)."""
+    x = df.withColumn("_s", py_strip(text_col))
+    return exact_json(x, "_s", out, note).drop("_s")
 
 
 def route_frames(msgs: DataFrame, raw_col: str = "raw") -> DataFrame:
@@ -48,7 +43,7 @@ def route_frames(msgs: DataFrame, raw_col: str = "raw") -> DataFrame:
     Python-style attribute error when it is JSON but not an object);
     otherwise its ``type`` (key missing => ``inference``); a known type is
     ``dispatch``, anything else ``ignored`` (the dispatcher has no else)."""
-    x = parse_exact_json(msgs, raw_col, "_j")
+    x = exact_json(msgs.withColumn("_stripped", py_strip(raw_col)), "_stripped", "_j", "_note")
     x = x.withColumn("_jt", F.schema_of_variant("_j"))
     is_obj = F.startswith(F.col("_jt"), F.lit("OBJECT"))
     x = x.withColumn("_tn", F.when(is_obj, F.try_variant_get("_j", "$.type", "variant")))
@@ -56,9 +51,14 @@ def route_frames(msgs: DataFrame, raw_col: str = "raw") -> DataFrame:
     msg_type = (F.when(~is_obj | F.col("_j").isNull(), F.lit(None).cast("string"))
                 .when(F.col("_tn").isNull(), F.lit("inference"))
                 .when(F.col("_tt") == "STRING", F.try_variant_get("_tn", "$", "string")))
+    # a type that is no string, such as NaN, is none of the known ones
+    msg_type = F.when(~F.coalesce(number_text(msg_type, F.col("_stripped")) != msg_type, F.lit(False)), msg_type)
     x = x.withColumn("msg_type", msg_type)
     jt = F.col("_jt")
-    pytype = (F.when(F.startswith(jt, F.lit("ARRAY")), F.lit("list"))
+    # a NaN or Infinity alone comes as a string with that note; so does one as the type
+    odd = F.coalesce(F.col("_note").contains("non_finite"), F.lit(False))
+    pytype = (F.when((jt == "STRING") & odd, F.lit("float"))
+              .when(F.startswith(jt, F.lit("ARRAY")), F.lit("list"))
               .when(jt == "STRING", F.lit("str"))
               .when(jt == "BOOLEAN", F.lit("bool"))
               .when(jt == "VOID", F.lit("NoneType"))
@@ -70,7 +70,7 @@ def route_frames(msgs: DataFrame, raw_col: str = "raw") -> DataFrame:
              .otherwise(F.lit("ignored")))
     err = (F.when(F.col("_j").isNull(), F.lit("Invalid JSON"))
            .when(~is_obj, F.concat(F.lit("'"), pytype, F.lit("' object has no attribute 'get'"))))
-    return x.withColumn("route", route).withColumn("error", err).drop("_j", "_jt", "_tn", "_tt")
+    return x.withColumn("route", route).withColumn("error", err).drop("_j", "_jt", "_tn", "_tt", "_note", "_stripped")
 
 
 def segment_generations(frames: DataFrame, block_bits: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convspark.functions.json import exact_json
 from convspark.functions.text import PY_WS_CLASS, col_of, py_strip, remove_ws
 
 # Chat-prompt tags, the fallback template and image markers.
@@ -31,11 +32,12 @@ def parse_tagged_prompt(raw) -> tuple[Column, Column]:
 
 
 def normalize_prompts(df: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """A JSON object prompt gives its ``system``/``user`` (default '');
-    any other prompt is a tagged string parsed by P5.  The object form is
+    """A JSON object prompt (the whole text, as Python reads it) gives its
+    ``system``/``user`` (default ''); any other prompt is a tagged string
+    parsed by P5.  The object form is
     not stripped here (the user text is stripped by P10 later)."""
-    v = F.try_parse_json(F.col(raw_col))
-    x = df.withColumn("_v", F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v))
+    x = exact_json(df.withColumn("_s", py_strip(raw_col)), "_s", "_v").drop("_s")
+    x = x.withColumn("_v", F.when(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")), F.col("_v")))
     ts, tu = parse_tagged_prompt(F.col(raw_col))
     is_obj = F.col("_v").isNotNull()
     return (x.withColumn("system", F.when(is_obj, F.coalesce(F.try_variant_get("_v", "$.system", "string"), F.lit("")))

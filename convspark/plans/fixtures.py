@@ -55,6 +55,32 @@ def f_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     return conv.unionByName(docs).unionByName(bench).unionByName(raw).unionByName(plain).unionByName(blank)
 
 
+def f_odd_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines ``(request_id, line_no, value)`` that Python's JSON reader takes
+    and a strict one does not (repeated keys, NaN, Infinity), or the other way
+    round (text behind the value); one per customer."""
+    c = t(spark, sf, "customer")
+    k = F.col("c_custkey")
+    key = k.cast("string")
+    value = (F.when(k % 5 == 0, F.concat(F.lit('{"prompt": "first", "prompt": " p'), key, F.lit('", "answer": "a"}')))
+             .when(k % 5 == 1, F.concat(F.lit('{"question": NaN, "answer": "a'), key, F.lit('"}')))
+             .when(k % 5 == 2, F.lit('{"input": {"a": 1, "a": [-Infinity]}, "text": Infinity, "label": 0.5}'))
+             .when(k % 5 == 3, F.concat(F.lit('{"text": "'), key, F.lit('"} tail')))
+             .otherwise(F.concat(F.lit('{"text": "plain '), key, F.lit('"}'))))
+    return c.select(F.lit("odd").alias("request_id"), k.alias("line_no"), value.alias("value"))
+
+
+def f_odd_msgs(spark: SparkSession, sf: str) -> DataFrame:
+    """Client messages of the same kinds, one per customer."""
+    c = t(spark, sf, "customer")
+    k = F.col("c_custkey")
+    raw = (F.when(k % 5 == 0, F.lit('{"type": "ping", "type": "config"}'))
+           .when(k % 5 == 1, F.lit('{"type": "config", "data": {"temperature": NaN}}'))
+           .when(k % 5 == 2, F.lit(" -Infinity ")).when(k % 5 == 3, F.lit('{"type": "ping"} {}'))
+           .otherwise(F.lit('{"type": NaN}')))
+    return c.select(F.col("c_nationkey").cast("long").alias("session_id"), k.alias("seq"), raw.alias("raw"))
+
+
 def f_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Training requests ``(request_id, dataset, resume)`` from orders: status
     F carries inline text, O a blank text, P none; even keys ask to resume."""

@@ -131,6 +131,26 @@ SELECT request_id, line_no, src AS source, tgt AS target FROM jparts"""
 ORACLE["p2_to_samples"] = f"""WITH {SAMPLES}
 SELECT request_id, sample_id, text FROM samples"""
 
+ODD = """odd AS (
+  SELECT c_custkey AS k,
+    CASE c_custkey % 5 WHEN 0 THEN 'p' || c_custkey WHEN 1 THEN 'nan' WHEN 2 THEN 'inf' WHEN 4 THEN 'plain ' || c_custkey END AS source,
+    CASE c_custkey % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'a' || c_custkey WHEN 2 THEN '0.5' END AS target,
+    CASE c_custkey % 5 WHEN 0 THEN 'duplicate_key' WHEN 1 THEN 'non_finite' WHEN 2 THEN 'duplicate_key,non_finite' END AS parse_note
+  FROM customer)"""
+
+ORACLE["p1_odd_json"] = f"""WITH {ODD} SELECT k AS line_no, source, target, parse_note FROM odd"""
+
+ORACLE["p2_odd_json"] = f"""WITH {ODD}
+SELECT 'odd' AS request_id, k AS sample_id,
+  CASE WHEN k % 5 = 3 THEN '{{"text": "' || k || '"}} tail' ELSE concat_ws(chr(10), source, target) END AS text, parse_note
+FROM odd"""
+
+ORACLE["p12_odd_json"] = """SELECT c_nationkey::BIGINT AS session_id, c_custkey AS seq,
+  CASE WHEN c_custkey % 5 IN (0, 1) THEN 'dispatch' WHEN c_custkey % 5 = 4 THEN 'ignored' ELSE 'dead_letter' END AS route,
+  CASE WHEN c_custkey % 5 IN (0, 1) THEN 'config' WHEN c_custkey % 5 = 4 THEN NULL END AS msg_type,
+  CASE c_custkey % 5 WHEN 2 THEN '''float'' object has no attribute ''get''' WHEN 3 THEN 'Invalid JSON' END AS error
+FROM customer"""
+
 ORACLE["p4_check_non_empty"] = f"""WITH {SAMPLES},
 req AS (SELECT DISTINCT request_id FROM jparts),
 cnt AS (SELECT request_id, count(*) AS n FROM samples GROUP BY request_id)

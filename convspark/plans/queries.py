@@ -66,6 +66,21 @@ def q_to_samples(spark, sf):
     return samples(spark, sf)
 
 
+@register("p1_odd_json")
+def q_odd_json(spark, sf):
+    return C.pick_source_target(FX.f_odd_lines(spark, sf)).select("line_no", "source", "target", "parse_note")
+
+
+@register("p2_odd_json")
+def q_odd_samples(spark, sf):
+    return C.to_samples(FX.f_odd_lines(spark, sf), notes=True)
+
+
+@register("p12_odd_json")
+def q_odd_route(spark, sf):
+    return FR.route_frames(FX.f_odd_msgs(spark, sf)).select("session_id", "seq", "route", "msg_type", "error")
+
+
 @register("p4_check_non_empty")
 def q_check_non_empty(spark, sf):
     lines = FX.f_jsonl(spark, sf)
@@ -598,6 +613,10 @@ def frames_json(spark, sf):
     f = FX.f_frames(spark, sf)
     corrupt = (f["session_id"] % 9 == 4) & (f["seq"] % 1048576 == 5) & (f["type"] == "token")
     js = F.to_json(F.struct("type", "data", "tokens_in", "total_tokens", "message"))
+    # frames that Python's reader takes and a strict one does not: the last type counts, a NaN is a number
+    odd = F.substr(js, F.lit(2))
+    js = (F.when(f["session_id"] % 9 == 5, F.concat(F.lit('{"type":"ack",'), odd))
+          .when(f["session_id"] % 9 == 6, F.concat(F.lit('{"score":NaN,'), odd)).otherwise(js))
     return f.select("session_id", "seq", F.when(corrupt, F.concat(F.lit("{"), js)).otherwise(js).alias("frame"))
 
 
