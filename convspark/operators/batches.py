@@ -24,12 +24,24 @@ IGNORE_INDEX = -100  # fixed value: label of padded positions
 TOKEN_RE = r"[^ \n\t]+"  # our word tokenizer (the model tokenizer is not built)
 
 
+SALTS = 64    # parts that the rows of one request are dealt into when it meets its settings
+
+
+def attach(df: DataFrame, settings: DataFrame, key: str = "request_id", spread: str = "sample_id", salts: int = SALTS) -> DataFrame:
+    """``df`` with the columns of ``settings`` (one row per ``key``): an inner
+    join on the key and a salt from ``spread``, so that rows of a key that most
+    of them share are not shuffled to one task.  ``settings`` is repeated once
+    per salt; where it is small, the planner broadcasts it."""
+    dealt = settings.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(dealt, [key, "_salt"]).drop("_salt")
+
+
 def shuffle_key(seed, epoch: Column, sample_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), sample_id.cast("string")))
 
 
 def shuffle_corpus(samples: DataFrame, seed: int = 42, epoch_col: str | None = None,
-                   bucket_hex_digits: int = 4) -> DataFrame:
+                   bucket_hex_digits: int = 4, needed: str | None = None) -> DataFrame:
     """O1: exact rank of ``md5(seed:epoch:sample_id)`` within each
     ``(request_id, epoch)``; ties (none in practice) break on sample_id.
 
@@ -41,17 +53,25 @@ def shuffle_corpus(samples: DataFrame, seed: int = 42, epoch_col: str | None = N
     bucket window share the ``(request_id, epoch, bucket)`` partitioning, so
     the big side is shuffled once.  A request holding a third of all rows is
     spread over 16^d buckets.
+
+    ``needed`` names a column with the number of leading ranks of the row's
+    request and epoch that are wanted (null: all).  Buckets that begin behind
+    it are dropped before anything is ranked; the few rows behind it in the
+    last bucket kept are still returned.
     """
     ep = F.col(epoch_col) if epoch_col else F.lit(0)
     keyed = (samples.withColumn("epoch", ep.cast("int"))
              .withColumn("_k", shuffle_key(seed, F.col("epoch"), F.col("sample_id")))
              .withColumn("_b", F.substr(F.col("_k"), F.lit(1), F.lit(bucket_hex_digits))))
-    counts = keyed.groupBy("request_id", "epoch", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    most = [F.max(needed).alias("_most")] if needed else []
+    counts = keyed.groupBy("request_id", "epoch", "_b").agg(F.count(F.lit(1)).alias("_n"), *most)
     offsets = counts.withColumn(
         "_off",
         F.coalesce(F.sum("_n").over(Window.partitionBy("request_id", "epoch").orderBy("_b")
                                     .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     ).drop("_n")
+    if needed:
+        offsets = offsets.filter(F.col("_most").isNull() | (F.col("_off") < F.col("_most"))).drop("_most")
     w = Window.partitionBy("request_id", "epoch", "_b").orderBy("_k", "sample_id")
     return (keyed.join(offsets, ["request_id", "epoch", "_b"])
             .withColumn("rank", (F.col("_off") + F.row_number().over(w)).cast("long"))
@@ -65,24 +85,29 @@ def make_batches(ranked: DataFrame, batch_size) -> DataFrame:
     return ranked.withColumn("batch", F.floor((F.col("rank") - 1) / bs).cast("long"))
 
 
-def repeat_epochs(samples: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
+def repeat_epochs(samples: DataFrame, plan: DataFrame, seed: int = 42, carry=()) -> DataFrame:
     """O3: cycle shuffled epochs until ``max_steps`` batches, cutting the last
     epoch mid-way.  ``plan``: ``(request_id, max_steps, batch_size)``.
 
     Output: ``(request_id, epoch, batch, step, sample_id, rank)``; ``step`` is
     1-based and global over epochs.  Each sample is repeated once per needed
-    epoch by ``explode(sequence(..))`` (a generator, not a join).
+    epoch by ``explode(sequence(..))`` (a generator, not a join); of the last
+    epoch only the buckets that the run still reaches are ranked.  ``carry``
+    names further columns of ``plan`` to keep.
     """
     counts = samples.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
     sized = (plan.join(counts, "request_id")
              .withColumn("_bpe", F.ceil(F.col("_n") / F.col("batch_size")).cast("long"))
              .withColumn("_epochs", F.ceil(F.col("max_steps") / F.col("_bpe")).cast("int")))
-    expanded = (samples.join(sized.select("request_id", "batch_size", "max_steps", "_bpe", "_epochs"), "request_id")
+    own = {"batch_size", "max_steps"} - set(carry)
+    expanded = (attach(samples, sized.select("request_id", "_bpe", "_epochs", *sorted({"batch_size", "max_steps"} | set(carry))))
                 .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1))))
-    ranked = make_batches(shuffle_corpus(expanded, seed, "epoch"), "batch_size")
+    left = (F.col("max_steps") - F.col("epoch") * F.col("_bpe")) * F.col("batch_size")
+    expanded = expanded.withColumn("_needed", F.when(F.col("epoch") == F.col("_epochs") - 1, left))
+    ranked = make_batches(shuffle_corpus(expanded, seed, "epoch", needed="_needed"), "batch_size")
     return (ranked.withColumn("step", (F.col("epoch") * F.col("_bpe") + F.col("batch") + 1).cast("long"))
             .filter(F.col("step") <= F.col("max_steps"))
-            .drop("_bpe", "_epochs", "batch_size", "max_steps"))
+            .drop("_bpe", "_epochs", "_needed", *own))
 
 
 def tokenize(df: DataFrame, text_col: str = "text", max_len=None) -> DataFrame:
@@ -153,27 +178,47 @@ def clamp_train_config(cfg: DataFrame) -> DataFrame:
     )
 
 
-def step_plan(steps: DataFrame, cfg: DataFrame) -> DataFrame:
-    """Per step of a run, whether the optimiser updates, whether the loss
-    is reported and whether a checkpoint is written.
+def step_flags(step: Column, is_last: Column, save: Column | None = None) -> dict[str, Column]:
+    """W8 of one step, from the config's columns beside it: ``update``,
+    ``update_id``, ``log`` and ``checkpoint`` (``save``: the save switch)."""
+    ga = F.col("gradient_accumulation")
+    due = (F.col("save_every") > 0) & (step % F.greatest(F.col("save_every"), F.lit(1)) == 0)
+    return {"update": (step % ga == 0) | is_last, "update_id": F.ceil(step / ga).cast("long"),
+            "log": step % F.col("log_every") == 0, "checkpoint": due if save is None else due & save}
+
 
-    ``steps``: ``(request_id, step)``; ``cfg``: clamped config per request.
-    An update happens every ``gradient_accumulation`` steps, plus one final
-    flush after the last step when a remainder is left.
+def step_plan(steps: DataFrame, cfg: DataFrame, clock: int = 0) -> DataFrame:
+    """Per step of a run, whether the optimiser updates, whether the loss
+    is reported and which checkpoints are written.
+
+    ``steps``: ``(request_id, step)``; ``cfg``: clamped config per request,
+    with ``save_checkpoint`` (the save switch, default on) and
+    ``checkpoint_name`` (default: none given) where it has them.  An update
+    happens every ``gradient_accumulation`` steps, plus one final flush after
+    the last step when a remainder is left.  ``checkpoint_name`` is the name of
+    the step's periodic checkpoint, ``final_checkpoint`` (on the last step) that
+    of the one written after the run, both null if none is written; ``clock``
+    stands for the time in names that are not given.
     """
-    ga = F.col("gradient_accumulation")
+    from convspark.functions.names import UNSAFE_RUN, sanitize_name, sanitize_request_id
+
+    save = F.coalesce(F.col("save_checkpoint"), F.lit(True)) if "save_checkpoint" in cfg.columns else F.lit(True)
+    given = F.col("checkpoint_name") if "checkpoint_name" in cfg.columns else F.lit(None).cast("string")
+    run = F.concat(F.lit("train_"), sanitize_request_id(F.col("request_id").cast("string")), F.lit(f"_{clock}"))
+    cfg = cfg.select("request_id", "gradient_accumulation", "log_every", "save_every", save.alias("_save"),
+                     sanitize_name(F.coalesce(given, F.lit("")), "train", clock).alias("_name"), given.alias("_given"), run.alias("_run"))
+    # a name that is not usable gives train_<request>_<time>
+    final = F.when(F.length(F.btrim(F.regexp_replace(F.coalesce("_given", F.lit("")), UNSAFE_RUN, "-"), F.lit("-."))) > 0,
+                   F.col("_name")).otherwise(F.col("_run"))
     # the run's last step comes from a map-side-combined aggregate joined
     # back, not a window, so one huge run is never sorted in a single task
     last = steps.groupBy("request_id").agg(F.max("step").alias("_last"))
-    return (steps.join(cfg.select("request_id", "gradient_accumulation", "log_every", "save_every"), "request_id")
-            .join(last, "request_id")
-            .withColumn("is_last", F.col("step") == F.col("_last"))
-            .withColumn("update", (F.col("step") % ga == 0) | F.col("is_last"))
-            .withColumn("update_id", F.ceil(F.col("step") / ga).cast("long"))
-            .withColumn("log", F.col("step") % F.col("log_every") == 0)
-            .withColumn("checkpoint", (F.col("save_every") > 0)
-                        & (F.col("step") % F.greatest(F.col("save_every"), F.lit(1)) == 0))
-            .drop("gradient_accumulation", "log_every", "save_every", "_last"))
+    x = attach(steps, cfg.join(last, "request_id"), spread="step").withColumn("is_last", F.col("step") == F.col("_last"))
+    x = x.withColumns(step_flags(F.col("step"), F.col("is_last"), F.col("_save")))
+    return x.withColumns({
+        "checkpoint_name": F.when(F.col("checkpoint"), F.concat(F.col("_name"), F.lit("_step_"), F.col("step").cast("string"))),
+        "final_checkpoint": F.when(F.col("is_last") & F.col("_save"), final),
+    }).drop("gradient_accumulation", "log_every", "save_every", "_last", "_save", "_name", "_given", "_run")
 
 
 def latest_loss(losses: DataFrame, cfg: DataFrame) -> DataFrame:

@@ -58,8 +58,10 @@ def auto_select(catalog: DataFrame) -> DataFrame:
 
 def fleet_counts(sessions: DataFrame, catalog: DataFrame) -> DataFrame:
     """A5: live sessions and models, overall and per catalogue source.
-    Two global aggregates combined as scalar subqueries (no join)."""
-    n_sessions = sessions.agg(F.count_distinct("session_id")).scalar()
+    ``sessions``: frames ``(session_id, type, ..)``; an ``ack`` has ended its
+    session.  Two aggregates, the sessions' as a scalar subquery (no join)."""
+    ended = sessions.groupBy("session_id").agg(F.bool_or(F.col("type") == "ack").alias("_ended"))
+    n_sessions = ended.agg(F.count_if(~F.col("_ended"))).scalar()
     return catalog.agg(
         F.count(F.lit(1)).alias("n_models"),
         F.count_if(F.col("source") == "models").alias("n_models_dir"),

@@ -162,7 +162,10 @@ def resolve_sessions(hellos: DataFrame, sessions: DataFrame) -> DataFrame:
     """A hello naming a live session resumes it; a missing or unknown id
     starts a new session (its id derived from the hello's own key)."""
     live = sessions.select(F.col("session_id").alias("_sid")).distinct()
-    j = hellos.join(live, hellos["session_id"] == live["_sid"], "left")
+    # hellos without an id would all be shuffled to one task by the join
+    named, new = hellos.filter(F.col("session_id").isNotNull()), hellos.filter(F.col("session_id").isNull())
+    j = named.join(live, named["session_id"] == live["_sid"], "left")
+    j = j.unionByName(new.withColumn("_sid", F.lit(None).cast(live.schema["_sid"].dataType)))
     return j.select(
         *[F.col(c) for c in hellos.columns if c != "session_id"],
         F.col("session_id").alias("requested"),

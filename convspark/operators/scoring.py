@@ -69,12 +69,16 @@ def greedy_token(logits: DataFrame, keys=("seq_id",)) -> DataFrame:
         F.max_by("token_id", F.struct(F.col("logit"), (-F.col("token_id")).alias("neg"))).alias("token_id"))
 
 
+def _uniform(key: str, seed: int):
+    """A number in [0, 1) from ``md5(seed:key)``."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return F.conv(F.substr(h, F.lit(1), F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
 def draw_token(probs: DataFrame, seed: int, keys=("seq_id",)) -> DataFrame:
     """One multinomial draw per step by inverse CDF over token-id order,
     with a uniform from ``md5(seed:seq_id)`` so reruns repeat the draw."""
-    k0 = keys[0]
-    u = (F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(k0).cast("string"))), F.lit(1), F.lit(8)),
-                16, 10).cast("double") / F.lit(4294967296.0))
+    u = _uniform(keys[0], seed)
     w = _by_seq(keys).orderBy("token_id").rowsBetween(Window.unboundedPreceding, 0)
     x = probs.withColumn("_cum", F.sum("prob").over(w)).withColumn("_u", u)
     hit = x.filter(F.col("_cum") > F.col("_u"))
@@ -85,6 +89,40 @@ def draw_token(probs: DataFrame, seed: int, keys=("seq_id",)) -> DataFrame:
         *keys, F.coalesce(F.col("token_id"), F.col("_last")).alias("token_id"))
 
 
+def draw_tokens(logits: DataFrame, temperature: float, k: int, p: float, seed: int, keys=("seq_id",)) -> DataFrame:
+    """W2-W4 and W6 in one pass: the token drawn per step.
+
+    One grouped aggregate gathers a step's logits (as many as its vocabulary
+    has) in falling order; top-k, nucleus and draw are scans of that array, so
+    the logits are shuffled once.  Same rules as ``sample_filter`` and
+    ``draw_token``: ties at k survive, the mass before a token is compared with
+    ``p``, and the draw runs over token ids in rising order."""
+    entry = F.struct((-F.col("logit")).alias("neg"), F.col("token_id"))
+    x = logits.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    kept = F.col("_all")
+    if k and k > 0:
+        least = F.get(F.col("_all"), F.least(F.lit(k), F.size("_all")) - 1)["neg"]
+        kept = F.filter("_all", lambda e: e["neg"] <= least)
+    x = x.withColumn("_kept", kept)
+    top = F.get(F.col("_kept"), F.lit(0))["neg"]
+    x = x.withColumn("_kept", F.transform("_kept", lambda e: F.struct(
+        e["token_id"].alias("token_id"), F.exp((top - e["neg"]) / F.lit(float(temperature))).alias("e"))))
+    mass = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, e: acc + e["e"])
+    if p is not None and p < 1.0:
+        x = x.withColumn("_mass", mass("_kept"))
+        scan = F.aggregate("_kept", F.struct(F.lit(0.0).alias("before"), F.lit(0).alias("n")), lambda acc, e: F.struct(
+            (acc["before"] + e["e"] / F.col("_mass")).alias("before"),
+            (acc["n"] + F.when(F.round(acc["before"], 9) <= F.lit(float(p)), 1).otherwise(0)).alias("n")))
+        x = x.withColumn("_kept", F.slice("_kept", F.lit(1), scan["n"]))
+    x = x.withColumn("_kept", F.array_sort("_kept")).withColumn("_mass", mass("_kept")).withColumn("_u", _uniform(keys[0], seed))
+    none = F.lit(None).cast("int")
+    scan = F.aggregate("_kept", F.struct(F.lit(0.0).alias("cum"), none.alias("hit")), lambda acc, e: F.struct(
+        (acc["cum"] + e["e"] / F.col("_mass")).alias("cum"),
+        F.coalesce(acc["hit"], F.when(acc["cum"] + e["e"] / F.col("_mass") > F.col("_u"), e["token_id"].cast("int"))).alias("hit")))
+    # mass lost to rounding at the very end: fall back to the last token
+    return x.select(*keys, F.coalesce(scan["hit"], F.element_at("_kept", -1)["token_id"]).alias("token_id"))
+
+
 def number_positions(rows: DataFrame, seq: str, order: str, out: str = "pos", block_bits: int = 12) -> DataFrame:
     """Dense 0-based position of each row inside its sequence, ordered by
     ``order`` (unique), computed with a skew-safe blocked running count."""
@@ -108,16 +146,7 @@ def cross_entropy(logits: DataFrame, positions: DataFrame, seq: str = "seq") ->
     vec_id, label)``.  Log-sum-exp is max-shifted per position; positions
     whose next label is -100 are left out; a sequence shorter than 2 is an
     error row (``status``)."""
-    # max over one position's vocabulary (a window) then the grouped sum:
-    # both keyed by vec_id, so one exchange
-    lse = (logits.withColumn("_m", F.max("logit").over(Window.partitionBy("vec_id")))
-           .groupBy("vec_id").agg((F.first("_m") + F.log(F.sum(F.exp(F.col("logit") - F.col("_m"))))).alias("_lse")))
-    shifted = shift_labels(positions, seq, "pos", "label").filter(
-        F.col("target").isNotNull() & (F.col("target") != IGNORE_INDEX))
-    picked = shifted.join(lse, "vec_id").join(
-        logits.select("vec_id", F.col("token_id").alias("target"), F.col("logit").alias("_lt")),
-        ["vec_id", "target"])
-    nll = picked.select(seq, (F.col("_lse") - F.col("_lt")).alias("nll"))
+    nll = _position_losses(logits, positions, seq)
     per_seq = nll.groupBy(seq).agg(F.count(F.lit(1)).alias("n_scored"), F.sum("nll").alias("loss_sum"))
     lengths = positions.groupBy(seq).agg(F.count(F.lit(1)).alias("length"))
     return lengths.join(per_seq, seq, "left").select(
@@ -125,3 +154,25 @@ def cross_entropy(logits: DataFrame, positions: DataFrame, seq: str = "seq") ->
         F.when(F.col("length") >= 2, F.col("loss_sum") / F.col("n_scored")).alias("loss"),
         F.when(F.col("length") < 2, F.lit("Not enough tokens to compute training loss"))
         .otherwise(F.lit("ok")).alias("status"))
+
+
+def _position_losses(logits: DataFrame, positions: DataFrame, seq: str) -> DataFrame:
+    """``seq, nll`` of every scored position.  The targets join the logits by
+    position, and the window and the grouping keep that partitioning: the
+    logits are shuffled once."""
+    shifted = shift_labels(positions, seq, "pos", "label").filter(F.col("target").isNotNull() & (F.col("target") != IGNORE_INDEX))
+    wanted = shifted.select(F.col(seq).alias("_seq"), "vec_id", "target")
+    x = logits.join(wanted, "vec_id").withColumn("_m", F.max("logit").over(Window.partitionBy("vec_id")))
+    x = x.groupBy("vec_id").agg(F.first("_seq").alias("_seq"), (F.first("_m") + F.log(F.sum(F.exp(F.col("logit") - F.col("_m"))))).alias("_lse"),
+                                F.max(F.when(F.col("token_id") == F.col("target"), F.col("logit"))).alias("_lt"))
+    return x.filter(F.col("_lt").isNotNull()).select(F.col("_seq").alias(seq), (F.col("_lse") - F.col("_lt")).alias("nll"))
+
+
+def batch_loss(losses: DataFrame, batch) -> DataFrame:
+    """A8 of whole batches: the mean over all scored positions of a batch's
+    sequences (not the mean of their means).  ``losses``: rows of
+    ``cross_entropy``; ``batch``: the sequence's batch, a column expression.  A
+    batch without a scored position has no loss."""
+    total = F.col("loss") * F.col("n_scored")
+    return losses.groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("n_seqs"), F.sum("n_scored").alias("n_scored"),
+                                                    (F.sum(total) / F.sum(F.when(total.isNotNull(), F.col("n_scored")))).alias("loss"))

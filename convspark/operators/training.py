@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convspark.operators.batches import pad_batch, repeat_epochs, step_plan, tokenize
+from convspark.operators.batches import attach, pad_batch, repeat_epochs, step_flags, tokenize
 
 
 def training_batches(samples: DataFrame, cfg: DataFrame, seed: int = 42, pad_id: int = 0,
@@ -31,22 +31,19 @@ def training_batches(samples: DataFrame, cfg: DataFrame, seed: int = 42, pad_id:
     the rows).  With ``stage=True`` they are written once to the shared
     checkpoint folder and read back, so at scale the parse runs once and a
     lost executor does not recompute it."""
-    toks = (tokenize(samples.join(cfg.select("request_id", "max_seq_length"), "request_id"), max_len="max_seq_length")
+    toks = (tokenize(attach(samples, cfg.select("request_id", "max_seq_length")), max_len="max_seq_length")
             .select("request_id", "sample_id", "token_ids"))
     if stage:
         from convspark.session import materialize
 
         toks = materialize(toks, "train-tokens")
-    steps = repeat_epochs(toks, cfg.select("request_id", "max_steps", "batch_size"), seed=seed)
+    flags = ("max_steps", "gradient_accumulation", "log_every", "save_every")
+    steps = repeat_epochs(toks, cfg.select("request_id", "batch_size", *flags), seed=seed, carry=flags)
     padded = pad_batch(steps, ("request_id", "step"), pad_id=pad_id)
     # a request with samples runs exactly steps 1..max_steps (the epochs are
-    # sized to reach it), so the step flags come from the config alone and
-    # the batches are not computed a second time
-    present = samples.select("request_id").distinct()
-    run = cfg.join(present, "request_id").select(
-        "request_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("max_steps").cast("long"))).alias("step"))
-    flags = step_plan(run, cfg)
-    return padded.join(flags, ["request_id", "step"]).select(
+    # sized to reach it), so the step flags follow from the row's own columns
+    padded = padded.withColumn("is_last", F.col("step") == F.col("max_steps"))
+    return padded.withColumns(step_flags(F.col("step"), F.col("is_last"))).select(
         "request_id", "epoch", "step", "sample_id", "input_ids", "attention_mask", "labels",
         "update", "update_id", "log", "checkpoint", "is_last")
 

@@ -233,7 +233,11 @@ SELECT s.request_id, s.step::BIGINT AS step, s.step = c.max_steps AS is_last,
   (s.step % c.gradient_accumulation = 0) OR s.step = c.max_steps AS update,
   ceil(s.step / c.gradient_accumulation)::BIGINT AS update_id,
   s.step % c.log_every = 0 AS log,
-  c.save_every > 0 AND s.step % greatest(c.save_every, 1) = 0 AS checkpoint
+  c.save_every > 0 AND s.step % greatest(c.save_every, 1) = 0 AND s.request_id % 5 <> 0 AS checkpoint,
+  CASE WHEN c.save_every > 0 AND s.step % greatest(c.save_every, 1) = 0 AND s.request_id % 5 <> 0
+       THEN CASE WHEN s.request_id % 3 = 0 THEN 'my-model-' || s.request_id ELSE 'train_0' END || '_step_' || s.step END AS checkpoint_name,
+  CASE WHEN s.step = c.max_steps AND s.request_id % 5 <> 0
+       THEN CASE WHEN s.request_id % 3 = 0 THEN 'my-model-' || s.request_id ELSE 'train_' || s.request_id || '_0' END END AS final_checkpoint
 FROM steps s JOIN cfg c USING (request_id)"""
 
 ORACLE["w9_latest_loss"] = f"""WITH {TRAIN_CFG}, {F_TRAIN}

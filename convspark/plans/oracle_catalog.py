@@ -33,7 +33,8 @@ SELECT arg_min(path, (source <> 'models', name)) AS path, count(*) AS n_models F
 ORACLE["a5_fleet_counts"] = f"""WITH {FILES}
 SELECT count(*) AS n_models, count(*) FILTER (WHERE source = 'models') AS n_models_dir,
   count(*) FILTER (WHERE source = 'var') AS n_var_dir,
-  (SELECT count(DISTINCT user_id) FROM events) AS n_sessions
+  (SELECT count(*) FROM (SELECT user_id, event_id % 8 FROM events GROUP BY ALL
+                         HAVING count(*) FILTER (WHERE event_type = 'error') = 0)) AS n_sessions
 FROM cat"""
 
 ORACLE["a6_count_parameters"] = """SELECT sum(p_size::BIGINT * 64)::BIGINT AS n_params,
@@ -170,7 +171,13 @@ SELECT session_id,
   max_by(value::DOUBLE, seq) FILTER (WHERE key = 'temperature') AS temperature,
   max_by(value::DOUBLE, seq) FILTER (WHERE key = 'top_p') AS top_p,
   max_by(value::DOUBLE, seq) FILTER (WHERE key = 'top_k') AS top_k,
-  max_by(value::DOUBLE, seq) FILTER (WHERE key = 'repetition_penalty') AS repetition_penalty
+  max_by(value::DOUBLE, seq) FILTER (WHERE key = 'repetition_penalty') AS repetition_penalty,
+  CASE WHEN count(*) FILTER (WHERE key = 'temperature') > 0 THEN 'float' END AS temperature_kind,
+  CASE WHEN count(*) FILTER (WHERE key = 'top_k') > 0 THEN 'int' END AS top_k_kind,
+  CASE WHEN count(*) FILTER (WHERE seq % 4 = 1) > 0 THEN 'bool' END AS do_sample_kind,
+  max_by(seq % 8 = 1, seq) FILTER (WHERE seq % 4 = 1) AS do_sample,
+  CASE WHEN count(*) FILTER (WHERE seq % 4 = 2) > 0 THEN 'str' END AS note_kind,
+  'v' || max(seq) FILTER (WHERE seq % 4 = 2) AS note
 FROM cfgu GROUP BY session_id"""
 
 ORACLE["a7_job_status"] = f"""WITH {F_TRAIN}

@@ -64,12 +64,14 @@ seg AS (
 )"""
 
 ORACLE["t4_chunk_text"] = f"""WITH {PAIRS},
-c AS (SELECT conv_id, turn, regexp_extract_all(atext, '{CHUNK_TAIL_RE}') AS chunks FROM pairs)
+c AS (SELECT conv_id, turn, regexp_extract_all(atext || CASE WHEN conv_id % 2 = 0 THEN ' tail' || conv_id ELSE '' END, '{CHUNK_TAIL_RE}') AS chunks
+      FROM pairs)
 SELECT conv_id AS session_id, turn, k::INTEGER AS k, chunk
 FROM (SELECT conv_id, turn, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) AS k FROM c)"""
 
 ORACLE["t4_chunk_text_budget"] = f"""WITH {PAIRS},
-c AS (SELECT conv_id, turn, regexp_extract_all(atext, '{CHUNK_RE}') AS chunks FROM pairs)
+c AS (SELECT conv_id, turn, regexp_extract_all(atext || CASE WHEN conv_id % 2 = 0 THEN ' tail' || conv_id ELSE '' END, '{CHUNK_RE}') AS chunks
+      FROM pairs)
 SELECT conv_id AS session_id, turn, k::INTEGER AS k, chunk
 FROM (SELECT conv_id, turn, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) AS k FROM c)"""
 
@@ -157,8 +159,11 @@ replayed AS (
   WHERE p.type IN ('start', 'token', 'done') AND p.seq > coalesce(m.last_ack, -1) AND p.seq <= m.last_flush
 )"""
 
-ORACLE["x3_replay"] = f"""WITH {PROTO}
-SELECT session_id, seq, type FROM replayed"""
+ORACLE["x3_replay"] = f"""WITH {PROTO},
+p AS (SELECT *, type = 'token' AND seq % 7 = 0 AS err FROM proto)
+SELECT p.session_id, seq, CASE WHEN err THEN 'error' ELSE type END AS type, CASE WHEN err THEN 'job-' || seq END AS request_id
+FROM p JOIN marks m USING (session_id)
+WHERE type IN ('start', 'token', 'done') AND NOT (err AND seq % 2 = 1) AND seq > coalesce(last_ack, -1) AND seq <= last_flush"""
 
 ORACLE["x4_dedupe_frames"] = f"""WITH {PROTO}
 SELECT DISTINCT id, session_id, seq, type FROM (

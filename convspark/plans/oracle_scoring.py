@@ -84,3 +84,8 @@ SELECT l.seq, l.length, coalesce(p.n, 0) AS n_scored,
   round(CASE WHEN l.length >= 2 THEN p.ls / p.n END, 6) AS loss,
   CASE WHEN l.length < 2 THEN 'Not enough tokens to compute training loss' ELSE 'ok' END AS status
 FROM lens l LEFT JOIN per p USING (seq)"""
+
+_PER = ORACLE["a8_cross_entropy"][:ORACLE["a8_cross_entropy"].index("SELECT l.seq, l.length")]
+ORACLE["a8_batch_loss"] = _PER + """SELECT floor(l.seq / 4)::BIGINT AS batch, count(*) AS n_seqs, sum(coalesce(p.n, 0))::BIGINT AS n_scored,
+  round(sum(CASE WHEN l.length >= 2 THEN p.ls END) / sum(CASE WHEN l.length >= 2 THEN p.n END), 6) AS loss
+FROM lens l LEFT JOIN per p USING (seq) GROUP BY 1"""

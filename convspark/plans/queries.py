@@ -158,6 +158,9 @@ def q_clamp(spark, sf):
 @register("w8_step_plan")
 def q_step_plan(spark, sf):
     cfg = B.clamp_train_config(FX.f_train_cfg(spark, sf))
+    k = F.col("request_id")
+    cfg = cfg.withColumn("save_checkpoint", k % 5 != 0).withColumn(
+        "checkpoint_name", F.when(k % 3 == 0, F.concat(F.lit(" my model "), k.cast("string"), F.lit("/"))).when(k % 3 == 1, F.lit(" .-")))
     steps = cfg.select("request_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("max_steps"))).alias("step"))
     return B.step_plan(steps, cfg)
 
@@ -172,15 +175,22 @@ def q_latest_loss(spark, sf):
 # ------------------------------------------------------------------ frames
 
 
+def _answers(spark, sf):
+    """Answers, every other one with a tail that no separator ends."""
+    k = F.col("conv_id")
+    return FX.conv_pairs(spark, sf).select(k.alias("session_id"), "turn", F.when(
+        k % 2 == 0, F.concat("assistant", F.lit(" tail"), k.cast("string"))).otherwise(F.col("assistant")).alias("assistant"))
+
+
 @register("t4_chunk_text")
 def q_chunk_text(spark, sf):
-    p = FX.conv_pairs(spark, sf).select(F.col("conv_id").alias("session_id"), "turn", "assistant")
+    p = _answers(spark, sf)
     return CH.chunk_text(p, "assistant", flush_tail=True).select("session_id", "turn", "k", "chunk")
 
 
 @register("t4_chunk_text_budget")
 def q_chunk_text_budget(spark, sf):
-    p = FX.conv_pairs(spark, sf).select(F.col("conv_id").alias("session_id"), "turn", "assistant")
+    p = _answers(spark, sf)
     return CH.chunk_text(p, "assistant", flush_tail=False).select("session_id", "turn", "k", "chunk")
 
 
@@ -239,7 +249,10 @@ def q_route(spark, sf):
 
 @register("x3_replay")
 def q_replay(spark, sf):
-    return FR.replay(FX.f_proto(spark, sf)).select("session_id", "seq", "type")
+    # some token frames are errors instead, every other one of a training run
+    p, err = FX.f_proto(spark, sf), (F.col("type") == "token") & (F.col("seq") % 7 == 0)
+    p = p.withColumn("request_id", F.when(err & (F.col("seq") % 2 == 0), F.concat(F.lit("job-"), F.col("seq").cast("string"))))
+    return FR.replay(p.withColumn("type", F.when(err, F.lit("error")).otherwise(F.col("type")))).select("session_id", "seq", "type", "request_id")
 
 
 @register("x4_dedupe_frames")
@@ -296,7 +309,7 @@ def q_greedy(spark, sf):
 
 @register("w6_draw_token")
 def q_draw(spark, sf):
-    return SC.draw_token(SC.sample_filter(FX.f_logits(spark, sf), 0.7, 50, 0.95), seed=42)
+    return SC.draw_tokens(FX.f_logits(spark, sf), 0.7, 50, 0.95, seed=42)
 
 
 @register("w7_shift_labels")
@@ -311,6 +324,13 @@ def q_xent(spark, sf):
     return out.withColumn("loss", F.round("loss", 6))
 
 
+@register("a8_batch_loss")
+def q_batch_loss(spark, sf):
+    logits = FX.f_logits(spark, sf).select(F.col("seq_id").alias("vec_id"), "token_id", "logit")
+    out = SC.batch_loss(SC.cross_entropy(logits, FX.f_seq_positions(spark, sf)), F.floor(F.col("seq") / 4))
+    return out.withColumn("loss", F.round("loss", 6))
+
+
 # ------------------------------------------------------------------ prompts
 
 
@@ -449,7 +469,7 @@ def q_auto_select(spark, sf):
 
 @register("a5_fleet_counts")
 def q_fleet(spark, sf):
-    return CA.fleet_counts(FX.f_proto(spark, sf), catalog(spark, sf))
+    return CA.fleet_counts(FX.f_conns(spark, sf), catalog(spark, sf))
 
 
 @register("a6_count_parameters")
@@ -545,8 +565,14 @@ def q_fill(spark, sf):
 @register("a9_config_pivot")
 def q_pivot(spark, sf):
     keys = list(FX.CONFIG_KEYS.values())
-    x = CF.config_pivot(FX.f_config(spark, sf), keys)
-    return x.select("session_id", *[F.col(f"{k}.num").alias(k) for k in keys])
+    c, seq = FX.f_config(spark, sf), F.col("seq")
+    rest = ["session_id", "seq", "event_type"]
+    flags = c.filter(seq % 4 == 1).select(*rest, F.lit("do_sample").alias("key"), F.when(seq % 8 == 1, F.lit("True")).otherwise(F.lit("FALSE")).alias("value"))
+    notes = c.filter(seq % 4 == 2).select(*rest, F.lit("note").alias("key"), F.concat(F.lit("v"), seq.cast("string")).alias("value"))
+    x = CF.config_pivot(c.unionByName(flags).unionByName(notes), [*keys, "do_sample", "note"])
+    return x.select("session_id", *[F.col(f"{k}.num").alias(k) for k in keys], F.col("temperature.kind").alias("temperature_kind"),
+                    F.col("top_k.kind").alias("top_k_kind"), F.col("do_sample.kind").alias("do_sample_kind"),
+                    F.col("do_sample.bool").alias("do_sample"), F.col("note.kind").alias("note_kind"), F.col("note.text").alias("note"))
 
 
 def _job_columns(status):
