@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convspark.operators.prefix import running
+from convspark.operators.prefix import block_of, running
 
 FOREVER = 1 << 61         # microseconds: the end of a job that still runs
 TRAIN_IN_PROGRESS = "Training in progress. Inference is temporarily unavailable."  # fixed value
@@ -77,9 +77,10 @@ def job_islands(jobs: DataFrame) -> DataFrame:
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     spans = jobs.select(us("start").alias("start"), F.coalesce(us("end"), F.lit(FOREVER)).alias("end")).filter("start < end")
     spans = spans.groupBy("start").agg(F.max("end").alias("end")).withColumn("_g", F.lit(0))
-    x = running(spans, ["_g"], "start", maxes={"_before": (F.col("end"), False)})
+    block = block_of(spans, "start")
+    x = running(spans, ["_g"], "start", block=block, maxes={"_before": (F.col("end"), False)})
     opens = F.col("_before").isNull() | (F.col("_before") < F.col("start"))
-    x = running(x, ["_g"], "start", maxes={"_island": (F.when(opens, F.col("start")), True)})
+    x = running(x, ["_g"], "start", block=block, maxes={"_island": (F.when(opens, F.col("start")), True)})
     return x.groupBy(F.col("_island").alias("start")).agg(F.max("end").alias("end"))
 
 

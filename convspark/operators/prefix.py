@@ -47,7 +47,7 @@ def block_of(df: DataFrame, seq: str) -> Column:
 
 
 def running(df: DataFrame, keys, seq: str, maxes: dict | None = None, sums: dict | None = None,
-            block_bits: int | None = None) -> DataFrame:
+            block_bits: int | None = None, block: Column | None = None) -> DataFrame:
     """Add running aggregates per ``keys`` ordered by ``seq`` (unique per key,
     not null).
 
@@ -55,10 +55,13 @@ def running(df: DataFrame, keys, seq: str, maxes: dict | None = None, sums: dict
     (nulls ignored, null if none) or the sum (0 if none) of ``expr`` over the
     rows with ``seq`` <= (inclusive) or < this row's ``seq``.  ``block_bits``
     cuts blocks by a shift of ``seq`` instead of its quantiles, which saves
-    their pass over the table; only for a dense ``seq``."""
+    their pass over the table; only for a dense ``seq``.  ``block`` is a result
+    of ``block_of`` to use again."""
     keys = list(keys)
     maxes, sums = maxes or {}, sums or {}
-    x = df.withColumn("_blk", block_of(df, seq) if block_bits is None else F.shiftright(F.col(seq).cast("long"), block_bits))
+    if block is None:
+        block = block_of(df, seq) if block_bits is None else F.shiftright(F.col(seq).cast("long"), block_bits)
+    x = df.withColumn("_blk", block)
     for n, (e, _) in {**maxes, **sums}.items():
         x = x.withColumn(f"_v_{n}", e)
     per_block = x.groupBy(*keys, "_blk").agg(

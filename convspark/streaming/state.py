@@ -12,65 +12,75 @@ from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor
 
 
-def _slice(pdfs) -> pd.DataFrame:
-    """A key's rows of one micro-batch, by ``seq``."""
+def _slice(pdfs) -> dict[str, np.ndarray]:
+    """The columns of a key's rows in one micro-batch, by ``seq``."""
     parts = list(pdfs)
-    whole = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    return whole.sort_values("seq", kind="stable", ignore_index=True)
+    whole = {c: np.concatenate([p[c].to_numpy() for p in parts]) if len(parts) > 1 else parts[0][c].to_numpy() for c in parts[0].columns}
+    order = np.argsort(whole["seq"], kind="stable")
+    return {c: v[order] for c, v in whole.items()}
 
 
 class SessionTable(StatefulProcessor):
-    """One value (counters), one map (the session's settings) and a mark
-    that the session is closed; the mark may have a time to live."""
+    """One value (counters, and whether the session is closed) and one map
+    (its settings).  With a time to live for closed sessions, that mark is a
+    value of its own.  State is asked for as rarely as can be, for each
+    question goes to another process."""
 
     def __init__(self, defaults: dict[str, str], buffered, flushing, closed_ttl_ms: int | None):
         self.defaults, self.buffered, self.flushing, self.ttl = defaults, list(buffered), list(flushing), closed_ttl_ms
 
     def init(self, handle):
-        self.head = handle.getValueState("head", "created long, last long, n_frames long, n_config long, pending long")
+        self.head = handle.getValueState("head", "created long, last long, n_frames long, n_config long, pending long, closed boolean")
         self.settings = handle.getMapState("settings", "key string", "value string")
-        self.closed = handle.getValueState("closed", "closed boolean", self.ttl)
+        self.closed = handle.getValueState("closed", "closed boolean", self.ttl) if self.ttl else None
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _slice(rows)
-        seq, kind = pdf["seq"].to_numpy(), pdf["type"].to_numpy()
+        got = _slice(rows)
+        seq, kind = got["seq"], got["type"]
+        head = self.head.get()
         over = 0                                # frames from here on find no session
-        if not self.closed.exists():
+        out = []
+        if not (self.closed.exists() if self.closed else head is not None and head[5]):
             acks = np.flatnonzero(kind == "ack")
             live = int(acks[0]) if len(acks) else len(kind)
             over = min(live + 1, len(kind))
-            row = self._count(seq[:live], kind[:live], pdf["cfg_key"].to_numpy()[:live], pdf["cfg_value"].to_numpy()[:live])
             if len(acks):
-                self.head.clear()
-                self.settings.clear()
-                self.closed.update((True,))
                 row = {"n_frames": 0, "n_config": 0, "pending": 0, "closed": True}
-            yield self._rows(key, [{"row": "session", **row}])
-        if over < len(kind):
-            yield self._rows(key, [{"row": "error", "seq": int(s), "message": f"'{key[0]}'"} for s in seq[over:]])
-
-    def _count(self, seq, kind, keys, values) -> dict:
-        created, last, n_frames, n_config, pending = self.head.get() if self.head.exists() else (None, None, 0, 0, 0)
-        if len(seq):
-            created = int(seq[0]) if created is None else created
-            last, n_frames = int(seq[-1]), n_frames + len(seq)
-            config = kind == "config"
-            n_config += int(config.sum())
-            buffered, flushes = np.isin(kind, self.buffered), np.flatnonzero(np.isin(kind, self.flushing))
-            # what was buffered since the last flush, which may be one of these frames
-            pending = int(buffered[flushes[-1] + 1:].sum()) if len(flushes) else pending + int(buffered.sum())
-            self.head.update((created, last, n_frames, n_config, pending))
-            for k, v in {k: v for k, v in zip(keys[config], values[config]) if k is not None and v is not None}.items():
+                self.settings.clear()
+                if self.closed:
+                    self.head.clear()
+                    self.closed.update((True,))
+                else:
+                    self.head.update((None, None, 0, 0, 0, True))
+            else:
+                row = self._count(head, seq, kind, got["cfg_key"], got["cfg_value"])
+            out.append({"row": "session", **row})
+        message = f"'{key[0]}'"
+        out += [{"row": "error", "seq": s, "message": message} for s in seq[over:].tolist()]
+        yield pd.DataFrame({c: [key[0] if c == "session_id" else r.get(c) for r in out] for c in self.COLUMNS}, dtype=object)
+
+    def _count(self, head, seq, kind, keys, values) -> dict:
+        created, _, n_frames, n_config, pending, _ = head or (int(seq[0]), None, 0, 0, 0, False)
+        last, n_frames = int(seq[-1]), n_frames + len(seq)
+        config = kind == "config"
+        n_config += int(config.sum())
+        buffered, flushes = np.isin(kind, self.buffered), np.flatnonzero(np.isin(kind, self.flushing))
+        # what was buffered since the last flush, which may be one of these frames
+        pending = int(buffered[flushes[-1] + 1:].sum()) if len(flushes) else pending + int(buffered.sum())
+        self.head.update((created, last, n_frames, n_config, pending, False))
+        merged = dict(self.defaults)
+        if n_config:
+            if n_config > config.sum():         # settings of earlier batches
+                merged.update({k[0]: v[0] for k, v in self.settings.iterator()})
+            new = {k: v for k, v in zip(keys[config].tolist(), values[config].tolist()) if k is not None and v is not None}
+            for k, v in new.items():
                 self.settings.updateValue((k,), (v,))
-        merged = {**self.defaults, **{k[0]: v[0] for k, v in self.settings.iterator()}}
+            merged.update(new)
         return {"created": created, "last_activity": last, "n_frames": n_frames, "n_config": n_config, "pending": pending,
                 "config": ";".join(f"{k}={merged[k]}" for k in sorted(merged)), "closed": False}
 
     COLUMNS = ("row", "session_id", "created", "last_activity", "n_frames", "n_config", "pending", "config", "closed", "seq", "message")
 
-    def _rows(self, key, rows):
-        return pd.DataFrame([{**r, "session_id": key[0]} for r in rows], columns=self.COLUMNS, dtype=object)
-
     def close(self):
         pass
 
@@ -92,15 +102,15 @@ class TranscriptBuilder(StatefulProcessor):
     COLUMNS = ("row", "session_id", "gen", "text", "outcome", "seq", "type", "data", "ms")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _slice(rows)
+        got = _slice(rows)
         out = []
         if self.idle_ms is not None:
-            late = pdf["ms"].to_numpy() < timerValues.getCurrentWatermarkInMs()
-            out = [{"row": "late", **r} for r in pdf[late][["seq", "type", "data", "ms"]].to_dict("records")]
-            pdf = pdf[~late]
-        if len(pdf):
-            gen, is_open, timer = self.head.get() if self.head.exists() else (0, False, 0)
-            kind, data = pdf["type"].to_numpy(), pdf["data"].to_numpy()
+            late = got["ms"] < timerValues.getCurrentWatermarkInMs()
+            out = [{"row": "late", **{c: got[c][i] for c in ("seq", "type", "data", "ms")}} for i in np.flatnonzero(late)]
+            got = {c: v[~late] for c, v in got.items()}
+        kind, data = got["type"], got["data"]
+        if len(kind):
+            gen, is_open, timer = self.head.get() or (0, False, 0)
             at, held = 0, []        # held: pieces that are not in the state
             for mark in [*np.flatnonzero(np.isin(kind, ["start", *self.end_types])).tolist(), len(kind)]:
                 if is_open:
@@ -118,7 +128,7 @@ class TranscriptBuilder(StatefulProcessor):
             if self.idle_ms is not None:
                 if timer:
                     self.handle.deleteTimer(timer)
-                timer = int(pdf["ms"].max()) + self.idle_ms if is_open else 0
+                timer = int(got["ms"].max()) + self.idle_ms if is_open else 0
                 if timer:
                     self.handle.registerTimer(timer)
             self.head.update((gen, is_open, timer))
@@ -132,12 +142,13 @@ class TranscriptBuilder(StatefulProcessor):
             self.head.update((gen, False, 0))
 
     def _closed(self, gen, held, outcome) -> dict:
-        kept = [x[0] for x in self.pieces.get()] if self.pieces.exists() else []
-        self.pieces.clear()
+        kept = [x[0] for x in self.pieces.get()]
+        if kept:
+            self.pieces.clear()
         return {"row": "transcript", "gen": gen, "text": "".join(kept + held), "outcome": outcome}
 
     def _rows(self, key, rows):
-        return pd.DataFrame([{**r, "session_id": key[0]} for r in rows], columns=self.COLUMNS, dtype=object)
+        return pd.DataFrame({c: [key[0] if c == "session_id" else r.get(c) for r in rows] for c in self.COLUMNS}, dtype=object)
 
     def close(self):
         pass
@@ -156,7 +167,8 @@ class LineDedupe(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         watermark = timerValues.getCurrentWatermarkInMs()
-        known = self.seen.exists() and self.seen.get()[0] > watermark     # else its timer is due after these rows
+        until = self.seen.get()
+        known = until is not None and until[0] > watermark      # else its timer is due after these rows
         for row in sorted(rows, key=lambda r: r["_ms"]):
             late = row["_ms"] < watermark
             if late or not known:
