@@ -75,3 +75,13 @@ def number_text(value: Column, text: Column) -> Column:
     ``inf`` or ``-inf`` if it stands for such a number."""
     mark = F.concat(F.lit(MARK), F.md5(text), F.lit(":"))
     return F.when(F.startswith(value, F.lit(MARK)) & F.startswith(value, mark), F.substr(value, F.length(mark) + 1)).otherwise(value)
+
+
+def json_numbers(value: Column, text: Column) -> Column:
+    """JSON text out of ``exact_json`` of ``text`` with such numbers as Python
+    writes them."""
+    mark = F.concat(F.lit('"' + MARK), F.md5(text), F.lit(":"))
+    out = value
+    for name, written in (("nan", "NaN"), ("inf", "Infinity"), ("-inf", "-Infinity")):
+        out = F.replace(out, F.concat(mark, F.lit(name + '"')), F.lit(written))
+    return F.when(value.contains(MARK), out).otherwise(value)

@@ -101,8 +101,15 @@ def fill_defaults(config: DataFrame, scope: str = "file_id") -> DataFrame:
     """Two-level fill of a config file: a missing section or a missing
     key takes the default; present keys (and extra keys) are kept as they
     are.  ``config``: ``(scope, section, key, value)``, last row per key
-    already chosen.  Output adds ``origin`` = file / default / extra."""
+    already chosen.  A row without a section only names a file (SRC6 gives one
+    for a file without settings), which takes all defaults; where rows have a
+    ``status``, ``broken`` files take none.  A section that is no object is
+    kept as it is beside its defaults.  Output adds ``origin`` = file /
+    default / extra."""
+    if "status" in config.columns:
+        config = config.filter(F.col("status") != "broken").drop("status")
     scopes = config.select(scope).distinct()
+    config = config.filter(F.col("section").isNotNull())
     d = scopes.select(scope, F.explode(defaults_array()).alias("_d")).select(
         scope, F.col("_d.section").alias("section"), F.col("_d.key").alias("key"), F.col("_d.value").alias("_dv"))
     j = d.join(config, [scope, "section", "key"], "full_outer")

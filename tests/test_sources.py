@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from convspark.sources.config_file import scan_config
 from convspark.sources.corpus import land_corpus, scan_corpus
 
@@ -16,6 +18,23 @@ def test_scan_config_sections_and_scalars(spark, tmp_path):
                     ("model", "path"): "null"}
 
 
+def test_every_config_file_gives_a_row(spark, tmp_path):
+    from convspark.operators.config import DEFAULT_CONFIG, fill_defaults
+
+    texts = {"a": "{}", "b": "{broken", "c": '{"server": {"port": 1, "port": 2}}', "d": "[1]", "e": " ", "f": '{"x": {"y": NaN}} '}
+    (tmp_path / "cfg").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "cfg" / f"{name}.json").write_text(text)
+    got = scan_config(spark, str(tmp_path / "cfg")).withColumn("file", F.regexp_extract("file", r"(\w)\.json", 1))
+    rows = sorted(((r.file, r.status, r.section, r.key) for r in got.collect()))
+    assert rows == [("a", "empty", None, None), ("b", "broken", None, None), ("c", "ok", "server", "port"), ("d", "broken", None, None),
+                    ("e", "broken", None, None), ("f", "ok", "x", "y")]
+    assert {r.file: r.value for r in got.collect()}["f"] == "NaN"
+    n = sum(len(kv) for kv in DEFAULT_CONFIG.values())
+    full = fill_defaults(got, "file").groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("key") == "port", F.col("value"))).alias("port"))
+    assert {r.file: (r.n, r.port) for r in full.collect()} == {"a": (n, "8765"), "c": (n, "2"), "f": (n + 1, "8765")}
+
+
 def test_land_then_scan_corpus_keeps_lines(spark, tmp_path):
     lines = spark.createDataFrame([("job 1", 1, "a"), ("job 1", 2, "   "), ("job/1", 1, "b"), ("x", 1, "c\\r")],
                                   "request_id string, line_no long, value string")
