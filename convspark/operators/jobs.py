@@ -78,6 +78,7 @@ def job_islands(jobs: DataFrame) -> DataFrame:
     spans = jobs.select(us("start").alias("start"), F.coalesce(us("end"), F.lit(FOREVER)).alias("end")).filter("start < end")
     spans = spans.groupBy("start").agg(F.max("end").alias("end")).withColumn("_g", F.lit(0))
     block = block_of(spans, "start")
+    block = False if block is None else block
     x = running(spans, ["_g"], "start", block=block, maxes={"_before": (F.col("end"), False)})
     opens = F.col("_before").isNull() | (F.col("_before") < F.col("start"))
     x = running(x, ["_g"], "start", block=block, maxes={"_island": (F.when(opens, F.col("start")), True)})

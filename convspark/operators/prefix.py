@@ -20,8 +20,9 @@ CELLS = 64                # quantiles of seq
 BLOCK_ROWS = 1 << 16      # rows (of all keys) to a block
 
 
-def block_of(df: DataFrame, seq: str) -> Column:
-    """A block number that rises with ``seq``: the quantile cell of the row
+def block_of(df: DataFrame, seq: str) -> Column | None:
+    """A block number that rises with ``seq``, or None for a table that fits
+    one block: the quantile cell of the row
     and, for tables of more than ``CELLS * BLOCK_ROWS`` rows, its even part of
     that cell.
 
@@ -35,7 +36,7 @@ def block_of(df: DataFrame, seq: str) -> Column:
     got = df.agg(at.alias("q"), F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).head()
     cells = min(CELLS, -(-got.n // BLOCK_ROWS))
     if cells <= 1:
-        return F.lit(0).cast("long")
+        return None
     bounds = sorted({got.q[CELLS * i // cells - 1] for i in range(1, cells)})
     cell = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda q: q <= v)).cast("long")
     parts = -(-got.n // (CELLS * BLOCK_ROWS))
@@ -47,7 +48,7 @@ def block_of(df: DataFrame, seq: str) -> Column:
 
 
 def running(df: DataFrame, keys, seq: str, maxes: dict | None = None, sums: dict | None = None,
-            block_bits: int | None = None, block: Column | None = None) -> DataFrame:
+            block_bits: int | None = None, block: Column | bool | None = None) -> DataFrame:
     """Add running aggregates per ``keys`` ordered by ``seq`` (unique per key,
     not null).
 
@@ -56,11 +57,16 @@ def running(df: DataFrame, keys, seq: str, maxes: dict | None = None, sums: dict
     rows with ``seq`` <= (inclusive) or < this row's ``seq``.  ``block_bits``
     cuts blocks by a shift of ``seq`` instead of its quantiles, which saves
     their pass over the table; only for a dense ``seq``.  ``block`` is a result
-    of ``block_of`` to use again."""
+    of ``block_of`` to use again (False: the table fits one block)."""
     keys = list(keys)
     maxes, sums = maxes or {}, sums or {}
     if block is None:
         block = block_of(df, seq) if block_bits is None else F.shiftright(F.col(seq).cast("long"), block_bits)
+    if block is None or block is False:       # no more rows than a block holds
+        w = Window.partitionBy(*keys).orderBy(seq)
+        within = lambda incl: w.rowsBetween(Window.unboundedPreceding, 0 if incl else -1)
+        return df.withColumns({**{n: F.max(e).over(within(incl)) for n, (e, incl) in maxes.items()},
+                               **{n: F.coalesce(F.sum(e).over(within(incl)), F.lit(0)) for n, (e, incl) in sums.items()}})
     x = df.withColumn("_blk", block)
     for n, (e, _) in {**maxes, **sums}.items():
         x = x.withColumn(f"_v_{n}", e)
