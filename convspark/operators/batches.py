@@ -213,7 +213,10 @@ def step_plan(steps: DataFrame, cfg: DataFrame, clock: int = 0) -> DataFrame:
     # the run's last step comes from a map-side-combined aggregate joined
     # back, not a window, so one huge run is never sorted in a single task
     last = steps.groupBy("request_id").agg(F.max("step").alias("_last"))
-    x = attach(steps, cfg.join(last, "request_id"), spread="step", salts=4).withColumn("is_last", F.col("step") == F.col("_last"))
+    # merge joins: the planner guesses the sizes of steps and settings from the
+    # compressed columns below them, and would broadcast millions of rows
+    settings = cfg.hint("merge").join(last, "request_id")
+    x = attach(steps.hint("merge"), settings, spread="step", salts=4).withColumn("is_last", F.col("step") == F.col("_last"))
     x = x.withColumns(step_flags(F.col("step"), F.col("is_last"), F.col("_save")))
     return x.withColumns({
         "checkpoint_name": F.when(F.col("checkpoint"), F.concat(F.col("_name"), F.lit("_step_"), F.col("step").cast("string"))),

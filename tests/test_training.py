@@ -90,3 +90,15 @@ def test_cut_before_hashing_gives_the_same_ids(spark):
     ids = [r[0] for r in tokenize(df, max_len=3).select("token_ids").collect()]
     assert ids == [r[0] for r in truncate_tokens(tokenize(df), 3).select("token_ids").collect()]
     assert [len(i) for i in ids] == [3, 0, 1] and max(ids[0]) > 2 ** 31
+
+
+def test_step_plan_broadcasts_neither_steps_nor_settings(spark):
+    from convspark.operators.batches import step_plan
+
+    # three rows by the planner's guess, 3,000 steps
+    raw = spark.range(3).select(F.col("id").alias("request_id"), F.lit(1000).alias("max_steps"), F.lit(7).alias("gradient_accumulation"))
+    cfg = clamp_train_config(raw)
+    steps = cfg.select("request_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("max_steps"))).alias("step"))
+    out = step_plan(steps, cfg)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 3000 and out.filter("update").count() == 3 * 143 and out.filter("is_last").count() == 3
