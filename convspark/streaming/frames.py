@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StringType
 
 from convspark.operators import frames as FR
 from convspark.operators import jobs as JB
@@ -68,6 +69,16 @@ def stream_job_status(events: DataFrame) -> DataFrame:
     return JB.job_status(events)
 
 
+# A stateful task works per bucket of ids, not per id: the cost of a key (its
+# rows handed over, its state asked for) is then paid a fixed number of times
+# per micro-batch.  A bucket of a batch must fit a task's memory.
+BUCKETS = 4096
+
+
+def _bucketed(df: DataFrame, col: str):
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(col), F.lit(BUCKETS))).groupBy("_bucket")
+
+
 # ------------------------------------------------------------------ X4
 def _event_time(df: DataFrame, ts_col: str, delay: str) -> DataFrame:
     """``df`` with the watermark of ``ts_col`` and its event time in ``_ms``.
@@ -89,8 +100,9 @@ def stream_dedupe(lines: DataFrame, ts_col: str = "ts", delay: str = "1 hour", i
     whose event time is behind the watermark (``delay`` behind the latest seen
     in earlier micro-batches).  An id is forgotten ``delay`` after its first
     line, so state is bounded by the watermark."""
-    x = _event_time(lines, ts_col, delay)
-    return x.groupBy(id_col).transformWithState(
+    text = lines.schema[id_col].dataType == StringType()
+    x = _event_time(lines, ts_col, delay).withColumn("_id", F.col(id_col) if text else F.to_json(F.struct(id_col)))
+    return _bucketed(x, "_id").transformWithState(
         LineDedupe(lines.columns, _interval_ms(lines.sparkSession, delay)),
         lines.withColumn("late", F.lit(True)).schema, "Append", "EventTime")
 
@@ -113,12 +125,15 @@ def stream_sessions(frames: DataFrame, closed_ttl: str | None = None) -> DataFra
     a session anew.  Processing time always goes on, so a stream with it runs
     under a ``processingTime`` or ``once`` trigger, not ``availableNow``."""
     kind = frames.schema["session_id"].dataType.simpleString()
-    schema = (f"row string, session_id {kind}, created long, last_activity long, n_frames long, n_config long, pending long, "
+    schema = ("row string, session_id string, created long, last_activity long, n_frames long, n_config long, pending long, "
               "config string, closed boolean, seq long, message string")
     ttl = _interval_ms(frames.sparkSession, closed_ttl) if closed_ttl else None
     table = SessionTable({k: json_text(v) for k, v in GENERATION_DEFAULTS.items()}, FR.BUFFERED_TYPES, FR.FLUSH_TYPES, ttl)
-    return frames.select("session_id", "seq", "type", "cfg_key", "cfg_value").groupBy("session_id") \
+    # ids travel as text: pandas would make floats of whole numbers beside a null
+    name = F.coalesce(F.concat(F.lit("="), F.col("session_id").cast("string")), F.lit(""))
+    out = _bucketed(frames.select(name.alias("name"), "seq", "type", "cfg_key", "cfg_value"), "name") \
         .transformWithStateInPandas(table, schema, "Update", "ProcessingTime" if ttl else "None")
+    return out.withColumn("session_id", F.col("session_id").cast(kind))
 
 
 def session_outputs() -> dict:

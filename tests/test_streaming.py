@@ -188,3 +188,37 @@ def test_operators_refuse_nothing_but_lazy_plans(spark, sf):
         assert out.isStreaming
     with pytest.raises(Exception, match="streaming"):
         out.collect()
+
+
+def test_many_lines_share_a_key_of_the_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "BUCKETS", 2)
+    lines = lambda *x: spark.createDataFrame([(i, s, 1_700_000_000 + 60 * m) for i, s, m in x], "id long, seq long, t long") \
+        .withColumn("ts", F.timestamp_seconds("t"))
+    big = 2**53 + 1
+    parts = [lines((big, 1, 0), (big + 1, 2, 0), (None, 3, 1), (big, 4, 2), *((i, 100 + i, 1) for i in range(20))),
+             lines((big, 5, 10), (None, 6, 3), (7, 7, 500), (big + 1, 8, 9)),
+             lines((None, 9, 501), (big, 10, 600), (big, 11, 2), (7, 12, 499)), lines((7, 13, 601), (None, 14, 601))]
+    feed(f"{tmp_path}/in", *parts)
+    sdf = ST.stream_dedupe(SK.table_stream(spark, f"{tmp_path}/in", max_files=1), delay="1 hour")
+    sink = run(spark, tmp_path, sdf, split=ST.late_outputs())
+    # watermarks of the batches: none, -59, 440, 540
+    assert rows(SK.read_sink(spark, sink), ["seq", "id"]) == [(1, big), (2, big + 1), (3, None), (9, None), (10, big), (12, 7)] \
+        + [(100 + i, i) for i in range(20)]
+    assert rows(SK.read_sink(spark, sink, "late"), ["seq"]) == [(11,)]
+
+
+def test_many_sessions_share_a_key_of_the_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "BUCKETS", 2)
+    big = 2**53 + 1
+    make = lambda *x: spark.createDataFrame([(s, n, *r) if len(r) == 3 else (s, n, *r, None, None) for s, n, *r in x], CONTROL)
+    parts = [make((big, 1, "config", "top_k", "1"), (None, 2, "start"), *((i, 3 + i, "token") for i in range(30))),
+             make((big, 40, "config", "note", "x"), (big + 1, 41, "ping"), (None, 42, "ack"), (3, 43, "ack"), (3, 44, "ping")),
+             make((None, 50, "ping"), (3, 51, "config", "top_k", "2"), (big, 52, "token"), (4, 53, "done"))]
+    feed(f"{tmp_path}/in", *parts)
+    sink = run(spark, tmp_path, ST.stream_sessions(SK.table_stream(spark, f"{tmp_path}/in", max_files=1)), "update", ST.session_outputs())
+    got = {r.session_id: r for r in SK.read_upserts(spark, sink, ["session_id"], "sessions").collect()}
+    assert set(got) == {big, big + 1, None, *range(30)}
+    assert (got[big].created, got[big].last_activity, got[big].n_frames, got[big].n_config) == (1, 52, 3, 2)
+    assert "note=x" in got[big].config and "top_k=1" in got[big].config and "top_k=1" not in got[big + 1].config
+    assert got[None].closed and got[3].closed and (got[4].n_frames, got[4].pending, got[5].pending) == (2, 0, 1)
+    assert rows(SK.read_sink(spark, sink, "errors"), ["session_id", "seq", "message"]) == [(None, 50, "'None'"), (3, 44, "'3'"), (3, 51, "'3'")]
