@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convspark.functions.names import sanitize_request_id
+from convspark.operators.batches import attach
 
 
 def land_corpus(lines: DataFrame, path: str, order_col: str | None = None) -> None:
@@ -20,7 +21,8 @@ def land_corpus(lines: DataFrame, path: str, order_col: str | None = None) -> No
         # a submission is a raw id at one order value: the same raw id submitted
         # again replaces its own earlier lines too
         latest = x.groupBy("rid").agg(F.max(F.struct(F.col(order_col).alias("o"), F.col("request_id").alias("r"))).alias("_winner"))
-        x = x.join(latest, "rid").filter(F.col("request_id").eqNullSafe(F.col("_winner.r"))
+        # lines are dealt by number: most of them may belong to one request
+        x = attach(x, latest, key="rid", spread="line_no").filter(F.col("request_id").eqNullSafe(F.col("_winner.r"))
                                          & F.col(order_col).eqNullSafe(F.col("_winner.o"))).drop("_winner")
     # no repartition by request: a request holding a third of all lines would
     # land through one task; each task writes its own file per folder,
