@@ -26,7 +26,7 @@ from convspark.session import scratch_path
 from convspark.sources import config_file as SCF
 from convspark.sources import corpus as SCO
 from convspark.sources import log as SLG
-from convspark.sources.artifacts import scan_artifacts
+from convspark.sources.artifacts import read_artifacts, scan_artifacts
 from convspark.streaming import frames as ST
 from convspark.streaming import sinks as SK
 
@@ -385,11 +385,11 @@ def q_concat_images(spark, sf):
 
 @register("src7_load_images")
 def q_load_images(spark, sf):
-    files = scan_artifacts(spark, sf, with_content=True, glob="*.parquet")
+    files = scan_artifacts(spark, sf, glob="*.parquet")
     paths = _entries(spark, sf).select(
         "prompt_id", "idx", F.try_variant_get(F.try_parse_json("entry"), "$.path", "string").alias("path")) \
         .filter(F.col("path").isNotNull())
-    out = PR.load_images(paths, files)
+    out = PR.load_images(paths, read_artifacts(files, paths))
     return out.select("prompt_id", "idx", F.length("content").cast("long").alias("n_bytes"),
                       F.when(F.col("error").isNotNull(), F.lit("missing")).alias("error"))
 

@@ -1,6 +1,7 @@
 """Source/sink round trips on small hand-made inputs."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -104,3 +105,39 @@ def test_resubmission_of_the_same_raw_id_replaces_its_lines(spark, tmp_path):
     path = str(tmp_path / "corpora")
     land_corpus(spark.createDataFrame(rows, "request_id string, line_no long, value string, at int"), path, order_col="at")
     assert [r.value for r in scan_corpus(spark, path).collect()] == ["new1"]
+
+
+def test_a_request_with_most_lines_lands_through_many_tasks(spark, tmp_path):
+    path = f"{tmp_path}/corpus"
+    lines = spark.range(4000).select(F.lit("big").alias("request_id"), F.col("id").alias("line_no"), F.lit("x").alias("value"),
+                                     (F.col("id") % 2).alias("at"))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        land_corpus(lines, path, order_col="at")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len([f for f in os.listdir(f"{path}/rid=big") if f.endswith(".parquet")]) >= 4
+    assert scan_corpus(spark, path).filter("line_no % 2 = 1").count() == 2000 == scan_corpus(spark, path).count()
+
+
+def test_only_files_that_are_asked_for_are_read(spark, tmp_path):
+    from convspark.operators.prompts import load_images
+    from convspark.sources.artifacts import read_artifacts, scan_artifacts
+
+    odd = ["a.png", "b[1].png", "c*.png", "d {x}.png", "not asked.png"]
+    for name in odd:
+        (tmp_path / name).write_bytes(name.encode())
+    listing = scan_artifacts(spark, str(tmp_path))
+    paths = [*(f"{tmp_path}/{n}" for n in odd[:4]), f"{tmp_path}/a.png", f"{tmp_path}/missing.png", f"{tmp_path}/c1.png", None]
+    asked = spark.createDataFrame(list(enumerate(paths)), "prompt_id long, path string")
+    files = read_artifacts(listing, asked)
+    assert len(files.inputFiles()) == 4
+    got = {r.prompt_id: (bytes(r.content).decode() if r.content is not None else None, r.error) for r in load_images(asked, files).collect()}
+    assert [got[i][0] for i in range(5)] == [*odd[:4], "a.png"] and all(got[i][1] is None for i in range(5))
+    assert got[5][0] is None and "does not exist" in got[5][1] and got[6][0] is None
+    none = load_images(asked, read_artifacts(listing, asked.filter("prompt_id = 5")))
+    assert none.filter("content is not null").count() == 0 and none.count() == 8
