@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,11 @@ def _strict(text: str):
 
 
 def _reread(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(None, None) if t is None else _strict(t) for t in texts], columns=["json", "note"], dtype=object)
+    # nearly all texts are null: rows are made for the others only
+    out = {"json": np.full(len(texts), None, object), "note": np.full(len(texts), None, object)}
+    for i in np.flatnonzero(texts.notna().to_numpy()):
+        out["json"][i], out["note"][i] = _strict(texts.iat[i])
+    return pd.DataFrame(out)
 
 
 def exact_json(df: DataFrame, text: str, out: str, note: str | None = None) -> DataFrame:

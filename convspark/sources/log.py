@@ -15,6 +15,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from convspark.functions.codec import decode_log, encode_log
 from convspark.operators.frames import parse_exact_json
+from convspark.session import materialize
 
 LOG_SCHEMA = StructType([
     StructField("session_id", LongType()), StructField("seq", LongType()),
@@ -54,7 +55,8 @@ def scan_log(spark: SparkSession, path: str, key: str, session_ids=None, buckets
     that line and every later one (by ``seq``) of the session are left out,
     what came before is kept.  A line that is not a JSON envelope at all
     cannot be tied to a session and goes to the dead letters.  With
-    ``session_ids`` only those sessions' bucket folders are read.
+    ``session_ids`` only those sessions' bucket folders are read;
+    without, the decoded frames are written once to the shared checkpoint folder.
     Returns ``(frames, dead_letters)``."""
     raw = (spark.read.schema(LOG_SCHEMA).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
@@ -67,11 +69,14 @@ def scan_log(spark: SparkSession, path: str, key: str, session_ids=None, buckets
     dead = raw.filter(F.col("_corrupt_record").isNotNull() | F.col("session_id").isNull()) \
         .select("bucket", "_corrupt_record")
     good = raw.filter(F.col("_corrupt_record").isNull() & F.col("session_id").isNotNull())
-    dec = good.withColumn("frame", decode_log(F.col("data"), key)).filter(F.col("frame") != "")
-    dec = parse_exact_json(dec, "frame", "_v")  # strict: trailing text is an error
-    bad = dec.filter(F.col("_v").isNull()).groupBy("session_id").agg(F.min("seq").alias("_first_bad"))
+    dec = parse_exact_json(good.withColumn("frame", decode_log(F.col("data"), key)), "frame", "_v")  # strict: trailing text is an error
+    dec = dec.select("session_id", "seq", "id", "frame", F.col("_v").isNotNull().alias("_ok"),
+                     F.try_variant_get("_v", "$.type", "string").alias("type"))
+    if session_ids is None:     # the whole log is decoded and parsed once, not for each use of it
+        dec = materialize(dec, "log-frames")
+    dec = dec.filter(F.col("frame") != "")
+    bad = dec.filter(~F.col("_ok")).groupBy("session_id").agg(F.min("seq").alias("_first_bad"))
     kept = (dec.join(bad, "session_id", "left")
             .filter(F.col("_first_bad").isNull() | (F.col("seq") < F.col("_first_bad")))
-            .select("session_id", "seq", "id", "frame",
-                    F.try_variant_get("_v", "$.type", "string").alias("type")))
+            .select("session_id", "seq", "id", "frame", "type"))
     return kept, dead

@@ -141,3 +141,14 @@ def test_only_files_that_are_asked_for_are_read(spark, tmp_path):
     assert got[5][0] is None and "does not exist" in got[5][1] and got[6][0] is None
     none = load_images(asked, read_artifacts(listing, asked.filter("prompt_id = 5")))
     assert none.filter("content is not null").count() == 0 and none.count() == 8
+
+
+def test_scan_log_decodes_and_parses_once(spark, tmp_path):
+    from convspark.sources.log import append_log, scan_log
+
+    frames = [(1, 1, '{"type": "start"}'), (1, 2, '{"type": NaN, "type": "token"}'), (1, 3, ""), (1, 4, "{broken"), (1, 5, '{"type": "done"}'),
+              (2, 1, '[1]'), (2, 2, ' {"type": "ping"} ')]
+    append_log(spark.createDataFrame(frames, "session_id long, seq long, frame string"), str(tmp_path / "log"), "relay")
+    kept, _ = scan_log(spark, str(tmp_path / "log"), "relay")
+    assert "ArrowEvalPython" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.session_id, r.seq, r.type) for r in kept.collect()) == [(1, 1, "start"), (1, 2, "token"), (2, 1, None), (2, 2, "ping")]
