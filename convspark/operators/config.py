@@ -45,15 +45,26 @@ def merge_config(updates: DataFrame, scope: str = "session_id") -> DataFrame:
     update in order (later wins, extra keys kept), then the request layer.
 
     ``updates``: ``(scope, key, value, layer, seq)``; layer 1 = session
-    updates, 2 = request overrides.  Defaults are layer 0.  One grouped
-    ``max_by(value, (layer, seq))`` per key: map-side combined."""
-    scopes = updates.select(scope).distinct()
-    base = scopes.select(scope, F.explode(defaults_array("generation_defaults")).alias("_d")).select(
-        scope, F.col("_d.key").alias("key"), F.col("_d.value").alias("value"),
-        F.lit(0).alias("layer"), F.lit(-1).cast("long").alias("seq"))
-    allx = base.unionByName(updates.select(scope, "key", "value", F.col("layer").cast("int"),
-                                           F.col("seq").cast("long")))
-    return allx.groupBy(scope, "key").agg(F.max_by("value", F.struct("layer", "seq")).alias("value"))
+    updates, 2 = request overrides.  Defaults are layer 0."""
+    return merge_settings(updates, scope).select(scope, F.inline("settings"))
+
+
+def merge_settings(updates: DataFrame, scope: str = "session_id") -> DataFrame:
+    """J3 with one row per scope: ``settings``, an array of its ``(key, value)``.
+
+    One grouped maximum per key (map-side combined) of the updates alone; the
+    defaults are a literal that each scope's row fills up from, so they take
+    part in no shuffle."""
+    at = F.struct(F.col("layer").cast("int").alias("layer"), F.col("seq").cast("long").alias("seq"))
+    top = updates.groupBy(scope, "key").agg(F.max_by("value", at).alias("value"), F.max(at).alias("_at"))
+    # an update below the defaults' layer does not count for their keys
+    keys = F.array(*[F.lit(k) for k in GENERATION_DEFAULTS])
+    counts = ~F.coalesce(F.array_contains(keys, F.col("key")), F.lit(False)) \
+        | (F.col("_at") > F.struct(F.lit(0).alias("layer"), F.lit(-1).cast("long").alias("seq")))
+    own = top.groupBy(scope).agg(F.collect_list(F.when(counts, F.struct("key", "value"))).alias("_own"))
+    defaults = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(json_text(v)).alias("value")) for k, v in GENERATION_DEFAULTS.items()])
+    unset = F.filter(defaults, lambda d: ~F.exists("_own", lambda o: o["key"].eqNullSafe(d["key"])))
+    return own.select(scope, F.concat(unset, F.col("_own")).alias("settings"))
 
 
 def request_config(events: DataFrame, scope: str = "session_id", block_bits: int | None = None) -> DataFrame:

@@ -145,7 +145,7 @@ def sessions_batch(frames: DataFrame) -> DataFrame:
     """Batch twin of X2 (same answer as the stream at its end).  Aggregates
     only; the merged config is the defaults plus the last update per key (J3).
     A session with an ``ack`` is closed."""
-    from convspark.operators.config import merge_config
+    from convspark.operators.config import merge_settings
 
     first_ack = F.min(F.when(F.col("type") == "ack", F.col("seq")))
     marks = frames.groupBy("session_id").agg(first_ack.alias("_ack"),
@@ -161,9 +161,9 @@ def sessions_batch(frames: DataFrame) -> DataFrame:
     # sessions without updates still get the defaults
     scopes = live.select("session_id", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"),
                          F.lit(1).alias("layer"), F.lit(-2).cast("long").alias("seq"))
-    merged = merge_config(upd.unionByName(scopes)).filter(F.col("key").isNotNull())
-    conf = merged.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list(
-        F.struct("key", F.concat(F.col("key"), F.lit("="), F.col("value")).alias("t"))))["t"], ";").alias("config"))
+    pairs = F.array_sort(F.filter("settings", lambda s: s["key"].isNotNull()))
+    conf = merge_settings(upd.unionByName(scopes)).select("session_id", F.array_join(
+        F.transform(pairs, lambda s: F.concat(s["key"], F.lit("="), s["value"])), ";").alias("config"))
     closed = marks.filter(F.col("_ack").isNotNull()).select(
         "session_id", F.lit(None).cast("long").alias("created"), F.lit(None).cast("long").alias("last_activity"),
         F.lit(0).cast("long").alias("n_frames"), F.lit(0).cast("long").alias("n_config"),

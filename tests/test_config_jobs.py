@@ -140,3 +140,20 @@ def test_islands_and_blocked_requests_match_all_pairs(spark):
     islands = sorted((x.start, x.end) for x in job_islands(jdf).collect())
     assert all(a[1] < b[0] for a, b in zip(islands, islands[1:]))
     assert rdf.count() == len(got)
+
+
+def test_defaults_take_part_in_no_shuffle(spark):
+    from convspark.operators.config import GENERATION_DEFAULTS, json_text, merge_settings
+
+    upd = spark.createDataFrame(
+        [("a", "top_k", "7", 1, 2), ("a", "top_k", "8", 2, 1), ("a", "note", None, 1, 3), ("a", "top_p", None, 1, 4), ("b", None, "x", 1, 1),
+         ("c", "top_k", "9", -1, 5), ("c", "own", "y", -1, 5), (None, "top_k", "1", 1, 1)],
+        "session_id string, key string, value string, layer int, seq long")
+    assert "Generate" not in merge_settings(upd)._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in merge_config(upd).collect():
+        assert r.key not in got.setdefault(r.session_id, {})
+        got[r.session_id][r.key] = r.value
+    base = {k: json_text(v) for k, v in GENERATION_DEFAULTS.items()}
+    assert got == {"a": {**base, "top_k": "8", "note": None, "top_p": None}, "b": {**base, None: "x"}, "c": {**base, "own": "y"},
+                   None: {**base, "top_k": "1"}}
