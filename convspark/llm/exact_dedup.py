@@ -126,7 +126,8 @@ def _differing(df: DataFrame, units: DataFrame, groups: DataFrame, id_col: str,
     member = materialize(member, f"{name}_members")
     body = df.select(F.col(id_col).cast("long").alias("id"), safe_text(text_col).alias("t")).select(
         "id", F.sha2("t", 256).alias("sha"), F.col("t").cast("binary").alias("b"))
-    texts = body.join(member, F.col("id").eqNullSafe(F.col("mid")) & (F.col("sha") == F.col("msha")))
+    # a merge join at any size: members grow with the documents, whatever their files' size
+    texts = body.join(member.hint("merge"), F.col("id").eqNullSafe(F.col("mid")) & (F.col("sha") == F.col("msha")))
     pieces = texts.select("id", "sha", "n", "f0", "f1", "is_rep", "salts", F.explode(_cut("b", chunk)).alias("s")).select(
         "id", "sha", "n", "f0", "f1", "is_rep", "salts", "s.seg", "s.piece")
     rep = pieces.filter("is_rep").select(

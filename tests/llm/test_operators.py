@@ -363,3 +363,15 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 102), (102, 101), (5, 5)], "a long, b long")
     got = {r.node: r.comp for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_op3_texts_meet_members_by_a_merge_join(spark):
+    from convspark.llm import exact_dedup as X
+
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (None, "a"), (3, "b"), (4, None), (5, "")], "doc_id long, text string")
+    units = X.materialize(X.fingerprints(df, "doc_id", "text"), "units")
+    # a wrong group of texts of one length: every unit but its representative differs
+    wrong = units.filter("n = 1").withColumns({"f0": F.lit(1).cast("long"), "f1": F.lit(1).cast("long")})
+    out = X._differing(df, wrong, X.materialize(X._groups(wrong), "groups"), "doc_id", "text", X.CHUNK, "t")
+    assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id is None, r.id) for r in out.collect()) == [(False, 1), (False, 2), (True, None)]
