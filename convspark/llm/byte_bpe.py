@@ -12,10 +12,12 @@ each step replaces, all pairs of their smallest rank at once.  Decoding joins (d
 vocabulary and aggregates the pieces in order.
 
 Spark deals out the documents; nothing shuffles.  Memory in a task is bounded
-by the Arrow batch, by ``ROWS`` rows of short words, ``BYTES`` bytes of other
-words (or one longer word) or ``TOKENS`` ids in one query and by ``CACHE``
-remembered words of ``CACHE_BYTES`` per worker.  What DuckDB cannot hold in
-memory it spills to the task's temporary folder.
+by the Arrow batch, by slices of ``SLICE`` characters (or one longer text), by
+``ROWS`` rows of short words, ``BYTES`` bytes of other words (or one longer
+word) or ``TOKENS`` ids in one query and by ``CACHE`` remembered words of
+``CACHE_BYTES``.  What DuckDB cannot hold in memory it spills to the task's
+temporary folder.  Workers outlive their tasks, so each task ends by giving
+the words' memory back: the executor needs it for what runs next.
 
 Defined cases
     * null and empty texts give no ids and decode to no bytes;
@@ -33,13 +35,14 @@ from pyspark.sql import types as T
 
 #: Bytes of a short word, squared bytes of the short words and bytes of the
 #: other words in one encoding, ids in one decoding query, words (and bytes of
-#: them and their ids) a worker remembers between batches.
+#: them and their ids) a task remembers between slices, characters of a slice.
 SHORT = 64
 ROWS = 4_000_000
 BYTES = 400_000
 TOKENS = 500_000
-CACHE = 1_000_000
+CACHE = 300_000
 CACHE_BYTES = 64_000_000
+SLICE = 1_000_000
 
 #: Short words in one query, which holds the rows of all steps: neighbours join
 #: the merge table; of each word's mergeable pairs the one of least rank, then
@@ -258,7 +261,22 @@ def codec(path: str, pattern: str) -> Codec:
     return kept[(path, pattern)]
 
 
-def batches_of(rows: list[str], limit: int = 8_000_000):
+def give_back(c: Codec) -> None:
+    """Forget the words and return free memory to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    c.known, c.held = {}, 0
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc only
+    if trim:
+        trim(0)
+
+
+def batches_of(rows: list[str], limit: int = SLICE):
     """Slices of the rows whose texts have about ``limit`` characters."""
     part, size = [], 0
     for t in rows:
@@ -284,15 +302,18 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
         import pyarrow as pa
 
         c = codec(path, pattern)
-        for b in batches:
-            at = 0
-            for texts in batches_of(b.column(text_col).to_pylist()):
-                ids = c.encode(texts)
-                off = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-                cols = [b.column(n).slice(at, len(texts)) for n in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(off, flat)], names=[*names, ids_col])
-                at += len(texts)
+        try:
+            for b in batches:
+                at = 0
+                for texts in batches_of(b.column(text_col).to_pylist()):
+                    ids = c.encode(texts)
+                    off = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                    flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+                    cols = [b.column(n).slice(at, len(texts)) for n in names]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(off, flat)], names=[*names, ids_col])
+                    at += len(texts)
+        finally:
+            give_back(c)
 
     return df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
@@ -308,11 +329,14 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_c
         import pyarrow as pa
 
         c = codec(path, pattern)
-        for b in batches:
-            col = b.column(b.schema.get_field_index(ids_col))
-            seqs = [(np.asarray(x.values).astype("<u4").tobytes() if x.is_valid else b"") for x in col]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c.decode(seqs), pa.binary())],
-                                             names=[f.name for f in schema])
+        try:
+            for b in batches:
+                col = b.column(b.schema.get_field_index(ids_col))
+                seqs = [(np.asarray(x.values).astype("<u4").tobytes() if x.is_valid else b"") for x in col]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c.decode(seqs), pa.binary())],
+                                                 names=[f.name for f in schema])
+        finally:
+            give_back(c)
 
     return df.mapInArrow(run, schema)
 
@@ -329,16 +353,19 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
         import pyarrow as pa
 
         c = codec(path, pattern)
-        for b in batches:
-            at = 0
-            for texts in batches_of(b.column(1).to_pylist()):
-                ids = c.encode(texts)
-                back = c.decode(ids)
-                digest = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), digest(ids), digest(back)],
-                    names=[f.name for f in schema])
-                at += len(texts)
+        try:
+            for b in batches:
+                at = 0
+                for texts in batches_of(b.column(1).to_pylist()):
+                    ids = c.encode(texts)
+                    back = c.decode(ids)
+                    digest = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(at, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), digest(ids), digest(back)],
+                        names=[f.name for f in schema])
+                    at += len(texts)
+        finally:
+            give_back(c)
 
     return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
 
