@@ -12,13 +12,26 @@ from convspark.session import ensure_checkpoint_dir, scratch_path
 __all__ = ["materialize", "materialize_by", "parts_for", "safe_text", "spread_ids", "ensure_checkpoint_dir"]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: With this on, Spark drops a write's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
     """Write ``df`` to a fresh table in the shared checkpoint folder and read
     it back: lineage is cut and every later read sees the same rows, whatever
-    executors are lost meanwhile."""
+    executors are lost meanwhile.  ``drop_shuffles``: the write's shuffle files
+    go when it has ended, not when the driver collects its garbage."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    if drop_shuffles:
+        before = spark.conf.get(_CLEANUP)
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(_CLEANUP, before)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,8 +16,12 @@ suffix array, which is built one bucket of suffixes at a time:
     ``COVER`` modulo ``PERIOD`` are ranked beforehand; for any two suffixes
     some shift below ``PERIOD`` takes both to ranked positions, so one rank
     comparison settles a tie of any length.  Memory is bounded by the block.
-    Buckets of more than ``HOT_BUCKET`` segments are left to a grouped minimum
-    over the windows themselves, with map-side combine.
+    Equal segments of a block are sorted once.
+4.  A bucket of more than ``HOT_BUCKET`` segments, or one that a boundary of
+    the range sort cuts, is dealt out in parts of at most so many.  A part
+    settles what repeats inside it and hands on, once for each distinct window,
+    the windows that are least in it; a minimum over equal windows, as many
+    rows as parts at most, settles those.
 
 Defined cases
     * null text counts as empty; texts below ``WINDOW`` bytes lose nothing;
@@ -30,7 +34,7 @@ Defined cases
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +47,8 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 #: anchors in a partition of the range sort.
 BLOCK, HOT_BUCKET, ANCHORS = 400_000, 10_000, 4_000_000
 NO_ID = 2 ** 63 - 1
+#: Bits of a position, above which the number of a bucket's part stands.
+PART = 31
 
 
 def words_at(raw, size: int = 8):
@@ -149,24 +155,42 @@ def suffix_order(text, starts, window: int = WINDOW):
     return s, same
 
 
-def repeats_in_block(data, sizes, ids, window: int = WINDOW):
-    """Flags per window start of the pieces (``data`` is their bytes in one
-    line): whether the window also starts in a piece of a smaller id."""
+def least_in_block(data, sizes, ids, window: int = WINDOW):
+    """(flags, classes, firsts) per window start of the pieces (``data`` is
+    their bytes in one line): whether the window also starts in a piece of a
+    smaller id, the number of its text, and where each row's starts begin."""
     import numpy as np
 
-    text = np.concatenate([data, np.zeros(window + PERIOD, np.uint8)])
-    n = sizes - window + 1
-    starts = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    owner = np.repeat(ids, n)
+    # equal pieces have equal windows: the one of the least id is sorted
+    body, ends = data.tobytes(), np.cumsum(sizes)
+    number: dict[bytes, int] = {}
+    kind = np.fromiter((number.setdefault(body[a:b], len(number)) for a, b in zip((ends - sizes).tolist(), ends.tolist())), np.int64, len(sizes))
+    owners = np.full(len(number), NO_ID)
+    np.minimum.at(owners, kind, ids)
+    text = np.concatenate([np.frombuffer(b"".join(number), np.uint8), np.zeros(window + PERIOD, np.uint8)])
+    lengths = np.fromiter(map(len, number), np.int64, len(number))
+    n = lengths - window + 1
+    begin = np.cumsum(n) - n
+    starts = np.repeat(np.cumsum(lengths) - lengths - begin, n) + np.arange(int(n.sum()))
     s, same = suffix_order(text, starts, window)
     place = np.zeros(len(text), np.int64)
     place[starts] = np.arange(len(starts))
     at = place[s]
     head = np.flatnonzero(~same)
-    least = np.minimum.reduceat(owner[at], head)
-    out = np.empty(len(starts), bool)
-    out[at] = np.repeat(least, np.diff(np.concatenate((head, [len(s)])))) < owner[at]
-    return out
+    least = np.minimum.reduceat(np.repeat(owners, n)[at], head)
+    cls = np.empty(len(starts), np.int64)
+    cls[at] = np.cumsum(~same) - 1
+    # back to the pieces as they came
+    m = n[kind]
+    first = np.cumsum(m) - m
+    cls = cls[np.repeat(begin[kind] - first, m) + np.arange(int(m.sum()))]
+    return least[cls] < np.repeat(ids, m), cls, first
+
+
+def repeats_in_block(data, sizes, ids, window: int = WINDOW):
+    """Flags per window start of the pieces: whether the window also starts in
+    a piece of a smaller id."""
+    return least_in_block(data, sizes, ids, window)[0]
 
 
 def binary_parts(column):
@@ -199,51 +223,69 @@ def _anchors(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at:at + (1 << 18)]) for c in cols], names=["bucket", "id", "pos"])
 
 
-def _met(batches):
-    """Of rows sorted by (bucket, id): those of buckets with several ids.  The
-    partition's first and last bucket may go on next door and are kept."""
+def _met(batches, hot: int):
+    """Of rows sorted by (bucket, id): those of buckets with several ids, each
+    as its position and, above it, the number of the part that it is dealt to:
+    0 for whole buckets.  The partition's first and last bucket may go on next
+    door; they and large ones are kept in numbered parts."""
     import numpy as np
     import pyarrow as pa
+    from pyspark import TaskContext
 
-    held: list = []          # rows of the last bucket, one id so far
-    last, several, first = None, True, True
+    number = 1 + (TaskContext.get().partitionId() << 16)
+    held: list = []          # rows of the last bucket
+    last, size, cut = None, 0, True
 
-    def batch(parts):
-        cols = [np.concatenate([p[i] for p in parts]) for i in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(cols[1]), pa.array(cols[2])], names=["id", "pos"])
+    def part(rows):
+        nonlocal number
+        ids, pos = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
+        for at in range(0, len(ids), hot):
+            yield ids[at:at + hot], pos[at:at + hot] + (number << PART)
+            number += 1
+
+    def ended():
+        if held and (size > hot or cut):
+            yield from part(held)
+        elif held and held[0][0][0] != held[-1][0][-1]:         # sorted by id within a bucket
+            yield from held
 
     for b in batches:
         if not b.num_rows:
             continue
-        bucket, ids, pos = (b.column(i).to_numpy() for i in range(3))
+        bucket, ids, pos = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64)
         head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         end = np.concatenate((head[1:], [len(bucket)]))
-        many = ids[head] != ids[end - 1]         # sorted by id within a bucket
         out = []
+        k = 0
         if last == bucket[0]:
-            many[0] |= several or bool(held and held[0][1][0] != ids[0])
-            if many[0]:
-                out += held
-                held = [] if many[0] else held
-        else:
-            held = []
-            if first:
-                many[0] = True
-        first = False
-        take = np.repeat(many, end - head)
-        tail = head[-1]
-        if not many[-1]:
-            keep = (bucket[tail:], ids[tail:], pos[tail:])
-            held = [*held, keep] if len(head) == 1 and last == bucket[0] else [keep]
-        else:
-            held = []
-        last, several = bucket[-1], bool(many[-1])
-        if take.any():
-            out.append((bucket[take], ids[take], pos[take]))
+            held.append((ids[:end[0]], pos[:end[0]]))
+            size += int(end[0])
+            k = 1
+        if k < len(head):
+            out += ended() if last is not None else []
+            held, size, cut = [], 0, last is None
+            if cut and len(head) > 1:                            # the partition's first bucket
+                out += part([(ids[:end[0]], pos[:end[0]])])
+                k, cut = 1, False
+            whole = slice(k, len(head) - 1)
+            many = (ids[head[whole]] != ids[end[whole] - 1]) & (end[whole] - head[whole] <= hot)
+            take = np.zeros(len(ids), bool)
+            if len(many):
+                take[head[k]:end[-2]] = np.repeat(many, (end - head)[whole])
+            if take.any():
+                out.append((ids[take], pos[take]))
+            for j in np.flatnonzero(end[whole] - head[whole] > hot) + k:
+                out += part([(ids[head[j]:end[j]], pos[head[j]:end[j]])])
+            held, size = [(ids[head[-1]:], pos[head[-1]:])], int(end[-1] - head[-1])
+        if size > hot:
+            out += part(held)
+            held, cut = [], True                                 # what follows of it is in parts too
+            size = 0
+        last = bucket[-1]
         if out:
-            yield batch(out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["id", "pos"])
     if held:
-        yield batch(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*part(held))], names=["id", "pos"])
 
 
 def _segments(batches):
@@ -252,19 +294,21 @@ def _segments(batches):
     import pyarrow as pa
 
     for b in batches:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         bodies, sizes = [], []
         for i, th, body, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
             raw = np.frombuffer(body.as_buffer(), np.uint8)
             bucket, anchor, first, last = window_runs(raw)
-            pick = np.zeros(len(raw), bool)
             at = np.asarray(wanted.values)
-            pick[at[at < len(raw)]] = True       # an id may have several texts
-            j = np.flatnonzero(pick[anchor])
+            at, number = at & ((1 << PART) - 1), at >> PART
+            j = np.searchsorted(anchor, at)
+            known = j < len(anchor)              # an id may have several texts
+            known[known] = anchor[j[known]] == at[known]
+            j, number = j[known], number[known]
             n = last[j] - first[j] + WINDOW
             sizes.append(n)
             bodies.append(raw[np.repeat(first[j] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-            for k, x in enumerate((bucket[j], np.full(len(j), i, np.int64), np.full(len(j), th, np.int64), first[j].astype(np.int32))):
+            for k, x in enumerate((bucket[j], number, np.full(len(j), i, np.int64), np.full(len(j), th, np.int64), first[j].astype(np.int32))):
                 out[k].append(x)
         if not sizes:
             continue
@@ -276,47 +320,69 @@ def _segments(batches):
             piece = pa.Array.from_buffers(pa.binary(), len(e) - 1, [None, pa.py_buffer((e - e[0]).astype(np.int32)),
                                                                     pa.py_buffer(np.ascontiguousarray(data[e[0]:e[-1]]))])
             yield pa.RecordBatch.from_arrays([*(pa.array(c[at:at + (1 << 16)]) for c in cols), piece],
-                                             names=["bucket", "id", "th", "at", "piece"])
+                                             names=["bucket", "part", "id", "th", "at", "piece"])
 
 
-_RUN = "id long, th long, lo int, hi int"
+_RUN = "id long, th long, lo int, hi int, win binary, spots array<struct<th:long,lo:int>>"
 
 
 def _sorted_blocks(batches):
-    """Rows sorted by bucket -> runs of repeated window starts."""
+    """Rows sorted by bucket and part -> runs of repeated window starts, and
+    each window that is least in its part of a bucket with all its starts."""
     import numpy as np
     import pyarrow as pa
 
+    spot = pa.list_(pa.struct([("th", pa.int64()), ("lo", pa.int32())]))
+    names = ["id", "th", "lo", "hi", "win", "spots"]
+
     def flush(parts):
-        ids, th, first = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (1, 2, 3))
-        data, sizes = zip(*(binary_parts(p.column(4)) for p in parts))
-        sizes = np.concatenate(sizes)
-        flags = repeats_in_block(np.concatenate(data), sizes, ids)
+        number, ids, th, first = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (1, 2, 3, 4))
+        data, sizes = zip(*(binary_parts(p.column(5)) for p in parts))
+        data, sizes = np.concatenate(data), np.concatenate(sizes)
+        flags, cls, begin = least_in_block(data, sizes, ids)
         n = sizes - WINDOW + 1
-        begin = np.cumsum(n) - n
         row = np.repeat(np.arange(len(n)), n)
         edge = np.flatnonzero(flags)          # runs end where flags or pieces do
-        if not len(edge):
+        if len(edge):
+            new = np.concatenate(([True], (edge[1:] != edge[:-1] + 1) | (row[edge[1:]] != row[edge[:-1]])))
+            lo, hi = edge[new], edge[np.concatenate((new[1:], [True]))]
+            r = row[lo]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[r]), pa.array(th[r]), pa.array((first[r] + lo - begin[r]).astype(np.int32)),
+                 pa.array((first[r] + hi - begin[r]).astype(np.int32)), pa.nulls(len(r), pa.binary()), pa.nulls(len(r), spot)], names=names)
+        # in a part of a bucket, what is least here may repeat elsewhere
+        left = np.flatnonzero(~flags & np.repeat(number > 0, n))
+        if not len(left):
             return
-        new = np.concatenate(([True], (edge[1:] != edge[:-1] + 1) | (row[edge[1:]] != row[edge[:-1]])))
-        lo, hi = edge[new], edge[np.concatenate((new[1:], [True]))]
-        r = row[lo]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[r]), pa.array(th[r]), pa.array((first[r] + lo - begin[r]).astype(np.int32)),
-             pa.array((first[r] + hi - begin[r]).astype(np.int32))], names=["id", "th", "lo", "hi"])
+        left = left[np.lexsort((left, cls[left]))]
+        head = np.flatnonzero(np.concatenate(([True], cls[left[1:]] != cls[left[:-1]])))
+        ends = np.concatenate((head, [len(left)])).astype(np.int32)
+        r = row[left]
+        spots = pa.StructArray.from_arrays([pa.array(th[r]), pa.array((first[r] + left - begin[r]).astype(np.int32))], ["th", "lo"])
+        spots = pa.ListArray.from_arrays(pa.array(ends), spots).cast(spot)
+        one = left[head]
+        at = (np.cumsum(sizes) - sizes)[row[one]] + one - begin[row[one]]
+        for x in range(0, len(one), 1 << 14):
+            o, a = one[x:x + (1 << 14)], at[x:x + (1 << 14)]
+            wins = pa.Array.from_buffers(pa.binary(), len(o), [None, pa.py_buffer(np.arange(len(o) + 1, dtype=np.int32) * WINDOW),
+                                                               pa.py_buffer(np.ascontiguousarray(data[a[:, None] + np.arange(WINDOW)]))])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[row[o]]), pa.nulls(len(o), pa.int64()), pa.nulls(len(o), pa.int32()), pa.nulls(len(o), pa.int32()),
+                 wins, spots.slice(x, len(o))], names=names)
 
     parts: list = []
     size = 0
     for b in batches:
         if not b.num_rows:
             continue
-        bucket = b.column(0).to_numpy()
-        _, sizes = binary_parts(b.column(4))
-        head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))     # blocks end between buckets
+        bucket, number = b.column(0).to_numpy(), b.column(1).to_numpy()
+        _, sizes = binary_parts(b.column(5))
+        # blocks end between buckets or their parts
+        head = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (number[1:] != number[:-1]))))
         have = np.concatenate(([0], np.cumsum(sizes - WINDOW + 1)))
         at = 0
         for h in [*head.tolist(), b.num_rows]:
-            goes_on = h == 0 and parts and parts[-1].column(0)[-1].as_py() == bucket[0]
+            goes_on = h == 0 and parts and [parts[-1].column(i)[-1].as_py() for i in (0, 1)] == [bucket[0], number[0]]
             if size + have[h] - have[at] >= BLOCK and not goes_on and h < b.num_rows:
                 if h > at:
                     parts.append(b.slice(at, h - at))
@@ -329,14 +395,11 @@ def _sorted_blocks(batches):
         yield from flush(parts)
 
 
-def _hot_runs(hot: DataFrame) -> DataFrame:
-    """Repeated windows of buckets too large for one block."""
-    w = hot.select("id", "th", F.posexplode(F.expr(
-        f"transform(sequence(1, octet_length(piece) - {WINDOW - 1}), s -> substring(piece, s, {WINDOW}))")).alias("o", "win"), "at")
-    least = materialize(w.groupBy("win").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select(
-        F.col("win").alias("lwin"), "least"), "op2_least")
-    hit = w.join(least, F.col("win") == F.col("lwin")).filter("least < id")
-    return hit.select("id", "th", (F.col("at") + F.col("o")).alias("lo"), (F.col("at") + F.col("o")).alias("hi"))
+def _least_of_parts(left: DataFrame) -> DataFrame:
+    """Runs among the windows that were least in their parts of a bucket."""
+    met = left.withColumn("least", F.min("id").over(Window.partitionBy("win"))).filter("least < id")
+    met = met.select("id", F.explode("spots").alias("s"))
+    return met.select("id", "s.th", "s.lo", F.col("s.lo").alias("hi"))
 
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
@@ -348,18 +411,16 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     total = long_.agg(F.sum(F.octet_length("body"))).head()[0] or 0
     parts = parts_for(spark, int(total * 2 / (WINDOW - GRAM + 2)), ANCHORS)
     anchors = long_.select("id", "body").mapInArrow(_anchors, _ANCHOR)
-    met = anchors.repartitionByRange(parts, "bucket", "id", "pos").sortWithinPartitions("bucket", "id", "pos").mapInArrow(_met, "id long, pos int")
+    met = anchors.repartitionByRange(parts, "bucket", "id", "pos").sortWithinPartitions("bucket", "id", "pos").mapInArrow(
+        lambda batches, hot=HOT_BUCKET: _met(batches, hot), "id long, pos long")
     wanted = met.groupBy("id").agg(F.collect_set("pos").alias("wanted"))
-    wanted = materialize(wanted.withColumnRenamed("id", "wid"), "op2_wanted")
+    wanted = materialize(wanted.withColumnRenamed("id", "wid"), "op2_wanted", drop_shuffles=True)
     pieces = long_.join(wanted, F.col("id") == F.col("wid")).select("id", "th", "body", "wanted").mapInArrow(
-        _segments, "bucket long, id long, th long, at int, piece binary")
-    pieces = materialize(pieces, "op2_pieces")
-    sizes = pieces.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT_BUCKET).select(F.col("bucket").alias("hbucket"))
-    sizes = materialize(sizes, "op2_hot")
-    cold = pieces.join(sizes, F.col("bucket") == F.col("hbucket"), "left_anti")
-    runs = cold.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_blocks, _RUN)
-    hot = pieces.join(sizes, F.col("bucket") == F.col("hbucket")).drop("hbucket")
-    return runs.unionByName(_hot_runs(hot))
+        _segments, "bucket long, part long, id long, th long, at int, piece binary")
+    found = pieces.repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_sorted_blocks, _RUN)
+    found = materialize(found, "op2_found", drop_shuffles=True)
+    runs = found.filter("win is null").select("id", "th", "lo", "hi")
+    return runs.unionByName(_least_of_parts(found.filter("win is not null").select("id", "win", "spots")))
 
 
 _OUT = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -406,11 +467,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("own"), safe_text(text_col).alias("t"))
     rows = rows.select("own", F.coalesce("own", F.lit(NO_ID)).alias("id"), F.xxhash64("t").alias("th"), F.col("t"))
     digests = materialize(rows.select("id", "th", F.sha2("t", 256).alias("sha"), F.octet_length("t").alias("n")).filter(
-        F.col("n") >= WINDOW).groupBy("sha", "id", "th").agg(F.count(F.lit(1)).alias("c")), "op2_digests")
+        F.col("n") >= WINDOW).groupBy("sha", "id", "th").agg(F.count(F.lit(1)).alias("c")), "op2_digests", drop_shuffles=True)
     groups = materialize(digests.groupBy("sha").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("ids")).filter("ids > 1")
-                         .select(F.col("sha").alias("gsha"), "least"), "op2_groups")
+                         .select(F.col("sha").alias("gsha"), "least"), "op2_groups", drop_shuffles=True)
     copies = digests.join(groups, F.col("sha") == F.col("gsha")).filter("id > least").select(F.col("id").alias("cid"), F.col("th").alias("cth"))
-    copies = materialize(copies.distinct(), "op2_copies")
+    copies = materialize(copies.distinct(), "op2_copies", drop_shuffles=True)
     same = (F.col("id") == F.col("cid")) & (F.col("th") == F.col("cth"))
     bodies = rows.select("id", "th", F.col("t").cast("binary").alias("body"))
     runs = repeated_runs(bodies.join(copies, same, "left_anti"))
@@ -418,7 +479,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lost = copies.select(F.col("cid").alias("rid"), F.col("cth").alias("rth"), F.lit(True).alias("whole"),
                          F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("runs"))
     lost = lost.unionByName(runs.select(F.col("id").alias("rid"), F.col("th").alias("rth"), F.lit(False).alias("whole"), "runs"))
-    lost = materialize(lost, "op2_lost")
+    lost = materialize(lost, "op2_lost", drop_shuffles=True)
     every = rows.join(lost, (F.col("id") == F.col("rid")) & (F.col("th") == F.col("rth")), "left")
     return every.select("own", F.col("t").cast("binary").alias("body"), F.coalesce("whole", F.lit(False)).alias("whole"), "runs").mapInArrow(_cut_out, _OUT)
 
