@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from convspark.session import ensure_checkpoint_dir, scratch_path
 
-__all__ = ["materialize", "materialize_by", "parts_for", "safe_text", "spread_ids", "ensure_checkpoint_dir"]
+__all__ = ["materialize", "materialize_by", "parts_for", "safe_text", "spread_ids", "ensure_checkpoint_dir", "give_back", "thrifty", "slices"]
 
 
 #: With this on, Spark drops a write's shuffle files as soon as it has ended.
@@ -49,6 +49,48 @@ def materialize_by(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table)
 
 
+def give_back() -> None:
+    """Return a Python worker's free memory to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc only
+    if trim:
+        trim(0)
+
+
+def thrifty(run):
+    """The Arrow function ``run`` of a task, which ends by giving memory back:
+    workers outlive their tasks, and the executor needs it for what runs next."""
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def slices(batches, column: int, limit: int):
+    """The rows of the batches in slices of at most ``limit`` bytes of a text
+    or binary column (or one longer row)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0)
+        ends = np.concatenate(([0], np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)))
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def safe_text(name: str) -> Column:
     """The text column, null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

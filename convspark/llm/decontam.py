@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from convspark.llm.common import thrifty
+
 ERROR_RATE = 0.1
 MIN_CHARS = 40
 #: Characters of benchmark text that one broadcast block holds at most
@@ -250,12 +252,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                 if not pa.types.is_large_string(b.column(at).type) and not pa.types.is_string(b.column(at).type):
                     raise TypeError("the text column must be a string")
                 had = hits.to_pylist()
-                for i, text in enumerate(b.column(at).to_pylist()):
-                    if text:
+                for i, text in enumerate(b.column(at)):
+                    if text := text.as_py():
                         had[i] += [{"item_id": x, "distance": d, "end": e} for x, d, e in matcher.find(text)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(had, hits.type)], schema=b.schema)
 
-        out = out.mapInArrow(scan, schema)
+        out = out.mapInArrow(thrifty(scan), schema)
     return out
 
 

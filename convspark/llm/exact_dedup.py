@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convspark.llm.common import materialize, safe_text
+from convspark.llm.common import materialize, safe_text, thrifty
 
 #: Primes below 2**31 and the bases of the two polynomial lanes.
 PRIMES = (2147483647, 2147483629)
@@ -98,7 +98,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, primes=PRIMES, bases
     body = body.select("id", F.sha2("t", 256).alias("sha"), F.col("t").cast("binary").alias("b"))
     cut = body.select("id", "sha", F.octet_length("b").cast("long").alias("n"),
                       F.explode(_cut("b", segment)).alias("s")).select("id", "sha", "n", "s.seg", "s.piece")
-    terms = cut.mapInArrow(chunk_terms(primes, bases, chunk, segment), _TERM)
+    terms = cut.mapInArrow(thrifty(chunk_terms(primes, bases, chunk, segment)), _TERM)
     summed = terms.groupBy("id", "sha", "n").agg(
         F.count_if(F.col("seg") == 0).alias("n_rows"), F.sum("t0").alias("s0"), F.sum("t1").alias("s1"))
     # repeated rows add the same terms n_rows times over

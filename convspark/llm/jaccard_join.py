@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convspark.llm.common import materialize, materialize_by
+from convspark.llm.common import materialize, materialize_by, slices, thrifty
 from convspark.llm.components import components
 
-#: Text bytes hashed at a time inside a task.
-SLICE = 1 << 21
+#: Text bytes hashed at a time inside a task (arrays of eight bytes for each),
+#: and text bytes of the rows signed or packed at a time.
+SLICE, ROWS_SLICE = 1 << 18, 1 << 21
 #: A batch reports the shingles that so many of its documents hold, and so
 #: many of the most frequent ones enter the global order (an order hint of
 #: bounded size: any order is exact).
@@ -106,7 +107,7 @@ def mixed(x):
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
 
-def shingle_sets(texts: list, k: int):
+def shingle_sets(texts, k: int):
     """One sorted array of distinct shingle hashes per text."""
     import numpy as np
 
@@ -152,6 +153,27 @@ def _ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def repeated(sets: list, least: int):
+    """The hashes that at least ``least`` sets hold, sorted, and in how many;
+    empties the list, so that one copy of the sets is held."""
+    import numpy as np
+
+    x = np.empty(sum(map(len, sets)), np.int64)
+    at = 0
+    sets.reverse()
+    while sets:
+        s = sets.pop()
+        x[at:at + len(s)] = s
+        at += len(s)
+    x.sort()
+    if len(x) < least:
+        return x[:0], np.empty(0, np.int64)
+    often = x[:len(x) - least + 1] == x[least - 1:]
+    often[1:] &= x[1:len(often)] != x[:len(often) - 1]
+    values = x[:len(often)][often]
+    return values, (np.searchsorted(x, values, "right") - np.flatnonzero(often)).astype(np.int64)
+
+
 def frequent_shingles(docs: DataFrame, k: int):
     """(hash, estimated documents) arrays of the most frequent shingles."""
     import numpy as np
@@ -160,12 +182,10 @@ def frequent_shingles(docs: DataFrame, k: int):
         import pyarrow as pa
 
         for b in batches:
-            sets = shingle_sets(b.column(0).to_pylist(), k)
-            values, n = np.unique(np.concatenate(sets) if sets else np.empty(0, np.int64), return_counts=True)
-            often = n >= BATCH_REPEATS
-            yield pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(n[often].astype(np.int64))], names=["h", "n"])
+            values, n = repeated(shingle_sets((t.as_py() for t in b.column(0)), k), BATCH_REPEATS)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["h", "n"])
 
-    got = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    got = docs.select("text").mapInArrow(thrifty(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = got.orderBy(F.desc("n"), "h").limit(ORDER_HINTS).toPandas().sort_values("h")
     return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
@@ -208,7 +228,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
             off = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
             return pa.ListArray.from_arrays(off, pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
 
-        for b in batches:
+        for b in slices(batches, 1, ROWS_SLICE):
             sets = shingle_sets(b.column(1).to_pylist(), k)
             f1, f2, need, parity, prefix = [], [], [], [], []
             for s in sets:
@@ -234,7 +254,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
                  pa.array(need, pa.int32()), lists(parity), lists(prefix)], names=[f.name for f in _SIGNED])
 
-    return docs.mapInArrow(sign, _SIGNED)
+    return docs.mapInArrow(thrifty(sign), _SIGNED)
 
 
 def _possible(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
@@ -253,11 +273,11 @@ def packed(docs: DataFrame) -> DataFrame:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
+        for b in slices(batches, 1, ROWS_SLICE):
             texts = [None if t is None else squeeze(t.encode()) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], names=["id", "text"])
 
-    return docs.mapInArrow(pack, "id long, text binary")
+    return docs.mapInArrow(thrifty(pack), "id long, text binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, name: str) -> DataFrame:
@@ -269,10 +289,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, name: st
 
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
             hit = []
-            for x, y in zip(left, right):
-                s, t = shingle_sets([unpack(x).decode(), unpack(y).decode()], k)
+            for x, y in zip(b.column(2), b.column(3)):
+                s, t = shingle_sets([unpack(x.as_py()).decode(), unpack(y.as_py()).decode()], k)
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 hit.append(100 * common >= percent * (len(s) + len(t) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
@@ -283,7 +302,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, name: st
     texts = materialize(texts.join(met, F.col("id") == F.col("mid"), "left_semi"), f"{name}_met_texts")
     side = lambda x: texts.select(F.col("id").alias(f"i{x}"), F.col("text").alias(f"t{x}"))
     both = pairs.join(side("a"), F.col("a") == F.col("ia")).drop("ia").join(side("b"), F.col("b") == F.col("ib")).drop("ib")
-    hit = both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
+    hit = both.select("a", "b", "ta", "tb").mapInArrow(thrifty(compare), "a long, b long").distinct()
     return materialize(hit, f"{name}_links")
 
 
