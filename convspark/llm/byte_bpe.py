@@ -33,16 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from convspark.llm import common
+
 #: Bytes of a short word, squared bytes of the short words and bytes of the
 #: other words in one encoding, ids in one decoding query, words (and bytes of
 #: them and their ids) a task remembers between slices, characters of a slice.
 SHORT = 64
-ROWS = 4_000_000
+ROWS = 1_000_000
 BYTES = 400_000
-TOKENS = 500_000
+TOKENS = 100_000
 CACHE = 300_000
 CACHE_BYTES = 64_000_000
-SLICE = 1_000_000
+SLICE = 500_000
 
 #: Short words in one query, which holds the rows of all steps: neighbours join
 #: the merge table; of each word's mergeable pairs the one of least rank, then
@@ -140,7 +142,9 @@ class Codec:
         alone = {part for x, y, m in zip(left, right, merged) for part in (x, y) if m < part}
         i32 = pa.int32()
         self.spill = tempfile.TemporaryDirectory(prefix="byte_bpe_")
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": self.spill.name})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": self.spill.name,
+                                          # freed memory goes back to the system after each query
+                                          "allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB"})
         self.con.register("m", pa.table({"l": pa.array(left, i32), "r": pa.array(right, i32), "merged": pa.array(merged, i32),
                                          "alone": [m in alone for m in merged]}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
@@ -262,21 +266,20 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def give_back(c: Codec) -> None:
-    """Forget the words and return free memory to the system."""
-    import ctypes
-    import gc
+    """Forget the words and what is left of the last query, and return free
+    memory to the system."""
+    c.known, c.held = {}, 0
+    for table in ("state", "finished", "pairs", "pick"):
+        c.con.execute(f"DROP TABLE IF EXISTS {table}")
+    common.give_back()
 
-    import pyarrow as pa
 
-    c.known, c.held = {}, 0
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc only
-    if trim:
-        trim(0)
+def texts_of(column):
+    """The texts of an Arrow column, one at a time."""
+    return (t.as_py() for t in column)
 
 
-def batches_of(rows: list[str], limit: int = SLICE):
+def batches_of(rows, limit: int = SLICE):
     """Slices of the rows whose texts have about ``limit`` characters."""
     part, size = [], 0
     for t in rows:
@@ -305,7 +308,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
         try:
             for b in batches:
                 at = 0
-                for texts in batches_of(b.column(text_col).to_pylist()):
+                for texts in batches_of(texts_of(b.column(text_col))):
                     ids = c.encode(texts)
                     off = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                     flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
@@ -356,7 +359,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
         try:
             for b in batches:
                 at = 0
-                for texts in batches_of(b.column(1).to_pylist()):
+                for texts in batches_of(texts_of(b.column(1))):
                     ids = c.encode(texts)
                     back = c.decode(ids)
                     digest = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
