@@ -1,8 +1,10 @@
 """Operator 9, n-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set holds the hashes of its distinct word shingles.  All sets
-are sorted by one global order: shingles that are frequent (by counts that
-every batch of documents contributes to) come last, the rest by hash.  Two
+are sorted by one global order: shingles that are frequent (by counts over all
+documents) come last, the rest by hash.  So a passage that many documents
+share stays out of the prefixes of those that differ enough besides it, even
+if no single batch holds it often.  Two
 sets with Jaccard of at least t share l shingles within the first
 ``n - ceil(t n) + l`` of each (l = 1, 2, ...).  A document whose short prefix
 would meet many candidates takes a longer one, by estimated cost, and then l
@@ -38,10 +40,16 @@ from convspark.llm.components import components
 #: Text bytes hashed at a time inside a task (arrays of eight bytes for each),
 #: and text bytes of the rows signed or packed at a time.
 SLICE, ROWS_SLICE = 1 << 18, 1 << 21
-#: A batch reports the shingles that so many of its documents hold, and so
-#: many of the most frequent ones enter the global order (an order hint of
-#: bounded size: any order is exact).
+#: Text bytes of the rows whose shingles are counted at a time.
+COUNT_SLICE = 1 << 23
+#: Shingles that so many documents hold are frequent (those of which a slice
+#: has so many are reported with their number), and so many of the most
+#: frequent ones enter the global order (an order hint of bounded size: any
+#: order is exact).
 BATCH_REPEATS, ORDER_HINTS = 4, 200_000
+#: Shingles are counted by the first 44 bits of their hashes, in parts by the
+#: first 12 of them, so that four bytes of each are moved.
+KEY_SHIFT, PART_SHIFT = 20, 52
 #: Longest extension of a prefix, the weight of one verification against one
 #: list entry, and the further documents expected to hold an unlisted shingle.
 MAX_EXTRA, VERIFY_COST, CHANCE = 8, 16.0, 0.05
@@ -153,41 +161,57 @@ def _ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def repeated(sets: list, least: int):
-    """The hashes that at least ``least`` sets hold, sorted, and in how many;
-    empties the list, so that one copy of the sets is held."""
+def distinct(x):
+    """The values of an array, which is sorted in place, and their numbers."""
     import numpy as np
 
-    x = np.empty(sum(map(len, sets)), np.int64)
-    at = 0
-    sets.reverse()
-    while sets:
-        s = sets.pop()
-        x[at:at + len(s)] = s
-        at += len(s)
     x.sort()
-    if len(x) < least:
-        return x[:0], np.empty(0, np.int64)
-    often = x[:len(x) - least + 1] == x[least - 1:]
-    often[1:] &= x[1:len(often)] != x[:len(often) - 1]
-    values = x[:len(often)][often]
-    return values, (np.searchsorted(x, values, "right") - np.flatnonzero(often)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+    return x[first], np.diff(first, append=len(x))
 
 
 def frequent_shingles(docs: DataFrame, k: int):
-    """(hash, estimated documents) arrays of the most frequent shingles."""
+    """(key, documents) arrays of the most frequent shingles; a key is the
+    first 44 bits of a hash."""
     import numpy as np
 
     def count(batches):
         import pyarrow as pa
 
-        for b in batches:
-            values, n = repeated(shingle_sets((t.as_py() for t in b.column(0)), k), BATCH_REPEATS)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["h", "n"])
+        names = ["h", "n", "part", "rest"]
+        for b in slices(batches, 0, COUNT_SLICE):
+            sets = shingle_sets((t.as_py() for t in b.column(0)), k)
+            if not sets:
+                continue
+            h, n = distinct(np.concatenate(sets))
+            del sets
+            often = n >= BATCH_REPEATS
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[often]), pa.array(n[often]), pa.array((h[often] >> PART_SHIFT).astype(np.int32)), pa.nulls(int(often.sum()), pa.binary())], names=names)
+            h = np.repeat(h[~often], n[~often])
+            parts, at = np.unique(h >> PART_SHIFT, return_index=True)
+            ends = np.append(at, len(h)).astype(np.int32) * 4
+            h = (h >> KEY_SHIFT).astype(np.uint32)        # the part has the bits before these
+            rest = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(ends), pa.py_buffer(h)])
+            none = pa.nulls(len(parts), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(parts.astype(np.int32)), rest], names=names)
+
+    def total(rows):
+        import pyarrow as pa
+
+        rest, n = distinct(np.frombuffer(b"".join(x for x in rows.column("rest").to_pylist() if x), np.uint32).copy())
+        some = rows.column("h").drop_null().to_numpy()
+        low = (some >> KEY_SHIFT).astype(np.uint32)
+        kept = (n >= BATCH_REPEATS) | np.isin(rest, low)
+        low, at = np.unique(np.concatenate((rest[kept], low)), return_inverse=True)
+        n = np.bincount(at, np.concatenate((n[kept], rows.column("n").drop_null().to_numpy())), len(low)).astype(np.int64)
+        key = (np.int64(rows.column("part")[0].as_py()) << np.int64(PART_SHIFT - KEY_SHIFT)) | low.astype(np.int64)
+        return pa.table({"key": key, "n": n})
 
-    got = docs.select("text").mapInArrow(thrifty(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = got.orderBy(F.desc("n"), "h").limit(ORDER_HINTS).toPandas().sort_values("h")
-    return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    got = docs.select("text").mapInArrow(thrifty(count), "h long, n long, part int, rest binary")
+    got = materialize(got.groupBy("part").applyInArrow(total, "key long, n long"), "op9_often", drop_shuffles=True)
+    top = got.orderBy(F.desc("n"), "key").limit(ORDER_HINTS).toPandas().sort_values("key")
+    return top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
 def choose_prefix(df, n: int, percent: int):
@@ -243,8 +267,9 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     continue
                 df = np.full(len(s), 1 + CHANCE)
                 if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    hit = known[at] == s
+                    key = s >> KEY_SHIFT
+                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    hit = known[at] == key
                     df[hit] = often[at[hit]]
                 order = np.argsort(df, kind="stable")       # hashes are sorted already
                 size, l = choose_prefix(df[order], len(s), percent)  # noqa: E741
